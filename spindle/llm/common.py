@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spindle.session import ship
+
 #: Above so many ids a semi-join shuffles; below, the ids (8 bytes each) are broadcast.
 BROADCAST_IDS = 1_000_000
 #: Text bytes that a Python worker handles at once; a longer single text is handled alone.
@@ -16,6 +18,7 @@ SLICE_BYTES = 3 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -5,8 +5,10 @@ All steps are joins and aggregates over pairs of longs; nothing about single set
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,8 +59,11 @@ def link(items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: i
     items: (node, n, keys): set size and the table keys of its minhashes. sets_of(nodes) gives
     (node, items) for distinct nodes. In each bucket, that is for each key, all members are compared
     with the smallest one, so a bucket of any size makes as many pairs as it has members. The links
-    found give components. Then the rest, exactly: in a bucket that still holds several components,
-    members outside its largest one are compared with all members of other components.
+    found give components. Then the rest, exactly: where a bucket still holds several components, a
+    link may be left between a member outside its largest one and a member of another component.
+    Such members and all others of these buckets are compared if they share an item of their
+    prefixes and if counts of their items by hash allow the overlap; most near copies that differ
+    too much fail one of the two, and both are bounds that no linked pair fails.
     """
     keyed = items.select("node", "n", F.explode("keys").alias("key"))
     buckets = keyed.groupBy("key").agg(F.count("*").alias("members"), F.min(F.struct("node", "n")).alias("first")).where("members > 1")
@@ -75,10 +80,17 @@ def link(items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: i
 
     labelled = members.select("key", "node", "n").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     labelled = checkpointed(labelled)
-    sizes = labelled.groupBy("key", "comp").agg(F.count("*").alias("c"))
-    mixed = sizes.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("major"), F.count("*").alias("comps")).where("comps > 1")
-    minor = labelled.join(mixed.select("key", "major"), "key").where("comp <> major").select("key", F.col("node").alias("x"), F.col("n").alias("xn"), F.col("comp").alias("xc"))
-    rest = minor.join(labelled, "key").where("comp <> xc").where(near("n", "xn"))
+    sizes = labelled.groupBy("key", "comp").agg(F.count("*").alias("c"), F.min("n").alias("n"))
+    mixed = sizes.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("major"), F.count("*").alias("comps"), F.min("n").alias("least")).where("comps > 1")
+    inside = labelled.join(mixed.select("key", "major", "least"), "key")
+    left = inside.groupBy("node").agg(F.first("comp").alias("comp"), F.max((F.col("comp") != F.col("major")).cast("int")).alias("minor"), F.first("n").alias("n"), F.min("least").alias("least"))
+    left = checkpointed(left)
+    if left.isEmpty():
+        return labels
+    prefixes = checkpointed(_prefixes(left, sets_of(left.select("node")), percent))
+    minor = prefixes.where("minor = 1").select("item", F.col("node").alias("x"), F.col("n").alias("xn"), F.col("comp").alias("xc"), F.col("spread").alias("xs"))
+    most = F.aggregate(F.zip_with("spread", "xs", lambda a, b: F.least(a, b)), F.lit(0), lambda a, b: a + b)
+    rest = minor.join(prefixes, "item").where("comp <> xc").where(near("n", "xn")).where((100 + percent) * most >= percent * (F.col("n") + F.col("xn")))
     rest = rest.select(F.least("x", "node").alias("u"), F.greatest("x", "node").alias("v")).distinct()
     tried = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     rest = checkpointed(rest.join(tried, ["u", "v"], "left_anti"))
@@ -87,3 +99,38 @@ def link(items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: i
     nodes = rest.select(F.col("u").alias("node")).union(rest.select("v")).distinct()
     more = verified(rest, sets_of(nodes), percent)
     return components(edges.union(more))
+
+
+_SPREAD = 256
+
+
+def _spreads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds to sets how many items fall to each of 256 hash values; sets too large for that get no bound."""
+    for batch in batches:
+        items = batch["items"]
+        at = np.asarray(items.offsets) - items.offsets[0].as_py()
+        place = (np.asarray(items.flatten()) & (_SPREAD - 1)) + _SPREAD * np.repeat(np.arange(len(batch)), np.diff(at))
+        counts = np.bincount(place, minlength=_SPREAD * len(batch))
+        counts = np.where(np.repeat(np.diff(at), _SPREAD) < 1 << 20, counts, 1 << 20).astype(np.int32)
+        spread = pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1, dtype=np.int32) * _SPREAD), pa.array(counts))
+        yield pa.RecordBatch.from_arrays([batch["node"], items, spread], ["node", "items", "spread"])
+
+
+def _prefixes(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """nodes with each item of their prefixes: two sets of the similarity, at least, share one of these.
+
+    nodes: (node, comp, minor, n, least); least bounds the partners' sizes from below. Items are taken
+    in the order of their number of sets. A set's overlap with a partner is percent / (100 + percent)
+    of both sizes at least, so one common item is among the first n - overlap + 1. Items of one set
+    alone fill places there but join with nothing. spread: see _spreads.
+    """
+    sets = checkpointed(sets.mapInArrow(_spreads, "node long, items array<long>, spread array<int>"))
+    single = sets.select("node", F.explode("items").alias("item"))
+    often = single.groupBy("item").agg(F.count("*").alias("df")).where("df > 1")
+    ordered = single.join(often, "item").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "item"))).alias("shared"))
+    partner = F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100))
+    overlap = F.ceil((F.col("n") + partner) * percent / (100 + percent))
+    places = F.col("n") - overlap + 1 - (F.col("n") - F.size("shared"))
+    first = nodes.join(ordered, "node").withColumn("places", places.cast("int")).where("places > 0").join(sets.select("node", "spread"), "node")
+    first = first.select("node", "comp", "minor", "n", "spread", F.explode(F.slice("shared", F.lit(1), F.col("places"))).alias("s"))
+    return first.select("node", "comp", "minor", "n", "spread", F.col("s.item").alias("item"))
