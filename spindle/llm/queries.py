@@ -1,22 +1,60 @@
-"""The registered queries of this subpackage and their SQL."""
+"""The registered queries of this subpackage: each applies its operator to its whole table."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from spindle.llm import decontaminate, html_text, language_model, mixing, near_dedup, paragraph_dedup, quality, token_counts, token_output, toxicity
 from spindle.llm.common import table
+from spindle.llm.sql import SQL as SQL
+
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_rules(table(spark, sf_dir, "documents"))
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from spindle.llm.near_dedup import near_duplicates
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
+
+
+def op4_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraph_dedup.repeated_paragraphs(table(spark, sf_dir, "documents"))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mixing.mixed(table(spark, sf_dir, "documents"))
+    return mix.select("doc_id", "size", "source_size", "target", "taken")
+
 
-    return near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.language_model_scores(table(spark, sf_dir, "documents"))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output.token_output(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op3_near_dedup": op3_near_dedup,
+    f.__name__: f for f in (op1_quality, op2_token_counts, op3_near_dedup, op4_paragraph_dedup, op5_mixing, op6_toxicity, op7_lm_scoring, op8_decontamination, op9_html_extraction, op10_token_output)
 }
-
-SQL: dict[str, str] = {}
