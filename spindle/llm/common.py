@@ -14,7 +14,7 @@ from spindle.session import ship
 #: Above so many ids a semi-join shuffles; below, the ids (8 bytes each) are broadcast.
 BROADCAST_IDS = 1_000_000
 #: Text bytes that a Python worker handles at once; a longer single text is handled alone.
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
