@@ -46,43 +46,60 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def fit(rows: list[tuple[int, list[int]]], swaps: list[tuple[list[int], list[int], float]], size: int, *, l1: float, counterfactual: float, steps: int = 400) -> tuple[np.ndarray, float]:
+def fit(rows: list[tuple[int, list[int]]], swaps: list[tuple[list[int], list[int], float]], size: int, *, l1: float, counterfactual: float, steps: int = 500) -> tuple[np.ndarray, float]:
     """Weights of size features and the bias, by accelerated proximal gradient steps.
 
     rows: label and features of each document. swaps: features lost and gained by a swap, and how
-    often labelled sentences offer it.
+    often labelled sentences offer it. Columns are scaled to one length; l1 counts in standard
+    deviations of the gradient that a feature without any bearing on the label would have.
     """
     y = np.array([r[0] for r in rows], dtype=float)
     n = len(y)
     at = np.repeat(np.arange(n), [len(r[1]) for r in rows])
     col = np.array([c for r in rows for c in r[1]], dtype=np.int64)
+    scale = 1 / np.sqrt(np.maximum(np.bincount(col, minlength=size), 1) / n)
+    value = scale[col] if len(col) else np.zeros(0)
     weight = np.array([s[2] for s in swaps], dtype=float)
-    weight = weight / weight.sum() if len(weight) else weight
+    weight = weight / max(weight.sum(), 1)
     s_at = np.repeat(np.arange(len(swaps)), [len(a) + len(b) for a, b, _ in swaps])
     s_col = np.array([c for a, b, _ in swaps for c in [*a, *b]], dtype=np.int64)
-    s_sign = np.array([x for a, b, _ in swaps for x in [-1.0] * len(a) + [1.0] * len(b)])
-    base = y.mean()
-    w, bias = np.zeros(size), float(np.log(base / (1 - base)))
-    v, v_bias, momentum = w.copy(), bias, 1.0
-    degree = np.bincount(at, minlength=n).max(initial=0) + 1
-    rate = 1.0 / (0.25 * min(degree, 64) + counterfactual * 8)
+    s_value = np.array([x for a, b, _ in swaps for x in [-1.0] * len(a) + [1.0] * len(b)]) * (scale[s_col] if len(s_col) else 1)
+
+    def times(u: np.ndarray) -> np.ndarray:
+        return np.bincount(at, value * u[col], minlength=n)
+
+    def back(e: np.ndarray) -> np.ndarray:
+        return np.bincount(col, value * e[at], minlength=size)
+
+    def swapped(u: np.ndarray) -> np.ndarray:
+        """Gradient of half the mean square of the changes that swaps make."""
+        change = np.bincount(s_at, s_value * u[s_col], minlength=len(swaps))
+        return np.bincount(s_col, s_value * (weight * change)[s_at], minlength=size)
+
+    share = y.mean()
+    least = l1 * (share * (1 - share) / n) ** 0.5
+    u, bias = np.ones(size), float(np.log(share / (1 - share)))
+    steepest = 1.0
+    for _ in range(30):  # power iterations for the step
+        u = 0.25 * back(times(u)) / n + counterfactual * swapped(u)
+        steepest = float(np.linalg.norm(u)) or 1.0
+        u /= steepest
+    rate = 1 / (1.1 * steepest + 0.25)
+    u, momentum = np.zeros(size), 1.0
+    v, v_bias = u, bias
     for _ in range(steps):
-        z = v_bias + np.bincount(at, v[col], minlength=n)
-        error = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) / n
-        grad = np.bincount(col, error[at], minlength=size)
-        if len(swaps):
-            change = np.bincount(s_at, s_sign * v[s_col], minlength=len(swaps))
-            grad += counterfactual * np.bincount(s_col, s_sign * (weight * change)[s_at], minlength=size)
-        new = v - rate * n ** 0.5 * grad
-        new = np.sign(new) * np.maximum(np.abs(new) - rate * n ** 0.5 * l1 / n, 0)
-        new_bias = v_bias - rate * error.sum()
+        error = 1 / (1 + np.exp(-np.clip(v_bias + times(v), -40, 40))) - y
+        new = v - rate * (back(error) / n + counterfactual * swapped(v))
+        new = np.sign(new) * np.maximum(np.abs(new) - rate * least, 0)
+        new_bias = v_bias - rate * error.mean()
         grown = (1 + (1 + 4 * momentum * momentum) ** 0.5) / 2
-        v, v_bias = new + (momentum - 1) / grown * (new - w), new_bias + (momentum - 1) / grown * (new_bias - bias)
-        w, bias, momentum = new, new_bias, grown
-    return w, bias
+        pull = (momentum - 1) / grown
+        v, v_bias = new + pull * (new - u), new_bias + pull * (new_bias - bias)
+        u, bias, momentum = new, new_bias, grown
+    return u * scale, bias
 
 
-def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = 40_000, min_docs: int = 3, max_candidates: int = 60_000, max_features: int = 8192, l1: float = 0.5, counterfactual: float = 1.0) -> tuple[dict[str, float], float]:
+def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = 40_000, min_docs: int = 3, max_candidates: int = 60_000, max_features: int = 8192, l1: float = 2.0, counterfactual: float = 1.0) -> tuple[dict[str, float], float]:
     """Feature weights and bias from at most about max_rows labelled documents outside the held-out fold.
 
     Rows are chosen by a hash of doc_id. Candidates are features of min_docs toxic documents or more,
