@@ -22,18 +22,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the checkpoint folder of the session and read from there."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir; one of our own where it names none."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def _sized(ids: DataFrame) -> DataFrame:
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return F.broadcast(ids) if few else ids
+
+
 def semi_join(df: DataFrame, ids: DataFrame, on: str) -> DataFrame:
     """Rows of df whose key is in ids (distinct); ids are broadcast only when few."""
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return df.join(F.broadcast(ids) if few else ids, on, "left_semi")
+    return df.join(_sized(ids), on, "left_semi")
+
+
+def anti_join(df: DataFrame, ids: DataFrame, on: str) -> DataFrame:
+    """Rows of df whose key isn't in ids (distinct), null keys included; ids are broadcast only when few."""
+    return df.join(_sized(ids), on, "left_anti")
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:

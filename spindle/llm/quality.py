@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 SPACES = r"[\x20\x09-\x0D]+"
 WINDOW = 8
 #: Metrics, as whole numbers: characters per 100 words, and per 1000 words or lines.
-METRICS = ("word_length", "symbol_rate", "dup_line_rate", "repeat_rate")
+METRICS = ("word_length", "symbol_rate", "dup_line_rate", "repeat_rate", "stutter_rate")
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -60,7 +60,8 @@ def measures(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), text.alias("text"))
 
     def counted(words: Column) -> Column:
-        return F.struct(F.size(words).cast("long").alias("n_words"), repeated_words(words).alias("n_repeat_words"))
+        stutters = F.size(F.filter(words, lambda w, i: (i > 0) & (w == words[F.greatest(i - 1, F.lit(0))]))).cast("long")
+        return F.struct(F.size(words).cast("long").alias("n_words"), repeated_words(words).alias("n_repeat_words"), stutters.alias("n_stutters"))
 
     def lines(found: Column) -> Column:
         return F.struct(F.size(found).cast("long").alias("n_lines"), (F.size(found) - F.size(F.array_distinct(found))).cast("long").alias("n_dup_lines"))
@@ -74,7 +75,7 @@ def measures(docs: DataFrame) -> DataFrame:
         let(with_words, lines).alias("l"),
         F.length(F.translate("text", " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
         (F.length("text") - F.length(F.translate("text", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
-    ).select("doc_id", "lang", "source", "w.n_words", "word_chars", "n_symbols", "l.n_dup_lines", "l.n_lines", "w.n_repeat_words")
+    ).select("doc_id", "lang", "source", "w.n_words", "word_chars", "n_symbols", "l.n_dup_lines", "l.n_lines", "w.n_repeat_words", "w.n_stutters")
 
 
 def with_metrics(measured: DataFrame) -> DataFrame:
@@ -86,6 +87,7 @@ def with_metrics(measured: DataFrame) -> DataFrame:
             "symbol_rate": per("n_symbols", "n_words", 1000),
             "dup_line_rate": per("n_dup_lines", "n_lines", 1000),
             "repeat_rate": per("n_repeat_words", "n_words", 1000),
+            "stutter_rate": per("n_stutters", "n_words", 1000),
         }
     )
 
@@ -114,7 +116,7 @@ def thresholds(measured: DataFrame, *, min_docs: int = 100, reach: int = 3, spre
     spread) beyond the quartile. Groups of fewer than min_docs documents take their language's sketch,
     and languages of fewer the sketch of all.
     """
-    spread = spread or {"word_length": 60, "symbol_rate": 40, "dup_line_rate": 60, "repeat_rate": 50}
+    spread = spread or {"word_length": 60, "symbol_rate": 40, "dup_line_rate": 160, "repeat_rate": 100, "stutter_rate": 40}
     fine = sketches(measured, ["lang", "source"])
     by_lang = fine.groupBy("lang", "metric", "bin").agg(F.sum("n").alias("n"))
     overall = by_lang.groupBy("metric", "bin").agg(F.sum("n").alias("n"))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spindle.llm.common import checkpointed, text_slices
+from spindle.llm.common import shared_folder, text_slices
 from spindle.llm.encoding import PieceEncoder
 from spindle.llm.wavelet import WaveletMatrix, build
 
@@ -96,8 +96,6 @@ def read_shards(shards: DataFrame) -> DataFrame:
 def token_output(docs: DataFrame, tokenizer: str, *, end_id: int = 2, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Writes the shards into a new folder under the session's checkpoint folder and reads them back."""
     spark = docs.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        checkpointed(spark.range(1))
-    path = f"{spark.sparkContext.getCheckpointDir()}/token-shards-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/token-shards-{uuid.uuid4().hex}"
     write_shards(docs, path, tokenizer, end_id=end_id, shard_tokens=shard_tokens)
     return read_shards(spark.read.parquet(path))

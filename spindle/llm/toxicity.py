@@ -99,7 +99,7 @@ def fit(rows: list[tuple[int, list[int]]], swaps: list[tuple[list[int], list[int
     return u * scale, bias
 
 
-def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = 40_000, min_docs: int = 3, max_candidates: int = 60_000, max_features: int = 8192, l1: float = 2.0, counterfactual: float = 1.0) -> tuple[dict[str, float], float]:
+def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = 40_000, min_docs: int = 3, max_candidates: int = 60_000, max_features: int = 8192, l1: float = 0.7, counterfactual: float = 1.0) -> tuple[dict[str, float], float]:
     """Feature weights and bias from at most about max_rows labelled documents outside the held-out fold.
 
     Rows are chosen by a hash of doc_id. Candidates are features of min_docs toxic documents or more,
