@@ -2,25 +2,59 @@
 
 from __future__ import annotations
 
+import uuid
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from spindle.llm.common import table
+from spindle.llm.common import anti_join, shared_folder, table
+from spindle.llm.decontaminate import contamination
+from spindle.llm.mixing import mix_documents
 from spindle.llm.near_dedup import near_duplicates
+from spindle.llm.token_output import token_output
+from spindle.llm.toxicity import classify
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs without the ids of gone; rows without doc_id can't be named, so they stay."""
+    return anti_join(docs, gone.select("doc_id").where("doc_id is not null").distinct(), "doc_id").select(docs.columns)
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier takes as toxic go."""
+    return _without(docs, classify(docs, table(spark, sf_dir, "labels")).where("predicted = 1"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    """Of each group of near copies, by five words and a similarity of 0.8, the smallest doc_id stays."""
+    return _without(docs, near_duplicates(docs).where("not kept"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    return _without(docs, contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as the mix takes them: repeated, in part, or not at all."""
+    return mix_documents(docs)
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token shards, and what reading them back gives for each document."""
+    return token_output(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
-STAGES = [("near_dedup", near_dedup)]
+STAGES = [("toxicity", toxicity), ("near_dedup", near_dedup), ("decontamination", decontamination), ("mixing", mixing), ("token_output", token_ids)]
 
+#: Classifier, components and token ids are beyond SQL; each stage is tested against a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """The stages over documents, each one's result written and read again by the next."""
+    folder, docs = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
