@@ -51,8 +51,8 @@ def anti_join(df: DataFrame, ids: DataFrame, on: str) -> DataFrame:
     return df.join(_sized(ids), on, "left_anti")
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The batches with null texts empty, cut so that a slice holds SLICE_BYTES of text or one row."""
+def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches with null texts empty, cut so that a slice holds most bytes of text or one row."""
     for batch in batches:
         at = batch.schema.get_field_index(column)
         text = batch.column(at).cast(pa.large_string()).fill_null("")
@@ -60,7 +60,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iter
         sizes = pa.compute.binary_length(text).to_pylist()
         start = held = 0
         for i, n in enumerate(sizes):
-            if i > start and held + n > SLICE_BYTES:
+            if i > start and held + n > most:
                 yield batch.slice(start, i - start)
                 start, held = i, 0
             held += n

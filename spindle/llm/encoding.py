@@ -9,26 +9,29 @@ from __future__ import annotations
 
 import os
 import re
+from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: White space as the tokenizer's patterns see it; str.isspace() also counts \x1c to \x1f.
 _SPACE = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 _PIECES = re.compile(rf"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
-_BEFORE_BLANK = [c + " " for c in _SPACE]
 
 
 def pieces(text: str) -> list[str]:
     """text cut where white space follows a visible character."""
-    plain = _BEFORE_BLANK[:6] if text.isascii() else _BEFORE_BLANK
-    if any(x in text for x in plain) or text[:1] == " ":
-        return _PIECES.findall(text)
-    head, *rest = text.split(" ")
-    return [head, *[" " + x for x in rest]] if head or rest else []
+    return _PIECES.findall(text)
 
 
 class PieceEncoder:
-    """Ids of texts as little-endian arrays; full: pieces that the cache may hold."""
+    """Ids of texts; full: pieces that the cache may hold.
+
+    The usual case is a text whose words one blank separates: it is cut at the blanks, and a cut piece
+    stands for itself with the blank before it. A text with other white space before a blank is cut
+    by a pattern instead.
+    """
 
     def __init__(self, path: str, full: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -40,32 +43,87 @@ class PieceEncoder:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.full, self.known = full, {}
 
-    def _encode(self, missing: list[str]) -> dict[str, bytes]:
-        out = {}
-        alone = missing
-        if self.mark is not None:
-            # one call for all: the mark, a special token, isolates its neighbours
-            alone = [x for x in missing if any(s in x for s in self.special)]
-            rest = [x for x in missing if not any(s in x for s in self.special)]
-            if rest:
-                ids = np.array(self.tokenizer.encode(self.mark.join(rest), add_special_tokens=False).ids, dtype=self.dtype)
-                ends = np.append(np.flatnonzero(ids == self.tokenizer.token_to_id(self.mark)), len(ids)).tolist()
-                body, size, start = ids.tobytes(), self.dtype.itemsize, 0
-                for x, end in zip(rest, ends, strict=True):
-                    out[x] = body[start * size : end * size]
-                    start = end + 1
-        for x, e in zip(alone, self.tokenizer.encode_batch(alone, add_special_tokens=False), strict=True):
-            out[x] = np.array(e.ids, dtype=self.dtype).tobytes()
+    def encode(self, texts: list[str]) -> dict[str, bytes]:
+        """Ids of short texts. One call serves many: a special token between them isolates each."""
+        out: dict[str, bytes] = {}
+        size = self.dtype.itemsize
+        for i in range(0, len(texts), 4096):
+            part = texts[i : i + 4096]
+            whole = "".join(part)
+            if self.mark is None or any(s in whole for s in self.special):
+                for x, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                    out[x] = np.array(e.ids, dtype=self.dtype).tobytes()
+                continue
+            ids = np.array(self.tokenizer.encode_batch_fast([self.mark.join(part)], add_special_tokens=False)[0].ids, dtype=self.dtype)
+            ends = (np.append(np.flatnonzero(ids == self.tokenizer.token_to_id(self.mark)), len(ids)) * size).tolist()
+            body, start = ids.tobytes(), 0
+            for x, end in zip(part, ends, strict=True):
+                out[x] = body[start:end]
+                start = end + size
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text. The cache takes new pieces until it is full; later ones serve one call."""
-        parts, known = [pieces(t) for t in texts], self.known
-        missing = list(set().union(*parts).difference(known))
-        found: dict[str, bytes] = {}
-        for i in range(0, len(missing), 4096):
-            found |= self._encode(missing[i : i + 4096])
+    def looked_up(self, texts: list[str]) -> list[bytes]:
+        """Ids of distinct short texts, from the cache or new; new ones are kept until it is full."""
+        known = self.known
+        found = self.encode([x for x in texts if x not in known])
         if len(known) + len(found) <= self.full:
             known |= found
-            return [b"".join([known[x] for x in p]) for p in parts]
-        return [b"".join([found[x] if x in found else known[x] for x in p]) for p in parts]
+            return [known[x] for x in texts]
+        return [found[x] if x in found else known[x] for x in texts]
+
+    def _cut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """Per piece of all texts the index of its ids in the list; per text the index of its first piece."""
+        cut = pc.split_pattern(texts, " ")
+        first = np.asarray(cut.offsets).astype(np.int64)
+        first -= first[0]
+        named = cut.flatten().dictionary_encode()
+        code, names = np.asarray(named.indices).astype(np.int64), named.dictionary.to_pylist()
+        odd = np.array([x == "" or x[-1] in _SPACE for x in names], dtype=bool)[code]
+        empty = np.array([x == "" for x in names], dtype=bool)[code]
+        odd[first[1:] - 1] = False  # nothing follows the last piece
+        odd[first[:-1]] &= ~empty[first[:-1]]  # nor does an empty first one hold white space
+        irregular = np.flatnonzero(np.logical_or.reduceat(odd, first[:-1]))
+        heads = [names[c] for c in code[first[:-1]].tolist()]
+        ids = self.looked_up([" " + x for x in names])
+        code[first[:-1]] = len(ids) + np.arange(len(heads))
+        unique = list(dict.fromkeys(heads))
+        ids += map(dict(zip(unique, self.looked_up(unique), strict=True)).__getitem__, heads)
+        if len(irregular):
+            parts, at, sizes = [], 0, np.diff(first)
+            for i in irregular.tolist():
+                own = pieces(texts[i].as_py())
+                unique = list(dict.fromkeys(own))
+                place = dict(zip(unique, range(len(ids), len(ids) + len(unique)), strict=True))
+                ids += self.looked_up(unique)
+                parts += [code[at : first[i]], np.array([place[x] for x in own], np.int64)]
+                at, sizes[i] = first[i + 1], len(own)
+            code = np.concatenate([*parts, code[at:]])
+            first = np.concatenate([[0], np.cumsum(sizes)])
+        return code, first, ids
+
+    def counts(self, texts: pa.Array) -> np.ndarray:
+        """Number of ids of each text of an array without nulls."""
+        if not len(texts):
+            return np.zeros(0, np.int64)
+        code, first, ids = self._cut(texts)
+        each = np.array([len(x) for x in ids], np.int64)[code] // self.dtype.itemsize
+        return np.add.reduceat(each, first[:-1])
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of an array without nulls, and where each text's begin, with the end of the last."""
+        if not len(texts):
+            return np.zeros(0, self.dtype), np.zeros(1, np.int64)
+        code, first, ids = self._cut(texts)
+        pool = np.frombuffer(b"".join(ids), self.dtype)
+        size = np.array([len(x) for x in ids], np.int64) // self.dtype.itemsize
+        start = np.cumsum(size) - size
+        each = size[code]
+        ends = np.cumsum(each)
+        out = pool[np.repeat(start[code] - (ends - each), each) + np.arange(ends[-1])]
+        return out, np.concatenate([[0], ends[first[1:] - 1]])
+
+
+@lru_cache(maxsize=4)
+def worker_encoder(path: str, full: int = 1_000_000) -> PieceEncoder:
+    """One encoder for all tasks that a Python worker runs, so that its cache outlives a task."""
+    return PieceEncoder(path, full)

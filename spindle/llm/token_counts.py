@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindle.llm.common import text_slices
-from spindle.llm.encoding import PieceEncoder, pieces
+from spindle.llm.encoding import PieceEncoder, pieces, worker_encoder
 
 
 def frequent_pieces(docs: DataFrame, *, sample_rows: int = 4000, per_task: int = 20_000, size: int = 50_000) -> list[str]:
@@ -48,29 +48,16 @@ def token_counts(docs: DataFrame, tokenizer: str, *, limit: int = 1024, cache: i
     strings inside a text count as the tokenizer takes them. A null text is empty and has no tokens.
     """
     docs = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    encoder = PieceEncoder(tokenizer)
-    frequent = frequent_pieces(docs, **sample)
-    width = encoder.dtype.itemsize
-    table: dict[str, int] = {}
-    for i in range(0, len(frequent), 4096):
-        table |= {x: len(b) // width for x, b in encoder._encode(frequent[i : i + 4096]).items()}
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+    # the table: frequent pre-tokens with their ids, whose number is their length
+    frequent = PieceEncoder(tokenizer).encode(frequent_pieces(docs, **sample))
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, known = PieceEncoder(tokenizer), dict(shared.value)
-        for batch in text_slices(batches):
-            parts = [pieces(t) for t in batch["text"].to_pylist()]
-            missing = list(set().union(*parts).difference(known))
-            new: dict[str, int] = {}
-            for i in range(0, len(missing), 4096):
-                new |= {x: len(b) // width for x, b in own._encode(missing[i : i + 4096]).items()}
-            if len(known) + len(new) <= cache:
-                known |= new
-                totals = [sum([known[x] for x in p]) for p in parts]
-            else:
-                totals = [sum([new[x] if x in new else known[x] for x in p]) for p in parts]
+        encoder = worker_encoder(tokenizer, cache)
+        encoder.known |= shared.value
+        for batch in text_slices(batches, most=4 << 20):
             sizes = np.asarray(pa.compute.binary_length(batch["text"].cast(pa.large_binary())), dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(sizes), pa.array(totals, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(sizes), pa.array(encoder.counts(batch["text"]))], ["doc_id", "n_bytes", "n_tokens"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     out = docs.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long")

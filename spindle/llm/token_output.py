@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spindle.llm.common import shared_folder, text_slices
-from spindle.llm.encoding import PieceEncoder
+from spindle.llm.encoding import worker_encoder
 from spindle.llm.wavelet import WaveletMatrix, build
 
 #: Tokens after which a shard ends; one document is never split.
@@ -25,30 +25,33 @@ def _writer(tokenizer: str, end_id: int, shard_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, part = PieceEncoder(tokenizer), TaskContext.get().partitionId()
+        encoder, part = worker_encoder(tokenizer), TaskContext.get().partitionId()
         planes = max(encoder.tokenizer.get_vocab_size() - 1, end_id, 1).bit_length()
-        end = np.array([end_id], encoder.dtype).tobytes()
-        width, seq = encoder.dtype.itemsize, 0
-        doc_ids: list[int] = []
-        bodies: list[bytes] = []
-        held = 0
+        doc_ids, bodies, sizes, held, seq = [], [], [], 0, 0
 
         def shard() -> pa.RecordBatch:
-            sizes = np.array([len(b) // width for b in bodies], dtype=np.int64)
-            ids = np.frombuffer(b"".join(bodies), encoder.dtype)
-            file = build(np.array(doc_ids, np.int64), np.concatenate([[0], np.cumsum(sizes)]), ids, planes)
-            columns = [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([file], pa.binary())]
+            offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+            file = build(np.concatenate(doc_ids), offsets, np.concatenate(bodies), planes)
+            columns = [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([offsets[-1]], pa.int64()), pa.array([file], pa.binary())]
             return pa.RecordBatch.from_arrays(columns, ["part", "seq", "tokens", "file"])
 
-        for batch in text_slices(batches):
-            for doc_id, body in zip(batch["doc_id"].to_pylist(), encoder.encode(batch["text"].to_pylist()), strict=True):
-                doc_ids.append(doc_id)
-                bodies.append(body + end)
-                held += len(body) // width + 1
+        for batch in text_slices(batches, most=4 << 20):
+            ids, first = encoder.ids(batch["text"])
+            ids = np.insert(ids, first[1:], end_id)
+            first = first + np.arange(len(first))
+            doc_id, low = np.asarray(batch["doc_id"]), 0
+            while low < len(doc_id):
+                high = min(int(np.searchsorted(first, first[low] + shard_tokens - held)), len(doc_id))
+                high = max(high, low + 1)
+                doc_ids.append(doc_id[low:high])
+                bodies.append(ids[first[low] : first[high]])
+                sizes.append(np.diff(first[low : high + 1]))
+                held += int(first[high] - first[low])
+                low = high
                 if held >= shard_tokens:
                     yield shard()
-                    doc_ids, bodies, held, seq = [], [], 0, seq + 1
-        if bodies:
+                    doc_ids, bodies, sizes, held, seq = [], [], [], 0, seq + 1
+        if held:
             yield shard()
 
     return run
