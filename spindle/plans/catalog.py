@@ -1,10 +1,7 @@
-"""The registered queries over the library's own operators and their SQL."""
+"""All queries over the library's own operators."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from spindle.plans import chats, code, routes, search, texts  # noqa: F401  they register their queries
+from spindle.plans.registry import QUERIES as QUERIES
+from spindle.plans.registry import SQL as SQL
