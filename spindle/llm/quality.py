@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from spindle.llm.common import checkpointed
+
 SPACES = r"[\x20\x09-\x0D]+"
 WINDOW = 8
 #: Metrics, as whole numbers: characters per 100 words, and per 1000 words or lines.
@@ -141,7 +143,7 @@ def quality_rules(docs: DataFrame, **options) -> DataFrame:
     also at least the lower one. Null and empty texts have no words and fail the base rules; null
     languages and sources are groups like others; repeated rows are judged alike.
     """
-    measured = with_metrics(measures(docs))
+    measured = checkpointed(with_metrics(measures(docs)))  # counts of words are used twice
     bounds = thresholds(measured, **options).select(F.col("lang").alias("b_lang"), F.col("source").alias("b_source"), *[f"{m}_{c}" for m in METRICS for c in ("lower", "upper")])
     # one row a group, and groups are few: a broadcast if Spark's own size check allows it
     joined = measured.join(bounds, F.col("lang").eqNullSafe(F.col("b_lang")) & F.col("source").eqNullSafe(F.col("b_source")), "left")
