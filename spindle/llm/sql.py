@@ -2,4 +2,93 @@
 
 from __future__ import annotations
 
-SQL: dict[str, str] = {}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _words(text: str, separators: str) -> str:
+    return f"list_filter(string_split_regex({text}, '{separators}'), lambda x: x <> '')"
+
+
+_SPACES, _OTHERS = r"[\x20\x09-\x0D]+", r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_FOLDED = f"translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}')"
+
+_METRICS = {"word_length": 60, "symbol_rate": 40, "dup_line_rate": 160, "repeat_rate": 100, "stutter_rate": 40}
+
+_QUALITY = rf"""
+WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, {_words("coalesce(text, '')", _SPACES)} AS ws FROM documents),
+w AS (SELECT doc_id, i, array_to_string(ws[i:i + 7], ' ') AS k FROM d, LATERAL (SELECT unnest(generate_series(1, len(ws) - 7)) AS i)),
+r AS (SELECT doc_id, i FROM w QUALIFY count(*) OVER (PARTITION BY doc_id, k) > 1),
+c AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(generate_series(i, i + 7)) AS p FROM r) GROUP BY doc_id),
+l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+m AS (SELECT d.doc_id, lang, source, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
+  (length(text) - length(translate(text, '#*$%&|<>', '')))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, len(ls) AS n_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words,
+  len(list_filter(ws, lambda x, i: i > 1 AND x = ws[greatest(i - 1, 1)])) AS n_stutters FROM d JOIN l USING (doc_id) LEFT JOIN c USING (doc_id)),
+x AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, CASE WHEN n_words > 0 THEN 100 * word_chars // n_words ELSE 0 END AS word_length,
+  CASE WHEN n_words > 0 THEN 1000 * n_symbols // n_words ELSE 0 END AS symbol_rate, CASE WHEN n_lines > 0 THEN 1000 * n_dup_lines // n_lines ELSE 0 END AS dup_line_rate,
+  CASE WHEN n_words > 0 THEN 1000 * n_repeat_words // n_words ELSE 0 END AS repeat_rate, CASE WHEN n_words > 0 THEN 1000 * n_stutters // n_words ELSE 0 END AS stutter_rate FROM m),
+e AS ({" UNION ALL ".join(f"SELECT lang, source, '{m}' AS metric, {s} AS least, {m} AS v FROM x WHERE NOT base_failed" for m, s in _METRICS.items())}),
+b AS (SELECT lang, source, metric, least, v // pow(2, greatest(length(bin(v)) - 6, 0))::BIGINT * pow(2, greatest(length(bin(v)) - 6, 0))::BIGINT AS bin, count(*) AS n FROM e GROUP BY ALL),
+q AS (SELECT lang, source, metric, least, docs, min(CASE WHEN upto >= docs * 0.25 THEN bin END) AS lo, min(CASE WHEN upto >= docs * 0.75 THEN bin END) AS hi FROM
+  (SELECT *, sum(n) OVER (PARTITION BY lang, source, metric ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY lang, source, metric) AS docs FROM b) GROUP BY ALL),
+b2 AS (SELECT lang, metric, bin, sum(n) AS n FROM b GROUP BY ALL),
+q2 AS (SELECT lang, metric, docs, min(CASE WHEN upto >= docs * 0.25 THEN bin END) AS lo, min(CASE WHEN upto >= docs * 0.75 THEN bin END) AS hi FROM
+  (SELECT *, sum(n) OVER (PARTITION BY lang, metric ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY lang, metric) AS docs FROM b2) GROUP BY ALL),
+b3 AS (SELECT metric, bin, sum(n) AS n FROM b GROUP BY ALL),
+q3 AS (SELECT metric, min(CASE WHEN upto >= docs * 0.25 THEN bin END) AS lo, min(CASE WHEN upto >= docs * 0.75 THEN bin END) AS hi FROM
+  (SELECT *, sum(n) OVER (PARTITION BY metric ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY metric) AS docs FROM b3) GROUP BY ALL),
+u AS (SELECT q.lang, source, q.metric, least, CASE WHEN q.docs >= 100 THEN q.lo WHEN q2.docs >= 100 THEN q2.lo ELSE q3.lo END AS lo, CASE WHEN q.docs >= 100 THEN q.hi WHEN q2.docs >= 100 THEN q2.hi ELSE q3.hi END AS hi
+  FROM q JOIN q2 ON q.metric = q2.metric AND q.lang IS NOT DISTINCT FROM q2.lang JOIN q3 ON q.metric = q3.metric),
+t AS (SELECT lang, source, metric, lo - 3 * greatest(hi - lo, least) AS lower, hi + 3 * greatest(hi - lo, least) AS upper FROM u),
+g AS (SELECT lang, source, max(CASE WHEN metric = 'word_length' THEN lower END) AS wl, {", ".join(f"max(CASE WHEN metric = '{m}' THEN upper END) AS u_{m}" for m in _METRICS)} FROM t GROUP BY ALL)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(word_length >= wl AND {" AND ".join(f"{m} <= u_{m}" for m in _METRICS)}, true) AS kept
+FROM x LEFT JOIN g ON x.lang IS NOT DISTINCT FROM g.lang AND x.source IS NOT DISTINCT FROM g.source"""
+
+_NEAR = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, {_words(_FOLDED, _SPACES)} AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 1], ' ') AS k FROM d, LATERAL (SELECT unnest(generate_series(1, greatest(len(ws) - 1, 1))) AS i) WHERE len(ws) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM s a JOIN s b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT u, v FROM p JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v WHERE 100 * c >= 80 * (a.n + b.n - c)),
+sym AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT x, v FROM reach JOIN sym ON u = y),
+c AS (SELECT x, min(y) AS m FROM reach GROUP BY x)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, m AS component_id, m = doc_id AS kept FROM c LEFT JOIN n ON n.doc_id = x JOIN (SELECT DISTINCT doc_id FROM d) dd ON dd.doc_id = x""".replace("SELECT doc_id, coalesce(n, 0)", "SELECT dd.doc_id, coalesce(n, 0)").replace("m = doc_id AS kept", "m = dd.doc_id AS kept")
+
+_DECONTAMINATION = rf"""
+WITH b AS (SELECT item_id, {_words(_FOLDED, _OTHERS)} AS ws FROM benchmark), d AS (SELECT doc_id, {_words(_FOLDED, _OTHERS)} AS ws FROM documents),
+win AS (SELECT DISTINCT item_id, least(len(ws), 10) AS n, array_to_string(ws[i:i + least(len(ws), 10) - 1], ' ') AS k FROM b, LATERAL (SELECT unnest(generate_series(1, greatest(len(ws) - 9, 1))) AS i) WHERE len(ws) > 0),
+lens AS (SELECT DISTINCT n FROM win),
+dw AS (SELECT doc_id, n, i, array_to_string(ws[i:i + n - 1], ' ') AS k FROM (SELECT * FROM d, lens), LATERAL (SELECT unnest(generate_series(1, len(ws) - n + 1)) AS i)),
+h AS (SELECT doc_id, i, n, item_id FROM dw JOIN win USING (n, k)),
+pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + n - 1)) AS p FROM h) GROUP BY doc_id),
+its AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(x, ',' ORDER BY x)) AS s FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS x FROM h) GROUP BY doc_id)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, coalesce(s, sha256('')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)"""
+
+
+def _number(text: str) -> str:
+    """The first eight hex digits of an md5 as a number."""
+    digits = " + ".join(f"(strpos('0123456789abcdef', substr(h, {i + 1}, 1)) - 1) * {16 ** (7 - i)}::BIGINT" for i in range(8))
+    return f"(SELECT {digits} FROM (SELECT md5({text}) AS h))"
+
+
+_MIX = rf"""
+WITH s AS (SELECT doc_id, source, len({_words("coalesce(text, '')", _SPACES)})::BIGINT AS size FROM documents),
+t AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM s GROUP BY source),
+w AS (SELECT *, list_element([5, 2, 1], (place % 3)::INT + 1) AS weight FROM t),
+v AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER o, 0))::DOUBLE / (sum(weight) OVER () - coalesce(sum(weight) OVER o, 0)) AS level
+  FROM w WINDOW o AS (ORDER BY 3.0::DOUBLE * source_size / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT *, (SELECT arg_min(level, (3.0::DOUBLE * source_size / weight, place)) FROM v WHERE level * weight <= 3 * source_size) AS line FROM v),
+g AS (SELECT *, least(coalesce(line * weight, 3 * source_size), 3 * source_size)::DOUBLE AS target, round(sum(source_size) OVER () / 16.0::DOUBLE)::BIGINT AS house, least(greatest(ceil(source_size / 16384.0), 1), 4096)::BIGINT AS shards FROM f),
+seat AS (SELECT place, count(*) AS seats FROM (SELECT place, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, place, k) AS r, house FROM g, LATERAL (SELECT unnest(generate_series(0, ceil(target / 16)::BIGINT + 20)) AS k)) WHERE r <= house GROUP BY place),
+d AS (SELECT s.*, g.place, source_size, target, md5('mix-1:' || coalesce(doc_id::VARCHAR, 'null')) AS turn, {_number("'mix-1:shard:' || coalesce(doc_id::VARCHAR, 'null')")} % shards AS shard FROM s JOIN g ON s.source IS NOT DISTINCT FROM g.source),
+h AS (SELECT place, shard, sum(size)::BIGINT AS votes, ceil(sum(size) / 16.0)::BIGINT AS blocks FROM d GROUP BY ALL),
+q AS (SELECT place, shard, count(*) AS quota FROM (SELECT h.place, shard, seats, row_number() OVER (PARTITION BY h.place ORDER BY votes::DOUBLE / (2 * k + 1) DESC, shard, k) AS r
+  FROM h JOIN seat USING (place), LATERAL (SELECT unnest(generate_series(0, blocks * 4 + 8)) AS k)) WHERE r <= seats GROUP BY ALL),
+p AS (SELECT h.place, h.shard, blocks, least(coalesce(quota, 0), 3 * blocks) // blocks AS passes, least(coalesce(quota, 0), 3 * blocks) % blocks AS extra, {_number("'mix-1:block:' || h.place || ':' || h.shard")} AS turned FROM h LEFT JOIN q USING (place, shard) WHERE blocks > 0),
+l AS (SELECT *, sum(size) OVER (PARTITION BY place, shard ORDER BY turn, doc_id, size ROWS UNBOUNDED PRECEDING)::BIGINT AS stop FROM d),
+m AS (SELECT doc_id, size, stop - size AS start, stop, blocks, extra, turned, unnest(generate_series((stop - size) // 16, (stop - 1) // 16)) AS b FROM l JOIN p USING (place, shard) WHERE size > 0),
+x AS (SELECT doc_id, sum(least((b + 1) * 16, stop) - greatest(b * 16, start)) AS more FROM m WHERE (b * 2654435761 + turned) % blocks < extra GROUP BY doc_id)
+SELECT doc_id, size, source_size, target, (coalesce(passes, 0) * size + coalesce(more, 0))::BIGINT AS taken FROM l LEFT JOIN p USING (place, shard) LEFT JOIN x USING (doc_id)"""
+
+SQL: dict[str, str] = {"op1_quality": _QUALITY, "op3_near_dedup": _NEAR, "op5_mixing": _MIX, "op8_decontamination": _DECONTAMINATION}
