@@ -87,7 +87,7 @@ def read_tree(spark: SparkSession, root: str, max_bytes: int = V.MAX_FILE_BYTES)
     ship(spark)
     spark.dataSource.register(FileTree)
     files = spark.read.format("filetree").option("maxBytes", str(max_bytes)).load(root)
-    text = F.udf(decoded, "string")
+    text = F.udf(decoded, "string", useArrow=True)
     files = classified(files, max_bytes, binary=F.col("binary"), readable=F.col("readable"))
     accepted = files.where("skip_reason is null").withColumn("text", text("content"))
     return accepted.drop("content", "binary", "readable").unionByName(files.where("skip_reason is not null").drop("content", "binary", "readable").withColumn("text", F.lit(None).cast("string")))
