@@ -1,15 +1,17 @@
 """Scoring texts with a language model whose n-gram counts lie in a log-frequency Bloom filter.
 
 A count is quantised to a level, and the n-gram is put in once for each level up to it; a query
-probes level after level until one is missing. The filter has a fixed number of bits, cut into
-segments by the n-gram's hash, so executors build it segment by segment and every worker can hold
-it. Unigrams are smoothed by adding one; a bigram of two frequent words is interpolated with them by
-absolute discounting.
+probes level after level until one is missing. The filter has eight bits or more for each level
+that is put in, and is cut into segments by the n-gram's hash. As long as a worker can hold it, it is
+built segment by segment and broadcast; beyond that the probes travel to the segments and the
+answers back, with the same bits and so the same scores. Unigrams are smoothed by adding one; all
+bigrams are interpolated with them by absolute discounting.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,14 +19,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spindle.llm import textkit
-from spindle.llm.common import checkpointed, text_slices
+from spindle.llm.common import checkpointed, shared_folder, text_slices
 
 END = np.uint64(0x0E0D0E0D0E0D0E0D)
 BASE = 1.5
 PROBES = 4
 DISCOUNT = 0.5
 _PAIR = np.uint64(0xA0761D6478BD642F)
+_KINDS, _INSIDE = np.uint64(0x8EBC6AF09C88C6E3), np.uint64(0x589965CC75374CC3)
 _LEVELS = 96
+#: Bits of a segment at most, where probes travel to segments.
+_SEGMENT_BITS = 27
 
 
 def held_out(doc_id: Column) -> Column:
@@ -41,9 +46,13 @@ LEVEL_COUNTS = np.array([0.0, 1.0, *[(BASE ** (j - 1) + BASE**j) / 2 for j in ra
 
 
 class LogFrequencyFilter:
-    def __init__(self, log_bits: int, log_segments: int):
-        self.log_segments, self.inner = log_segments, log_bits - log_segments
-        self.bits = np.zeros((1 << log_segments, 1 << (self.inner - 3)), np.uint8)
+    def __init__(self, log_bits: int, log_segments: int, single: bool = False):
+        """single: one segment alone, for codes of that segment."""
+        self.log_segments, self.inner, self.single = log_segments, log_bits - log_segments, single
+        self.bits = np.zeros((1 if single else 1 << log_segments, 1 << (self.inner - 3)), np.uint8)
+
+    def _rows(self, codes: np.ndarray) -> np.ndarray:
+        return np.zeros(len(codes), np.int64) if self.single else self.segment(codes)
 
     def segment(self, codes: np.ndarray) -> np.ndarray:
         return (codes >> np.uint64(64 - self.log_segments)).astype(np.int64)
@@ -55,7 +64,7 @@ class LogFrequencyFilter:
             yield ((a + np.uint64(k) * step) & np.uint64((1 << self.inner) - 1)).astype(np.int64)
 
     def put(self, codes: np.ndarray, levels: np.ndarray) -> None:
-        rows = self.segment(codes)
+        rows = self._rows(codes)
         for level in range(1, int(levels.max(initial=0)) + 1):
             on = levels >= level
             for at in self._places(codes[on], level):
@@ -63,7 +72,7 @@ class LogFrequencyFilter:
 
     def levels(self, codes: np.ndarray) -> np.ndarray:
         """The highest level up to which each n-gram is in, by one membership test a level."""
-        out, on, rows = np.zeros(len(codes), np.int64), np.arange(len(codes)), self.segment(codes)
+        out, on, rows = np.zeros(len(codes), np.int64), np.arange(len(codes)), self._rows(codes)
         for level in range(1, _LEVELS):
             here = np.ones(len(on), dtype=bool)
             for at in self._places(codes[on], level):
@@ -86,23 +95,27 @@ def _tokens(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, first
 
 
-def _merged(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    code, back = np.unique(np.concatenate(codes), return_inverse=True)
-    return code, np.bincount(back, np.concatenate(counts), minlength=len(code)).astype(np.int64)
+def _counted(parts: Iterator[tuple[np.ndarray, ...]], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """(codes, counts, and what goes with a code) merged by code, a few million codes at a time."""
+    found, held = [], 0
 
+    def merged() -> pa.RecordBatch:
+        codes, counts, *more = (np.concatenate(x) for x in zip(*found, strict=True))
+        code, at, back = np.unique(codes, return_index=True, return_inverse=True)
+        n = np.bincount(back, counts, minlength=len(code)).astype(np.int64)
+        return pa.RecordBatch.from_arrays([textkit.int64(code), pa.array(n), *[textkit.int64(x[at]) for x in more]], names)
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    codes, counts, held = [], [], 0
-    for batch in text_slices(batches):
-        code, n = np.unique(_tokens(batch["text"])[0], return_counts=True)
-        codes, counts, held = [*codes, code], [*counts, n], held + len(code)
+    for part in parts:
+        found, held = [*found, part], held + len(part[0])
         if held > 2_000_000:
-            code, n = _merged(codes, counts)
-            yield pa.RecordBatch.from_arrays([textkit.int64(code), pa.array(n)], ["code", "c"])
-            codes, counts, held = [], [], 0
-    if codes:
-        code, n = _merged(codes, counts)
-        yield pa.RecordBatch.from_arrays([textkit.int64(code), pa.array(n)], ["code", "c"])
+            yield merged()
+            found, held = [], 0
+    if found:
+        yield merged()
+
+
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _counted((np.unique(_tokens(b["text"])[0], return_counts=True) for b in text_slices(batches)), ["code", "c"])
 
 
 def _index(sorted_codes: np.ndarray, codes: np.ndarray) -> np.ndarray:
@@ -113,15 +126,20 @@ def _index(sorted_codes: np.ndarray, codes: np.ndarray) -> np.ndarray:
     return np.where(sorted_codes[at] == codes, at, -1)
 
 
-def language_model_scores(docs: DataFrame, *, frequent: int = 1 << 18, paired: int = 1024, log_bits: int = 27, log_segments: int = 6) -> DataFrame:
+def _pair_codes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return textkit.mix(a * _PAIR + b)
+
+
+def language_model_scores(docs: DataFrame, *, frequent: int = 1 << 18, paired: int | None = None, log_bits: int = 27, log_segments: int = 6, held_bits: int = 30) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Both scores are log10 probabilities of all words of the text and its end. base_score takes exact
     counts of words in the training rows; counts of the frequent words are broadcast, those of all
-    others are joined by the word's hash. score takes counts from the filter: of words, and of pairs
-    of the paired most frequent words. If the filter is too small for all, n-grams of the lowest
-    counts stay out of it and count as unseen. Null texts are empty and hold one end each. Without
-    training rows every word is unseen.
+    others are joined by the word's hash. score takes counts from the filter: of words, of pairs, and
+    of the kinds of words that follow each word. paired: take pairs of so many most frequent words
+    alone. The filter has 2**log_bits bits, or more if the counts need it; above 2**held_bits it is
+    not broadcast. Null texts are empty and hold one end each. Without training rows every word is
+    unseen.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -133,102 +151,180 @@ def language_model_scores(docs: DataFrame, *, frequent: int = 1 << 18, paired: i
     top_codes, top_counts = top["code"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64)
     order = np.argsort(top_codes)
     known_codes, known_counts = top_codes[order], top_counts[order]
-    pair_codes = np.sort(top_codes[:paired])
-    m = len(pair_codes)
+    pair_codes = None if paired is None else np.sort(top_codes[:paired])
 
-    def pair_index(tokens: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Which tokens follow another one of their text, with both frequent; the places of the pair."""
-        at = _index(pair_codes, tokens)
+    def following(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """The places of tokens that follow another one of their text, with both of them paired."""
         follows = np.ones(len(tokens), dtype=bool)
         follows[first[:-1]] = False
-        here = np.flatnonzero(follows)
-        here = here[(at[here] >= 0) & (at[here - 1] >= 0)]
-        return here, at[here - 1], at[here]
+        if pair_codes is not None:
+            on = _index(pair_codes, tokens) >= 0
+            follows[1:] &= on[1:] & on[:-1]
+        return np.flatnonzero(follows)
 
     def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(m * m, np.int64)
-        for batch in text_slices(batches):
-            _, a, b = pair_index(*_tokens(batch["text"]))
-            code, n = np.unique(a * m + b, return_counts=True)
-            seen[code] += n
-        at = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], ["pair", "c"])
-
-    pairs = train.mapInArrow(count_pairs, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c"))
-    pairs = checkpointed(pairs)
-    heads = pairs.groupBy(F.floor(F.col("pair") / max(m, 1)).alias("head")).agg(F.sum("c").alias("s"), F.count("*").alias("t")).toPandas()  # at most paired rows
-    inside, kinds = np.zeros(m), np.zeros(m)
-    inside[heads["head"].to_numpy(np.int64)] = heads["s"].to_numpy(float)
-    kinds[heads["head"].to_numpy(np.int64)] = heads["t"].to_numpy(float)
-
-    def pair_code(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return textkit.mix(pair_codes[a] * _PAIR + pair_codes[b])
-
-    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pair = np.asarray(batch["pair"])
-            yield pa.RecordBatch.from_arrays([textkit.int64(pair_code(pair // m, pair % m)), batch["c"]], ["code", "c"])
-
-    entries = words.union(pairs.mapInArrow(coded, "code long, c long")) if m else words
-    level = F.least(1 + F.floor(F.log(F.col("c").cast("double")) / np.log(BASE) + 1e-9), F.lit(_LEVELS - 1))
-    sizes = entries.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect()  # a row a level
-    room, cut = (1 << log_bits) // 8, 1
-    while sum(r.level * r.n for r in sizes if r.level >= cut) > room:
-        cut += 1
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, used = LogFrequencyFilter(log_bits, log_segments), set()
+        def parts() -> Iterator[tuple[np.ndarray, ...]]:
+            for batch in text_slices(batches):
+                tokens, first = _tokens(batch["text"])
+                here = following(tokens, first)
+                code, at, n = np.unique(_pair_codes(tokens[here - 1], tokens[here]), return_index=True, return_counts=True)
+                yield code, n, tokens[here - 1][at]
+
+        return _counted(parts(), ["code", "c", "head"])
+
+    log_segments = max(log_segments, (int(totals.n) >> 21).bit_length())  # some millions of pairs a partition
+    segment = lambda bits: F.shiftrightunsigned(F.col("code"), 64 - bits)
+
+    def levelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs with their levels; and, with c, how many kinds of pairs start with a word, as far as counted here."""
+        found: list[tuple[np.ndarray, ...]] = []
+
+        def heads() -> Iterator[pa.RecordBatch]:
+            for b in _counted(iter(found), ["code", "c"]):
+                yield pa.RecordBatch.from_arrays([b["code"], pa.array(np.zeros(len(b), np.int32)), b["c"]], ["code", "level", "c"])
+            found.clear()
+
         for batch in batches:
-            codes, levels = np.asarray(batch["code"]).astype(np.int64).view(np.uint64), level_of(np.asarray(batch["c"]))
-            on = levels >= cut
-            own.put(codes[on], levels[on])
-            used |= set(np.unique(own.segment(codes[on])).tolist())
-        for s in sorted(used):
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([own.bits[s].tobytes()], pa.binary())], ["segment", "bits"])
-
-    segment = F.shiftrightunsigned(F.col("code"), 64 - log_segments)
-    built = entries.repartition(1 << log_segments, segment).mapInArrow(build, "segment int, bits binary")
-    full = LogFrequencyFilter(log_bits, log_segments)
-    for row in built.toLocalIterator():
-        full.bits[row.segment] |= np.frombuffer(row.bits, np.uint8)
-    shared = spark.sparkContext.broadcast((full, known_codes, known_counts, inside, kinds))
+            head, c = np.asarray(batch["head"]).astype(np.int64).view(np.uint64), np.asarray(batch["c"])
+            yield pa.RecordBatch.from_arrays([batch["code"], pa.array(level_of(c).astype(np.int32)), pa.array(np.zeros(len(c), np.int64))], ["code", "level", "c"])
+            found.append((textkit.mix(head ^ _KINDS), np.ones(len(c), np.int64)))
+            if pair_codes is not None:  # of all pairs, as many start with a word as there are of it
+                found.append((textkit.mix(head ^ _INSIDE), c))
+            if sum(len(x) for x, _ in found) > 1_000_000:
+                yield from heads()
+        yield from heads()
+
+    folder = f"{shared_folder(spark)}/pairs-{uuid.uuid4().hex}"
+    dealt = train.mapInArrow(count_pairs, "code long, c long, head long").withColumn("segment", segment(log_segments)).repartition(1 << log_segments, "segment")
+    pairs = dealt.groupBy("segment", "code").agg(F.sum("c").alias("c"), F.first("head").alias("head")).drop("segment")
+    pairs.mapInArrow(levelled, "code long, level int, c long").write.parquet(folder)
+    pairs = spark.read.schema("code long, level int, c long").parquet(folder)
+    level = F.least(1 + F.floor(F.log(F.col("c").cast("double")) / np.log(BASE) + 1e-9), F.lit(_LEVELS - 1)).cast("int").alias("level")
+    heads = checkpointed(pairs.where("c > 0").groupBy("code").agg(F.sum("c").alias("c")).select("code", level))
+    single, pairs = words.select("code", level).union(heads), pairs.where("c = 0").select("code", "level")
+    put = single.union(pairs).agg(F.coalesce(F.sum("level"), F.lit(0)).alias("n")).first().n
+    log_bits = max(log_bits, int(8 * put - 1).bit_length() if put else 0)
+    if log_bits > held_bits:
+        log_segments = max(log_segments, log_bits - _SEGMENT_BITS)
     n_train, n_kinds = int(totals.n), int(totals.v)
     floor = np.log10(n_train + n_kinds + 1)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        key = TaskContext.get().partitionId() << 33
-        filter_, codes, counts, inside, kinds = shared.value
-        for batch in text_slices(batches):
-            tokens, first = _tokens(batch["text"])
-            rows, sizes = len(batch), np.diff(first)
-            code, back = np.unique(tokens, return_inverse=True)
-            seen = LEVEL_COUNTS[filter_.levels(code)]
-            p = ((seen + 1) / (n_train + n_kinds + 1))[back]
-            here, a, b = pair_index(tokens, first)
-            if len(here):
-                pair, pair_back = np.unique(a * m + b, return_inverse=True)
-                met = LEVEL_COUNTS[filter_.levels(pair_code(pair // m, pair % m))][pair_back]
-                head = np.maximum(np.maximum(LEVEL_COUNTS[filter_.levels(pair_codes)], inside), 1)[a]
-                rest = (head - inside[a] + DISCOUNT * kinds[a]) / head
-                mixed = np.maximum(met - DISCOUNT, 0) / head + rest * p[here]
-                p[here] = np.minimum(mixed, 1)  # quantised counts of a pair may exceed those of its word
-            model = np.add.reduceat(np.log10(p), first[:-1])
-            owner = np.repeat(np.arange(rows), sizes)
-            at = _index(codes, code)[back]
-            hit = at >= 0
-            base = np.bincount(owner[hit], np.log10(counts[at[hit]] + 1.0), minlength=rows)
-            known = np.bincount(owner[hit], minlength=rows)
-            rare = np.unique(np.stack([owner[~hit].astype(np.uint64), tokens[~hit]], axis=1), axis=0, return_counts=True) if not hit.all() else (np.zeros((0, 2), np.uint64), np.zeros(0, np.int64))
-            cuts = np.searchsorted(rare[0][:, 0].astype(np.int64), np.arange(rows + 1))
-            times = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(rare[1].astype(np.int32)))
-            columns = [pa.array(key + np.arange(rows)), batch["doc_id"], batch["held_out"], pa.array(sizes), pa.array(known), pa.array(base), pa.array(model), textkit.lists(rare[0][:, 1], cuts), times]
-            key += rows
-            yield pa.RecordBatch.from_arrays(columns, ["key", "doc_id", "held_out", "n_tokens", "known", "base", "score", "rare", "times"])
-
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = checkpointed(docs.mapInArrow(score, f"key long, doc_id {kind}, held_out boolean, n_tokens long, known long, base double, score double, rare array<long>, times array<int>"))
+    columns = ["key", "doc_id", "held_out", "n_tokens", "known", "base", "score", "rare", "times"]
+    schema = f"key long, doc_id {kind}, held_out boolean, n_tokens long, known long, base double, score double, rare array<long>, times array<int>"
+
+    def asked(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """All codes that row_scores looks up."""
+        code, here = np.unique(tokens), following(tokens, first)
+        return np.unique(np.concatenate([code, textkit.mix(code ^ _KINDS), *([] if pair_codes is None else [textkit.mix(code ^ _INSIDE)]), _pair_codes(tokens[here - 1], tokens[here])]))
+
+    def row_scores(batch: pa.RecordBatch, key: np.ndarray, levels: Callable[[np.ndarray], np.ndarray], codes: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        tokens, first = _tokens(batch["text"])
+        rows, sizes = len(batch), np.diff(first)
+        code, back = np.unique(tokens, return_inverse=True)
+        seen = LEVEL_COUNTS[levels(code)]
+        p = ((seen + 1) / (n_train + n_kinds + 1))[back]
+        here = following(tokens, first)
+        if len(here):
+            pair, pair_back = np.unique(_pair_codes(tokens[here - 1], tokens[here]), return_inverse=True)
+            met = LEVEL_COUNTS[levels(pair)][pair_back]
+            kinds = LEVEL_COUNTS[levels(textkit.mix(code ^ _KINDS))]
+            inside = seen if pair_codes is None else LEVEL_COUNTS[levels(textkit.mix(code ^ _INSIDE))]
+            head = np.maximum(np.maximum(seen, inside), 1)
+            rest = np.minimum((head - inside + DISCOUNT * kinds) / head, 1)
+            a = back[here - 1]
+            mixed = np.maximum(met - DISCOUNT, 0) / head[a] + rest[a] * p[here]
+            p[here] = np.minimum(mixed, 1)  # quantised counts of a pair may exceed those of its word
+        model = np.add.reduceat(np.log10(p), first[:-1])
+        owner = np.repeat(np.arange(rows), sizes)
+        at = _index(codes, code)[back]
+        hit = at >= 0
+        base = np.bincount(owner[hit], np.log10(counts[at[hit]] + 1.0), minlength=rows)
+        known = np.bincount(owner[hit], minlength=rows)
+        rare = np.unique(np.stack([owner[~hit].astype(np.uint64), tokens[~hit]], axis=1), axis=0, return_counts=True) if not hit.all() else (np.zeros((0, 2), np.uint64), np.zeros(0, np.int64))
+        cuts = np.searchsorted(rare[0][:, 0].astype(np.int64), np.arange(rows + 1))
+        times = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(rare[1].astype(np.int32)))
+        return pa.RecordBatch.from_arrays([pa.array(key), batch["doc_id"], batch["held_out"], pa.array(sizes), pa.array(known), pa.array(base), pa.array(model), textkit.lists(rare[0][:, 1], cuts), times], columns)
+
+    def by_broadcast() -> DataFrame:
+        def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own, used = LogFrequencyFilter(log_bits, log_segments), set()
+            for batch in batches:
+                codes = np.asarray(batch["code"]).astype(np.int64).view(np.uint64)
+                own.put(codes, np.asarray(batch["level"]))
+                used |= set(np.unique(own.segment(codes)).tolist())
+            for s in sorted(used):
+                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([own.bits[s].tobytes()], pa.binary())], ["segment", "bits"])
+
+        # the files of pairs are dealt by segment already
+        built = single.repartition(1 << log_segments, segment(log_segments)).mapInArrow(build, "segment int, bits binary").union(pairs.mapInArrow(build, "segment int, bits binary"))
+        full = LogFrequencyFilter(log_bits, log_segments)
+        for row in built.toLocalIterator():
+            full.bits[row.segment] |= np.frombuffer(row.bits, np.uint8)
+        shared = spark.sparkContext.broadcast((full, known_codes, known_counts))
+
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            from pyspark import TaskContext
+
+            key = TaskContext.get().partitionId() << 33
+            filter_, codes, counts = shared.value
+            for batch in text_slices(batches):
+                yield row_scores(batch, key + np.arange(len(batch)), filter_.levels, codes, counts)
+                key += len(batch)
+
+        return docs.mapInArrow(score, schema)
+
+    def by_segment() -> DataFrame:
+        shared = spark.sparkContext.broadcast((known_codes, known_counts))
+
+        def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            from pyspark import TaskContext
+
+            key = TaskContext.get().partitionId() << 33
+            for batch in text_slices(batches):
+                rows = len(batch)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(rows, key)), pa.array(key + np.arange(rows)), batch["doc_id"], batch["held_out"], batch["text"].cast(pa.string())], ["slice", "key", "doc_id", "held_out", "text"])
+                key += rows
+
+        def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in text_slices(batches):
+                ends = [0, *(np.flatnonzero(np.diff(np.asarray(batch["slice"]))) + 1).tolist(), len(batch)]
+                for a, b in zip(ends[:-1], ends[1:], strict=True):
+                    code = asked(*_tokens(batch["text"].slice(a, b - a)))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), batch["slice"][a].as_py())), textkit.int64(code)], ["slice", "code"])
+
+        def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Each segment's entries come before the probes that it answers."""
+            own, at = None, None
+            for batch in batches:
+                segments, code = np.asarray(batch["segment"]), np.asarray(batch["code"]).astype(np.int64).view(np.uint64)
+                level, slices = np.asarray(batch["level"]), np.asarray(batch["slice"])
+                ends = [0, *(np.flatnonzero(np.diff(segments)) + 1).tolist(), len(batch)] if len(batch) else []
+                for a, b in zip(ends[:-1], ends[1:], strict=True):
+                    if at != segments[a]:
+                        own, at = LogFrequencyFilter(log_bits, log_segments, single=True), segments[a]
+                    entry = level[a:b] > 0
+                    own.put(code[a:b][entry], level[a:b][entry])
+                    probe = code[a:b][~entry]
+                    if len(probe):
+                        yield pa.RecordBatch.from_arrays([pa.array(slices[a:b][~entry]), textkit.int64(probe), pa.array(own.levels(probe).astype(np.int32))], ["slice", "code", "level"])
+
+        def score(own: pa.Table, replies: pa.Table) -> pa.Table:
+            codes, counts = shared.value
+            asked_codes = replies["code"].to_numpy().astype(np.int64).view(np.uint64)
+            order = np.argsort(asked_codes)
+            asked_codes, found = asked_codes[order], replies["level"].to_numpy()[order]
+            look = lambda code: found[np.searchsorted(asked_codes, code)]
+            out = [row_scores(b, np.asarray(b["key"]), look, codes, counts) for b in text_slices(iter(own.combine_chunks().to_batches()))]
+            return pa.Table.from_batches(out)
+
+        cut = checkpointed(docs.mapInArrow(sliced, f"slice long, key long, doc_id {kind}, held_out boolean, text string"))
+        probes = cut.mapInArrow(ask, "slice long, code long").select("slice", "code", F.lit(0).alias("level"))
+        both = single.union(pairs).select(F.lit(0).cast("long").alias("slice"), "code", "level").union(probes).withColumn("segment", segment(log_segments))
+        both = both.repartition(1 << log_segments, "segment").sortWithinPartitions("segment", F.col("level") == 0)
+        replies = both.mapInArrow(answer, "slice long, code long, level int")
+        return cut.groupBy("slice").cogroup(replies.groupBy("slice")).applyInArrow(score, schema)
+
+    scored = checkpointed(by_segment() if log_bits > held_bits else by_broadcast())
     # words outside the broadcast table: none of them is frequent, so no key of this join is hot
     spread = scored.select("key", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("key", F.col("r.rare").alias("code"), F.col("r.times").alias("k"))
     met = spread.join(words, "code").groupBy("key").agg(F.sum(F.col("k") * F.log10(F.col("c") + 1.0)).alias("more"), F.sum("k").alias("more_known"))

@@ -362,6 +362,23 @@ def test_language_model(spark, sf, docs, odd, empty):
     assert language_model.language_model_scores(empty, log_bits=16).count() == 0
 
 
+def test_language_model_takes_all_pairs(spark, sf):
+    kind = "doc_id long, text string"
+    lines = [(2 * i, f"left{i} right{i} left{i} other{i}") for i in range(1500)] * 3
+    train = [(d, t) for d, t in lines if zlib.crc32(str(d).encode()) % 7 != 2]
+    top = max(d for d, _ in train) // 2
+    held = [i for i in range(10000, 10100) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    probes = [(held[0], f"left{top} right{top}"), (held[1], f"right{top} left{top - 1}")]
+    got = language_model.language_model_scores(spark.createDataFrame([*train, *probes], kind), log_bits=16).collect()
+    known, strange = (next(r.score for r in got if r.doc_id == i) for i in held)
+    assert known > strange + 2  # no word here is more frequent than others, and the filter has to grow
+    table = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    key = lambda r: (r.doc_id, r.n_tokens, round(r.score, 9), round(r.base_score, 6))
+    one = language_model.language_model_scores(table, log_bits=16)
+    two = language_model.language_model_scores(table, log_bits=16, held_bits=10)
+    assert sorted(map(key, one.collect())) == sorted(map(key, two.collect()))
+
+
 def test_filter_levels():
     rng = np.random.default_rng(2)
     draw = lambda: rng.integers(0, 1 << 63, 3000).astype(np.uint64) * np.uint64(2)
