@@ -462,6 +462,18 @@ def test_page_without_article():
     )
 
 
+def test_boilerplate_splits_no_text():
+    bar = "<ul class='share'>" + "".join(f"<li>share {i}" for i in range(4)) + "</ul>"
+    long = [f"<p>{'a paragraph of the article ' * 8}{i}</p>" for i in range(12)]
+    lines = ["Title", *[re.sub("<[^>]*>", "", x) for x in long], "The end."]
+    page = f"<h1>Title</h1>{bar}{''.join(long)}<aside><p>one<p>two<p>three<p>four</aside><p>The end.</p>"
+    assert html_text.main_text(f"<article>{page}</article>").split("\n") == lines
+    assert html_text.main_text(f"<div>{page}</div>").split("\n") == lines
+    menu = "".join(f"<p><a href=/>menu {i}</a></p>" for i in range(4))
+    linked = html_text.main_text(f"<div>{menu}{long[0]}<p>See <a href=/>the whole report of the year</a></p>{long[1]}{menu}</div>").split("\n")
+    assert linked == [lines[1], "See the whole report of the year", lines[2]]
+
+
 def test_broken_pages(spark):
     assert html_text.main_text("") == "" and html_text.main_text("<p") == "" and html_text.main_text("just text") == "just text"
     assert html_text.main_text("<nav><ul><li>menu<article><p>Kept &amp") == "Kept &"
