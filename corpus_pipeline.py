@@ -6,33 +6,51 @@ import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from spindle.llm.common import anti_join, shared_folder, table
+from spindle.llm.common import anti_join, checkpointed, shared_folder, table
 from spindle.llm.decontaminate import contamination
 from spindle.llm.mixing import mix_documents
 from spindle.llm.near_dedup import near_duplicates
 from spindle.llm.token_output import token_output
-from spindle.llm.toxicity import classify
+from spindle.llm.toxicity import score, train
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs without the ids of gone; rows without doc_id can't be named, so they stay."""
-    return anti_join(docs, gone.select("doc_id").where("doc_id is not null").distinct(), "doc_id").select(docs.columns)
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with a number of its own for each row in _row, written once, so that retries agree."""
+    return checkpointed(docs.withColumn("_row", F.monotonically_increasing_id()))
+
+
+def _by_row(keyed: DataFrame) -> DataFrame:
+    """What operators judge, with the row's number for doc_id: rows with no doc_id or with one doc_id are judged each."""
+    return keyed.select(F.col("_row").alias("doc_id"), "text")
+
+
+def _without(keyed: DataFrame, gone: DataFrame) -> DataFrame:
+    """keyed without the rows whose numbers are the doc_ids of gone, and without the numbers."""
+    return anti_join(keyed, gone.select(F.col("doc_id").alias("_row")), "_row").drop("_row")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier takes as toxic go."""
-    return _without(docs, classify(docs, table(spark, sf_dir, "labels")).where("predicted = 1"))
+    keyed = _keyed(docs)
+    return _without(keyed, score(_by_row(keyed), train(keyed, table(spark, sf_dir, "labels"))).where("predicted = 1"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, by five words and a similarity of 0.8, the smallest doc_id stays."""
-    return _without(docs, near_duplicates(docs).where("not kept"))
+    """Of each group of near copies, by five words and a similarity of 0.8, one row of the smallest doc_id stays."""
+    keyed = _keyed(docs)
+    judged = near_duplicates(_by_row(keyed)).select(F.col("doc_id").alias("_row"), "component_id")
+    copies = checkpointed(judged.join(judged.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1"), "component_id"))
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
+    first = copies.join(keyed.select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.min(place).alias("first"))
+    return _without(keyed, anti_join(copies, first.select("first._row"), "_row").select(F.col("_row").alias("doc_id")))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
-    return _without(docs, contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated"))
+    keyed = _keyed(docs)
+    return _without(keyed, contamination(_by_row(keyed), table(spark, sf_dir, "benchmark")).where("contaminated"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,8 +59,12 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token shards, and what reading them back gives for each document."""
-    return token_output(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    """Token shards, and what reading them back gives for each document; rows without doc_id have shards of their own."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    named, unnamed = token_output(docs, path), _keyed(docs.where("doc_id is null"))
+    if unnamed.isEmpty():
+        return named
+    return named.unionByName(token_output(_by_row(unnamed), path).withColumn("doc_id", F.lit(None).cast(named.schema["doc_id"].dataType)))
 
 
 STAGES = [("toxicity", toxicity), ("near_dedup", near_dedup), ("decontamination", decontamination), ("mixing", mixing), ("token_output", token_ids)]

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spindle.llm.common import checkpointed
+from spindle.llm.common import anti_join, checkpointed, semi_join
 
 BLOCK = 16
 SHARD_WORDS = 1 << 14
@@ -66,16 +66,19 @@ def apportion(votes: DataFrame, group: list[str], key: str) -> DataFrame:
     return known.join(won, [*group, key], "left").select(*group, key, (F.col("base") + F.coalesce("won", F.lit(0))).alias("seats"))
 
 
-def mixed(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, block: int = BLOCK, shard_words: int = SHARD_WORDS, max_shards: int = MAX_SHARDS) -> DataFrame:
+def mixed(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, block: int = BLOCK, shard_words: int = SHARD_WORDS, max_shards: int = MAX_SHARDS, key: str | None = None) -> DataFrame:
     """One row per row of docs (doc_id, text, source): doc_id, size, source_size, target, taken, passes, spans.
 
     passes: how often the mix takes the whole document; spans: runs of words [from, to) that it takes
     once more, as the block selection gives them. taken is the words of both. A null text has size 0
     and nothing is taken of it; null sources are one source, the last; rows without doc_id take part.
-    Rows that agree in doc_id and size may exchange their places. Reruns agree.
+    Rows that agree in doc_id and size may exchange their places. Reruns agree. key: a column with a
+    value of its own for each row, which the result carries; rows without doc_id, and those of one
+    doc_id, then go to shards by it.
     """
+    carried = [] if key is None else [key]
     size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(_WORD)), F.lit(0)).cast("long")
-    sized = checkpointed(docs.select(F.col("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size")))
+    sized = checkpointed(docs.select(F.col("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), *carried))
     targets = source_targets(sized.select("source", "size"), weights, cap)
     house = F.round(F.sum("source_size").over(Window.partitionBy()) / block).cast("long")
     shards = F.least(F.greatest(F.ceil(F.col("source_size") / shard_words), F.lit(1)), F.lit(max_shards)).cast("long")
@@ -86,6 +89,11 @@ def mixed(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3
     named = sources.select(F.col("source").alias("name"), "place", "source_size", "target", "shards", "seats")
     dealt = sized.join(named, F.col("source").eqNullSafe(F.col("name")))  # a row a source
     id_ = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    if key is not None:
+        own = F.concat_ws(":", id_, F.col(key).cast("string"))
+        many = checkpointed(sized.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+        once = anti_join(dealt, many, "doc_id").withColumn("_id", F.when(F.col("doc_id").isNull(), own).otherwise(id_))
+        dealt, id_ = once.unionByName(semi_join(dealt, many, "doc_id").withColumn("_id", own)), F.col("_id")
     dealt = dealt.withColumn("turn", F.md5(F.concat_ws(":", F.lit(SEED), id_).cast("binary")))
     dealt = dealt.withColumn("shard", seeded(F.lit("shard"), id_) % F.col("shards"))
     held = dealt.groupBy("place", "shard").agg(F.sum("size").alias("votes"), F.first("seats").alias("house"))
@@ -93,13 +101,13 @@ def mixed(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3
     quota = F.least("seats", cap * F.col("blocks"))
     quotas = quotas.select("place", "shard", "blocks", F.floor(quota / F.col("blocks")).alias("passes"), (quota % F.col("blocks")).alias("extra"))
 
-    laid = Window.partitionBy("place", "shard").orderBy("turn", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    laid = Window.partitionBy("place", "shard").orderBy("turn", "doc_id", "size", *carried).rowsBetween(Window.unboundedPreceding, 0)
     placed = dealt.withColumn("end", F.sum("size").over(laid)).join(quotas, ["place", "shard"], "left")
     placed = placed.withColumns({"begin": F.col("end") - F.col("size"), "turned": seeded(F.lit("block"), F.col("place").cast("string"), F.col("shard").cast("string"))})
     numbers = F.when((F.col("size") > 0) & (F.col("extra") > 0), F.sequence(F.floor(F.col("begin") / block), F.floor((F.col("end") - 1) / block)))
     chosen = F.filter(F.coalesce(numbers, F.array().cast("array<bigint>")), lambda b: (b * F.lit(_STRIDE) + F.col("turned")) % F.col("blocks") < F.col("extra"))
     span = lambda b: F.struct((F.greatest(b * block, F.col("begin")) - F.col("begin")).alias("from"), (F.least((b + 1) * block, F.col("end")) - F.col("begin")).alias("to"))
-    out = placed.select("doc_id", "size", "source_size", "target", F.when(F.col("size") > 0, F.coalesce("passes", F.lit(0))).otherwise(0).alias("passes"), F.transform(chosen, span).alias("spans"))
+    out = placed.select(*carried, "doc_id", "size", "source_size", "target", F.when(F.col("size") > 0, F.coalesce("passes", F.lit(0))).otherwise(0).alias("passes"), F.transform(chosen, span).alias("spans"))
     more = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["to"] - s["from"])
     return out.withColumn("taken", F.col("passes") * F.col("size") + more)
 
@@ -108,10 +116,11 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """docs as the mix takes them, with their own columns: whole texts repeated, then the text of the spans.
 
     Pieces keep the white space that follows each word. A column n_chars is counted anew for pieces.
-    Rows need distinct doc_ids here; of several rows with one doc_id each takes the parts of each.
+    Each row takes its own parts, whether others have its doc_id or it has none.
     """
-    plan = mixed(docs, **options).where("taken > 0").select(F.col("doc_id").alias("_id"), "passes", "spans")
-    joined = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("_id")))
+    keyed = checkpointed(docs.withColumn("_row", F.monotonically_increasing_id()))
+    plan = mixed(keyed, key="_row", **options).where("taken > 0").select("_row", "passes", "spans")
+    joined = keyed.join(plan, "_row")
     whole = joined.where("passes > 0").withColumn("_pass", F.explode(F.sequence(F.lit(1), F.col("passes").cast("int"))))
     units = F.regexp_extract_all("text", F.lit(_WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
     cut = F.transform(F.array(units), lambda u: F.array_join(F.transform("spans", lambda s: F.array_join(F.slice(u, s["from"].cast("int") + 1, (s["to"] - s["from"]).cast("int")), "")), ""))[0]

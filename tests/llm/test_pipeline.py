@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spindle.llm.decontaminate import contamination
 from spindle.llm.near_dedup import near_duplicates
-from spindle.llm.toxicity import classify
+from spindle.llm.toxicity import classify, score, train
 
 
 def test_stages(spark, sf, tmp_path):
@@ -41,3 +41,26 @@ def test_empty_and_odd_input(spark, sf):
     for docs in (odd, odd.limit(0)):
         for _, stage in P.STAGES:
             stage(spark, docs, sf).collect()
+
+
+def test_rows_without_ids_and_of_one_id(spark, sf, tmp_path):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    ids = F.when(F.col("doc_id") % 3 == 1, F.lit(None)).when(F.col("doc_id") % 3 == 2, F.lit(7)).otherwise(F.col("doc_id"))
+    plain, odd = docs, docs.withColumn("doc_id", ids.cast(docs.schema["doc_id"].dataType))
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    for name, stage in P.STAGES[:3]:
+        if name == "toxicity":
+            gone = {r.doc_id for r in score(docs.select("doc_id", "text"), train(odd, labels)).where("predicted = 1").collect()}
+            want = [r.text for r in docs.collect() if r.doc_id not in gone]
+        else:
+            want = [r.text for r in stage(spark, plain, sf).collect()]
+        got = [r.text for r in stage(spark, odd, sf).collect()]
+        assert len(got) == len(want) < docs.count() or name == "toxicity" and len(got) == len(want)
+        if name != "near_dedup":  # there, another copy may stay
+            assert sorted(map(str, got)) == sorted(map(str, want))
+    P.mixing(spark, odd, sf).write.parquet(f"{tmp_path}/mixed")
+    mixed = spark.read.parquet(f"{tmp_path}/mixed")
+    size = lambda d: d.select(F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")))).first()[0]
+    assert abs(size(mixed) - size(docs)) < 0.01 * size(docs)
+    out = P.token_ids(spark, mixed, sf)
+    assert out.count() == mixed.count() and out.where("doc_id is null").count() == mixed.where("doc_id is null").count() > 0
