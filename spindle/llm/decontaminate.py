@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindle.llm import textkit
-from spindle.llm.common import checkpointed, text_slices
+from spindle.llm.common import checkpointed, hash_filter, text_slices
 
 _ONE = np.uint64(0x2545F4914F6CDD1D)  # tells one-word shingles from longer ones
 
@@ -32,26 +32,6 @@ def _word_strings(found: textkit.Words, low: int, high: int) -> list[str]:
     return [cut(a, b).decode("utf-8", "replace") for a, b in zip(found.start[low:high].tolist(), found.end[low:high].tolist(), strict=True)]
 
 
-class _Filter:
-    """A fixed number of bits that tells most hashes that aren't in it."""
-
-    def __init__(self, hashes: np.ndarray, log_bits: int):
-        self.shift = np.uint64(64 - log_bits)
-        self.bits = np.zeros(1 << (log_bits - 3), np.uint8)
-        for at in self._places(hashes):
-            np.bitwise_or.at(self.bits, at >> np.uint64(3), (1 << (at & np.uint64(7))).astype(np.uint8))
-
-    def _places(self, hashes: np.ndarray):
-        yield hashes >> self.shift
-        yield (hashes * np.uint64(0x9E3779B97F4A7C15)) >> self.shift
-
-    def holds(self, hashes: np.ndarray) -> np.ndarray:
-        out = np.ones(len(hashes), dtype=bool)
-        for at in self._places(hashes):
-            out &= (self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
-        return out
-
-
 def _windows(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
@@ -72,21 +52,6 @@ def _windows(size: int):
     return run
 
 
-def _filter_of(hashes: DataFrame, column: str, log_bits: int) -> _Filter:
-    """Built from distinct hashes by the executors; the driver gets its bytes, whose number is fixed."""
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = _Filter(np.zeros(0, np.uint64), log_bits)
-        for batch in batches:
-            bits.bits |= _Filter(np.asarray(batch.column(0)).astype(np.int64).view(np.uint64), log_bits).bits
-        used = np.flatnonzero(bits.bits)
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int64)), pa.array(bits.bits[used].astype(np.int64))], ["at", "bits"])
-
-    rows = hashes.select(column).mapInArrow(build, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()
-    out = _Filter(np.zeros(0, np.uint64), log_bits)
-    out.bits[rows["at"].to_numpy(dtype=np.int64)] = rows["bits"].to_numpy(dtype=np.int64).astype(np.uint8)
-    return out
-
-
 def contamination(docs: DataFrame, benchmark: DataFrame, *, size: int = 10, log_bits: int = 23) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
@@ -103,7 +68,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, size: int = 10, log_
     windows = checkpointed(items.mapInArrow(_windows(size), f"item_id {item_kind}, words array<string>, codes array<long>"))
     each = windows.select(F.explode("codes").alias("code")).distinct()
     context = docs.sparkSession.sparkContext
-    known = context.broadcast(_filter_of(each, "code", log_bits))
+    known = context.broadcast(hash_filter(each, "code", log_bits))
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
@@ -117,7 +82,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, size: int = 10, log_
     placed = windows.select("item_id", "words", F.posexplode("codes").alias("offset", "code")).join(counts, "code")
     rarest = placed.groupBy("item_id", "words").agg(F.min(F.struct("n", "code", "offset")).alias("p"))
     index = checkpointed(rarest.select("item_id", "words", F.col("p.code").alias("code"), F.col("p.offset").alias("offset")))
-    prefix = context.broadcast(_filter_of(index.select("code").distinct(), "code", log_bits))
+    prefix = context.broadcast(hash_filter(index.select("code").distinct(), "code", log_bits))
 
     def offers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):

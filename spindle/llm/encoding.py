@@ -26,14 +26,14 @@ def pieces(text: str) -> list[str]:
 
 
 class PieceEncoder:
-    """Ids of texts; full: pieces that the cache may hold.
+    """Ids of texts; full: bytes that the cache may hold, with about 150 for each piece beside its own.
 
     The usual case is a text whose words one blank separates: it is cut at the blanks, and a cut piece
     stands for itself with the blank before it. A text with other white space before a blank is cut
     by a pattern instead.
     """
 
-    def __init__(self, path: str, full: int = 1_000_000):
+    def __init__(self, path: str, full: int = 48 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -41,7 +41,7 @@ class PieceEncoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.mark = self.special[0] if self.special else None
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.full, self.known = full, {}
+        self.full, self.known, self.held = full, {}, 0
 
     def encode(self, texts: list[str]) -> dict[str, bytes]:
         """Ids of short texts. One call serves many: a special token between them isolates each."""
@@ -66,8 +66,10 @@ class PieceEncoder:
         """Ids of distinct short texts, from the cache or new; new ones are kept until it is full."""
         known = self.known
         found = self.encode([x for x in texts if x not in known])
-        if len(known) + len(found) <= self.full:
+        size = sum(150 + 2 * len(x) + len(y) for x, y in found.items())
+        if self.held + size <= self.full:
             known |= found
+            self.held += size
             return [known[x] for x in texts]
         return [found[x] if x in found else known[x] for x in texts]
 
@@ -124,6 +126,6 @@ class PieceEncoder:
 
 
 @lru_cache(maxsize=4)
-def worker_encoder(path: str, full: int = 1_000_000) -> PieceEncoder:
+def worker_encoder(path: str, full: int = 48 << 20) -> PieceEncoder:
     """One encoder for all tasks that a Python worker runs, so that its cache outlives a task."""
     return PieceEncoder(path, full)

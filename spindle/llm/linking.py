@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindle.llm.common import checkpointed
+from spindle.llm.common import checkpointed, list_slices
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -44,45 +44,77 @@ def components(edges: DataFrame) -> DataFrame:
     return stars.union(edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u, v) whose sets have 100 * intersection >= percent * union. sets: (node, items)."""
-    left = sets.select(F.col("node").alias("u"), F.col("items").alias("a"))
+def verified(pairs: DataFrame, sets: DataFrame, percent: int, most: int = 500) -> DataFrame:
+    """Pairs (u, v) whose sets have 100 * intersection >= percent * union. sets: (node, items).
+
+    The pairs of one u are dealt to parts of about most pairs each, so that no task has all of a hub's.
+    """
+    degrees = pairs.groupBy("u").agg(F.ceil(F.count("*") / most).cast("int").alias("parts"))
+    dealt = pairs.join(degrees, "u").select("u", "v", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int").alias("part"))
+    left = sets.select(F.col("node").alias("u"), F.col("items").alias("a")).join(degrees, "u")
+    left = left.select("u", "a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     right = sets.select(F.col("node").alias("v"), F.col("items").alias("b"))
-    both = pairs.join(left, "u").join(right, "v")
+    both = dealt.join(left, ["u", "part"]).join(right, "v")
     common = F.size(F.array_intersect("a", "b"))
     return both.where(100 * common >= percent * (F.size("a") + F.size("b") - common)).select("u", "v")
 
 
-def link(items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+def link(items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, tries: int = 4) -> DataFrame:
     """(node, comp) for the nodes that are linked with another one.
 
     items: (node, n, keys): set size and the table keys of its minhashes. sets_of(nodes) gives
-    (node, items) for distinct nodes. In each bucket, that is for each key, all members are compared
-    with the smallest one, so a bucket of any size makes as many pairs as it has members. The links
-    found give components. Then the rest, exactly: where a bucket still holds several components, a
-    link may be left between a member outside its largest one and a member of another component.
-    Such members and all others of these buckets are compared if they share an item of their
-    prefixes and if counts of their items by hash allow the overlap; most near copies that differ
-    too much fail one of the two, and both are bounds that no linked pair fails.
+    (node, items) for distinct nodes. The members of each bucket, that is of each key, are compared
+    with one of them: the one that meets most others in all its buckets, as the original of many
+    copies does. Components follow. Members outside their bucket's largest component are then
+    compared with some members of it, tries different ones for all keys together. So far a bucket of
+    any size makes a few pairs a member. Then the rest, exactly: where a bucket still holds several
+    components, a link may be left between a member outside its largest one and a member of another
+    component. Such members and all others of these buckets are compared if they share an item of
+    their prefixes and if counts of their items by hash allow the overlap; most near copies that
+    differ too much fail one of the two, and both are bounds that no linked pair fails.
     """
     keyed = items.select("node", "n", F.explode("keys").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.count("*").alias("members"), F.min(F.struct("node", "n")).alias("first")).where("members > 1")
-    members = checkpointed(keyed.join(buckets.select("key", "first"), "key"))
+    buckets = keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    members = checkpointed(keyed.join(buckets, "key"))
+    weights = members.groupBy("node").agg(F.sum("members").alias("weight"))
+    members = members.join(weights, "node").select("key", "node", "n", "weight")
 
     def near(a: str, b: str):  # sizes that allow the similarity
         return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & (F.col(a) >= 0)
 
-    pairs = members.where(F.col("node") != F.col("first.node")).withColumn("m", F.col("first.n")).where(near("n", "m"))
-    pairs = checkpointed(pairs.select(F.col("first.node").alias("u"), F.col("node").alias("v")).distinct())
-    nodes = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-    edges = checkpointed(verified(pairs, sets_of(nodes), percent))
+    def against(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+        """Pairs of rows with the member that chosen (key, hub) names for their key."""
+        pairs = rows.join(chosen, "key").where(F.col("node") != F.col("hub.node")).withColumn("m", F.col("hub.n")).where(near("n", "m"))
+        return pairs.select(F.col("hub.node").alias("u"), F.col("node").alias("v")).distinct()
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        nodes = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+        return checkpointed(verified(pairs, sets_of(nodes), percent))
+
+    def mixed(labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Members with their components, and the buckets of several with the largest of these."""
+        labelled = checkpointed(members.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
+        sizes = labelled.groupBy("key", "comp").agg(F.count("*").alias("c"), F.min("n").alias("n"))
+        largest = F.max_by("comp", F.struct("c", "comp")).alias("major")
+        return labelled, sizes.groupBy("key").agg(largest, F.count("*").alias("comps"), F.min("n").alias("least")).where("comps > 1")
+
+    heaviest = members.groupBy("key").agg(F.max_by(F.struct("node", "n"), F.struct("weight", "node")).alias("hub"))
+    pairs = checkpointed(against(members, heaviest))
+    edges = confirmed(pairs)
     labels = components(edges)
 
-    labelled = members.select("key", "node", "n").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    labelled = checkpointed(labelled)
-    sizes = labelled.groupBy("key", "comp").agg(F.count("*").alias("c"), F.min("n").alias("n"))
-    mixed = sizes.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("major"), F.count("*").alias("comps"), F.min("n").alias("least")).where("comps > 1")
-    inside = labelled.join(mixed.select("key", "major", "least"), "key")
+    labelled, several = mixed(labels)
+    inside = labelled.join(several.select("key", "major"), "key")
+    turn = F.xxhash64("node", F.pmod(F.xxhash64("key"), F.lit(tries)))
+    chosen = inside.where("comp = major").groupBy("key").agg(F.min_by(F.struct("node", "n"), turn).alias("hub"))
+    again = against(inside.where("comp <> major").select("key", "node", "n"), chosen)
+    again = checkpointed(again.join(pairs, ["u", "v"], "left_anti"))
+    if not again.isEmpty():
+        edges, pairs = checkpointed(edges.union(confirmed(again))), pairs.union(again)
+        labels = components(edges)
+        labelled, several = mixed(labels)
+
+    inside = labelled.join(several.select("key", "major", "least"), "key")
     left = inside.groupBy("node").agg(F.first("comp").alias("comp"), F.max((F.col("comp") != F.col("major")).cast("int")).alias("minor"), F.first("n").alias("n"), F.min("least").alias("least"))
     left = checkpointed(left)
     if left.isEmpty():
@@ -96,9 +128,7 @@ def link(items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: i
     rest = checkpointed(rest.join(tried, ["u", "v"], "left_anti"))
     if rest.isEmpty():
         return labels
-    nodes = rest.select(F.col("u").alias("node")).union(rest.select("v")).distinct()
-    more = verified(rest, sets_of(nodes), percent)
-    return components(edges.union(more))
+    return components(edges.union(confirmed(rest)))
 
 
 _SPREAD = 256
@@ -106,7 +136,7 @@ _SPREAD = 256
 
 def _spreads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds to sets how many items fall to each of 256 hash values; sets too large for that get no bound."""
-    for batch in batches:
+    for batch in list_slices(batches, "items"):
         items = batch["items"]
         at = np.asarray(items.offsets) - items.offsets[0].as_py()
         place = (np.asarray(items.flatten()) & (_SPREAD - 1)) + _SPREAD * np.repeat(np.arange(len(batch)), np.diff(at))

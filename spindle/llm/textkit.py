@@ -122,6 +122,54 @@ def shingle_sets(found: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     return distinct_sets(codes, first)
 
 
+def lines(found: Words) -> tuple[np.ndarray, np.ndarray]:
+    """First and end word of each line that has words; a text's end ends a line."""
+    if not len(found.hash):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    text = np.searchsorted(found.first, np.arange(len(found.hash)), "right")
+    line = np.searchsorted(np.flatnonzero(found.data == 10), found.start) + text
+    cuts = np.flatnonzero(np.diff(line)) + 1
+    return np.concatenate([[0], cuts]), np.concatenate([cuts, [len(line)]])
+
+
+def anchors(found: Words, gram: int, reach: int) -> np.ndarray:
+    """Words where the hash of gram words is the least of its text within reach words to both sides.
+
+    Equal passages have equal anchors, but for those that lie within reach of a passage's ends.
+    """
+    codes, first = found.windows(gram)
+    owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    least = np.ones(len(codes), dtype=bool)
+    for d in range(1, min(reach, len(codes) - 1) + 1):
+        apart = owner[d:] != owner[:-d]
+        lower = codes[:-d] <= codes[d:]
+        least[:-d] &= lower | apart
+        least[d:] &= ~lower | apart
+    at = np.flatnonzero(least)
+    return at - first[owner[at]] + found.first[owner[at]]
+
+
+def run_codes(found: Words, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each run of words."""
+    power, inverse = _power_tables(len(found.hash) + 1)
+    sums = np.zeros(len(found.hash) + 1, dtype=np.uint64)
+    np.cumsum(mix(found.hash) * power[: len(found.hash)], out=sums[1:])
+    return mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64))
+
+
+def run_minhashes(codes: np.ndarray, start: np.ndarray, end: np.ndarray, count: int) -> np.ndarray:
+    """count minima over codes[start:end] of each run, one row a run; runs are not empty but may overlap."""
+    out = np.zeros((len(start), count), dtype=np.uint64)
+    if len(start):
+        salts = mix(np.arange(1, 2 * count + 1, dtype=np.uint64))
+        ends = np.stack([start, end], axis=1).ravel()
+        turned = np.zeros(len(codes) + 1, dtype=np.uint64)
+        for j in range(count):
+            np.multiply(codes ^ salts[2 * j], salts[2 * j + 1] | np.uint64(1), out=turned[:-1])
+            out[:, j] = np.minimum.reduceat(turned, ends)[::2]
+    return out
+
+
 def sums_by_set(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Sums modulo 2**64 of the values of each set; 0 for an empty one."""
     total = np.zeros(len(values) + 1, dtype=np.uint64)

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,7 +57,7 @@ def token_counts(docs: DataFrame, tokenizer: str, *, limit: int = 1024, cache: i
         encoder = worker_encoder(tokenizer, cache)
         encoder.known |= shared.value
         for batch in text_slices(batches, most=4 << 20):
-            sizes = np.asarray(pa.compute.binary_length(batch["text"].cast(pa.large_binary())), dtype=np.int64)
+            sizes = np.asarray(pc.binary_length(batch["text"].cast(pa.large_binary())), dtype=np.int64)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(sizes), pa.array(encoder.counts(batch["text"]))], ["doc_id", "n_bytes", "n_tokens"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()

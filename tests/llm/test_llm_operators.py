@@ -133,14 +133,46 @@ def test_residual_links_are_found(spark):
 # repeated paragraphs -----------------------------------------------------------------------------
 
 
+def plain_blocks(w: list, cut: paragraph_dedup.Cut) -> list[int]:
+    """Starts of the blocks of 24 words, each position looked at on its own."""
+    found = textkit.words(pa.array([" ".join(w)], pa.large_string()))
+    code = [int(x) for x in found.windows(3)[0]]
+    out = []
+    for i, x in enumerate(code):
+        before, after = code[max(0, i - cut.reach) : i], code[i + 1 : i + 1 + cut.reach]
+        if all(x < y for y in before) and all(x <= y for y in after) and i + cut.block_words <= len(w):
+            out.append(i)
+    return out
+
+
 def test_repeated_paragraphs_equal_brute_force(spark, sf, docs):
-    lines = {(d, i): words(x) for d, r in docs.items() for i, x in enumerate((r.text or "").split("\n"))}
-    sets = {k: shingles(w, 5) for k, w in lines.items() if len(w) >= 20}
-    comp = brute_components(sets, 80)
-    size = Counter(comp.values())
-    want = {(*k, comp[k][0], size[comp[k]], comp[k] == k) for k in sets if size[comp[k]] > 1}
-    got = {(r.doc_id, r.line, r.component_id, r.copies, r.kept) for r in QUERIES["op4_paragraph_dedup"](spark, sf).collect()}
-    assert got == want
+    cut, want = paragraph_dedup.Cut(), set()
+    lines, blocks = {}, {}
+    for d, r in docs.items():
+        at = 0
+        for x in (r.text or "").split("\n"):
+            w = words(x)
+            if len(w) >= 20:
+                lines[d, at] = w
+            at += len(w)
+        w = words(r.text)
+        blocks |= {(d, i): w[i : i + 24] for i in plain_blocks(w, cut)}
+    for units, block in ((lines, False), (blocks, True)):
+        sets = {k: shingles(w, 5) for k, w in units.items()}
+        holders = defaultdict(set)
+        for k, own in sets.items():
+            for x in own:
+                holders[x].add(k)
+        shared = {k: own for k, own in sets.items() if any(len(holders[x]) > 1 for x in own)}
+        groups = defaultdict(list)
+        for k, c in brute_components(shared, 80).items():
+            groups[c].append(k)
+        for c, own in groups.items():
+            (d, i), (e, j) = min(own), max(own)
+            if len(own) > 1 and (d != e or i + len(units[d, i]) <= j):
+                want |= {(*k, len(units[k]), block, c[0], len(own), k == c) for k in own}
+    got = {(r.doc_id, r.start, r.n_words, r.block, r.component_id, r.copies, r.kept) for r in QUERIES["op4_paragraph_dedup"](spark, sf).collect()}
+    assert len(got ^ want) <= 0.005 * len(want)  # blocks that differ at their ends meet in one of four bands, most of the time
 
 
 def test_planted_passages(spark, odd, empty):
@@ -148,12 +180,35 @@ def test_planted_passages(spark, odd, empty):
     near = passage.replace("p30", "other")
     rows = [(1, f"own text one\n{passage}\nend"), (2, f"{near}\nanother"), (3, "clean " * 30), (4, f"a\n{passage}")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {(r.doc_id, r.line, r.component_id, r.kept) for r in paragraph_dedup.repeated_paragraphs(df).collect()}
-    assert got == {(1, 1, 1, True), (2, 0, 1, False), (4, 1, 1, False)}
+    got = {(r.doc_id, r.start, r.component_id, r.kept) for r in paragraph_dedup.repeated_paragraphs(df).where("not block").collect()}
+    assert got == {(1, 3, 1, True), (2, 0, 1, False), (4, 1, 1, False)}
     cut = {r.doc_id: r.text for r in paragraph_dedup.remove_repeated(df).collect()}
-    assert cut == {1: rows[0][1], 2: "another", 3: rows[2][1], 4: "a"}
+    assert cut == {1: rows[0][1], 2: "another", 3: rows[2][1], 4: "a\n"}
     assert paragraph_dedup.repeated_paragraphs(odd).count() == 0
     assert paragraph_dedup.repeated_paragraphs(empty).count() == 0
+    assert paragraph_dedup.remove_repeated(odd).columns == odd.columns and paragraph_dedup.remove_repeated(odd).count() == odd.count()
+
+
+def test_passages_inside_longer_lines(spark):
+    """Passages of 52 words and more, in the middle of long lines, over line ends, and in rows of one id or none."""
+    rng = random.Random(11)
+    fresh = lambda n: [f"v{rng.randrange(10**9)}" for _ in range(n)]
+    rows, planted = [], set()
+    for i in range(100):
+        passage = fresh(52 + i % 40)
+        for j in range(2):
+            w = [*fresh(rng.randrange(40, 90)), *passage, *fresh(rng.randrange(40, 90))]
+            text = " ".join(w) if (i + j) % 2 else "\n".join(" ".join(w[k : k + 10]) for k in range(0, len(w), 10))
+            rows.append((2 * i + j, text))
+            planted.add(2 * i + j)
+    rows += [(1000 + i, " ".join(fresh(150))) for i in range(100)]
+    found = {r.doc_id for r in paragraph_dedup.repeated_paragraphs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found <= planted and len(found) >= 0.95 * len(planted)
+    text = " ".join(fresh(60))
+    twice = spark.createDataFrame([(None, text, "k"), (None, text, "k"), (5, text, "k"), (5, text, "k")], "doc_id long, text string, th string")
+    lines = paragraph_dedup.repeated_paragraphs(twice).where("not block").collect()
+    assert [(r.copies, r.component_id) for r in lines] == [(4, 5)] * 4 and sum(r.kept for r in lines) == 1
+    assert sorted(map(tuple, paragraph_dedup.remove_repeated(twice).collect()), key=str) == sorted([(None, "", "k"), (None, "", "k"), (5, "", "k"), (5, text, "k")], key=str)
 
 
 # tokens ------------------------------------------------------------------------------------------
