@@ -46,7 +46,7 @@ def _sized(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if few else ids
 
 
-def semi_join(df: DataFrame, ids: DataFrame, on: str) -> DataFrame:
+def semi_join(df: DataFrame, ids: DataFrame, on: str | list[str]) -> DataFrame:
     """Rows of df whose key is in ids (distinct); ids are broadcast only when few."""
     return df.join(_sized(ids), on, "left_semi")
 

@@ -59,7 +59,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int, most: int = 500) -
     return both.where(100 * common >= percent * (F.size("a") + F.size("b") - common)).select("u", "v")
 
 
-def link(items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, tries: int = 4) -> DataFrame:
+def link(items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, tries: int = 4, gap: int = 0) -> DataFrame:
     """(node, comp) for the nodes that are linked with another one.
 
     items: (node, n, keys): set size and the table keys of its minhashes. sets_of(nodes) gives
@@ -72,19 +72,25 @@ def link(items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: i
     component. Such members and all others of these buckets are compared if they share an item of
     their prefixes and if counts of their items by hash allow the overlap; most near copies that
     differ too much fail one of the two, and both are bounds that no linked pair fails.
+
+    gap: items also have home and place; nodes of one home and of places nearer than gap overlap and
+    are known not to be linked.
     """
-    keyed = items.select("node", "n", F.explode("keys").alias("key"))
+    traits = ["node", "n", *(["home", "place"] if gap else [])]
+    keyed = items.select(*traits, F.explode("keys").alias("key"))
     buckets = keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     members = checkpointed(keyed.join(buckets, "key"))
     weights = members.groupBy("node").agg(F.sum("members").alias("weight"))
-    members = members.join(weights, "node").select("key", "node", "n", "weight")
+    members = members.join(weights, "node").select("key", *traits, "weight")
 
-    def near(a: str, b: str):  # sizes that allow the similarity
-        return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & (F.col(a) >= 0)
+    def near(other: str):
+        """Sizes that allow the similarity, and no overlap by place."""
+        sizes = (100 * F.least("n", f"{other}.n") >= percent * F.greatest("n", f"{other}.n")) & (F.col("node") != F.col(f"{other}.node"))
+        return sizes & ((F.col("home") != F.col(f"{other}.home")) | (F.abs(F.col("place") - F.col(f"{other}.place")) >= gap)) if gap else sizes
 
     def against(rows: DataFrame, chosen: DataFrame) -> DataFrame:
         """Pairs of rows with the member that chosen (key, hub) names for their key."""
-        pairs = rows.join(chosen, "key").where(F.col("node") != F.col("hub.node")).withColumn("m", F.col("hub.n")).where(near("n", "m"))
+        pairs = rows.join(chosen, "key").where(near("hub"))
         return pairs.select(F.col("hub.node").alias("u"), F.col("node").alias("v")).distinct()
 
     def confirmed(pairs: DataFrame) -> DataFrame:
@@ -98,7 +104,7 @@ def link(items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: i
         largest = F.max_by("comp", F.struct("c", "comp")).alias("major")
         return labelled, sizes.groupBy("key").agg(largest, F.count("*").alias("comps"), F.min("n").alias("least")).where("comps > 1")
 
-    heaviest = members.groupBy("key").agg(F.max_by(F.struct("node", "n"), F.struct("weight", "node")).alias("hub"))
+    heaviest = members.groupBy("key").agg(F.max_by(F.struct(*traits), F.struct("weight", "node")).alias("hub"))
     pairs = checkpointed(against(members, heaviest))
     edges = confirmed(pairs)
     labels = components(edges)
@@ -106,8 +112,8 @@ def link(items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: i
     labelled, several = mixed(labels)
     inside = labelled.join(several.select("key", "major"), "key")
     turn = F.xxhash64("node", F.pmod(F.xxhash64("key"), F.lit(tries)))
-    chosen = inside.where("comp = major").groupBy("key").agg(F.min_by(F.struct("node", "n"), turn).alias("hub"))
-    again = against(inside.where("comp <> major").select("key", "node", "n"), chosen)
+    chosen = inside.where("comp = major").groupBy("key").agg(F.min_by(F.struct(*traits), turn).alias("hub"))
+    again = against(inside.where("comp <> major").select("key", *traits), chosen)
     again = checkpointed(again.join(pairs, ["u", "v"], "left_anti"))
     if not again.isEmpty():
         edges, pairs = checkpointed(edges.union(confirmed(again))), pairs.union(again)
@@ -115,15 +121,15 @@ def link(items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: i
         labelled, several = mixed(labels)
 
     inside = labelled.join(several.select("key", "major", "least"), "key")
-    left = inside.groupBy("node").agg(F.first("comp").alias("comp"), F.max((F.col("comp") != F.col("major")).cast("int")).alias("minor"), F.first("n").alias("n"), F.min("least").alias("least"))
+    left = inside.groupBy("node").agg(F.first("comp").alias("comp"), F.max((F.col("comp") != F.col("major")).cast("int")).alias("minor"), *[F.first(c).alias(c) for c in traits[1:]], F.min("least").alias("least"))
     left = checkpointed(left)
     if left.isEmpty():
         return labels
     prefixes = checkpointed(_prefixes(left, sets_of(left.select("node")), percent))
-    minor = prefixes.where("minor = 1").select("item", F.col("node").alias("x"), F.col("n").alias("xn"), F.col("comp").alias("xc"), F.col("spread").alias("xs"))
-    most = F.aggregate(F.zip_with("spread", "xs", lambda a, b: F.least(a, b)), F.lit(0), lambda a, b: a + b)
-    rest = minor.join(prefixes, "item").where("comp <> xc").where(near("n", "xn")).where((100 + percent) * most >= percent * (F.col("n") + F.col("xn")))
-    rest = rest.select(F.least("x", "node").alias("u"), F.greatest("x", "node").alias("v")).distinct()
+    minor = prefixes.where("minor = 1").select("item", F.struct(*traits, "comp", "spread").alias("x"))
+    most = F.aggregate(F.zip_with("spread", "x.spread", lambda a, b: F.least(a, b)), F.lit(0), lambda a, b: a + b)
+    rest = minor.join(prefixes, "item").where("comp <> x.comp").where(near("x")).where((100 + percent) * most >= percent * (F.col("n") + F.col("x.n")))
+    rest = rest.select(F.least("x.node", "node").alias("u"), F.greatest("x.node", "node").alias("v")).distinct()
     tried = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     rest = checkpointed(rest.join(tried, ["u", "v"], "left_anti"))
     if rest.isEmpty():
@@ -149,7 +155,7 @@ def _spreads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _prefixes(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """nodes with each item of their prefixes: two sets of the similarity, at least, share one of these.
 
-    nodes: (node, comp, minor, n, least); least bounds the partners' sizes from below. Items are taken
+    nodes: (node, comp, minor, n, least, and others that go along); least bounds the partners' sizes from below. Items are taken
     in the order of their number of sets. A set's overlap with a partner is percent / (100 + percent)
     of both sizes at least, so one common item is among the first n - overlap + 1. Items of one set
     alone fill places there but join with nothing. spread: see _spreads.
@@ -162,5 +168,5 @@ def _prefixes(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     overlap = F.ceil((F.col("n") + partner) * percent / (100 + percent))
     places = F.col("n") - overlap + 1 - (F.col("n") - F.size("shared"))
     first = nodes.join(ordered, "node").withColumn("places", places.cast("int")).where("places > 0").join(sets.select("node", "spread"), "node")
-    first = first.select("node", "comp", "minor", "n", "spread", F.explode(F.slice("shared", F.lit(1), F.col("places"))).alias("s"))
-    return first.select("node", "comp", "minor", "n", "spread", F.col("s.item").alias("item"))
+    first = first.select(*nodes.columns, "spread", F.explode(F.slice("shared", F.lit(1), F.col("places"))).alias("s"))
+    return first.select(*nodes.columns, "spread", F.col("s.item").alias("item"))

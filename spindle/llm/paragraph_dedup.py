@@ -74,6 +74,15 @@ class _Paragraphs:
             out.append(np.stack(parts, axis=1))
         return out[0], out[1]
 
+    def own_overlaps(self, blocks: np.ndarray) -> np.ndarray:
+        """Which band keys of blocks belong to an earlier block as well that the block overlaps."""
+        out = np.zeros(blocks.shape, dtype=bool)
+        start, text = self.start[self.lines :], self.text[self.lines :]
+        for d in range(1, min(self.cut.block_words // (self.cut.reach + 1), len(blocks) - 1) + 1):
+            over = (start[d:] - start[:-d] < self.cut.block_words) & (text[d:] == text[:-d])
+            out[d:] |= over[:, None] & (blocks[d:] == blocks[:-d])
+        return out
+
     def sets(self, on: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distinct shingles of the paragraphs on, and their offsets; lines and blocks share none."""
         sizes = (self.b - self.a)[on]
@@ -94,7 +103,9 @@ def _repeated_keys(docs: DataFrame, cut: Cut) -> DataFrame:
             return pa.RecordBatch.from_arrays([textkit.int64(np.repeat(key, np.minimum(n, 2)))], ["key"])
 
         for batch in text_slices(batches):
-            found += [x.ravel() for x in _Paragraphs(batch["text"], cut).keys()]
+            own = _Paragraphs(batch["text"], cut)
+            lines, blocks = own.keys()
+            found += [lines.ravel(), blocks[~own.own_overlaps(blocks)]]
             if sum(map(len, found)) > _HELD:
                 yield merged()
         if found:
@@ -153,23 +164,26 @@ def repeated_paragraphs(docs: DataFrame, *, percent: int = 80, row: str | None =
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row", "start")
     summary = [F.min("first").alias("first"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("copies").alias("copies")]
     one = base.select("node", "n", "keys", "th", order.alias("first"), F.struct("row", (F.col("start") + F.col("n_words")).alias("to")).alias("low"), F.struct("row", "start").alias("high"), F.lit(1).cast("long").alias("copies"))
-    classes = checkpointed(one.groupBy("node").agg(*summary, F.min("th").alias("th"), F.first("n").alias("n"), F.first("keys").alias("keys")))
+    home = F.min(F.struct("th", F.col("first.doc_id").alias("doc_id"), F.col("first.start").alias("start"))).alias("home")
+    classes = checkpointed(one.groupBy("node").agg(*summary, home, F.first("n").alias("n"), F.first("keys").alias("keys")))
 
     def sets_of(nodes: DataFrame) -> DataFrame:
+        """From one text for each node; only repeated rows may give a set twice."""
         wanted = _filter(nodes, "node")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in text_slices(batches):
                 found = _Paragraphs(batch["text"], cut)
-                _, at = np.unique(found.node, return_index=True)
+                _, at = np.unique(found.node ^ textkit.mix(found.text.astype(np.uint64)), return_index=True)
                 on = at[wanted.value.holds(found.node[at])]
-                yield pa.RecordBatch.from_arrays([textkit.int64(found.node[on]), textkit.lists(*found.sets(on))], ["node", "items"])
+                yield pa.RecordBatch.from_arrays([batch["th"].take(pa.array(found.text[on])), textkit.int64(found.node[on]), textkit.lists(*found.sets(on))], ["th", "node", "items"])
 
-        homes = classes.join(nodes, "node", "left_semi").select("th").distinct()
-        found = semi_join(docs.select("th", "text"), homes, "th").mapInArrow(run, "node long, items array<long>")
-        return semi_join(found, nodes, "node").groupBy("node").agg(F.first("items").alias("items"))
+        homes = checkpointed(classes.join(nodes, "node", "left_semi").select("node", "home.th", F.coalesce("home.doc_id", F.lit(-1)).alias("at")))
+        texts = docs.select("th", F.coalesce("doc_id", F.lit(-1)).alias("at"), "text")
+        found = semi_join(texts, homes.select("th", "at").distinct(), ["th", "at"]).mapInArrow(run, "th long, node long, items array<long>")
+        return semi_join(found, homes.select("th", "node"), ["th", "node"]).select("node", "items")
 
-    labels = link(classes.select("node", "n", "keys"), sets_of, percent)
+    labels = link(classes.select("node", "n", "keys", F.col("home.th").alias("home"), F.col("home.start").alias("place")), sets_of, percent, gap=cut.block_words)
     named = classes.select("node", "first", "low", "high", "copies").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     apart = (F.col("low.row") != F.col("high.row")) | (F.col("low.to") <= F.col("high.start"))
     groups = named.groupBy("comp").agg(*summary).where("copies > 1").where(apart)
