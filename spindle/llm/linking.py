@@ -59,7 +59,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int, most: int = 500) -
     return both.where(100 * common >= percent * (F.size("a") + F.size("b") - common)).select("u", "v")
 
 
-def link(items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, tries: int = 4, gap: int = 0) -> DataFrame:
+def link(items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, tries: int = 4) -> DataFrame:
     """(node, comp) for the nodes that are linked with another one.
 
     items: (node, n, keys): set size and the table keys of its minhashes. sets_of(nodes) gives
@@ -72,11 +72,8 @@ def link(items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: i
     component. Such members and all others of these buckets are compared if they share an item of
     their prefixes and if counts of their items by hash allow the overlap; most near copies that
     differ too much fail one of the two, and both are bounds that no linked pair fails.
-
-    gap: items also have home and place; nodes of one home and of places nearer than gap overlap and
-    are known not to be linked.
     """
-    traits = ["node", "n", *(["home", "place"] if gap else [])]
+    traits = ["node", "n"]
     keyed = items.select(*traits, F.explode("keys").alias("key"))
     buckets = keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     members = checkpointed(keyed.join(buckets, "key"))
@@ -84,9 +81,8 @@ def link(items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: i
     members = members.join(weights, "node").select("key", *traits, "weight")
 
     def near(other: str):
-        """Sizes that allow the similarity, and no overlap by place."""
-        sizes = (100 * F.least("n", f"{other}.n") >= percent * F.greatest("n", f"{other}.n")) & (F.col("node") != F.col(f"{other}.node"))
-        return sizes & ((F.col("home") != F.col(f"{other}.home")) | (F.abs(F.col("place") - F.col(f"{other}.place")) >= gap)) if gap else sizes
+        """Another node, of a size that allows the similarity."""
+        return (100 * F.least("n", f"{other}.n") >= percent * F.greatest("n", f"{other}.n")) & (F.col("node") != F.col(f"{other}.node"))
 
     def against(rows: DataFrame, chosen: DataFrame) -> DataFrame:
         """Pairs of rows with the member that chosen (key, hub) names for their key."""

@@ -2,12 +2,13 @@
 
 Two kinds of paragraphs are compared. A line of at least min_words words is one. So that a passage
 inside longer lines or across line ends is found as well, content-defined blocks are others: 24 words
-from each anchor on, and anchors are local minima of the words' hashes, about one in 13 words, so
-equal passages give equal blocks. Eleven bands of three minhashes over shingles of five words let two
-lines at the threshold meet with a probability of 1 - (1 - 0.8**3)**11 = 0.9996. Four bands are enough
-for blocks: equal ones meet in every band, those that differ in a word at one end (19 of 21 shingles)
-with 0.995 and in two (18 of 22) with 0.96. Band keys are counted first, and only paragraphs with a key
-that occurs twice go on. Those are verified by exact Jaccard, and removals are decided for each component.
+from each anchor on, and anchors are local minima of the words' hashes, about one in 13 words, so a
+passage of 50 words that repeats has a block that repeats. Lines are linked by similarity: eleven
+bands of three minhashes over shingles of five words let two lines at the threshold meet with a
+probability of 1 - (1 - 0.8**3)**11 = 0.9996. Blocks are linked where they are equal, so that one
+band, of eight minhashes, lets all of them meet. Band keys are counted first, and only paragraphs with
+a key that occurs twice go on. Lines are verified by exact Jaccard, blocks by all of their words, and
+removals are decided for each component.
 """
 
 from __future__ import annotations
@@ -39,8 +40,8 @@ class Cut:
     block_words: int = 24
     reach: int = 6
     width: int = 3
-    line_bands: int = 11
-    block_bands: int = 4
+    bands: int = 11
+    block_width: int = 8
 
 
 class _Paragraphs:
@@ -60,35 +61,25 @@ class _Paragraphs:
         self.codes, first = found.windows(cut.shingle)
         self.a = self.start - found.first[self.text] + first[self.text]
         self.b = self.a + (self.end - self.start) - cut.shingle + 1
-        self.kind = np.where(np.arange(len(self.start)) < self.lines, 0, 0x5851F42D4C957F2D).astype(np.uint64)
-        self.node = textkit.mix(textkit.run_codes(found, self.start, self.end) + self.kind)
+        kind = np.where(np.arange(len(self.start)) < self.lines, 0, 0x5851F42D4C957F2D).astype(np.uint64)
+        self.node = textkit.mix(textkit.run_codes(found, self.start, self.end) + kind)
         self.place = self.start - found.first[self.text]
 
     def keys(self) -> tuple[np.ndarray, np.ndarray]:
         """Band keys, one row a line and one row a block."""
         cut = self.cut
         out = []
-        for kind, bands, on in ((0, cut.line_bands, slice(0, self.lines)), (1, cut.block_bands, slice(self.lines, None))):
-            hashes = textkit.run_minhashes(self.codes, self.a[on], self.b[on], cut.width * bands)
-            parts = [textkit.mix(textkit.joined_rows(hashes[:, j * cut.width : (j + 1) * cut.width]) + np.uint64(2 * j + kind)) for j in range(bands)]
+        for kind, width, bands, on in ((0, cut.width, cut.bands, slice(0, self.lines)), (1, cut.block_width, 1, slice(self.lines, None))):
+            hashes = textkit.run_minhashes(self.codes, self.a[on], self.b[on], width * bands)
+            parts = [textkit.mix(textkit.joined_rows(hashes[:, j * width : (j + 1) * width]) + np.uint64(2 * j + kind)) for j in range(bands)]
             out.append(np.stack(parts, axis=1))
         return out[0], out[1]
 
-    def own_overlaps(self, blocks: np.ndarray) -> np.ndarray:
-        """Which band keys of blocks belong to an earlier block as well that the block overlaps."""
-        out = np.zeros(blocks.shape, dtype=bool)
-        start, text = self.start[self.lines :], self.text[self.lines :]
-        for d in range(1, min(self.cut.block_words // (self.cut.reach + 1), len(blocks) - 1) + 1):
-            over = (start[d:] - start[:-d] < self.cut.block_words) & (text[d:] == text[:-d])
-            out[d:] |= over[:, None] & (blocks[d:] == blocks[:-d])
-        return out
-
     def sets(self, on: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct shingles of the paragraphs on, and their offsets; lines and blocks share none."""
+        """Distinct shingles of the paragraphs on, and their offsets."""
         sizes = (self.b - self.a)[on]
         first = np.concatenate([[0], np.cumsum(sizes)])
-        codes = self.codes[np.arange(first[-1]) + np.repeat(self.a[on] - first[:-1], sizes)]
-        return textkit.distinct_sets(codes ^ np.repeat(self.kind[on], sizes), first)
+        return textkit.distinct_sets(self.codes[np.arange(first[-1]) + np.repeat(self.a[on] - first[:-1], sizes)], first)
 
 
 def _repeated_keys(docs: DataFrame, cut: Cut) -> DataFrame:
@@ -103,9 +94,7 @@ def _repeated_keys(docs: DataFrame, cut: Cut) -> DataFrame:
             return pa.RecordBatch.from_arrays([textkit.int64(np.repeat(key, np.minimum(n, 2)))], ["key"])
 
         for batch in text_slices(batches):
-            own = _Paragraphs(batch["text"], cut)
-            lines, blocks = own.keys()
-            found += [lines.ravel(), blocks[~own.own_overlaps(blocks)]]
+            found += [x.ravel() for x in _Paragraphs(batch["text"], cut).keys()]
             if sum(map(len, found)) > _HELD:
                 yield merged()
         if found:
@@ -124,8 +113,8 @@ def repeated_paragraphs(docs: DataFrame, *, percent: int = 80, row: str | None =
     """A row for each paragraph that has copies or near copies: doc_id, start, n_words, block, component_id, copies, kept.
 
     docs: (doc_id, text). The paragraph is the n_words words of the text from word start on; block tells
-    blocks from lines. Paragraphs of one kind are linked when 100 * intersection >= percent * union of
-    their sets of shingles. In each component the first paragraph, by doc_id (none comes last) and
+    blocks from lines. Lines are linked when 100 * intersection >= percent * union of their sets of
+    shingles, blocks when they are equal. In each component the first paragraph, by doc_id (none comes last) and
     start, is kept; component_id is its doc_id and copies the number of paragraphs. Blocks of one text
     that overlap are no copies of each other. Null, blank and short texts have no paragraphs. Rows that
     share a doc_id or have none are judged each, and a repetition inside one document counts like one
@@ -151,10 +140,12 @@ def repeated_paragraphs(docs: DataFrame, *, percent: int = 80, row: str | None =
                 each.append(hit.sum(axis=1))
             sizes = np.concatenate(each)
             on = np.flatnonzero(sizes)
-            _, first = found.sets(on)
-            rows, at = pa.array(found.text[on]), np.concatenate([[0], np.cumsum(sizes[on])])
+            n = np.zeros(len(on), np.int64)
+            n[on < found.lines] = np.diff(found.sets(on[on < found.lines])[1])
+            line, rows = on < found.lines, pa.array(found.text[on])
+            at = np.concatenate([[0], np.cumsum(np.where(line, sizes[on], 0))])
             row = batch["row"].take(rows) if batch["row"].null_count == 0 else pa.array(key + found.text[on])
-            columns = [row, batch["doc_id"].take(rows), batch["th"].take(rows), textkit.int64(found.place[on]), textkit.int64((found.end - found.start)[on]), pa.array(on >= found.lines), textkit.int64(found.node[on]), textkit.int64(np.diff(first)), textkit.lists(np.concatenate(held), at)]
+            columns = [row, batch["doc_id"].take(rows), batch["th"].take(rows), textkit.int64(found.place[on]), textkit.int64((found.end - found.start)[on]), pa.array(~line), textkit.int64(found.node[on]), textkit.int64(n), textkit.lists(held[0], at)]
             yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "th", "start", "n_words", "block", "node", "n", "keys"])
             key += len(batch)
 
@@ -164,7 +155,7 @@ def repeated_paragraphs(docs: DataFrame, *, percent: int = 80, row: str | None =
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row", "start")
     summary = [F.min("first").alias("first"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("copies").alias("copies")]
     one = base.select("node", "n", "keys", "th", order.alias("first"), F.struct("row", (F.col("start") + F.col("n_words")).alias("to")).alias("low"), F.struct("row", "start").alias("high"), F.lit(1).cast("long").alias("copies"))
-    home = F.min(F.struct("th", F.col("first.doc_id").alias("doc_id"), F.col("first.start").alias("start"))).alias("home")
+    home = F.min(F.struct("th", F.col("first.doc_id").alias("doc_id"))).alias("home")
     classes = checkpointed(one.groupBy("node").agg(*summary, home, F.first("n").alias("n"), F.first("keys").alias("keys")))
 
     def sets_of(nodes: DataFrame) -> DataFrame:
@@ -174,7 +165,7 @@ def repeated_paragraphs(docs: DataFrame, *, percent: int = 80, row: str | None =
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in text_slices(batches):
                 found = _Paragraphs(batch["text"], cut)
-                _, at = np.unique(found.node ^ textkit.mix(found.text.astype(np.uint64)), return_index=True)
+                _, at = np.unique((found.node ^ textkit.mix(found.text.astype(np.uint64)))[: found.lines], return_index=True)
                 on = at[wanted.value.holds(found.node[at])]
                 yield pa.RecordBatch.from_arrays([batch["th"].take(pa.array(found.text[on])), textkit.int64(found.node[on]), textkit.lists(*found.sets(on))], ["th", "node", "items"])
 
@@ -183,7 +174,7 @@ def repeated_paragraphs(docs: DataFrame, *, percent: int = 80, row: str | None =
         found = semi_join(texts, homes.select("th", "at").distinct(), ["th", "at"]).mapInArrow(run, "th long, node long, items array<long>")
         return semi_join(found, homes.select("th", "node"), ["th", "node"]).select("node", "items")
 
-    labels = link(classes.select("node", "n", "keys", F.col("home.th").alias("home"), F.col("home.start").alias("place")), sets_of, percent, gap=cut.block_words)
+    labels = link(classes.where("n > 0").select("node", "n", "keys"), sets_of, percent)
     named = classes.select("node", "first", "low", "high", "copies").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     apart = (F.col("low.row") != F.col("high.row")) | (F.col("low.to") <= F.col("high.start"))
     groups = named.groupBy("comp").agg(*summary).where("copies > 1").where(apart)
