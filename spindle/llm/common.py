@@ -70,17 +70,6 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: i
             held += n
 
 
-def list_slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES // 8) -> Iterator[pa.RecordBatch]:
-    """The batches, cut so that the lists of a slice hold most values or are one list."""
-    for batch in batches:
-        ends = np.asarray(batch.column(column).offsets)
-        start = 0
-        while start < len(batch):
-            stop = max(start + 1, int(np.searchsorted(ends, ends[start] + most, "right")) - 1)
-            yield batch.slice(start, stop - start)
-            start = stop
-
-
 def _places(hashes: np.ndarray, log_bits: int) -> Iterator[np.ndarray]:
     shift = np.uint64(64 - log_bits)
     yield hashes >> shift

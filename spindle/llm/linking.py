@@ -5,14 +5,13 @@ All steps are joins and aggregates over pairs of longs; nothing about single set
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindle.llm.common import checkpointed, list_slices
+from spindle.llm.common import checkpointed
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -62,23 +61,24 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int, most: int = 500) -
 def link(items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, tries: int = 4) -> DataFrame:
     """(node, comp) for the nodes that are linked with another one.
 
-    items: (node, n, keys): set size and the table keys of its minhashes. sets_of(nodes) gives
-    (node, items) for distinct nodes. The members of each bucket, that is of each key, are compared
-    with one of them: the one that meets most others in all its buckets, as the original of many
-    copies does. Components follow. Members outside their bucket's largest component are then
-    compared with some members of it, tries different ones for all keys together. So far a bucket of
+    items: (node, n, copies, keys): set size, exact copies, and the table keys of its minhashes.
+    sets_of(nodes) gives (node, items) for distinct nodes. The members of each bucket, that is of each
+    key, are compared with one of them: of those that meet most others in all their buckets, to an
+    eighth, the one with most exact copies, as the original of many copies is. Components follow. Members outside their bucket's largest component are then
+    compared with others of its well-met members, tries different ones for all keys together. So far a bucket of
     any size makes a few pairs a member. Then the rest, exactly: where a bucket still holds several
     components, a link may be left between a member outside its largest one and a member of another
     component. Such members and all others of these buckets are compared if they share an item of
-    their prefixes and if counts of their items by hash allow the overlap; most near copies that
-    differ too much fail one of the two, and both are bounds that no linked pair fails.
+    their prefixes and if the item's places allow the overlap, both bounds that no linked pair fails.
+    A copy that differs too much from its original has more items of its own than its prefix is long,
+    so the items that a whole group shares make no pairs.
     """
     traits = ["node", "n"]
-    keyed = items.select(*traits, F.explode("keys").alias("key"))
+    keyed = items.select(*traits, "copies", F.explode("keys").alias("key"))
     buckets = keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     members = checkpointed(keyed.join(buckets, "key"))
-    weights = members.groupBy("node").agg(F.sum("members").alias("weight"))
-    members = members.join(weights, "node").select("key", *traits, "weight")
+    weights = members.groupBy("node").agg(F.floor(F.log(F.sum("members")) / np.log(1.125)).alias("weight"))
+    members = members.join(weights, "node").select("key", *traits, "copies", "weight")
 
     def near(other: str):
         """Another node, of a size that allows the similarity."""
@@ -100,7 +100,7 @@ def link(items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: i
         largest = F.max_by("comp", F.struct("c", "comp")).alias("major")
         return labelled, sizes.groupBy("key").agg(largest, F.count("*").alias("comps"), F.min("n").alias("least")).where("comps > 1")
 
-    heaviest = members.groupBy("key").agg(F.max_by(F.struct(*traits), F.struct("weight", "node")).alias("hub"))
+    heaviest = members.groupBy("key").agg(F.max_by(F.struct(*traits), F.struct("weight", "copies", "node")).alias("hub"))
     pairs = checkpointed(against(members, heaviest))
     edges = confirmed(pairs)
     labels = components(edges)
@@ -108,7 +108,7 @@ def link(items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: i
     labelled, several = mixed(labels)
     inside = labelled.join(several.select("key", "major"), "key")
     turn = F.xxhash64("node", F.pmod(F.xxhash64("key"), F.lit(tries)))
-    chosen = inside.where("comp = major").groupBy("key").agg(F.min_by(F.struct(*traits), turn).alias("hub"))
+    chosen = inside.where("comp = major").groupBy("key").agg(F.max_by(F.struct(*traits), F.struct("weight", turn)).alias("hub"))
     again = against(inside.where("comp <> major").select("key", *traits), chosen)
     again = checkpointed(again.join(pairs, ["u", "v"], "left_anti"))
     if not again.isEmpty():
@@ -122,8 +122,9 @@ def link(items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: i
     if left.isEmpty():
         return labels
     prefixes = checkpointed(_prefixes(left, sets_of(left.select("node")), percent))
-    minor = prefixes.where("minor = 1").select("item", F.struct(*traits, "comp", "spread").alias("x"))
-    most = F.aggregate(F.zip_with("spread", "x.spread", lambda a, b: F.least(a, b)), F.lit(0), lambda a, b: a + b)
+    minor = prefixes.where("minor = 1").select("item", F.struct(*traits, "comp", "place").alias("x"))
+    # items up to the shared ones may differ, those after them may all agree
+    most = 1 + F.least(F.col("n") - F.col("place"), F.col("x.n") - F.col("x.place"))
     rest = minor.join(prefixes, "item").where("comp <> x.comp").where(near("x")).where((100 + percent) * most >= percent * (F.col("n") + F.col("x.n")))
     rest = rest.select(F.least("x.node", "node").alias("u"), F.greatest("x.node", "node").alias("v")).distinct()
     tried = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
@@ -133,36 +134,20 @@ def link(items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: i
     return components(edges.union(confirmed(rest)))
 
 
-_SPREAD = 256
-
-
-def _spreads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds to sets how many items fall to each of 256 hash values; sets too large for that get no bound."""
-    for batch in list_slices(batches, "items"):
-        items = batch["items"]
-        at = np.asarray(items.offsets) - items.offsets[0].as_py()
-        place = (np.asarray(items.flatten()) & (_SPREAD - 1)) + _SPREAD * np.repeat(np.arange(len(batch)), np.diff(at))
-        counts = np.bincount(place, minlength=_SPREAD * len(batch))
-        counts = np.where(np.repeat(np.diff(at), _SPREAD) < 1 << 20, counts, 1 << 20).astype(np.int32)
-        spread = pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1, dtype=np.int32) * _SPREAD), pa.array(counts))
-        yield pa.RecordBatch.from_arrays([batch["node"], items, spread], ["node", "items", "spread"])
-
-
 def _prefixes(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """nodes with each item of their prefixes: two sets of the similarity, at least, share one of these.
+    """nodes with each item of their prefixes and its place: two sets of the similarity, at least, share one of these.
 
-    nodes: (node, comp, minor, n, least, and others that go along); least bounds the partners' sizes from below. Items are taken
+    nodes: (node, comp, minor, n, least); least bounds the partners' sizes from below. Items are taken
     in the order of their number of sets. A set's overlap with a partner is percent / (100 + percent)
     of both sizes at least, so one common item is among the first n - overlap + 1. Items of one set
-    alone fill places there but join with nothing. spread: see _spreads.
+    alone fill places there but join with nothing.
     """
-    sets = checkpointed(sets.mapInArrow(_spreads, "node long, items array<long>, spread array<int>"))
-    single = sets.select("node", F.explode("items").alias("item"))
+    single = checkpointed(sets.select("node", F.explode("items").alias("item")))
     often = single.groupBy("item").agg(F.count("*").alias("df")).where("df > 1")
     ordered = single.join(often, "item").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "item"))).alias("shared"))
     partner = F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100))
     overlap = F.ceil((F.col("n") + partner) * percent / (100 + percent))
-    places = F.col("n") - overlap + 1 - (F.col("n") - F.size("shared"))
-    first = nodes.join(ordered, "node").withColumn("places", places.cast("int")).where("places > 0").join(sets.select("node", "spread"), "node")
-    first = first.select(*nodes.columns, "spread", F.explode(F.slice("shared", F.lit(1), F.col("places"))).alias("s"))
-    return first.select(*nodes.columns, "spread", F.col("s.item").alias("item"))
+    alone = F.col("n") - F.size("shared")
+    first = nodes.join(ordered, "node").withColumns({"alone": alone, "places": (F.col("n") - overlap + 1 - alone).cast("int")}).where("places > 0")
+    first = first.select(*nodes.columns, "alone", F.posexplode(F.slice("shared", F.lit(1), F.col("places"))).alias("at", "s"))
+    return first.select(*nodes.columns, (F.col("alone") + F.col("at") + 1).alias("place"), F.col("s.item").alias("item"))

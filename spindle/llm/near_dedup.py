@@ -76,9 +76,9 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, fir
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     base = checkpointed(docs.mapInArrow(_sketches(shingle, first, second), _SKETCH))
     # rows of one set are one node: exact copies cost one row from here on
-    classes = base.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("a").alias("a"), F.first("b").alias("b"))
+    classes = base.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.count("*").alias("copies"), F.first("a").alias("a"), F.first("b").alias("b"))
     keys = "flatten(transform(a, (x, i) -> transform(b, (y, j) -> xxhash64(i, j, x, y))))"
-    items = classes.where("node is not null").select("node", "n", F.expr(keys).alias("keys"))
+    items = classes.where("node is not null").select("node", "n", "copies", F.expr(keys).alias("keys"))
 
     def sets_of(nodes: DataFrame) -> DataFrame:
         wanted = semi_join(docs.withColumnRenamed("doc_id", "node"), nodes, "node")

@@ -174,7 +174,7 @@ def repeated_paragraphs(docs: DataFrame, *, percent: int = 80, row: str | None =
         found = semi_join(texts, homes.select("th", "at").distinct(), ["th", "at"]).mapInArrow(run, "th long, node long, items array<long>")
         return semi_join(found, homes.select("th", "node"), ["th", "node"]).select("node", "items")
 
-    labels = link(classes.where("n > 0").select("node", "n", "keys"), sets_of, percent)
+    labels = link(classes.where("n > 0").select("node", "n", "copies", "keys"), sets_of, percent)
     named = classes.select("node", "first", "low", "high", "copies").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     apart = (F.col("low.row") != F.col("high.row")) | (F.col("low.to") <= F.col("high.start"))
     groups = named.groupBy("comp").agg(*summary).where("copies > 1").where(apart)
