@@ -1,11 +1,12 @@
 """Scoring texts with a language model whose n-gram counts lie in a log-frequency Bloom filter.
 
 A count is quantised to a level, and the n-gram is put in once for each level up to it; a query
-probes level after level until one is missing. The filter has eight bits or more for each level
-that is put in, and is cut into segments by the n-gram's hash. As long as a worker can hold it, it is
-built segment by segment and broadcast; beyond that the probes travel to the segments and the
-answers back, with the same bits and so the same scores. Unigrams are smoothed by adding one; all
-bigrams are interpolated with them by absolute discounting.
+probes level after level until one is missing. The filter has ten bits or more for each level that is
+put in, and is cut into segments by the n-gram's hash. As long as a worker can hold it, it is built
+segment by segment and broadcast; beyond that the probes travel to the segments and the answers back,
+with the same bits and so the same scores. Unigrams are smoothed by adding one; bigrams, all of them,
+are smoothed towards them with a prior of PRIOR counts: p(w | h) = (c(h w) + PRIOR p(w)) / (c(h) +
+PRIOR), which sums to one as the counts of a word's followers sum to its own.
 """
 
 from __future__ import annotations
@@ -22,12 +23,14 @@ from spindle.llm import textkit
 from spindle.llm.common import checkpointed, shared_folder, text_slices
 
 END = np.uint64(0x0E0D0E0D0E0D0E0D)
-BASE = 1.5
-PROBES = 4
-DISCOUNT = 0.5
+#: Counts below FIRST have levels of their own; from there on a level is BASE times as wide as the one before.
+FIRST, BASE = 6, 1.2
+PROBES = 5
+PRIOR = 20.0
+#: Bits for each level put in: one probe in a hundred finds a level that isn't there.
+ENTRY_BITS = 10
 _PAIR = np.uint64(0xA0761D6478BD642F)
-_KINDS, _INSIDE = np.uint64(0x8EBC6AF09C88C6E3), np.uint64(0x589965CC75374CC3)
-_LEVELS = 96
+_LEVELS = 160
 #: Bits of a segment at most, where probes travel to segments.
 _SEGMENT_BITS = 27
 
@@ -38,18 +41,33 @@ def held_out(doc_id: Column) -> Column:
 
 
 def level_of(counts: np.ndarray) -> np.ndarray:
-    return np.minimum(1 + np.floor(np.log(np.maximum(counts, 1)) / np.log(BASE) + 1e-9), _LEVELS - 1).astype(np.int64)
+    counts = np.maximum(counts, 1)
+    return np.where(counts < FIRST, counts, np.minimum(FIRST + np.floor(np.log(counts / FIRST) / np.log(BASE) + 1e-9), _LEVELS - 1)).astype(np.int64)
 
 
-#: The count that each level stands for.
-LEVEL_COUNTS = np.array([0.0, 1.0, *[(BASE ** (j - 1) + BASE**j) / 2 for j in range(2, _LEVELS)]])
+def _level(c: Column) -> Column:
+    above = F.least(FIRST + F.floor(F.log(c / FIRST) / np.log(BASE) + 1e-9), F.lit(_LEVELS - 1))
+    return F.when(c < FIRST, c).otherwise(above).cast("int").alias("level")
+
+
+def _level_counts() -> np.ndarray:
+    """The count that each level stands for: the mean of the whole numbers in it, each weighed by the inverse of its square."""
+    out = [float(i) for i in range(FIRST)]
+    for level in range(_LEVELS - FIRST):
+        low, high = FIRST * BASE**level, FIRST * BASE ** (level + 1)
+        inside = np.arange(np.ceil(low - 1e-9), np.ceil(high - 1e-9)) if high < 1e6 else np.zeros(0)
+        out.append(float((1 / inside).sum() / (1 / inside**2).sum()) if len(inside) else np.log(BASE) / (1 / low - 1 / high))
+    return np.array(out)
+
+
+LEVEL_COUNTS = _level_counts()
 
 
 class LogFrequencyFilter:
-    def __init__(self, log_bits: int, log_segments: int, single: bool = False):
-        """single: one segment alone, for codes of that segment."""
-        self.log_segments, self.inner, self.single = log_segments, log_bits - log_segments, single
-        self.bits = np.zeros((1 if single else 1 << log_segments, 1 << (self.inner - 3)), np.uint8)
+    def __init__(self, size: int, log_segments: int, single: bool = False):
+        """size: bits of a segment, a multiple of 8; single: one segment alone, for codes of that segment."""
+        self.log_segments, self.size, self.single = log_segments, np.uint64(size), single
+        self.bits = np.zeros((1 if single else 1 << log_segments, size >> 3), np.uint8)
 
     def _rows(self, codes: np.ndarray) -> np.ndarray:
         return np.zeros(len(codes), np.int64) if self.single else self.segment(codes)
@@ -59,9 +77,9 @@ class LogFrequencyFilter:
 
     def _places(self, codes: np.ndarray, level: int) -> Iterator[np.ndarray]:
         a = textkit.mix(codes + np.uint64(level * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
-        step = (a >> np.uint64(32)) | np.uint64(1)
+        a, step = a >> np.uint64(32), a | np.uint64(1)
         for k in range(PROBES):
-            yield ((a + np.uint64(k) * step) & np.uint64((1 << self.inner) - 1)).astype(np.int64)
+            yield ((a + np.uint64(k) * (step & np.uint64(0xFFFFFFFF))) % self.size).astype(np.int64)
 
     def put(self, codes: np.ndarray, levels: np.ndarray) -> None:
         rows = self._rows(codes)
@@ -95,27 +113,42 @@ def _tokens(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, first
 
 
-def _counted(parts: Iterator[tuple[np.ndarray, ...]], names: list[str]) -> Iterator[pa.RecordBatch]:
-    """(codes, counts, and what goes with a code) merged by code, a few million codes at a time."""
-    found, held = [], 0
+def _counted(parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """(codes, counts) merged by code, a few million codes at a time."""
+    found: list[tuple[np.ndarray, np.ndarray]] = []
 
     def merged() -> pa.RecordBatch:
-        codes, counts, *more = (np.concatenate(x) for x in zip(*found, strict=True))
-        code, at, back = np.unique(codes, return_index=True, return_inverse=True)
-        n = np.bincount(back, counts, minlength=len(code)).astype(np.int64)
-        return pa.RecordBatch.from_arrays([textkit.int64(code), pa.array(n), *[textkit.int64(x[at]) for x in more]], names)
+        codes, counts = (np.concatenate(x) for x in zip(*found, strict=True))
+        found.clear()
+        code, back = np.unique(codes, return_inverse=True)
+        return pa.RecordBatch.from_arrays([textkit.int64(code), pa.array(np.bincount(back, counts).astype(np.int64))], ["code", "c"])
 
     for part in parts:
-        found, held = [*found, part], held + len(part[0])
-        if held > 2_000_000:
+        found.append(part)
+        if sum(len(x) for x, _ in found) > 2_000_000:
             yield merged()
-            found, held = [], 0
     if found:
         yield merged()
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    return _counted((np.unique(_tokens(b["text"])[0], return_counts=True) for b in text_slices(batches)), ["code", "c"])
+    return _counted(np.unique(_tokens(b["text"])[0], return_counts=True) for b in text_slices(batches))
+
+
+def _followers(first: np.ndarray) -> np.ndarray:
+    """The places of tokens that follow another one of their text."""
+    follows = np.ones(first[-1], dtype=bool)
+    follows[first[:-1]] = False
+    return np.flatnonzero(follows)
+
+
+def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def codes(batch: pa.RecordBatch) -> np.ndarray:
+        tokens, first = _tokens(batch["text"])
+        here = _followers(first)
+        return _pair_codes(tokens[here - 1], tokens[here])
+
+    return _counted(np.unique(codes(b), return_counts=True) for b in text_slices(batches))
 
 
 def _index(sorted_codes: np.ndarray, codes: np.ndarray) -> np.ndarray:
@@ -130,16 +163,36 @@ def _pair_codes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return textkit.mix(a * _PAIR + b)
 
 
-def language_model_scores(docs: DataFrame, *, frequent: int = 1 << 18, paired: int | None = None, log_bits: int = 27, log_segments: int = 6, held_bits: int = 30) -> DataFrame:
+def _frequent(words: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes, sorted, and counts of the most frequent words, most of them or fewer.
+
+    A histogram over the counts' levels says from which level on there are no more than most.
+    """
+    level = F.floor(F.log(F.col("c").cast("double")) / np.log(1.05) + 1e-9)
+    sizes = sorted(((r.level, r.n) for r in words.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    least, held = None, 0
+    for at, n in sizes:
+        held += n
+        if held > most:
+            break
+        least = at
+    if least is None:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    top = words.where(level >= least).toPandas()
+    codes = top["code"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(codes)
+    return codes[order], top["c"].to_numpy(np.int64)[order]
+
+
+def language_model_scores(docs: DataFrame, *, frequent: int = 1 << 18, least_bits: int = 1 << 27, held_bits: int = 1 << 30, log_segments: int = 6) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Both scores are log10 probabilities of all words of the text and its end. base_score takes exact
-    counts of words in the training rows; counts of the frequent words are broadcast, those of all
-    others are joined by the word's hash. score takes counts from the filter: of words, of pairs, and
-    of the kinds of words that follow each word. paired: take pairs of so many most frequent words
-    alone. The filter has 2**log_bits bits, or more if the counts need it; above 2**held_bits it is
-    not broadcast. Null texts are empty and hold one end each. Without training rows every word is
-    unseen.
+    counts of words in the training rows; counts of frequent words, so many at most, are broadcast,
+    those of all others are joined by the word's hash. score takes the counts of pairs from the
+    filter, and those of words that aren't broadcast too. The filter has least_bits, or more if the
+    counts need it; above held_bits it is not broadcast. Null texts are empty and hold one end each.
+    Without training rows every word is unseen.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -147,65 +200,19 @@ def language_model_scores(docs: DataFrame, *, frequent: int = 1 << 18, paired: i
     train = docs.where("not held_out").select("text")
     words = checkpointed(train.mapInArrow(_count_words, "code long, c long").groupBy("code").agg(F.sum("c").alias("c")))
     totals = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    top = words.orderBy(F.desc("c"), "code").limit(frequent).toPandas()  # a fixed number at most
-    top_codes, top_counts = top["code"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64)
-    order = np.argsort(top_codes)
-    known_codes, known_counts = top_codes[order], top_counts[order]
-    pair_codes = None if paired is None else np.sort(top_codes[:paired])
-
-    def following(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """The places of tokens that follow another one of their text, with both of them paired."""
-        follows = np.ones(len(tokens), dtype=bool)
-        follows[first[:-1]] = False
-        if pair_codes is not None:
-            on = _index(pair_codes, tokens) >= 0
-            follows[1:] &= on[1:] & on[:-1]
-        return np.flatnonzero(follows)
-
-    def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def parts() -> Iterator[tuple[np.ndarray, ...]]:
-            for batch in text_slices(batches):
-                tokens, first = _tokens(batch["text"])
-                here = following(tokens, first)
-                code, at, n = np.unique(_pair_codes(tokens[here - 1], tokens[here]), return_index=True, return_counts=True)
-                yield code, n, tokens[here - 1][at]
-
-        return _counted(parts(), ["code", "c", "head"])
+    known_codes, known_counts = _frequent(words, frequent)
 
     log_segments = max(log_segments, (int(totals.n) >> 21).bit_length())  # some millions of pairs a partition
     segment = lambda bits: F.shiftrightunsigned(F.col("code"), 64 - bits)
-
-    def levelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs with their levels; and, with c, how many kinds of pairs start with a word, as far as counted here."""
-        found: list[tuple[np.ndarray, ...]] = []
-
-        def heads() -> Iterator[pa.RecordBatch]:
-            for b in _counted(iter(found), ["code", "c"]):
-                yield pa.RecordBatch.from_arrays([b["code"], pa.array(np.zeros(len(b), np.int32)), b["c"]], ["code", "level", "c"])
-            found.clear()
-
-        for batch in batches:
-            head, c = np.asarray(batch["head"]).astype(np.int64).view(np.uint64), np.asarray(batch["c"])
-            yield pa.RecordBatch.from_arrays([batch["code"], pa.array(level_of(c).astype(np.int32)), pa.array(np.zeros(len(c), np.int64))], ["code", "level", "c"])
-            found.append((textkit.mix(head ^ _KINDS), np.ones(len(c), np.int64)))
-            if pair_codes is not None:  # of all pairs, as many start with a word as there are of it
-                found.append((textkit.mix(head ^ _INSIDE), c))
-            if sum(len(x) for x, _ in found) > 1_000_000:
-                yield from heads()
-        yield from heads()
-
     folder = f"{shared_folder(spark)}/pairs-{uuid.uuid4().hex}"
-    dealt = train.mapInArrow(count_pairs, "code long, c long, head long").withColumn("segment", segment(log_segments)).repartition(1 << log_segments, "segment")
-    pairs = dealt.groupBy("segment", "code").agg(F.sum("c").alias("c"), F.first("head").alias("head")).drop("segment")
-    pairs.mapInArrow(levelled, "code long, level int, c long").write.parquet(folder)
-    pairs = spark.read.schema("code long, level int, c long").parquet(folder)
-    level = F.least(1 + F.floor(F.log(F.col("c").cast("double")) / np.log(BASE) + 1e-9), F.lit(_LEVELS - 1)).cast("int").alias("level")
-    heads = checkpointed(pairs.where("c > 0").groupBy("code").agg(F.sum("c").alias("c")).select("code", level))
-    single, pairs = words.select("code", level).union(heads), pairs.where("c = 0").select("code", "level")
+    dealt = train.mapInArrow(_count_pairs, "code long, c long").withColumn("segment", segment(log_segments)).repartition(1 << log_segments, "segment")
+    dealt.groupBy("segment", "code").agg(F.sum("c").alias("c")).select("code", _level(F.col("c"))).write.parquet(folder)
+    pairs, single = spark.read.schema("code long, level int").parquet(folder), words.select("code", _level(F.col("c")))
     put = single.union(pairs).agg(F.coalesce(F.sum("level"), F.lit(0)).alias("n")).first().n
-    log_bits = max(log_bits, int(8 * put - 1).bit_length() if put else 0)
-    if log_bits > held_bits:
-        log_segments = max(log_segments, log_bits - _SEGMENT_BITS)
+    bits = max(least_bits, ENTRY_BITS * int(put))
+    if bits > held_bits:
+        log_segments = max(log_segments, (bits >> _SEGMENT_BITS).bit_length())
+    size = 8 * (1 + (bits >> log_segments) // 8)
     n_train, n_kinds = int(totals.n), int(totals.v)
     floor = np.log10(n_train + n_kinds + 1)
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -214,29 +221,27 @@ def language_model_scores(docs: DataFrame, *, frequent: int = 1 << 18, paired: i
 
     def asked(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
         """All codes that row_scores looks up."""
-        code, here = np.unique(tokens), following(tokens, first)
-        return np.unique(np.concatenate([code, textkit.mix(code ^ _KINDS), *([] if pair_codes is None else [textkit.mix(code ^ _INSIDE)]), _pair_codes(tokens[here - 1], tokens[here])]))
+        here = _followers(first)
+        return np.unique(np.concatenate([np.unique(tokens), _pair_codes(tokens[here - 1], tokens[here])]))
 
     def row_scores(batch: pa.RecordBatch, key: np.ndarray, levels: Callable[[np.ndarray], np.ndarray], codes: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
         tokens, first = _tokens(batch["text"])
         rows, sizes = len(batch), np.diff(first)
         code, back = np.unique(tokens, return_inverse=True)
-        seen = LEVEL_COUNTS[levels(code)]
+        at = _index(codes, code)
+        seen = np.zeros(len(code))
+        seen[at >= 0] = counts[at[at >= 0]]
+        seen[at < 0] = LEVEL_COUNTS[levels(code[at < 0])]
         p = ((seen + 1) / (n_train + n_kinds + 1))[back]
-        here = following(tokens, first)
+        here = _followers(first)
         if len(here):
             pair, pair_back = np.unique(_pair_codes(tokens[here - 1], tokens[here]), return_inverse=True)
             met = LEVEL_COUNTS[levels(pair)][pair_back]
-            kinds = LEVEL_COUNTS[levels(textkit.mix(code ^ _KINDS))]
-            inside = seen if pair_codes is None else LEVEL_COUNTS[levels(textkit.mix(code ^ _INSIDE))]
-            head = np.maximum(np.maximum(seen, inside), 1)
-            rest = np.minimum((head - inside + DISCOUNT * kinds) / head, 1)
-            a = back[here - 1]
-            mixed = np.maximum(met - DISCOUNT, 0) / head[a] + rest[a] * p[here]
-            p[here] = np.minimum(mixed, 1)  # quantised counts of a pair may exceed those of its word
+            head = seen[back[here - 1]]
+            p[here] = (np.minimum(met, head) + PRIOR * p[here]) / (head + PRIOR)
         model = np.add.reduceat(np.log10(p), first[:-1])
         owner = np.repeat(np.arange(rows), sizes)
-        at = _index(codes, code)[back]
+        at = at[back]
         hit = at >= 0
         base = np.bincount(owner[hit], np.log10(counts[at[hit]] + 1.0), minlength=rows)
         known = np.bincount(owner[hit], minlength=rows)
@@ -247,7 +252,7 @@ def language_model_scores(docs: DataFrame, *, frequent: int = 1 << 18, paired: i
 
     def by_broadcast() -> DataFrame:
         def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own, used = LogFrequencyFilter(log_bits, log_segments), set()
+            own, used = LogFrequencyFilter(size, log_segments), set()
             for batch in batches:
                 codes = np.asarray(batch["code"]).astype(np.int64).view(np.uint64)
                 own.put(codes, np.asarray(batch["level"]))
@@ -257,8 +262,8 @@ def language_model_scores(docs: DataFrame, *, frequent: int = 1 << 18, paired: i
 
         # the files of pairs are dealt by segment already
         built = single.repartition(1 << log_segments, segment(log_segments)).mapInArrow(build, "segment int, bits binary").union(pairs.mapInArrow(build, "segment int, bits binary"))
-        full = LogFrequencyFilter(log_bits, log_segments)
-        for row in built.toLocalIterator():
+        full = LogFrequencyFilter(size, log_segments)
+        for row in built.toLocalIterator(prefetchPartitions=True):
             full.bits[row.segment] |= np.frombuffer(row.bits, np.uint8)
         shared = spark.sparkContext.broadcast((full, known_codes, known_counts))
 
@@ -301,7 +306,7 @@ def language_model_scores(docs: DataFrame, *, frequent: int = 1 << 18, paired: i
                 ends = [0, *(np.flatnonzero(np.diff(segments)) + 1).tolist(), len(batch)] if len(batch) else []
                 for a, b in zip(ends[:-1], ends[1:], strict=True):
                     if at != segments[a]:
-                        own, at = LogFrequencyFilter(log_bits, log_segments, single=True), segments[a]
+                        own, at = LogFrequencyFilter(size, log_segments, single=True), segments[a]
                     entry = level[a:b] > 0
                     own.put(code[a:b][entry], level[a:b][entry])
                     probe = code[a:b][~entry]
@@ -324,7 +329,7 @@ def language_model_scores(docs: DataFrame, *, frequent: int = 1 << 18, paired: i
         replies = both.mapInArrow(answer, "slice long, code long, level int")
         return cut.groupBy("slice").cogroup(replies.groupBy("slice")).applyInArrow(score, schema)
 
-    scored = checkpointed(by_segment() if log_bits > held_bits else by_broadcast())
+    scored = checkpointed(by_segment() if bits > held_bits else by_broadcast())
     # words outside the broadcast table: none of them is frequent, so no key of this join is hot
     spread = scored.select("key", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("key", F.col("r.rare").alias("code"), F.col("r.times").alias("k"))
     met = spread.join(words, "code").groupBy("key").agg(F.sum(F.col("k") * F.log10(F.col("c") + 1.0)).alias("more"), F.sum("k").alias("more_known"))

@@ -401,37 +401,63 @@ def test_toxicity_on_the_table(spark):
 # language model ----------------------------------------------------------------------------------
 
 
+def plain_scores(tokens: dict, counts: Counter, pairs: Counter) -> dict:
+    """log10 probabilities with exact word counts and quantised pair counts."""
+    n, v, prior = sum(counts.values()), len(counts), language_model.PRIOR
+    met = lambda c: float(language_model.LEVEL_COUNTS[language_model.level_of(np.array([c]))[0]]) if c else 0.0
+    out = {}
+    for d, t in tokens.items():
+        p = [(counts[w] + 1) / (n + v + 1) for w in t]
+        follow = [(min(met(pairs[a, b]), counts[a]) + prior * q) / (counts[a] + prior) for a, b, q in zip(t, t[1:], p[1:])]
+        out[d] = math.log10(p[0]) + sum(map(math.log10, follow))
+    return out
+
+
 def test_language_model(spark, sf, docs, odd, empty):
     tokens = {d: [*words(r.text), None] for d, r in docs.items()}
-    counts = Counter(w for d, t in tokens.items() if zlib.crc32(str(d).encode()) % 7 != 2 for w in t)
-    n, v = sum(counts.values()), len(counts)
-    for options in ({}, {"frequent": 50, "paired": 20}):
-        got = language_model.language_model_scores(spark.read.parquet(f"{sf}/documents.parquet"), log_bits=22, **options).collect()
+    train = [t for d, t in tokens.items() if zlib.crc32(str(d).encode()) % 7 != 2]
+    counts, pairs = Counter(w for t in train for w in t), Counter(x for t in train for x in zip(t, t[1:]))
+    n, v, want = sum(counts.values()), len(counts), plain_scores(tokens, counts, pairs)
+    for frequent in (1 << 18, 50):
+        got = language_model.language_model_scores(spark.read.parquet(f"{sf}/documents.parquet"), least_bits=1 << 25, frequent=frequent).collect()
         for r in got:
             t = tokens[r.doc_id]
             assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(t), sum(w in counts for w in t), n, zlib.crc32(str(r.doc_id).encode()) % 7 == 2)
             assert r.base_score == pytest.approx(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in t))
+            assert r.score == pytest.approx(want[r.doc_id], rel=1e-9 if frequent > v else 0.05)
         held = [r for r in got if r.held_out]
-        assert sum(r.score for r in held) > sum(r.base_score for r in held) * 1.01
-    small = language_model.language_model_scores(odd, log_bits=16).collect()
+        assert sum(r.score for r in held) > sum(r.base_score for r in held)
+    small = language_model.language_model_scores(odd, least_bits=1 << 16).collect()
     assert Counter(r.n_tokens for r in small) == Counter(len(words(t)) + 1 for _, t, *_ in CASES) and all(r.score <= 0 for r in small)
-    assert language_model.language_model_scores(empty, log_bits=16).count() == 0
-
-
-def test_language_model_takes_all_pairs(spark, sf):
-    kind = "doc_id long, text string"
-    lines = [(2 * i, f"left{i} right{i} left{i} other{i}") for i in range(1500)] * 3
-    train = [(d, t) for d, t in lines if zlib.crc32(str(d).encode()) % 7 != 2]
-    top = max(d for d, _ in train) // 2
-    held = [i for i in range(10000, 10100) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
-    probes = [(held[0], f"left{top} right{top}"), (held[1], f"right{top} left{top - 1}")]
-    got = language_model.language_model_scores(spark.createDataFrame([*train, *probes], kind), log_bits=16).collect()
-    known, strange = (next(r.score for r in got if r.doc_id == i) for i in held)
-    assert known > strange + 2  # no word here is more frequent than others, and the filter has to grow
+    assert language_model.language_model_scores(empty, least_bits=1 << 16).count() == 0
+
+
+def test_probabilities_sum_to_one(spark):
+    """p(. | head) over all known words, the end and one unknown word, from scores of short texts."""
+    rng, names = random.Random(4), [f"w{i}" for i in range(60)]
+    train = [" ".join(rng.choices(names, [1 / (i + 1) for i in range(60)], k=40)) for _ in range(120)]
+    ids = [i for i in range(4000) if zlib.crc32(str(i).encode()) % 7 != 2][:120]
+    free = iter([i for i in range(200_000) if zlib.crc32(str(i).encode()) % 7 == 2])
+    known = [*names, "unseen"]
+    rows, ask = list(zip(ids, train, strict=True)), {}
+    for text in [*known, *[f"{h} {w}" for h in ("w0", "w3", "w50") for w in known]]:
+        ask[text] = next(free)
+        rows.append((ask[text], text))
+    counts = Counter(w for t in train for w in [*t.split(), None])
+    unigram = lambda w: math.log10((counts[w] + 1) / (sum(counts.values()) + len(counts) + 1))
+    got = {r.doc_id: r.score for r in language_model.language_model_scores(spark.createDataFrame(rows, "doc_id long, text string"), least_bits=1 << 22).collect()}
+    for h in ("w0", "w3", "w50"):
+        end = 10 ** (got[ask[h]] - unigram(h))
+        each = [10 ** (got[ask[f"{h} {w}"]] - unigram(h) - got[ask[w]] + unigram(w)) for w in known]
+        assert end + sum(each) == pytest.approx(1, abs=0.02)
+
+
+def test_language_model_by_segments(spark, sf):
+    """Where the filter is too large to broadcast, probes travel and the scores stay."""
     table = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     key = lambda r: (r.doc_id, r.n_tokens, round(r.score, 9), round(r.base_score, 6))
-    one = language_model.language_model_scores(table, log_bits=16)
-    two = language_model.language_model_scores(table, log_bits=16, held_bits=10)
+    one = language_model.language_model_scores(table, least_bits=1 << 16)
+    two = language_model.language_model_scores(table, least_bits=1 << 16, held_bits=1 << 10)
     assert sorted(map(key, one.collect())) == sorted(map(key, two.collect()))
 
 
@@ -439,7 +465,7 @@ def test_filter_levels():
     rng = np.random.default_rng(2)
     draw = lambda: rng.integers(0, 1 << 63, 3000).astype(np.uint64) * np.uint64(2)
     codes, counts = draw(), rng.integers(1, 5000, 3000)
-    own = language_model.LogFrequencyFilter(20, 3)
+    own = language_model.LogFrequencyFilter(1 << 18, 3)
     own.put(codes, language_model.level_of(counts))
     got = own.levels(codes)
     assert (got >= language_model.level_of(counts)).all() and (got == language_model.level_of(counts)).mean() > 0.95
