@@ -556,6 +556,36 @@ def test_boilerplate_splits_no_text():
     assert linked == [lines[1], "See the whole report of the year", lines[2]]
 
 
+def test_article_text_that_looks_like_boilerplate():
+    body = "".join(f"<p>{'words of the body ' * 9}{i}</p>" for i in range(5))
+    want = [re.sub("<[^>]*>", "", x) for x in re.findall("<p>.*?</p>", body)]
+    text = lambda inner: html_text.main_text(f"<nav>menu</nav><article>{inner}</article><footer>foot</footer>").split("\n")
+    assert text(f"<h1>Title</h1><p>Short lead.</p><div class='ad'><p>a<p>b<p>c<p>d</div>{body}") == ["Title", "Short lead.", *want]
+    assert text(f"<h2 id='related-work'>Related work</h2>{body}<h2 id='search'>Search</h2><p class='social'>S</p>") == ["Related work", *want, "Search", "S"]
+    assert text(f"<header class='post-header'><h1>Title</h1></header>{body}<section class='comments'><p>a reader</p></section>") == ["Title", *want]
+    assert html_text.main_text(f"<svg class='icon'/><div><iframe src=x></div><article>{body}</article>").split("\n") == want
+    menu = "<ul>" + "".join(f"<li><a href=/>menu {i}</a>" for i in range(6)) + "</ul>"
+    assert html_text.main_text(f"{menu}<div>{body}{menu}<p>A short last paragraph.</p></div>").split("\n") == [*want, "A short last paragraph."]
+    deep = html_text.main_text("<div><b>" * 20000 + "</i></p>" * 20000 + "<p>the text at the bottom of a deep page</p>")
+    assert deep == "the text at the bottom of a deep page"
+
+
+def plain_line_blocks(lines: list[tuple[str, int]]) -> list[str]:
+    """Lines (text, link characters) between the first and the last window that surges, window by window."""
+    own = [max(0, len(t) - 2 * n) for t, n in lines]
+    on = [i for i, w in enumerate(own) if w]
+    spans = [on[k : k + 3] for k in range(max(len(on) - 2, 1)) if sum(own[i] for i in on[k : k + 3]) >= 25] or [range(len(lines))]
+    return [lines[i][0] for i in range(spans[0][0], spans[-1][-1] + 1) if own[i] or 0 < i < len(lines) - 1 and own[i - 1] and own[i + 1] and spans[0][0] < i < spans[-1][-1]]
+
+
+def test_line_blocks_without_article():
+    rng = random.Random(8)
+    for _ in range(200):
+        lines = [("x" * rng.choice([3, 5, 9, 30, 80]), rng.random() < 0.3) for _ in range(rng.randint(1, 14))]
+        page = "".join(f"<p><a href=/>{t}</a></p>" if link else f"<p>{t}</p>" for t, link in lines)
+        assert html_text.main_text(page) == "\n".join(plain_line_blocks([(t, len(t) * link) for t, link in lines]))
+
+
 def test_broken_pages(spark):
     assert html_text.main_text("") == "" and html_text.main_text("<p") == "" and html_text.main_text("just text") == "just text"
     assert html_text.main_text("<nav><ul><li>menu<article><p>Kept &amp") == "Kept &"
