@@ -59,12 +59,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token shards, and what reading them back gives for each document; rows without doc_id have shards of their own."""
-    path = public_tokenizers.path("byte_bpe_50k.json")
-    named, unnamed = token_output(docs, path), _keyed(docs.where("doc_id is null"))
-    if unnamed.isEmpty():
-        return named
-    return named.unionByName(token_output(_by_row(unnamed), path).withColumn("doc_id", F.lit(None).cast(named.schema["doc_id"].dataType)))
+    """Token shards, and what reading them back gives for each document; rows without doc_id come last."""
+    return token_output(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 STAGES = [("toxicity", toxicity), ("near_dedup", near_dedup), ("decontamination", decontamination), ("mixing", mixing), ("token_output", token_ids)]
