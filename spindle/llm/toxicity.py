@@ -10,6 +10,7 @@ is penalised, so that the mention of a group alone moves no score.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -46,19 +47,22 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def fit(rows: list[tuple[int, list[int]]], swaps: list[tuple[list[int], list[int], float]], size: int, *, l1: float, counterfactual: float, steps: int = 500) -> tuple[np.ndarray, float]:
+def fit(y: np.ndarray, col: np.ndarray, sizes: np.ndarray, swaps: list[tuple[list[int], list[int], float]], size: int, *, l1: float, counterfactual: float, steps: int = 500, held: int = 1 << 20) -> tuple[np.ndarray, float]:
     """Weights of size features and the bias, by accelerated proximal gradient steps.
 
-    rows: label and features of each document. swaps: features lost and gained by a swap, and how
-    often labelled sentences offer it. Columns are scaled to one length; l1 counts in standard
-    deviations of the gradient that a feature without any bearing on the label would have.
+    y: label of each document; col: the features of all documents in a row, sizes of them each. swaps:
+    features lost and gained by a swap, and how often labelled sentences offer it. Columns are scaled
+    to one length; l1 counts in standard deviations of the gradient that a feature without any bearing
+    on the label would have. About held features are worked on at a time.
     """
-    y = np.array([r[0] for r in rows], dtype=float)
     n = len(y)
-    at = np.repeat(np.arange(n), [len(r[1]) for r in rows])
-    col = np.array([c for r in rows for c in r[1]], dtype=np.int64)
-    scale = 1 / np.sqrt(np.maximum(np.bincount(col, minlength=size), 1) / n)
-    value = scale[col] if len(col) else np.zeros(0)
+    ends = np.cumsum(sizes)
+    cuts = np.unique(np.concatenate([[0], np.searchsorted(ends, np.arange(held, ends[-1] if n else 0, held)), [n]]))
+    blocks = [(a, b, col[(ends[a - 1] if a else 0) : ends[b - 1]], sizes[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    counts = np.zeros(size, np.int64)
+    for *_, own, _ in blocks:
+        counts += np.bincount(own, minlength=size)
+    scale = 1 / np.sqrt(np.maximum(counts, 1) / n)
     weight = np.array([s[2] for s in swaps], dtype=float)
     weight = weight / max(weight.sum(), 1)
     s_at = np.repeat(np.arange(len(swaps)), [len(a) + len(b) for a, b, _ in swaps])
@@ -66,10 +70,18 @@ def fit(rows: list[tuple[int, list[int]]], swaps: list[tuple[list[int], list[int
     s_value = np.array([x for a, b, _ in swaps for x in [-1.0] * len(a) + [1.0] * len(b)]) * (scale[s_col] if len(s_col) else 1)
 
     def times(u: np.ndarray) -> np.ndarray:
-        return np.bincount(at, value * u[col], minlength=n)
+        out, scaled = np.zeros(n), scale * u
+        for a, b, own, each in blocks:
+            full = each > 0
+            if full.any():
+                out[a:b][full] = np.add.reduceat(scaled[own], (np.cumsum(each) - each)[full])
+        return out
 
     def back(e: np.ndarray) -> np.ndarray:
-        return np.bincount(col, value * e[at], minlength=size)
+        out = np.zeros(size)
+        for a, b, own, each in blocks:
+            out += np.bincount(own, np.repeat(e[a:b], each), minlength=size)
+        return scale * out
 
     def swapped(u: np.ndarray) -> np.ndarray:
         """Gradient of half the mean square of the changes that swaps make."""
@@ -148,14 +160,17 @@ def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = 40_000, min_doc
             found = [words(t) for t in batch["text"].to_pylist()]
             own = [sorted({place[f] for w in ws for f in features(w) if f in place}) for ws in found]
             terms = [sorted(ws & kinds.keys()) for ws in found]
-            yield pa.RecordBatch.from_arrays([batch["toxic"].cast(pa.int32()), pa.array(own, pa.list_(pa.int32())), pa.array(terms, pa.list_(pa.string()))], ["toxic", "own", "terms"])
-
-    rows = sample.mapInArrow(chosen_features, "toxic int, own array<int>, terms array<string>").collect()
-    rows = sorted((int(r.toxic > 0), list(r.own), list(r.terms)) for r in rows)
-    offered = Counter(t for _, _, terms in rows for t in terms)
+            order = [zlib.crc32(np.array(x, np.int32).tobytes()) for x in own]  # so that reruns add up alike
+            yield pa.RecordBatch.from_arrays([batch["toxic"].cast(pa.int32()), pa.array(order, pa.int64()), pa.array(own, pa.list_(pa.int32())), pa.array(terms, pa.list_(pa.string()))], ["toxic", "order", "own", "terms"])
+
+    rows = sample.mapInArrow(chosen_features, "toxic int, order long, own array<int>, terms array<string>").toArrow()
+    rows = rows.sort_by([("toxic", "ascending"), ("order", "ascending")]).combine_chunks()
+    offered = {x["values"].as_py(): x["counts"].as_py() for x in rows["terms"].combine_chunks().flatten().value_counts()}
+    own = rows["own"].combine_chunks()
+    labelled = (np.asarray(rows["toxic"]) > 0).astype(float), np.asarray(own.flatten()), np.diff(np.asarray(own.offsets))
     of = lambda t: [place[f] for f in features(t) if f in place]
-    swaps = [(of(a), of(b), 1.0 + offered[a]) for terms in IDENTITY.values() for a in terms for b in terms if a != b and (of(a) or of(b))]
-    w, bias = fit([(y, own) for y, own, _ in rows], swaps, len(place), l1=l1, counterfactual=counterfactual)
+    swaps = [(of(a), of(b), 1.0 + offered.get(a, 0)) for terms in IDENTITY.values() for a in terms for b in terms if a != b and (of(a) or of(b))]
+    w, bias = fit(*labelled, swaps, len(place), l1=l1, counterfactual=counterfactual)
     return {f: float(w[i]) for f, i in place.items() if w[i]}, bias
 
 
