@@ -41,6 +41,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def gathered(df: DataFrame, rows: int = 50_000) -> DataFrame:
+    """df, of narrow rows, checkpointed, and read in as many partitions as there are times rows in it.
+
+    Small tables in many partitions would make every later shuffle write a file for each of them.
+    """
+    out = checkpointed(df)
+    return out.coalesce(out.count() // rows + 1)
+
+
 def _sized(ids: DataFrame) -> DataFrame:
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     return F.broadcast(ids) if few else ids

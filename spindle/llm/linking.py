@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindle.llm.common import checkpointed
+from spindle.llm.common import checkpointed, gathered
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -21,7 +21,7 @@ def components(edges: DataFrame) -> DataFrame:
     smaller ones, are hung on its smallest neighbour. The number of rounds grows with the logarithm
     of the longest chain; neighbour lists are never gathered, so a node may have any number of them.
     """
-    edges = checkpointed(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    edges = gathered(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
 
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
@@ -35,7 +35,7 @@ def components(edges: DataFrame) -> DataFrame:
         least = hung.groupBy("u").agg(F.min("v").alias("m"))
         pairs = hung.join(least, "u")
         hung = pairs.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        edges = checkpointed(hung.distinct())
+        edges = gathered(hung.distinct())
         before, now = now, state(edges)
         if before == now:
             break
@@ -76,7 +76,7 @@ def link(items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: i
     traits = ["node", "n"]
     keyed = items.select(*traits, "copies", F.explode("keys").alias("key"))
     buckets = keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    members = checkpointed(keyed.join(buckets, "key"))
+    members = gathered(keyed.join(buckets, "key"))
     weights = members.groupBy("node").agg(F.floor(F.log(F.sum("members")) / np.log(1.125)).alias("weight"))
     members = members.join(weights, "node").select("key", *traits, "copies", "weight")
 
@@ -91,17 +91,17 @@ def link(items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: i
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         nodes = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-        return checkpointed(verified(pairs, sets_of(nodes), percent))
+        return gathered(verified(pairs, sets_of(nodes), percent))
 
     def mixed(labels: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Members with their components, and the buckets of several with the largest of these."""
-        labelled = checkpointed(members.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
+        labelled = gathered(members.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
         sizes = labelled.groupBy("key", "comp").agg(F.count("*").alias("c"), F.min("n").alias("n"))
         largest = F.max_by("comp", F.struct("c", "comp")).alias("major")
         return labelled, sizes.groupBy("key").agg(largest, F.count("*").alias("comps"), F.min("n").alias("least")).where("comps > 1")
 
     heaviest = members.groupBy("key").agg(F.max_by(F.struct(*traits), F.struct("weight", "copies", "node")).alias("hub"))
-    pairs = checkpointed(against(members, heaviest))
+    pairs = gathered(against(members, heaviest))
     edges = confirmed(pairs)
     labels = components(edges)
 
@@ -110,25 +110,25 @@ def link(items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: i
     turn = F.xxhash64("node", F.pmod(F.xxhash64("key"), F.lit(tries)))
     chosen = inside.where("comp = major").groupBy("key").agg(F.max_by(F.struct(*traits), F.struct("weight", turn)).alias("hub"))
     again = against(inside.where("comp <> major").select("key", *traits), chosen)
-    again = checkpointed(again.join(pairs, ["u", "v"], "left_anti"))
+    again = gathered(again.join(pairs, ["u", "v"], "left_anti"))
     if not again.isEmpty():
-        edges, pairs = checkpointed(edges.union(confirmed(again))), pairs.union(again)
+        edges, pairs = gathered(edges.union(confirmed(again))), pairs.union(again)
         labels = components(edges)
         labelled, several = mixed(labels)
 
     inside = labelled.join(several.select("key", "major", "least"), "key")
     left = inside.groupBy("node").agg(F.first("comp").alias("comp"), F.max((F.col("comp") != F.col("major")).cast("int")).alias("minor"), *[F.first(c).alias(c) for c in traits[1:]], F.min("least").alias("least"))
-    left = checkpointed(left)
+    left = gathered(left)
     if left.isEmpty():
         return labels
-    prefixes = checkpointed(_prefixes(left, sets_of(left.select("node")), percent))
+    prefixes = gathered(_prefixes(left, sets_of(left.select("node")), percent))
     minor = prefixes.where("minor = 1").select("item", F.struct(*traits, "comp", "place").alias("x"))
     # items up to the shared ones may differ, those after them may all agree
     most = 1 + F.least(F.col("n") - F.col("place"), F.col("x.n") - F.col("x.place"))
     rest = minor.join(prefixes, "item").where("comp <> x.comp").where(near("x")).where((100 + percent) * most >= percent * (F.col("n") + F.col("x.n")))
     rest = rest.select(F.least("x.node", "node").alias("u"), F.greatest("x.node", "node").alias("v")).distinct()
     tried = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    rest = checkpointed(rest.join(tried, ["u", "v"], "left_anti"))
+    rest = gathered(rest.join(tried, ["u", "v"], "left_anti"))
     if rest.isEmpty():
         return labels
     return components(edges.union(confirmed(rest)))
