@@ -20,6 +20,10 @@ SPACES = r"[\x20\x09-\x0D]+"
 WINDOW = 8
 #: Metrics, as whole numbers: characters per 100 words, and per 1000 words or lines.
 METRICS = ("word_length", "symbol_rate", "dup_line_rate", "repeat_rate", "stutter_rate")
+#: What one event adds to a metric times its denominator: 20 more characters, a symbol, a line, a window found twice, a word.
+EVENTS = {"word_length": (2000, "n_words"), "symbol_rate": (1000, "n_words"), "dup_line_rate": (1000, "n_lines"), "repeat_rate": (16000, "n_words"), "stutter_rate": (1000, "n_words")}
+#: Values that are sketched: the metrics and the sizes they are divided by.
+SKETCHED = (*METRICS, "n_words", "n_lines")
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -96,44 +100,49 @@ def with_metrics(measured: DataFrame) -> DataFrame:
 
 def sketches(measured: DataFrame, keys: list[str]) -> DataFrame:
     """keys, metric, bin, n: the number of documents that passed the base rules in each bin."""
-    entries = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in METRICS]))
+    entries = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in SKETCHED]))
     spread = measured.where("not base_failed").select(*keys, entries.alias("e")).select(*keys, "e.metric", "e.value")
     shift = F.greatest(F.length(F.bin("value")) - 6, F.lit(0))
     width = F.pow(F.lit(2.0), shift).cast("long")
     return spread.withColumn("bin", F.floor(F.col("value") / width) * width).groupBy(*keys, "metric", "bin").agg(F.count("*").alias("n"))
 
 
-def quantiles(sketch: DataFrame, keys: list[str], low: float, high: float) -> DataFrame:
-    """keys, metric, docs and the bins that hold the two quantiles."""
+def quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, metric, docs and the bins that hold the quartiles and the median."""
     group = Window.partitionBy(*keys, "metric")
     ranked = sketch.withColumns({"upto": F.sum("n").over(group.orderBy("bin")), "docs": F.sum("n").over(group)})
     at = lambda q: F.min(F.when(F.col("upto") >= F.col("docs") * q, F.col("bin")))
-    return ranked.groupBy(*keys, "metric").agg(F.first("docs").alias("docs"), at(low).alias("lo"), at(high).alias("hi"))
+    return ranked.groupBy(*keys, "metric").agg(F.first("docs").alias("docs"), at(0.25).alias("lo"), at(0.5).alias("mid"), at(0.75).alias("hi"))
 
 
-def thresholds(measured: DataFrame, *, min_docs: int = 100, reach: int = 3, spread: dict[str, int] | None = None) -> DataFrame:
+def thresholds(measured: DataFrame, *, min_docs: int = 100, reach: int = 4) -> DataFrame:
     """lang, source and the bounds of each metric for that group.
 
-    A bound lies reach times the spread between the quartiles (at least the metric's own least
-    spread) beyond the quartile. Groups of fewer than min_docs documents take their language's sketch,
-    and languages of fewer the sketch of all.
+    A bound lies reach times the spread between the quartiles beyond the quartile. A metric that is
+    zero in most documents has no such spread: a spread is at least what one event makes of the metric
+    in a document of the group's median size, so that groups of short documents are allowed higher
+    rates. Quartiles hold as long as less than a quarter of a group is junk. Groups of fewer than
+    min_docs documents take their language's sketch, and languages of fewer the sketch of all.
     """
-    spread = spread or {"word_length": 60, "symbol_rate": 40, "dup_line_rate": 160, "repeat_rate": 100, "stutter_rate": 40}
     fine = sketches(measured, ["lang", "source"])
     by_lang = fine.groupBy("lang", "metric", "bin").agg(F.sum("n").alias("n"))
     overall = by_lang.groupBy("metric", "bin").agg(F.sum("n").alias("n"))
-    one = quantiles(fine, ["lang", "source"], 0.25, 0.75)
-    two = quantiles(by_lang, ["lang"], 0.25, 0.75).select(F.col("lang").alias("lang2"), F.col("metric").alias("metric2"), F.struct("docs", "lo", "hi").alias("two"))
-    all_ = quantiles(overall, [], 0.25, 0.75).select(F.col("metric").alias("metric3"), F.struct("docs", "lo", "hi").alias("three"))
+    held = F.struct("docs", "lo", "mid", "hi")
+    one = quantiles(fine, ["lang", "source"])
+    two = quantiles(by_lang, ["lang"]).select(F.col("lang").alias("lang2"), F.col("metric").alias("metric2"), held.alias("two"))
+    all_ = quantiles(overall, []).select(F.col("metric").alias("metric3"), held.alias("three"))
     same = F.col("lang").eqNullSafe(F.col("lang2")) & (F.col("metric") == F.col("metric2"))
     both = one.join(two, same).join(all_, F.col("metric") == F.col("metric3"))
-    used = F.when(F.col("docs") >= min_docs, F.struct("docs", "lo", "hi")).when(F.col("two.docs") >= min_docs, F.col("two")).otherwise(F.col("three"))
-    both = both.select("lang", "source", "metric", used.alias("q"))
-    least = F.element_at(F.create_map(*[F.lit(x) for kv in spread.items() for x in kv]), F.col("metric"))
-    gap = reach * F.greatest(F.col("q.hi") - F.col("q.lo"), least)
-    both = both.select("lang", "source", "metric", (F.col("q.lo") - gap).alias("lower"), (F.col("q.hi") + gap).alias("upper"))
-    picked = lambda m, c: F.max(F.when(F.col("metric") == m, F.col(c)))
-    return both.groupBy("lang", "source").agg(*[picked(m, c).alias(f"{m}_{c}") for m in METRICS for c in ("lower", "upper")])
+    used = F.when(F.col("docs") >= min_docs, held).when(F.col("two.docs") >= min_docs, F.col("two")).otherwise(F.col("three"))
+    groups = both.groupBy("lang", "source").agg(*[F.max(F.when(F.col("metric") == m, used)).alias(m) for m in SKETCHED])
+
+    def bounds(metric: str) -> list[Column]:
+        event, size = EVENTS[metric]
+        q = F.col(metric)
+        gap = reach * F.greatest(q["hi"] - q["lo"], F.floor(F.lit(event) / F.col(size)["mid"]))
+        return [(q["lo"] - gap).alias(f"{metric}_lower"), (q["hi"] + gap).alias(f"{metric}_upper")]
+
+    return groups.select("lang", "source", *[c for m in METRICS for c in bounds(m)])
 
 
 def quality_rules(docs: DataFrame, **options) -> DataFrame:

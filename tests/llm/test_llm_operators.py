@@ -291,6 +291,19 @@ def test_quality_agrees_with_labels(spark, sf):
     assert sum(r.kept == bool(labels[r.doc_id]) for r in got) >= 0.95 * len(got)
 
 
+def test_quality_thresholds_differ_by_group(spark):
+    """A group of long, even documents and one of short, uneven ones have bounds of their own for every metric."""
+    rows = [("en", "long", 500, 40, 480 + i % 5) for i in range(120)] + [("en", "short", 50, 4, 450 + i % 90) for i in range(120)] + [("en", "few", 20, 1, 500)]
+    zeros = [f"0L AS {m}" for m in quality.METRICS if m != "word_length"]
+    measured = spark.createDataFrame(rows, "lang string, source string, n_words long, n_lines long, word_length long").selectExpr("*", *zeros, "false AS base_failed")
+    got = {r.source: r for r in quality.thresholds(measured).collect()}
+    assert [got["long"][f"{m}_upper"] for m in quality.METRICS[1:]] == [4 * x for x in (1000 // 496, 1000 // 40, 16000 // 496, 1000 // 496)]
+    assert [got["short"][f"{m}_upper"] for m in quality.METRICS[1:]] == [4 * x for x in (20, 250, 320, 20)]
+    assert got["long"].word_length_lower > got["short"].word_length_lower and got["long"].word_length_upper < got["short"].word_length_upper
+    # too few documents: the sketch of the language, whose median size is that of the short ones
+    assert got["few"].symbol_rate_upper == got["short"].symbol_rate_upper
+
+
 # mixing ------------------------------------------------------------------------------------------
 
 
