@@ -70,8 +70,9 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, fir
 
     A null or blank text has an empty set and is linked with nothing. Texts with fewer words than a
     shingle are one shingle. Rows that share a doc_id are one document: a link of one is a link of
-    all. A row without doc_id is compared like any other, has its component's smallest known id or
-    null, and is kept only if there is none.
+    all. A row without doc_id belongs to the rows of an equal set: it has their component's smallest
+    known id, and if none of them has an id, null, no near copies, and is kept, like all rows of that set.
+    Give rows without ids numbers, as the pipeline does, to have them compared.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     base = checkpointed(docs.mapInArrow(_sketches(shingle, first, second), _SKETCH))
