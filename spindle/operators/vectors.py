@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Query rows that are broadcast; more of them are searched in blocks.
+#: Query rows that are broadcast at once, about; more of them are searched in blocks.
 QUERY_BLOCK = 1000
 
 
@@ -58,13 +58,22 @@ def clause_of(options: dict[str, object]) -> dict | None:
     return None if not given else given[0] if len(given) == 1 else {"$and": given}
 
 
-def top_k(queries: DataFrame, rows: DataFrame, k: int, where: Column | None = None) -> DataFrame:
+def top_k(queries: DataFrame, rows: DataFrame, k: int, where: Column | None = None, block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, vec_id, score and rank of the k nearest rows of each query; equal scores go by vec_id.
 
-    queries: (query_id, query), at most QUERY_BLOCK, which are broadcast. Each task keeps its own k
-    best of a query before anything is shuffled.
+    queries: (query_id, query), one row each. They are counted, and dealt by query_id to blocks of
+    about block rows; each block is broadcast and searched on its own, so that no broadcast grows with
+    the queries. Each task keeps its own k best of a query before anything is shuffled.
     """
     rows = rows if where is None else rows.where(where)
+    blocks = max(1, -(-queries.count() // block))
+    if blocks == 1:
+        return _nearest(queries, rows, k)
+    own = lambda i: queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
+    return reduce(DataFrame.union, [_nearest(own(i), rows, k) for i in range(blocks)])
+
+
+def _nearest(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     left = F.broadcast(queries.select("query_id", "query", norm(F.col("query")).alias("qn")))
     own = rows.select("vec_id", "embedding", norm(F.col("embedding")).alias("vn"))
     scored = own.crossJoin(left).select("query_id", "vec_id", cosine(F.col("embedding"), F.col("query"), F.col("vn"), F.col("qn")).alias("score"))

@@ -33,6 +33,13 @@ def test_predicate_nulls(spark):
     assert ids(None) == [1, 2, 3]
 
 
+def test_top_k_in_blocks(spark):
+    rows = spark.range(60).select(F.col("id").alias("vec_id"), F.array(F.cos(F.col("id") % 20), F.sin(F.col("id") % 20)).alias("embedding"))
+    asked = rows.where("vec_id % 4 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    whole, parts, none = (sorted(map(tuple, vectors.top_k(q, rows, 5, block=b).collect())) for q, b in ((asked, 1000), (asked, 4), (asked.where("false"), 4)))
+    assert len(whole) == 15 * 5 and whole == parts and none == []
+
+
 def test_budget_skips_and_goes_on(spark):
     rows = [(1, i, "p", "s", "x" * n) for i, n in enumerate((100, 4000, 40), 1)]
     df = spark.createDataFrame(rows, "query_id int, place int, path string, symbol string, content string")
