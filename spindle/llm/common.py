@@ -99,12 +99,12 @@ class HashFilter:
         return out
 
 
-_PARTS = 6  #: a filter is built in so many parts, as a power of two
+_PARTS = 6  #: a filter is built in so many parts, as a power of two, of a byte at least
 
 
 def hash_filter(hashes: DataFrame, column: str, log_bits: int) -> HashFilter:
     """A filter of the hashes, built by the executors in parts; the driver gets its bytes, whose number is fixed."""
-    bits = np.uint64(log_bits - _PARTS)
+    bits = np.uint64(log_bits - min(_PARTS, log_bits - 3))
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from spindle.llm import decontaminate, html_text, language_model, mixing, near_dedup, paragraph_dedup, quality, token_counts, token_output, toxicity
+from spindle.llm import decontaminate, fill_in_middle, html_text, importance, language_model, mixing, near_dedup, packing, paragraph_dedup, quality, token_counts, token_output, toxicity
 from spindle.llm.common import table
 from spindle.llm.sql import SQL as SQL
 
 TOKENIZER = "byte_bpe_50k.json"
+PACKING_TOKENIZER = "word_bpe_49k.json"
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +57,23 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_output(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality, op2_token_counts, op3_near_dedup, op4_paragraph_dedup, op5_mixing, op6_toxicity, op7_lm_scoring, op8_decontamination, op9_html_extraction, op10_token_output)
-}
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = importance.importance_resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(fill_in_middle.restored(), 256).alias("restored_sha256"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.packed_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path(PACKING_TOKENIZER))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+_ALL = (
+    op1_quality, op2_token_counts, op3_near_dedup, op4_paragraph_dedup, op5_mixing, op6_toxicity, op7_lm_scoring, op8_decontamination,
+    op9_html_extraction, op10_token_output, op11_importance_resampling, op12_fill_in_middle, op13_packing,
+)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}

@@ -93,4 +93,43 @@ m AS (SELECT doc_id, size, stop - size AS start, stop, blocks, extra, turned, un
 x AS (SELECT doc_id, sum(least((b + 1) * 16, stop) - greatest(b * 16, start)) AS more FROM m WHERE (b * 2654435761 + turned) % blocks < extra GROUP BY doc_id)
 SELECT doc_id, size, source_size, target, (coalesce(passes, 0) * size + coalesce(more, 0))::BIGINT AS taken FROM l LEFT JOIN p USING (place, shard) LEFT JOIN x USING (doc_id)"""
 
-SQL: dict[str, str] = {"op1_quality": _QUALITY, "op3_near_dedup": _NEAR, "op5_mixing": _MIX, "op8_decontamination": _DECONTAMINATION}
+def _digest_number(text: str, group: int) -> str:
+    """Eight hex digits of a sha256, from group * 8 on, as a number."""
+    return f"('0x' || substr(sha256({text}), {8 * group + 1}, 8))::BIGINT"
+
+
+def _grams(table: str) -> str:
+    words = f"(SELECT row_number() OVER () AS r, * FROM (SELECT *, {_words(_FOLDED, _OTHERS)} AS ws FROM {table}))"
+    return f"(SELECT r, unnest(ws || list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) AS f FROM {words})"
+
+
+_IMPORTANCE = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_words(_FOLDED, _OTHERS)} AS ws FROM documents),
+df AS (SELECT r, unnest(ws || list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) AS f FROM d),
+bf AS (SELECT f FROM {_grams("benchmark")}),
+bits AS (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) AS c FROM (SELECT unnest(range(256))::BIGINT AS i)),
+tab AS (SELECT list(c ORDER BY i) AS t FROM bits),
+bytes AS (SELECT f, hex(encode(f)) AS x FROM (SELECT f FROM df UNION SELECT f FROM bf)),
+crc AS (SELECT f, xor(list_reduce([4294967295::BIGINT] || list_transform(range(len(x) // 2), lambda j: ('0x' || substr(x, 2 * j + 1, 2))::BIGINT), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS b FROM bytes, tab),
+raw AS (SELECT b, count(*) AS s FROM df JOIN crc USING (f) GROUP BY b), goal AS (SELECT b, count(*) AS t FROM bf JOIN crc USING (f) GROUP BY b),
+gain AS (SELECT b, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM df) + 10000)::DOUBLE / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT count(*) FROM bf) + 10000)::DOUBLE)))::BIGINT AS g FROM raw FULL JOIN goal USING (b)),
+w AS (SELECT r, count(*) AS n, floor(sum(g)::DOUBLE / count(*))::BIGINT AS weight FROM df JOIN crc USING (f) JOIN gain USING (b) GROUP BY r),
+c AS (SELECT d.r, doc_id, len(ws) >= 20 AS able, coalesce(n, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+  (coalesce(weight, 0) + floor(-1000 * ln(-ln(({_digest_number("'7:' || doc_id", 0)} + 0.5::DOUBLE) / 4294967296::DOUBLE))))::BIGINT AS score FROM d LEFT JOIN w USING (r)),
+k AS (SELECT *, row_number() OVER (PARTITION BY able ORDER BY score DESC, doc_id) AS place FROM c)
+SELECT doc_id, n_features, weight, score, CASE WHEN able AND place <= 25 * (SELECT count(*) FROM c WHERE able) // 100 THEN place END AS rank FROM k"""
+
+_MIDDLE = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS us FROM documents),
+h AS (SELECT *, len(us)::BIGINT AS n, {", ".join(f"{_digest_number(chr(39) + '42:' + chr(39) + ' || doc_id', g)} AS h{g + 1}" for g in range(4))} FROM d),
+c AS (SELECT *, CASE WHEN text = '' OR regexp_matches(text, '<[PSM]>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form, least(h1 % (n + 1), h2 % (n + 1)) AS lo, greatest(h1 % (n + 1), h2 % (n + 1)) AS hi FROM h),
+p AS (SELECT *, {", ".join(f"coalesce(array_to_string(list_filter(us, lambda u, i: i > {a} AND i <= {b}), ''), '') AS {x}" for x, a, b in (("p", 0, "lo"), ("m", "lo", "hi"), ("s", "hi", "n")))} FROM c),
+o AS (SELECT *, CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END AS output FROM p),
+r AS (SELECT *, string_split_regex(output, '<[PSM]>') AS ps FROM o)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars, sha256(output) AS output_sha256,
+sha256(CASE form WHEN 'plain' THEN output WHEN 'psm' THEN ps[2] || ps[4] || ps[3] ELSE ps[3] || ps[4] || ps[2] END) AS restored_sha256 FROM r"""
+
+SQL: dict[str, str] = {
+    "op1_quality": _QUALITY, "op3_near_dedup": _NEAR, "op5_mixing": _MIX, "op8_decontamination": _DECONTAMINATION,
+    "op11_importance_resampling": _IMPORTANCE, "op12_fill_in_middle": _MIDDLE,
+}

@@ -621,3 +621,12 @@ def test_words_are_those_of_the_pattern(texts):
         got = [found.data[a:b].tobytes().decode() for a, b in zip(found.start, found.end, strict=True)]
         assert got == [x for w in own for x in w]
         assert len(set(found.hash.tolist())) == len(set(got))
+
+
+@pytest.mark.parametrize("log_bits", [3, 6, 9, 23])
+def test_filters_of_any_size_hold_what_was_put_in(spark, log_bits):
+    from spindle.llm.common import hash_filter
+
+    df = spark.range(300).select(F.xxhash64("id").alias("h"))
+    held = np.array([r.h for r in df.collect()], np.int64).view(np.uint64)
+    assert hash_filter(df, "h", log_bits).holds(held).all()
