@@ -165,7 +165,7 @@ def block_end(lines: list[str], start: int, ahead: int = 4000) -> int:
     outer = [m for m, open_ in zip(marks, inside) if not open_ and m[0] in "{};"]
     level = accumulate((m[0] == "{") - (m[0] == "}") for m in outer)
     first = next((i for i, m in enumerate(outer) if m[0] == "{"), len(outer))
-    ends = (m for i, (m, depth) in enumerate(zip(outer, level, strict=True)) if (i >= first and m[0] != ";" and depth == 0) or (i < first and m[0] == ";"))
+    ends = (m for i, (m, depth) in enumerate(zip(outer, level, strict=True)) if (i >= first and m[0] == "}" and depth == 0) or (i < first and m[0] == ";"))
     if end := next(ends, None):
         return start + body.count("\n", 0, end.start())
     return min(len(lines), start + ahead) if first < len(outer) else start

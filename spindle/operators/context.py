@@ -84,6 +84,37 @@ def packed(chunks: DataFrame, limit: int, over: int = 700) -> DataFrame:
     return chunks.join(states, ["query_id", "place"])
 
 
+def statistics(context: DataFrame) -> DataFrame:
+    """query_id with used_tokens, included, compressed and trimmed chunks, and the trimmed symbols in order of place, of packed rows."""
+    state = F.col("state")
+    trimmed = F.array_sort(F.collect_list(F.when(state == "trimmed", F.struct("place", "symbol"))))
+    return context.groupBy("query_id").agg(
+        F.sum("tokens").cast("long").alias("used_tokens"), F.count_if(state != "trimmed").alias("included"), F.count_if(state == "compressed").alias("compressed"), F.count_if(state == "trimmed").alias("trimmed"),
+        F.array_join(F.transform(trimmed, lambda t: t["symbol"]), ",").alias("trimmed_symbols"),
+    )
+
+
+def summary(context: DataFrame, repository: Column) -> DataFrame:
+    """query_id and one sentence on the chunks (path, language, framework) that a context includes: frameworks, languages and number of files, if there are any."""
+    kept = context.where("state <> 'trimmed'").withColumn("repository_name", repository)
+    names = lambda c: F.array_join(F.array_sort(F.collect_set(F.when(F.col(c) != "", F.col(c)))), ", ")
+    own = kept.groupBy("query_id").agg(F.max("repository_name").alias("name"), names("framework").alias("frameworks"), names("language").alias("languages"), F.count_distinct("path").alias("files"))
+    parts = F.array(
+        F.concat(F.lit("Repository '"), F.col("name"), F.lit("'")),
+        F.when(F.col("frameworks") != "", F.concat(F.lit("framework: "), F.col("frameworks"))), F.when(F.col("languages") != "", F.concat(F.lit("languages: "), F.col("languages"))),
+        F.concat(F.col("files").cast("string"), F.lit(" relevant file(s) in context")),
+    )
+    return own.select("query_id", F.concat(F.array_join(parts, "; "), F.lit(".")).alias("summary"))
+
+
+def shown_sources(context: DataFrame, files: int = 8, symbols: int = 10) -> DataFrame:
+    """query_id, the first distinct files and symbols of included chunks in order of place, and how many more chunks than those shown there are; top_score is the best of them."""
+    kept = context.where("state <> 'trimmed'").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("place", "path", "symbol"))).alias("own"), F.max("final").alias("top_score"))
+    first = lambda c, n: F.slice(F.array_distinct(F.transform("own", lambda x: x[c])), 1, n)
+    more = lambda n: F.greatest(F.size("own") - n, F.lit(0)).cast("long")
+    return kept.select("query_id", F.array_join(first("path", files), ",").alias("files"), more(files).alias("more_files"), F.array_join(first("symbol", symbols), ",").alias("symbols"), more(symbols).alias("more_symbols"), F.round("top_score", 6).alias("top_score"))
+
+
 def prompts(context: DataFrame, questions: DataFrame) -> DataFrame:
     """query_id, prompt and tokens: sections in order, each with its chunks in order of place, then the question."""
     header = F.concat(F.lit("## "), F.col("symbol"), F.lit(" ("), F.col("kind"), F.lit(") — "), F.col("path"), F.when(F.col("state") == "compressed", " (compressed)").otherwise(""))

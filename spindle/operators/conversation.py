@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 
 from spindle.functions import text as T
 from spindle.operators.classify import analyzed
+from spindle.session import stored
 
 REJOIN, JOIN = 0.5, 0.18
 THREADS = "conv_id long, turn long, thread_id string, domain string, is_new boolean"
@@ -101,6 +102,34 @@ def relevance(messages: DataFrame, prompts: DataFrame, *, top: int = 5, threshol
     return kept.select("conv_id", "thread_id", "turn", "score")
 
 
+def packets(messages: DataFrame, prompts: DataFrame, *, top: int = 5, threshold: float = 3.0) -> DataFrame:
+    """What a model gets for a new prompt of a conversation: conv_id, thread_id, is_new_topic, total_history, used_count, reason, topic_keywords, turns.
+
+    messages: the history (conv_id, turn, role, text); prompts: (conv_id, prompt), one each. The prompt
+    takes part in the replay as a last message, so its thread is found as any message's, and the
+    history's threads stay as they are. Without history it opens t1. turns: the relevant user
+    messages of its thread, by score, and the prompt, as (role, text). Conversations without a prompt have no
+    packet; a null prompt is empty.
+    """
+    asked = prompts.select("conv_id", F.coalesce("prompt", F.lit("")).alias("prompt"))
+    own = messages.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text")).join(asked.select("conv_id"), "conv_id", "left_semi")
+    past = asked.join(own.groupBy("conv_id").agg(F.max("turn").alias("last"), F.count_if(F.col("role") == "user").alias("total")), "conv_id", "left")
+    asked = past.select("conv_id", "prompt", (F.coalesce("last", F.lit(-1)) + 1).alias("at"), F.coalesce("total", F.lit(0)).alias("total_history"))
+    told = stored(threads(own.unionByName(asked.select("conv_id", F.col("at").alias("turn"), F.lit("user").alias("role"), F.col("prompt").alias("text")))))
+    new = told.join(asked, (told["conv_id"] == asked["conv_id"]) & (told["turn"] == asked["at"])).select(asked["conv_id"], "prompt", "at", "total_history", "thread_id", "is_new")
+    held = own.join(told.select("conv_id", "turn", "thread_id"), ["conv_id", "turn"])
+    of_thread = held.join(new.where("not is_new").select("conv_id", "thread_id"), ["conv_id", "thread_id"], "left_semi")
+    chosen = relevance(of_thread, new.where("not is_new").select("conv_id", "prompt"), top=top, threshold=threshold)
+    chosen = chosen.join(own, ["conv_id", "turn"]).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("by"), (-F.col("turn")).alias("then"), "role", "text"))).alias("own"))
+    out = new.join(chosen, "conv_id", "left").withColumn("context", F.coalesce(F.transform("own", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))), F.array().cast("array<struct<role:string,text:string>>")))
+    n = F.size("context")
+    reason = F.when(n > 0, F.concat(F.lit("Reusing "), n.cast("string"), F.lit(" relevant message"), F.when(n == 1, "").otherwise("s"), F.lit(" from the current thread.")))
+    reason = reason.otherwise(F.when(F.col("is_new"), "New topic — no prior context needed.").otherwise("No related earlier messages found."))
+    turns = F.concat("context", F.array(F.struct(F.lit("user").alias("role"), F.col("prompt").alias("text"))))
+    words = T.keywords(F.col("prompt"), topic=True)
+    return out.select("conv_id", "thread_id", F.col("is_new").alias("is_new_topic"), "total_history", n.cast("long").alias("used_count"), reason.alias("reason"), words.alias("topic_keywords"), turns.alias("turns"))
+
+
 def replies(messages: DataFrame) -> DataFrame:
     """Each user message with the assistant's message right after it, if there is one."""
     turn = Window.partitionBy("conv_id").orderBy("turn")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spindle.functions import vocabulary as V
+from spindle.session import stored
 
 
 def rounded(score: Column) -> Column:
@@ -21,25 +22,68 @@ def expand(hits: DataFrame, edges: DataFrame, *, depth: int = 1, frontier: int =
     followed. Of the nodes that a level's rows point to and that weren't seen, the first frontier ones
     in order of discovery are looked up, at most fetched in order of node, and taken until a query has
     most rows. A row's score is the best of its sources' times the decay; nodes beyond the frontier
-    are dropped. A node stands for its own symbol.
+    are dropped. A node stands for its own symbol. Each level is written before the next reads it, so
+    the plan of a level doesn't grow with its depth.
     """
-    level = hits.select("query_id", "node", "score", F.lit(0).alias("depth"), F.col("rank").cast("long").alias("ordinal"))
+    level = stored(hits.select("query_id", "node", "score", F.lit(0).alias("depth"), F.col("rank").cast("long").alias("ordinal")))
     kept, looked_at = level, level.select("query_id", "node")
     own = edges.where("not external").select(F.col("src").alias("node"), "dst", "pos")
     query = Window.partitionBy("query_id")
     for d in range(1, depth + 1):
         found = level.join(own, "node").select("query_id", F.col("dst").alias("node"), (F.col("score") * V.DEPTH_DECAY).alias("s"), "ordinal", "pos")
         ahead = found.groupBy("query_id", "node").agg(F.max("s").alias("s"), F.min(F.struct("ordinal", "pos")).alias("seen")).join(looked_at, ["query_id", "node"], "left_anti")
-        first = ahead.withColumn("place", F.row_number().over(query.orderBy("seen", "node"))).where(F.col("place") <= frontier)
+        first = stored(ahead.withColumn("place", F.row_number().over(query.orderBy("seen", "node"))).where(F.col("place") <= frontier))
         looked_at = looked_at.union(first.select("query_id", "node"))
         held = kept.groupBy("query_id").agg(F.count("*").alias("held"), F.max("ordinal").alias("last"))
         rows = first.withColumn("row", F.row_number().over(query.orderBy("node"))).where(F.col("row") <= fetched)
         rows = rows.join(held, "query_id").where(F.col("held") + F.col("row") <= most)
-        level = rows.select("query_id", "node", rounded(F.col("s")).alias("score"), F.lit(d).alias("depth"), (F.col("last") + F.col("row")).alias("ordinal"))
+        level = stored(rows.select("query_id", "node", rounded(F.col("s")).alias("score"), F.lit(d).alias("depth"), (F.col("last") + F.col("row")).alias("ordinal")))
         kept = kept.unionByName(level)
     return kept
 
 
+def expand_symbols(hits: DataFrame, chunks: DataFrame, edges: DataFrame, *, depth: int = 1, frontier: int = 50, fetched: int = 50, most: int = 50) -> DataFrame:
+    """hits with the chunks of the symbols they name or belong to: query_id, chunk_id, symbol, score, depth, ordinal.
+
+    hits: (query_id, chunk_id, score, rank); chunks: (chunk_id, symbol, parent), where many may share a
+    symbol; edges: (chunk_id, pos, name, external). Two things are remembered for a query: the symbols
+    that were looked up or hit, and the chunks that were found. A level takes, in order of
+    discovery, the first frontier new names that its chunks depend on, external ones left out, or have for parent,
+    a chunk's parent after its names; looks up the chunks of these symbols, fetched at most in order of chunk_id; and keeps
+    new ones until a query has most, at least one on the first level. Score: the best of those that name the symbol, times the decay.
+    Nulls and empty names lead nowhere. Levels are written one by one and the loop ends with an empty one.
+    """
+    names = edges.where("not external").select("chunk_id", F.col("pos").cast("long").alias("pos"), "name")
+    targets = names.unionByName(chunks.select("chunk_id", F.lit(1 << 40).alias("pos"), F.col("parent").alias("name"))).where("name <> ''")
+    level = stored(hits.join(chunks.select("chunk_id", "symbol"), "chunk_id").select("query_id", "chunk_id", "symbol", "score", F.lit(0).alias("depth"), F.col("rank").cast("long").alias("ordinal")))
+    kept, seen = level, level.select("query_id", F.col("symbol").alias("name"))
+    query = Window.partitionBy("query_id")
+    for d in range(1, depth + 1):
+        found = level.join(targets, "chunk_id").select("query_id", "name", (F.col("score") * V.DEPTH_DECAY).alias("s"), F.struct("ordinal", "pos").alias("at"))
+        ahead = found.groupBy("query_id", "name").agg(F.max("s").alias("s"), F.min("at").alias("at")).join(seen, ["query_id", "name"], "left_anti")
+        first = stored(ahead.withColumn("place", F.row_number().over(query.orderBy("at", "name"))).where(F.col("place") <= frontier).select("query_id", "name", "s"))
+        seen = seen.unionByName(first.select("query_id", "name"))
+        matches = first.join(chunks.select("chunk_id", F.col("symbol").alias("name")), "name").withColumn("row", F.row_number().over(query.orderBy("chunk_id"))).where(F.col("row") <= fetched)
+        new = matches.join(kept.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti").withColumn("row", F.row_number().over(query.orderBy("chunk_id")))
+        held = kept.groupBy("query_id").agg(F.count("*").alias("held"), F.max("ordinal").alias("last"))
+        fits = (F.col("held") + F.col("row") <= most) | (F.lit(d == 1) & (F.col("row") == 1))
+        rows = new.join(held, "query_id").where(fits)
+        level = stored(rows.select("query_id", "chunk_id", F.col("name").alias("symbol"), rounded(F.col("s")).alias("score"), F.lit(d).alias("depth"), (F.col("last") + F.col("row")).alias("ordinal")))
+        if level.isEmpty():
+            break
+        kept = kept.unionByName(level)
+    return kept
+
+
+def statistics(found: DataFrame, final: int = 50) -> DataFrame:
+    """query_id, direct, expanded and final counts of found (query_id, depth, ...), lookups (one for the search and one a level that found something), and the mean score."""
+    own = found.groupBy("query_id").agg(
+        F.count_if(F.col("depth") == 0).alias("direct"), F.count_if(F.col("depth") > 0).alias("expanded"), F.least(F.count("*"), F.lit(final)).cast("long").alias("final"),
+        (F.max("depth") + 1).cast("long").alias("lookups"), rounded(F.max("score")).alias("top_score"),
+    )
+    return own
+
+
 def rank_score(score: Column, kind: Column, depth: Column) -> Column:
     weight = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in V.TYPE_WEIGHTS.items() for x in kv]), kind), F.lit(1.0))
     base = F.when(depth > 0, F.greatest(score, F.lit(V.EXPANDED_FLOOR))).otherwise(score)

@@ -134,3 +134,14 @@ def q44_memory_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation.facts(table(spark, sf_dir, "conversations"))
 
 
+
+
+@query()
+def q75_context_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packet of each conversation's last user message, with what was said before it as history."""
+    said = table(spark, sf_dir, "conversations")
+    asked = said.where("role = 'user'").groupBy("conv_id").agg(F.max_by("text", "turn").alias("prompt"), F.max("turn").alias("at"))
+    history = said.join(asked.select("conv_id", "at"), "conv_id").where("turn < at").drop("at")
+    out = conversation.packets(history, asked.select("conv_id", "prompt"))
+    turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit(": "), t["text"])), "\n")
+    return out.withColumns({"topic_keywords": F.array_join("topic_keywords", ","), "turns": turns})

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spindle.functions import text as T
 from spindle.functions import vocabulary as V
-from spindle.operators import context, retrieval, vectors
+from spindle.operators import context, nearest, retrieval, vectors
 from spindle.plans.registry import query, table
+from spindle.session import shared_folder
 
 KINDS = tuple(V.TYPE_WEIGHTS)
 #: Every vector whose id is divisible by 50 is a query against all vectors.
@@ -204,3 +207,86 @@ def q34_prompt_render(spark: SparkSession, sf_dir: str) -> DataFrame:
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Retrieve, expand, rerank and pack for every query vector."""
     return context.packed(_context_chunks(spark, sf_dir), _LIMIT).select("query_id", "place", "symbol", "section", "tokens", "state")
+
+
+@query()
+def q69_approximate_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each query against the 24 of 32 lists whose centroids are nearest; vectors without clusters need that many for a recall of 0.9."""
+    vecs, path = table(spark, sf_dir, "embeddings"), f"{shared_folder(spark)}/vectors-{uuid.uuid4().hex}"
+    nearest.build_index(vecs, path, lists=32)
+    return _shown(nearest.probe(spark, path, _queries(vecs), 10, probes=24))
+
+
+_PARENT = "CASE WHEN vec_id % 4 = 0 THEN 's' || (vec_id * 3 + 2) % 97 ELSE '' END"
+_NAMED_LEVEL = """
+f{d} AS (SELECT query_id, name, max(score * 0.82::DOUBLE) AS s, min((ordinal, pos)) AS seen FROM l{p} JOIN targets t ON t.node = l{p}.node
+         WHERE NOT EXISTS (SELECT 1 FROM s{p} s WHERE s.query_id = l{p}.query_id AND s.name = t.name) GROUP BY ALL),
+g{d} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY seen, name) AS place FROM f{d}) WHERE place <= 3),
+s{d} AS (SELECT * FROM s{p} UNION ALL SELECT query_id, name FROM g{d}),
+m{d} AS (SELECT * FROM (SELECT query_id, n.node, name, s, row_number() OVER (PARTITION BY query_id ORDER BY n.node) AS row FROM g{d} JOIN nodes n ON n.symbol = name) WHERE row <= 12),
+h{d} AS (SELECT query_id, count(*) AS held, max(ordinal) AS last FROM k{p} GROUP BY query_id),
+l{d} AS (SELECT query_id, node, name AS symbol, round(s + 1e-10::DOUBLE, 6) AS score, {d} AS depth, last + row AS ordinal FROM
+         (SELECT * EXCLUDE (row), row_number() OVER (PARTITION BY query_id ORDER BY node) AS row FROM m{d} WHERE NOT EXISTS (SELECT 1 FROM k{p} k WHERE k.query_id = m{d}.query_id AND k.node = m{d}.node)) JOIN h{d} USING (query_id) WHERE held + row <= 30 OR {d} = 1 AND row = 1),
+k{d} AS (SELECT * FROM k{p} UNION ALL SELECT * FROM l{d})"""
+
+
+@query(
+    f"WITH {_SCORED.format(where='')},"
+    f""" n AS (SELECT count(*) AS n FROM embeddings), nodes AS (SELECT vec_id AS node, 's' || vec_id % 97 AS symbol, {_PARENT} AS parent FROM embeddings),
+targets AS (SELECT vec_id AS node, 0 AS pos, 's' || ((vec_id * 7 + 1) % n) % 97 AS name FROM embeddings, n WHERE ((vec_id * 7 + 1) % n) % 5 <> 0
+          UNION ALL SELECT vec_id, 1, 's' || ((vec_id * 13 + 5) % n) % 97 FROM embeddings, n WHERE ((vec_id * 13 + 5) % n) % 5 <> 0 UNION ALL SELECT node, 9, parent FROM nodes WHERE parent <> ''),
+l0 AS (SELECT query_id, vec_id AS node, 's' || vec_id % 97 AS symbol, round(score, 6) AS score, 0 AS depth, rank AS ordinal FROM
+       (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 5),
+s0 AS (SELECT query_id, symbol AS name FROM l0), k0 AS (SELECT * FROM l0),"""
+    + ",".join(_NAMED_LEVEL.format(d=d, p=d - 1) for d in range(1, 5))
+    + " SELECT query_id, node AS chunk_id, symbol, score, depth::INT AS depth, ordinal::BIGINT AS ordinal FROM k4"
+)
+def q70_expand_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vecs = table(spark, sf_dir, "embeddings")
+    hits = vectors.top_k(_queries(vecs), vecs, 5).select("query_id", F.col("vec_id").alias("chunk_id"), F.round("score", 6).alias("score"), "rank")
+    symbol = lambda c: F.concat(F.lit("s"), (c % 97).cast("string"))
+    parent = F.when(F.col("vec_id") % 4 == 0, symbol(F.col("vec_id") * 3 + 2)).otherwise("")
+    nodes = vecs.select(F.col("vec_id").alias("chunk_id"), symbol(F.col("vec_id")).alias("symbol"), parent.alias("parent"))
+    edges = _edges(vecs).select(F.col("src").alias("chunk_id"), "pos", symbol(F.col("dst")).alias("name"), "external")
+    return retrieval.expand_symbols(hits, nodes, edges, depth=4, frontier=3, fetched=12, most=30)
+
+
+@query(
+    _EXPANDED
+    + " SELECT query_id, count(*) FILTER (WHERE depth = 0) AS direct, count(*) FILTER (WHERE depth > 0) AS expanded, least(count(*), 50) AS final, (max(depth) + 1)::BIGINT AS lookups, round(max(score) + 1e-10::DOUBLE, 6) AS top_score FROM k2 GROUP BY query_id"
+)
+def q71_retrieval_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.statistics(_expanded(spark, sf_dir))
+
+
+_INCLUDED = _PACKED + ", own AS (SELECT z.*, p.tokens AS taken, p.state FROM z JOIN p USING (query_id, place))"
+
+
+@query(
+    _INCLUDED
+    + """ SELECT query_id, sum(taken)::BIGINT AS used_tokens, count(*) FILTER (WHERE state <> 'trimmed') AS included, count(*) FILTER (WHERE state = 'compressed') AS compressed, count(*) FILTER (WHERE state = 'trimmed') AS trimmed,
+coalesce(string_agg(symbol, ',' ORDER BY place) FILTER (WHERE state = 'trimmed'), '') AS trimmed_symbols FROM own GROUP BY query_id"""
+)
+def q72_context_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context.statistics(context.packed(_context_chunks(spark, sf_dir), _LIMIT))
+
+
+@query(
+    _INCLUDED
+    + """, kept AS (SELECT own.*, d.lang, d.source FROM own JOIN documents d ON d.doc_id = own.node WHERE state <> 'trimmed') SELECT query_id, 'Repository ''corpus''' || CASE WHEN count(source) > 0 THEN '; framework: ' || string_agg(DISTINCT source, ', ' ORDER BY source) ELSE '' END
+ || CASE WHEN count(lang) > 0 THEN '; languages: ' || string_agg(DISTINCT lang, ', ' ORDER BY lang) ELSE '' END || '; ' || count(DISTINCT path) || ' relevant file(s) in context.' AS summary FROM kept GROUP BY query_id"""
+)
+def q73_context_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("symbol"), F.col("lang").alias("language"), F.col("source").alias("framework"))
+    return context.summary(context.packed(_context_chunks(spark, sf_dir), _LIMIT).join(docs, "symbol"), F.lit("corpus"))
+
+
+@query(
+    _INCLUDED
+    + """, kept AS (SELECT * FROM own WHERE state <> 'trimmed'), once AS (SELECT query_id, path, symbol, min(place) AS place FROM kept GROUP BY ALL),
+fs AS (SELECT query_id, string_agg(path, ',' ORDER BY place) AS files FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY place) AS r FROM once) WHERE r <= 8 GROUP BY query_id),
+ss AS (SELECT query_id, string_agg(symbol, ',' ORDER BY place) AS symbols FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY place) AS r FROM once) WHERE r <= 10 GROUP BY query_id)
+SELECT query_id, files, greatest(count(*) - 8, 0) AS more_files, symbols, greatest(count(*) - 10, 0) AS more_symbols, round(max(final), 6) AS top_score FROM kept JOIN fs USING (query_id) JOIN ss USING (query_id) GROUP BY ALL"""
+)
+def q74_shown_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context.shown_sources(context.packed(_context_chunks(spark, sf_dir), _LIMIT))

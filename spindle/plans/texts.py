@@ -92,7 +92,7 @@ def q11_extreme_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.groupBy("source").agg(at(-1).alias("longest"), at(1).alias("shortest"))
 
 
-def _snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The index over documents, and the chunks after edits, removals and additions."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
     edited = F.when(F.col("chunk_id") % 10 == 0, F.concat("text", F.lit(" edited"))).otherwise(F.col("text"))
@@ -111,13 +111,13 @@ _SNAPSHOTS = (
 
 @query(_SNAPSHOTS + " SELECT action, count(*) AS chunks FROM a GROUP BY action")
 def q12_index_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prior, new = _snapshots(spark, sf_dir)
+    prior, new = snapshots(spark, sf_dir)
     return storage.index_actions(new, prior).groupBy("action").agg(F.count("*").alias("chunks"))
 
 
 @query(_SNAPSHOTS + " SELECT chunk_id, hash FROM new")
 def q13_index_after_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prior, new = _snapshots(spark, sf_dir)
+    prior, new = snapshots(spark, sf_dir)
     actions = storage.index_actions(new, prior)
     changed = new.join(actions.where("action in ('inserted', 'updated')"), "chunk_id", "left_semi")
     return storage.upserted(prior, changed, actions.where("action = 'deleted'").select("chunk_id")).select("chunk_id", "hash")
@@ -125,7 +125,7 @@ def q13_index_after_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_SNAPSHOTS + " SELECT chunk_id FROM a WHERE action = 'deleted'")
 def q14_removed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prior, new = _snapshots(spark, sf_dir)
+    prior, new = snapshots(spark, sf_dir)
     return prior.join(new, "chunk_id", "left_anti").select("chunk_id")
 
 
