@@ -107,14 +107,14 @@ def word_pattern(words) -> str:
     Boundaries are spelt out, as engines differ in what they take as word characters. After a sign
     such as + a boundary needs a word character to follow.
     """
-    letter = r"[\p{L}\p{N}_]"
-    out = []
-    for w in words:
-        plain = "".join("\\" + c if c in "+.#-*?()[]{}|^$" else c for c in w)
-        if " " in w:
-            out.append(plain)
-        else:
-            out.append(rf"(^|[^\p{{L}}\p{{N}}_]){plain}" + (rf"($|[^\p{{L}}\p{{N}}_])" if w[-1].isalnum() or w[-1] == "_" else letter))
+    letter, other = r"[\p{L}\p{N}_]", r"[^\p{L}\p{N}_]"
+    plain = {w: "".join("\\" + c if c in "+.#-*?()[]{}|^$" else c for c in w) for w in words}
+    out = [plain[w] for w in plain if " " in w]
+    # words that end alike share what must stand around them, so that a place is looked at once
+    for whole, after in ((True, f"(?:$|{other})"), (False, letter)):
+        own = [plain[w] for w in plain if " " not in w and (w[-1].isalnum() or w[-1] == "_") == whole]
+        if own:
+            out.append(f"(?:^|{other})(?:{'|'.join(own)}){after}")
     return "|".join(out)
 
 

@@ -23,13 +23,14 @@ def intents(prompts: DataFrame, column: str = "prompt") -> DataFrame:
     """Adds intent, complexity and confidence by the first rule that matches."""
     own = prompts.withColumn("_t", stripped(F.col(column)))
     rules = intent_rules(Text(F.col("_t")), word_count(F.col("_t")) <= 3)
-    intent = cases([(c, i) for c, i, *_ in rules], "general_chat")
-    complexity = F.lit("medium")
-    confidence = F.lit(0.3)
-    for c, _, inner, other, sure in reversed(rules):
-        complexity = F.when(c, cases(inner, other)).otherwise(complexity)
-        confidence = F.when(c, F.lit(sure)).otherwise(confidence)
-    return own.select("*", intent.alias("intent"), complexity.alias("complexity"), confidence.alias("confidence")).drop("_t")
+    own = own.withColumn("_rule", cases([(c, i) for i, (c, *_) in enumerate(rules)], -1))  # each condition is looked at once
+    intent, complexity, confidence = F.lit("general_chat"), F.lit("medium"), F.lit(0.3)
+    for at, (_, name, inner, other, sure) in enumerate(rules):
+        met = F.col("_rule") == at
+        intent = F.when(met, F.lit(name)).otherwise(intent)
+        complexity = F.when(met, cases(inner, other)).otherwise(complexity)
+        confidence = F.when(met, F.lit(sure)).otherwise(confidence)
+    return own.select("*", intent.alias("intent"), complexity.alias("complexity"), confidence.alias("confidence")).drop("_t", "_rule")
 
 
 def enriched(results: DataFrame) -> DataFrame:

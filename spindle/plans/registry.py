@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from spindle.session import ship
 
@@ -41,3 +42,14 @@ def values(rows: list[tuple], names: str) -> str:
         return "'" + v.replace("'", "''") + "'" if isinstance(v, str) else repr(v)
 
     return "(SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(shown, r)) + ")" for r in rows) + f") AS v({names}))"
+
+
+def picked(spark: SparkSession, sf_dir: str, name: str, key: str, rows: list[tuple], schema: str) -> DataFrame:
+    """The rows of a table, each with the one of some fixed rows that key, a whole number, falls on."""
+    fixed = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], f"pick int, {schema}")
+    return table(spark, sf_dir, name).withColumn("pick", F.expr(f"cast(pmod({key}, {len(rows)}) AS int)")).join(F.broadcast(fixed), "pick").drop("pick")
+
+
+def picked_sql(name: str, key: str, rows: list[tuple], names: str) -> str:
+    """The same for SQL, as a sub-select."""
+    return f"(SELECT t.*, v.* EXCLUDE (pick) FROM {name} t JOIN {values([(i, *r) for i, r in enumerate(rows)], f'pick, {names}')} v ON v.pick = ({key}) % {len(rows)})"

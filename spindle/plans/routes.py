@@ -1,4 +1,4 @@
-"""Intents, routes and models, over literal prompts and grids."""
+"""Intents and routes of what conversations ask, some of it after fixed openings, and models of parts."""
 
 from __future__ import annotations
 
@@ -11,8 +11,7 @@ from spindle.functions import vocabulary as V
 from spindle.functions.rules import Sql, SqlText, cases_sql, intent_rules
 from spindle.operators import classify, routing
 from spindle.plans.chats import analysis_sql
-from spindle.plans.registry import query, values
-from spindle.session import ship
+from spindle.plans.registry import picked, picked_sql, query, values
 
 PROMPTS = [
     "", "Hi", "hello there, can you help", "thanks a lot", "How are you today?", "tell me a joke about cats", "joke please", "guide to information",
@@ -23,39 +22,43 @@ PROMPTS = [
     "deploy the app to kubernetes", "continue", "again", "go on", "explain again", "do the same", "add authentication to the app", "now add tests", "tl;dr", "reactive apples",
     "create a chatbot", "make a regex", "écrire une app", "  spaced   out  ", "compare python vs java", "who is ada lovelace", "improve it", "random thoughts",
 ]
-GRID = [(i * 6 + j * 2 + k, intent, c, bool(k)) for i, intent in enumerate(V.INTENTS) for j, c in enumerate(("low", "medium", "high")) for k in (0, 1)]
-_PROMPTS = values(list(enumerate(PROMPTS)), "id, prompt")
-_GRID = values(GRID, "id, intent, complexity, long_context")
+#: A message is asked as an opening alone, an opening and the message, or the message.
+_ASK = "CASE (conv_id + turn) % 3 WHEN 0 THEN opening WHEN 1 THEN concat(opening, ' ', coalesce(text, '')) ELSE coalesce(text, '') END"
+_PICK = "conv_id * 7 + turn"
+_PROMPTS = f"(SELECT conv_id, turn, {_ASK} AS prompt FROM {picked_sql('conversations', _PICK, [(x,) for x in PROMPTS], 'opening')})"
 _RULES = intent_rules(SqlText("t"), Sql("n <= 3"))
 _INTENT = cases_sql([(c, i) for c, i, *_ in _RULES], "general_chat")
 _COMPLEXITY = cases_sql([(c, Sql(cases_sql(inner, other)) if inner else other) for c, _, inner, other, _ in _RULES], "medium")
 _CONFIDENCE = "CASE " + " ".join(f"WHEN {c} THEN {sure}::DOUBLE" for c, *_, sure in _RULES) + " ELSE 0.3::DOUBLE END"
 
 
-def _prompts(spark: SparkSession) -> DataFrame:
-    ship(spark)
-    return spark.createDataFrame(list(enumerate(PROMPTS)), "id int, prompt string")
+_TOLD = f"""SELECT conv_id, turn, {_INTENT} AS intent, {_COMPLEXITY} AS complexity, {_CONFIDENCE} AS confidence, length(prompt) > 300 AS long_context
+FROM (SELECT *, len(list_filter(string_split_regex(t, '\\s+'), lambda w: w <> '')) AS n FROM (SELECT *, regexp_replace(lower(prompt), '^\\s+|\\s+$', '', 'g') AS t FROM {_PROMPTS}))"""
+_GRID = f"({_TOLD})"
 
 
-def _grid(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(GRID, "id int, intent string, complexity string, long_context boolean")
+def _prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return picked(spark, sf_dir, "conversations", _PICK, [(x,) for x in PROMPTS], "opening string").selectExpr("conv_id", "turn", f"{_ASK} AS prompt")
 
 
-@query(
-    f"SELECT id, {_INTENT} AS intent, {_COMPLEXITY} AS complexity, {_CONFIDENCE} AS confidence FROM (SELECT id, t, len(list_filter(string_split_regex(t, '\\s+'), lambda w: w <> '')) AS n FROM (SELECT id, regexp_replace(lower(prompt), '^\\s+|\\s+$', '', 'g') AS t FROM {_PROMPTS}))"
-)
+def _told(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """intent, complexity, confidence and long_context of every message, as it is asked."""
+    return classify.intents(_prompts(spark, sf_dir)).withColumn("long_context", F.length("prompt") > 300)
+
+
+@query(f"SELECT conv_id, turn, intent, complexity, confidence FROM {_GRID}")
 def q21_intent_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classify.intents(_prompts(spark)).select("id", "intent", "complexity", "confidence")
+    return _told(spark, sf_dir).select("conv_id", "turn", "intent", "complexity", "confidence")
 
 
 @query(
-    f"""WITH g AS (SELECT id, intent, complexity, CASE WHEN intent IN ('summarization', 'translation') THEN CASE WHEN complexity = 'low' THEN 'small' ELSE 'medium' END WHEN complexity = 'high' THEN 'large' WHEN complexity = 'low' THEN 'small' ELSE 'medium' END AS estimated_output FROM {_GRID}),
+    f"""WITH g AS (SELECT conv_id, turn, confidence, intent, complexity, CASE WHEN intent IN ('summarization', 'translation') THEN CASE WHEN complexity = 'low' THEN 'small' ELSE 'medium' END WHEN complexity = 'high' THEN 'large' WHEN complexity = 'low' THEN 'small' ELSE 'medium' END AS estimated_output FROM {_GRID}),
 h AS (SELECT *, estimated_output = 'large' OR (intent IN ('summarization', 'document_analysis', 'research') AND complexity <> 'low') AS requires_long_context FROM g)
-SELECT id, estimated_output, intent IN ('coding', 'debugging') AS requires_code, complexity = 'high' OR intent IN ('reasoning', 'mathematics', 'research') AS requires_reasoning, requires_long_context, complexity = 'low' AND NOT requires_long_context AS offline_possible, least(1.0, id / 50.0)::DOUBLE < 0.85 AS needs_model FROM h"""
+SELECT conv_id, turn, estimated_output, intent IN ('coding', 'debugging') AS requires_code, complexity = 'high' OR intent IN ('reasoning', 'mathematics', 'research') AS requires_reasoning, requires_long_context, complexity = 'low' AND NOT requires_long_context AS offline_possible, confidence < 0.85 AS needs_model FROM h"""
 )
 def q22_enrich_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    told = classify.needs_model(classify.enriched(_grid(spark).withColumn("confidence", F.col("id") / 50.0)))
-    return told.select("id", "estimated_output", "requires_code", "requires_reasoning", "requires_long_context", "offline_possible", "needs_model")
+    told = classify.needs_model(classify.enriched(_told(spark, sf_dir)))
+    return told.select("conv_id", "turn", "estimated_output", "requires_code", "requires_reasoning", "requires_long_context", "offline_possible", "needs_model")
 
 
 _PROVIDER = """CASE WHEN intent IN ('coding', 'debugging') THEN CASE WHEN complexity = 'low' THEN 'ollama' WHEN complexity = 'medium' THEN 'groq' WHEN long_context THEN 'gemini' ELSE 'groq' END
@@ -67,51 +70,57 @@ _PROVIDER = """CASE WHEN intent IN ('coding', 'debugging') THEN CASE WHEN comple
 @query(
     f"""WITH g AS (SELECT *, {_PROVIDER} AS provider, intent IN ('coding', 'debugging') AS c, complexity = 'high' OR intent IN ('reasoning', 'mathematics', 'research') AS r FROM {_GRID}),
 n AS (SELECT *, list_filter([CASE WHEN c THEN 'strong code generation' END, CASE WHEN r THEN 'deep reasoning' END, CASE WHEN long_context THEN 'a large context window' END], lambda x: x IS NOT NULL) AS needs FROM g)
-SELECT id, provider, CASE complexity WHEN 'high' THEN 'Large-scale' WHEN 'medium' THEN 'Moderate' ELSE 'Simple' END || ' ' || replace(intent, '_', ' ') || ' task '
+SELECT conv_id, turn, provider, CASE complexity WHEN 'high' THEN 'Large-scale' WHEN 'medium' THEN 'Moderate' ELSE 'Simple' END || ' ' || replace(intent, '_', ' ') || ' task '
  || CASE len(needs) WHEN 0 THEN '' WHEN 1 THEN 'requiring ' || needs[1] || ' ' WHEN 2 THEN 'requiring ' || needs[1] || ' and ' || needs[2] || ' ' ELSE 'requiring ' || needs[1] || ', ' || needs[2] || ', and ' || needs[3] || ' ' END
  || CASE provider WHEN 'ollama' THEN '— handled locally for speed' WHEN 'gemini' THEN '— routed to Google Gemini' ELSE '— routed to Groq' END || '.' AS reason FROM n"""
 )
 def q23_route_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    told = classify.enriched(_grid(spark).withColumn("confidence", F.lit(0.9))).withColumn("requires_long_context", F.col("long_context"))
+    told = classify.enriched(_told(spark, sf_dir)).withColumn("requires_long_context", F.col("long_context"))
     told = told.withColumn("provider", routing.provider(F.col("intent"), F.col("complexity"), F.col("long_context")))
-    return told.select("id", "provider", routing.reason(told).alias("reason"))
+    return told.select("conv_id", "turn", "provider", routing.reason(told).alias("reason"))
 
 
 PROVIDERS = [("groq", False, "llama-3.1-8b-instant"), ("gemini", True, None), ("cloudflare", True, "@cf/google/gemma-7b-it"), ("ollama", True, "qwen3:4b")]
 
 
 @query(
-    f"""WITH g AS (SELECT id, {_PROVIDER} AS p FROM {_GRID}), c AS (SELECT id, list_concat([p], list_filter(['groq', 'gemini', 'cloudflare', 'ollama'], lambda x: x <> p)) AS chain FROM g),
+    f"""WITH g AS (SELECT conv_id * 100000 + turn AS id, {_PROVIDER} AS p FROM {_GRID}), c AS (SELECT id, list_concat([p], list_filter(['groq', 'gemini', 'cloudflare', 'ollama'], lambda x: x <> p)) AS chain FROM g),
 e AS (SELECT id, array_to_string(chain, ',') AS shown, unnest(chain) AS provider, generate_subscripts(chain, 1) AS pos FROM c)
 SELECT id, any_value(shown) AS chain, arg_min(provider, pos) FILTER (WHERE connected AND model IS NOT NULL) AS provider, arg_min(model, pos) FILTER (WHERE connected AND model IS NOT NULL) AS model FROM e LEFT JOIN {values(PROVIDERS, 'provider, connected, model')} USING (provider) GROUP BY id"""
 )
 def q24_failover_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = _grid(spark).withColumn("chain", routing.failover(routing.provider(F.col("intent"), F.col("complexity"), F.col("long_context"))))
+    asked = _told(spark, sf_dir).withColumn("id", F.col("conv_id") * 100000 + F.col("turn")).withColumn("chain", routing.failover(routing.provider(F.col("intent"), F.col("complexity"), F.col("long_context"))))
     providers = spark.createDataFrame(PROVIDERS, "provider string, connected boolean, model string")
     return asked.select("id", F.concat_ws(",", "chain").alias("chain")).join(routing.first_connected(asked, providers), "id")
 
 
-MODELS = [(p, m, i) for p, names in (("gemini", ("gemini-x", "gemini-2.0-flash", "gemini-2.5-flash")), ("groq", ("odd-model", "gemma2-9b-it", "llama3-8b-8192")), ("cloudflare", ("@cf/a", "@cf/b")), ("ollama", ("llama3.2:3b", "qwen3:4b"))) for i, m in enumerate(names)]
 _NOON = dt.datetime(2025, 1, 1, 12)
-VALIDATIONS = [
-    ("gemini", "gemini-x", True, 10), ("gemini", "gemini-2.5-flash", True, 45), ("gemini", "gemini-2.0-flash", True, 30),
-    ("groq", "llama3-8b-8192", False, 5), ("groq", "gemma2-9b-it", True, 31), ("cloudflare", "@cf/a", False, 1), ("cloudflare", "@cf/b", False, 2), ("ollama", "qwen3:4b", False, 3),
-]
+_WANTED = [(p, m) for p, names in V.PREFERRED_MODELS.items() for m in names]
+_OTHERS = [(p, "") for p in V.PREFERRED_MODELS]
+#: Parts as models: the first ones have the names that are preferred, all others their own.
+_MODELS = (
+    f"(SELECT CASE WHEN p_partkey <= {len(_WANTED)} THEN w.provider ELSE o.provider END AS provider, CASE WHEN p_partkey <= {len(_WANTED)} THEN w.name ELSE 'model-' || p_partkey END AS model, p_partkey AS ordinal, p_size % 3 <> 0 AS validated, p_size AS age, p_partkey % 5 <> 0 AS tested"
+    f" FROM part JOIN {values([(i, *r) for i, r in enumerate(_WANTED)], 'pick, provider, name')} w ON w.pick = (p_partkey - 1) % {len(_WANTED)} JOIN {values([(i, *r) for i, r in enumerate(_OTHERS)], 'pick, provider, name')} o ON o.pick = p_partkey % {len(_OTHERS)})"
+)
 _PREFERENCE = values([(p, m, i) for p, names in V.PREFERRED_MODELS.items() for i, m in enumerate(names)], "provider, model, pref")
 
 
 @query(
-    f"""WITH t AS (SELECT m.*, coalesce(validated AND age <= 30, false) AS good, coalesce(NOT validated, false) AS bad FROM {values(MODELS, 'provider, model, ordinal')} m LEFT JOIN {values(VALIDATIONS, 'provider, model, validated, age')} v USING (provider, model)),
+    f"""WITH t AS (SELECT m.*, coalesce(validated AND age <= 30, false) AS good, coalesce(NOT validated, false) AS bad FROM (SELECT provider, model, ordinal FROM {_MODELS}) m LEFT JOIN (SELECT provider, model, validated, age FROM {_MODELS} WHERE tested) v USING (provider, model)),
 u AS (SELECT *, NOT bad OR bool_and(bad) OVER (PARTITION BY provider) AS usable FROM t), w AS (SELECT *, bool_or(good AND usable) OVER (PARTITION BY provider) AS has_any FROM u)
 SELECT provider, arg_min(w.model, (coalesce(pref, 999), ordinal)) AS model FROM w LEFT JOIN {_PREFERENCE} p USING (provider, model) WHERE usable AND (good OR NOT has_any) GROUP BY provider"""
 )
 def q25_model_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    models = spark.createDataFrame(MODELS, "provider string, model string, ordinal int")
-    tested = [(p, m, ok, _NOON - dt.timedelta(minutes=age)) for p, m, ok, age in VALIDATIONS]
-    validations = spark.createDataFrame(tested, "provider string, model string, validated boolean, last_tested timestamp")
-    return routing.selected_models(models, validations, F.lit(_NOON))
+    wanted = picked(spark, sf_dir, "part", "p_partkey - 1", _WANTED, "wanted string, name string")
+    fixed = F.element_at(F.array(*[F.lit(p) for p, _ in _OTHERS]), (F.col("p_partkey") % len(_OTHERS) + 1).cast("int"))
+    first = F.col("p_partkey") <= len(_WANTED)
+    model = F.when(first, F.col("name")).otherwise(F.concat(F.lit("model-"), F.col("p_partkey").cast("string")))
+    models = wanted.select(F.when(first, F.col("wanted")).otherwise(fixed).alias("provider"), model.alias("model"), F.col("p_partkey").alias("ordinal"), "p_size")
+    tested = models.where("ordinal % 5 <> 0").select("provider", "model", (F.col("p_size") % 3 != 0).alias("validated"), F.timestamp_seconds(F.lit(int(_NOON.replace(tzinfo=dt.UTC).timestamp())) - F.col("p_size") * 60).alias("last_tested"))
+    models, validations = models.drop("p_size"), tested
+    return routing.selected_models(models, validations, F.timestamp_seconds(F.lit(int(_NOON.replace(tzinfo=dt.UTC).timestamp()))))
 
 
-@query(analysis_sql("id", "prompt", _PROMPTS))
+@query(analysis_sql("conv_id, turn", "prompt", _PROMPTS))
 def q51_prompt_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classify.analyzed(_prompts(spark)).select("id", "domain", "is_followup", "is_new_topic", "n_words")
+    return classify.analyzed(_prompts(spark, sf_dir), "prompt").select("conv_id", "turn", "domain", "is_followup", "is_new_topic", "n_words")
