@@ -22,6 +22,14 @@ def budget(window: str | int, reserve: float = 0.25, scaffold: int = 700) -> int
     return max(256, int(window_tokens(window) * (1 - reserve)) - scaffold)
 
 
+def budget_column(window: Column, reserve: float = 0.25, scaffold: int = 700) -> Column:
+    """The budget of a window named like 8k or told as a number of tokens; any other name is taken as 16k."""
+    named = F.element_at(F.create_map(*[F.lit(x) for name, tokens in WINDOWS.items() for x in (name, tokens)]), window)
+    told = F.greatest(F.lit(1024), window.try_cast("long"))
+    tokens = F.coalesce(named.cast("long"), F.when(window.try_cast("long").isNotNull(), told), F.lit(WINDOWS["16k"]).cast("long"))
+    return F.greatest(F.lit(256), F.floor(tokens * (1 - reserve)) - scaffold)
+
+
 def best_of_key(rows: DataFrame, keys: list[str], score: str, ordinal: str) -> DataFrame:
     """The row of each key with the highest score, of equal ones the first; first_ordinal is the key's first place."""
     own = Window.partitionBy(*keys)

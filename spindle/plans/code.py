@@ -1,4 +1,4 @@
-"""Source files, manifests and edits, over literal trees."""
+"""File names, manifests, symbols and edits, made from documents: fixed names and texts that each document fills in."""
 
 from __future__ import annotations
 
@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from spindle.functions import vocabulary as V
 from spindle.operators import code, edits
-from spindle.plans.registry import query, values
-from spindle.session import ship
+from spindle.plans.registry import picked, picked_sql, query, values
+from spindle.plans.sources import FILES, source_files
 from spindle.sources import files, manifests
 
 NAMES = [
@@ -16,32 +16,20 @@ NAMES = [
     ("big.sql", 3_000_000), ("a/b/page.html", 99), ("a/b/style.scss", 99), ("notes.md", 7), ("conf.toml", 7), ("x.tar.gz", 7), (".env", 7), ("src/main.go", 1), ("src/lib.rs", 1),
 ]
 MANIFESTS = [
-    ("package.json", '{"dependencies": {"React": "18", "next": "14"}, "devDependencies": {"typescript": "5"}, "scripts": {"x": "y"}}'),
-    ("requirements.txt", "fastapi>=0.1\n# note\n-r other.txt\nUvicorn[standard]==0.3 ; python_version > '3'\n  numpy ~= 1\n\npandas"),
-    ("pyproject.toml", '[project]\ndependencies = [\n  "django>=4",\n  \'httpx[http2] < 1\',\n]\nname = "x"\npoetry = "^1"'),
+    ("package.json", '{"dependencies": {"React": "18", "next": "14", "Lib-@W": "1"}, "devDependencies": {"typescript": "5"}, "scripts": {"x": "y"}}'),
+    ("requirements.txt", "fastapi>=0.1\nown-@W[x]>=2\n# note\n-r other.txt\nUvicorn[standard]==0.3 ; python_version > '3'\n  numpy ~= 1\n\npandas"),
+    ("pyproject.toml", '[project]\ndependencies = [\n  "django>=4",\n  "tool_@W==3",\n  \'httpx[http2] < 1\',\n]\nname = "x"\npoetry = "^1"'),
     ("pom.xml", "<parent><artifactId>spring-boot-starter</artifactId></parent>"),
 ]
-JS = [
-    ("a.tsx", "import React, { useState } from 'react'\nimport './x.css'\nconst fs = require('fs')\nexport default function App() {\n  const [a] = useState(1)\n}\nexport const helper = async (x) => x\nexport interface Props {\n  a: string\n}\ntype Alias = string\nenum Color { Red }\nclass Box {}\nexport default App;"),
-    ("b.ts", "export abstract class Base {}\nconst enum E { A }\nlet go = y => y\nexport type T<X> = X\nimport type { Q } from \"./q\"\nfunction* gen() {}"),
-]
-PYTHON = [
-    ("m.py", "import os, sys as s\nfrom . import a as b\nfrom x.y import z\n\nLIMIT = 3\nOTHER: int = 4\n\n\nNAME == 2\n\n@cache\ndef f(a, *b):\n    return a\n\nasync def _g():\n    pass\n\n@dataclass\nclass P(Base):\n    x: int\n    def m(self): pass\n    @property\n    async def n(self): pass\n\nclass C(enum.Enum):\n    A = 1\n"),
-    ("bad.py", "def broken(:\n"),
-    ("all.py", "__all__ = ['_x']\ndef _x(): pass\ndef y(): pass\n"),
-    ("empty.py", ""),
-]
-JAVA = [("K.java", "import java.util.List;\npublic class K {\n  // } not this one\n  public static int f(int a) {\n    String s = \"}\";\n    if (a > 0) { return 1; }\n    return 2;\n  }\n  private void g() { }\n}\npublic interface I { int h(); }")]
-EDITS = [
-    (1, "modify_file", "src/a.py", None, "a\nb\nc\n", "a\nB\nc\nd\n"), (2, "create_file", "new.txt", None, "", "x\ny"), (3, "delete_file", "old.txt", None, "1\n2\n3\n", None),
-    (4, "move_file", "p.txt", "q.txt", "same\n", "same\n"), (5, "modify_file", "conf/config.yml", None, "a: 1\n", "a: 2\n"), (6, "modify_file", "same.txt", None, "s\n", "s\n"),
-    (7, "modify_file", "many.txt", None, "", "\n".join(map(str, range(31)))), (8, "modify_file", "more.txt", None, "", "\n".join(map(str, range(121)))),
-]
+NAMED = "concat('d', CAST(doc_id AS STRING), '/', file)"
+SIZED = "CASE WHEN least_size > 1000000 THEN least_size + n_chars ELSE n_chars END"
+FILE_ROWS = f"(SELECT {NAMED} AS path, {SIZED} AS size FROM {picked_sql('documents', 'doc_id', NAMES, 'file, least_size')})"
 
 
-def _frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    ship(spark)
-    return spark.createDataFrame(rows, schema)
+def named_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, size_bytes and name: each document as a file of its own folder, with one of the fixed names."""
+    own = picked(spark, sf_dir, "documents", "doc_id", NAMES, "file string, least_size long").selectExpr(f"{NAMED} AS path", f"{SIZED} AS size_bytes")
+    return own.withColumn("name", F.element_at(F.split("path", "/"), -1))
 
 
 def _in(words) -> str:
@@ -52,17 +40,21 @@ _LANGUAGE = "CASE " + " ".join(f"WHEN ext IN {_in(exts.split())} THEN '{lang}'"
 
 
 @query(
-    f"""WITH f AS (SELECT path, size, regexp_extract(path, '([^/]+)$', 1) AS name FROM {values(NAMES, 'path, size')}), e AS (SELECT *, lower(regexp_extract(name, '.(\\.[^.]+)$', 1)) AS ext FROM f), l AS (SELECT *, {_LANGUAGE} AS language FROM e)
+    f"""WITH f AS (SELECT path, size, regexp_extract(path, '([^/]+)$', 1) AS name FROM {FILE_ROWS}), e AS (SELECT *, lower(regexp_extract(name, '.(\\.[^.]+)$', 1)) AS ext FROM f), l AS (SELECT *, {_LANGUAGE} AS language FROM e)
 SELECT path, ext AS extension, language, CASE WHEN lower(name) IN {_in(V.CONFIG_NAMES)} THEN 'config' WHEN language IN ('html', 'xml', 'vue', 'svelte') THEN 'markup' WHEN language IN ('css', 'scss') THEN 'style' WHEN language IN ('json', 'yaml', 'toml') THEN 'data'
  WHEN language = 'markdown' THEN 'documentation' WHEN language = 'unknown' THEN 'other' ELSE 'source' END AS category,
  CASE WHEN lower(name) IN {_in(V.IGNORED_NAMES)} THEN 'ignored' WHEN name LIKE '.%' THEN 'hidden' WHEN ext IN {_in(V.BINARY_EXTENSIONS)} THEN 'binary' WHEN size > 2097152 THEN 'oversized' END AS skip_reason FROM l"""
 )
 def q35_file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = _frame(spark, NAMES, "path string, size_bytes long").withColumn("name", F.element_at(F.split("path", "/"), -1))
-    return files.classified(own).select("path", "extension", "language", "category", "skip_reason")
+    return files.classified(named_files(spark, sf_dir)).select("path", "extension", "language", "category", "skip_reason")
+
 
+_BODY = "replace(body, '@W', CAST(doc_id AS STRING))"
+_MANIFESTS = f"(SELECT name, {_BODY} AS body FROM {picked_sql('documents', 'doc_id', MANIFESTS, 'name, body')})"
 
-_MANIFESTS = values(MANIFESTS, "name, body")
+
+def _manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return picked(spark, sf_dir, "documents", "doc_id", MANIFESTS, "name string, body string").selectExpr("name", f"{_BODY} AS text")
 
 
 _DEPS = f"""deps AS (SELECT 'npm' AS ecosystem, lower(unnest(list_concat(json_keys(body->'dependencies'), coalesce(json_keys(body->'devDependencies'), []::VARCHAR[]), coalesce(json_keys(body->'peerDependencies'), []::VARCHAR[])))) AS name FROM {_MANIFESTS} WHERE name = 'package.json'
@@ -72,7 +64,7 @@ _DEPS = f"""deps AS (SELECT 'npm' AS ecosystem, lower(unnest(list_concat(json_ke
 
 @query(f"WITH {_DEPS} SELECT ecosystem, name FROM deps WHERE name <> ''")
 def q36_manifest_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return manifests.manifest_names(_frame(spark, MANIFESTS, "name string, text string")).where("name <> ''")
+    return manifests.manifest_names(_manifests(spark, sf_dir)).where("name <> ''")
 
 
 _RULE_ROWS = [
@@ -89,7 +81,7 @@ g AS (SELECT rule, framework, category, round(least(1.0, max(weight)::DOUBLE), 3
 SELECT framework, category, confidence, evidence, row_number() OVER (ORDER BY confidence DESC, rule)::INT AS place FROM g"""
 )
 def q37_frameworks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return manifests.frameworks(_frame(spark, MANIFESTS, "name string, text string"))
+    return manifests.frameworks(_manifests(spark, sf_dir))
 
 
 def _line_sql(language: str) -> str:
@@ -103,28 +95,60 @@ def _line_sql(language: str) -> str:
     return f"WITH rows AS (SELECT path, unnest(string_split(body, chr(10))) AS code, generate_subscripts(string_split(body, chr(10)), 1)::INT AS line FROM {{source}}) SELECT * FROM (" + " UNION ALL ".join(parts) + ") WHERE name IS NOT NULL"
 
 
-@query(_line_sql("js").replace("{source}", values(JS, "path, body")))
+def _sources(language: str) -> str:
+    return f"(SELECT path, text AS body FROM ({FILES}) WHERE language = '{language}')"
+
+
+@query(_line_sql("js").replace("{source}", _sources("tsx")))
 def q38_js_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return code.line_symbols(_frame(spark, JS, "path string, text string"), "js")
+    return code.line_symbols(source_files(spark, sf_dir).where("language = 'tsx'"), "js")
 
 
-@query()
+_N = f"(SELECT s.path, s.doc_id, len(string_split(coalesce(d.text, ''), chr(10)))::BIGINT AS n FROM ({FILES}) s JOIN documents d USING (doc_id) WHERE s.language = '@LANGUAGE')"
+
+
+@query(
+    f"WITH f AS {_N.replace('@LANGUAGE', 'python')} "
+    + " UNION ALL ".join(
+        f"SELECT path, '{kind}' AS kind, {name} AS name, {parent} AS parent, ({first})::BIGINT AS start_line, ({last})::BIGINT AS end_line, {exported} AS exported, {note} AS note FROM f"
+        for kind, name, parent, first, last, exported, note in (
+            ("import", "'os'", "NULL", "1", "1", "false", "''"), ("import", "'lib.tools'", "NULL", "2", "2", "false", "'helper_' || doc_id % 7"), ("function", "'load_' || doc_id", "NULL", "10", "13 + n", "true", "'cache'"),
+            ("class", "'Box_' || doc_id", "NULL", "17 + n", "27 + n", "true", "'Base_' || doc_id % 7"), ("method", "'first'", "'Box_' || doc_id", "20 + n", "21 + n", "false", "''"), ("method", "'_second'", "'Box_' || doc_id", "24 + n", "27 + n", "false", "'property'"),
+            ("constants", "'constants@4'", "NULL", "4", "5", "true", "''"), ("constants", "'constants@' || (29 + n)", "NULL", "29 + n", "29 + n", "true", "''"),
+        )
+    )
+)
 def q39_python_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = _frame(spark, PYTHON, "path string, text string")
+    own = source_files(spark, sf_dir).where("language = 'python'")
     symbols = code.python_symbols(own)
     constants = code.constant_groups(own, symbols).select("path", F.lit("constants").alias("kind"), F.concat(F.lit("constants@"), F.col("start_line").cast("string")).alias("name"), F.lit(None).cast("string").alias("parent"), F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"), F.lit(True).alias("exported"), F.lit("").alias("note"))
     return symbols.unionByName(constants)
 
 
-@query()
+@query(
+    f"WITH f AS {_N.replace('@LANGUAGE', 'java')} "
+    + " UNION ALL ".join(
+        f"SELECT path, '{kind}' AS kind, {name} AS name, ({first})::INT AS line, ({last})::INT AS end_line, {owner} AS owner FROM f"
+        for kind, name, first, last, owner in (("class", "'I' || doc_id", "2", "4", "NULL"), ("class", "'K' || doc_id", "5", "11 + n", "NULL"), ("function", "'f' || doc_id % 7", "6 + n", "9 + n", "'K' || doc_id"), ("function", "'g'", "10 + n", "10 + n", "'K' || doc_id"))
+    )
+)
 def q40_block_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = _frame(spark, JAVA, "path string, text string")
+    own = source_files(spark, sf_dir).where("language = 'java'")
     symbols = code.block_ends(code.line_symbols(own, "java").where("kind <> 'import'"), own)
     held = code.owners(symbols.where("kind = 'function'"), symbols.where("kind = 'class'"))
     return symbols.join(held, ["path", "line", "name"], "left").select("path", "kind", "name", "line", "end_line", "owner")
 
 
+#: What an edit does to a document: nothing before it, a new line before and after, nothing after it, another place, and the same.
+_ACTIONS = [("create_file",), ("modify_file",), ("delete_file",), ("move_file",), ("modify_file",)]
+
+
 @query()
 def q41_edit_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = _frame(spark, EDITS, "id int, action string, path string, target_path string, before string, after string")
+    docs = picked(spark, sf_dir, "documents", "doc_id", _ACTIONS, "action string").withColumn("text", F.coalesce("text", F.lit("")))
+    folder = F.when(F.col("doc_id") % 7 == 0, "config/").otherwise("src/")
+    before = F.when(F.col("action") == "create_file", "").otherwise(F.col("text"))
+    added = F.when(F.col("doc_id") % 5 == 1, F.concat(F.lit("first\n"), F.col("text"), F.lit("\n"), F.col("doc_id").cast("string"))).otherwise(F.col("text"))
+    path = F.concat(folder, F.col("doc_id").cast("string"), F.lit(".txt"))
+    own = docs.select(F.col("doc_id").alias("id"), "action", path.alias("path"), F.concat(F.lit("moved/"), path).alias("target_path"), before.alias("before"), F.when(F.col("action") != "delete_file", added).alias("after"))
     return edits.diffs(own).select("id", "added", "removed", "risk", "diff")

@@ -7,18 +7,13 @@ from pyspark.sql import functions as F
 
 from spindle.functions import text as T
 from spindle.operators import code, context, edits, imports, retrieval
-from spindle.plans.code import NAMES
-from spindle.plans.registry import query, table, values
-from spindle.session import ship
+from spindle.plans.code import FILE_ROWS, named_files
+from spindle.plans.registry import picked, picked_sql, query, table, values
+from spindle.plans.sources import COLUMNS, FILES
 from spindle.sources import files
 
 
-def _frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    ship(spark)
-    return spark.createDataFrame(rows, schema)
-
-
-_NAMED = f"(SELECT path, size, regexp_extract(path, '([^/]+)$', 1) AS name FROM {values(NAMES, 'path, size')})"
+_NAMED = f"(SELECT path, size, regexp_extract(path, '([^/]+)$', 1) AS name FROM {FILE_ROWS})"
 _BAD = "(lower(name) IN ('package-lock.json') OR name LIKE '.%' OR lower(name) LIKE '%.png' OR lower(name) LIKE '%.gz' OR size > 2097152)"
 
 
@@ -26,8 +21,7 @@ _BAD = "(lower(name) IN ('package-lock.json') OR name LIKE '.%' OR lower(name) L
     f"SELECT count(*) AS files, count(*) FILTER (WHERE NOT {_BAD}) AS accepted, count(*) FILTER (WHERE {_BAD}) AS skipped, (sum(size) FILTER (WHERE NOT {_BAD}))::BIGINT AS bytes, round(avg(size) FILTER (WHERE NOT {_BAD}), 2) AS mean_bytes, arg_min(path, (-size, path)) FILTER (WHERE NOT {_BAD}) AS largest FROM {_NAMED}"
 )
 def q52_repository_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = _frame(spark, NAMES, "path string, size_bytes long").withColumn("name", F.element_at(F.split("path", "/"), -1))
-    return files.repository_statistics(files.classified(own))
+    return files.repository_statistics(files.classified(named_files(spark, sf_dir)))
 
 
 @query(
@@ -42,17 +36,21 @@ def q53_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.related(hits, edges)
 
 
-CHUNKS = [("c1", "a.ts", "Button(cn(x), y)"), ("c2", "a.ts", "const z = Card + Button"), ("c3", "b.ts", "plain"), ("c4", "a.ts", "")]
-IMPORTS = [("a.ts", "./ui", "Button,Card"), ("a.ts", "lib/cn", ""), ("b.ts", "react", "useState")]
+#: What files of a language import, by the language's place among the templates; the document's number stands for @ID, what is left of it by seven for @M.
+IMPORTS = [(0, "lib.tools", "helper_@M,unused"), (0, "os", ""), (1, "react", "React,View_@ID"), (2, "java.util.List", "String,Map"), (3, "fmt", "")]
+_FILLED = "replace(replace(names, '@ID', CAST(doc_id AS STRING)), '@M', CAST(doc_id % 7 AS STRING))"
 
 
 @query(
-    f"WITH u AS (SELECT chunk_id, path, unnest(list_distinct(regexp_extract_all(content, '[A-Za-z_$][A-Za-z0-9_$]*'))) AS name FROM {values(CHUNKS, 'chunk_id, path, content')}),"
-    f" b AS (SELECT path, module, unnest(CASE WHEN names = '' THEN [regexp_extract(module, '([^./]+)$', 1)] ELSE string_split(names, ',') END) AS name FROM {values(IMPORTS, 'path, module, names')}) SELECT chunk_id, name, module FROM u JOIN b USING (path, name)"
+    f"WITH f AS ({FILES}), u AS (SELECT path AS chunk_id, path, unnest(list_distinct(regexp_extract_all(text, '[A-Za-z_$][A-Za-z0-9_$]*'))) AS name FROM f),"
+    f" b AS (SELECT path, module, unnest(CASE WHEN names = '' THEN [regexp_extract(module, '([^./]+)$', 1)] ELSE string_split(names, ',') END) AS name FROM (SELECT path, module, {_FILLED} AS names FROM f JOIN {values(IMPORTS, 'family, module, names')} i ON doc_id % 6 = family)) SELECT chunk_id, name, module FROM u JOIN b USING (path, name)"
 )
 def q54_chunk_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bound = _frame(spark, IMPORTS, "path string, module string, names string").withColumn("names", F.filter(F.split("names", ","), lambda x: x != ""))
-    return code.dependencies(_frame(spark, CHUNKS, "chunk_id string, path string, content string"), bound)
+    own = table(spark, sf_dir, "documents").selectExpr(*COLUMNS, "doc_id")
+    fixed = F.broadcast(spark.createDataFrame(IMPORTS, "family int, module string, names string"))
+    bound = own.join(fixed, F.col("doc_id") % 6 == F.col("family")).selectExpr("path", "module", f"{_FILLED} AS names")
+    bound = bound.withColumn("names", F.filter(F.split("names", ","), lambda x: x != ""))
+    return code.dependencies(own.select(F.col("path").alias("chunk_id"), "path", F.col("text").alias("content")), bound)
 
 
 @query(
@@ -76,17 +74,17 @@ def q56_display_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.agg(F.greatest(F.lit(128), 420 * F.count("*")).alias("tokens"), F.count_if(F.col("role") == "user").alias("used"), F.round(F.max("turn") * 100.0 / F.count("*"), 0).cast("long").alias("percent"))
 
 
-MODULES = [("app.services.x", False), ("@scope/pkg/sub", False), ("@/lib/utils", False), ("react-dom/client", False), ("./here", True), ("src/lib", False), ("setup", False), ("os.path", False), ("lib.App", False)]
+MODULES = [("app@K.services.x", False), ("@scope/pkg@K/sub", False), ("@/lib/utils", False), ("d@K-dom/client", False), ("./here@K", True), ("d@K/lib", False), ("d@K", False), ("os.path", False), ("d@K.App", False)]
+_MODULE = "replace(module, '@K', CAST(doc_id * 2 AS STRING))"
 
 
 @query(
-    f"WITH m AS (SELECT module, is_relative, CASE WHEN module LIKE '@%' AND contains(module, '/') THEN array_to_string(string_split(module, '/')[1:2], '/') WHEN contains(module, '/') THEN string_split(module, '/')[1] ELSE string_split(module, '.')[1] END AS segment FROM {values(MODULES, 'module, is_relative')}),"
-    f" n AS (SELECT DISTINCT CASE WHEN contains(path, '/') THEN string_split(path, '/')[1] ELSE regexp_replace(path, '(.)\\.[^.]*$', '\\1') END AS name FROM {values([*NAMES, ('setup.py', 1)], 'path, size')})"
-    " SELECT module, segment, NOT (is_relative OR segment IN (SELECT name FROM n)) AS is_external FROM m"
+    f"WITH m AS (SELECT doc_id, {_MODULE} AS module, is_relative FROM {picked_sql('documents', 'doc_id', MODULES, 'module, is_relative')}), s AS (SELECT *, CASE WHEN module LIKE '@%' AND contains(module, '/') THEN array_to_string(string_split(module, '/')[1:2], '/') WHEN contains(module, '/') THEN string_split(module, '/')[1] ELSE string_split(module, '.')[1] END AS segment FROM m),"
+    f" n AS (SELECT DISTINCT string_split(path, '/')[1] AS name FROM {FILE_ROWS}) SELECT doc_id, module, segment, NOT (is_relative OR segment IN (SELECT name FROM n)) AS is_external FROM s"
 )
 def q57_import_locality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    paths = _frame(spark, [(p,) for p, _ in [*NAMES, ("setup.py", 1)]], "path string")
-    return imports.located(_frame(spark, MODULES, "module string, is_relative boolean"), paths).select("module", "segment", "is_external")
+    own = picked(spark, sf_dir, "documents", "doc_id", MODULES, "module string, is_relative boolean").selectExpr("doc_id", f"{_MODULE} AS module", "is_relative")
+    return imports.located(own, named_files(spark, sf_dir)).select("doc_id", "module", "segment", "is_external")
 
 
 @query("SELECT doc_id, i::INT AS part, substr(text, i * 48 + 1, 48) AS piece FROM documents, LATERAL (SELECT unnest(generate_series(0, greatest((length(text) - 1) // 48, 0))) AS i)")
@@ -96,24 +94,30 @@ def q58_fixed_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "text", F.explode(F.sequence(F.lit(0), last)).alias("part")).select("doc_id", "part", F.substring(F.col("text"), F.col("part") * 48 + 1, F.lit(48)).alias("piece"))
 
 
-WINDOWS = [("8k", context.budget("8k")), ("16k", context.budget("16k")), ("128k", context.budget("128k")), ("odd", context.budget("odd")), ("600", context.budget(600))]
+WINDOWS = [("8k",), ("16k",), ("128k",), ("odd",), ("",)]
 
 
-@query("SELECT * FROM (VALUES ('8k', 5444), ('16k', 11588), ('128k', 97604), ('odd', 11588), ('600', 256)) AS v(name, budget)")
+@query(
+    f"""SELECT doc_id, greatest(256, floor(CASE w WHEN '8k' THEN 8192 WHEN '16k' THEN 16384 WHEN '128k' THEN 131072 WHEN 'odd' THEN 16384 ELSE greatest(1024, n_chars) END * 0.75::DOUBLE)::BIGINT - 700) AS budget FROM {picked_sql('documents', 'doc_id', WINDOWS, 'w')}"""
+)
 def q59_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _frame(spark, WINDOWS, "name string, budget int")
+    own = picked(spark, sf_dir, "documents", "doc_id", WINDOWS, "w string")
+    return own.select("doc_id", context.budget_column(F.when(F.col("w") == "", F.col("n_chars").cast("string")).otherwise(F.col("w"))).alias("budget"))
 
 
 SYMBOLS = [("python", "__init__", False, ""), ("python", "__x", True, ""), ("python", "_x", False, ""), ("python", "x", False, ""), ("tsx", "_h", True, ""), ("tsx", "App", True, ""), ("jsx", "app", False, ""), ("java", "f", False, "private int f"), ("csharp", "g", False, "int g"), ("java", "h", False, "public h"), ("go", "Éa", False, ""), ("go", "ea", True, ""), ("rust", "r", False, " pub fn r"), ("rust", "s", True, "fn s"), ("sql", "t", True, "")]
 
 
+_ENDED = [(lang, name.removesuffix("__") if name.startswith("__i") else name, "__" if name.startswith("__i") else "", exported, decl) for lang, name, exported, decl in SYMBOLS]
+
+
 @query(
-    f"""SELECT language, name, CASE WHEN language = 'python' THEN CASE WHEN regexp_matches(name, '^__.*__$') THEN 'public' WHEN starts_with(name, '__') THEN 'private' WHEN starts_with(name, '_') THEN 'protected' ELSE 'public' END
+    f"""SELECT doc_id, language, name, CASE WHEN language = 'python' THEN CASE WHEN regexp_matches(name, '^__.*__$') THEN 'public' WHEN starts_with(name, '__') THEN 'private' WHEN starts_with(name, '_') THEN 'protected' ELSE 'public' END
 WHEN language IN ('javascript', 'jsx', 'typescript', 'tsx') THEN CASE WHEN regexp_matches(name, '^[#_]') THEN 'private' WHEN exported THEN 'public' ELSE 'internal' END
 WHEN language IN ('java', 'csharp') THEN CASE WHEN contains(decl, 'private') THEN 'private' WHEN contains(decl, 'protected') THEN 'protected' WHEN contains(decl, 'public') THEN 'public' ELSE 'internal' END
 WHEN language = 'go' THEN CASE WHEN regexp_matches(name, '^\\p{{Lu}}') THEN 'public' ELSE 'internal' END WHEN language = 'rust' THEN CASE WHEN starts_with(trim(decl), 'pub') THEN 'public' ELSE 'private' END
-ELSE CASE WHEN exported THEN 'public' ELSE 'internal' END END AS visibility FROM {values(SYMBOLS, 'language, name, exported, decl')}"""
+ELSE CASE WHEN exported THEN 'public' ELSE 'internal' END END AS visibility FROM (SELECT doc_id, language, concat(name, CAST(doc_id AS STRING), tail) AS name, exported, decl FROM {picked_sql('documents', 'doc_id', _ENDED, 'language, name, tail, exported, decl')})"""
 )
 def q60_visibility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = _frame(spark, SYMBOLS, "language string, name string, exported boolean, decl string")
-    return own.select("language", "name", imports.visibility(F.col("language"), F.col("name"), F.col("exported"), F.col("decl")).alias("visibility"))
+    own = picked(spark, sf_dir, "documents", "doc_id", _ENDED, "language string, name string, tail string, exported boolean, decl string").withColumn("name", F.concat("name", F.col("doc_id").cast("string"), "tail"))
+    return own.select("doc_id", "language", "name", imports.visibility(F.col("language"), F.col("name"), F.col("exported"), F.col("decl")).alias("visibility"))

@@ -194,7 +194,12 @@ def test_apply_plan(spark):
 
 
 def test_overall_risk_and_diff_lines(spark):
-    d = catalog.QUERIES["q41_edit_risk"](spark, "")
+    rows = [
+        (1, "modify_file", "src/a.py", None, "a\nb\nc\n", "a\nB\nc\nd\n"), (2, "create_file", "new.txt", None, "", "x\ny"), (3, "delete_file", "old.txt", None, "1\n2\n3\n", None),
+        (4, "move_file", "p.txt", "q.txt", "same\n", "same\n"), (5, "modify_file", "conf/config.yml", None, "a: 1\n", "a: 2\n"), (6, "modify_file", "same.txt", None, "s\n", "s\n"),
+        (7, "modify_file", "many.txt", None, "", "\n".join(map(str, range(31)))), (8, "modify_file", "more.txt", None, "", "\n".join(map(str, range(121)))),
+    ]
+    d = edits.diffs(spark.createDataFrame(rows, "id int, action string, path string, target_path string, before string, after string"))
     assert {r.id: r.risk for r in d.collect()} == {1: "low", 2: "low", 3: "high", 4: "high", 5: "medium", 6: "low", 7: "medium", 8: "high"}
     assert edits.overall_risk(d.withColumn("g", F.lit(1)), ["g"]).first().risk == "high"
     assert edits.diff_lines(d.where("id = 1"), "id").where("kind = 'added'").count() == 2
@@ -223,3 +228,20 @@ def test_word_pattern():
     java_to_python = pattern.replace(r"\p{L}\p{N}_", r"\w")
     hit = lambda s: bool(re.search(java_to_python, s))
     assert hit("an app.") and not hit("apple") and hit("my web apps") and hit("c++x") and not hit("c++ x")
+
+
+def test_diffs_of_documents(spark, sf):
+    got = {r.id: r for r in catalog.QUERIES["q41_edit_risk"](spark, sf).collect()}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        text, d, kind = r.text or "", got[r.doc_id], r.doc_id % 5
+        lines = len(text.splitlines())
+        assert (d.added, d.removed) == {0: (lines, 0), 1: (2, 0), 2: (0, lines), 3: (0, 0), 4: (0, 0)}[kind]
+        assert d.risk == ("high" if kind in (2, 3) else "medium" if r.doc_id % 7 == 0 else "high" if d.added > 120 else "medium" if d.added > 30 else "low")
+
+
+def test_budgets_of_windows(spark):
+    names = ["8k", "128k", "nonsense", "", None, "600", "-5", "2000"]
+    df = spark.createDataFrame([(n,) for n in names], "w string")
+    from spindle.operators import context
+
+    assert [r[0] for r in df.select(context.budget_column(F.col("w"))).collect()] == [context.budget(n if n is not None and not n.lstrip("-").isdigit() else int(n) if n else "") for n in names]
