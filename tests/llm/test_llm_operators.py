@@ -630,3 +630,34 @@ def test_filters_of_any_size_hold_what_was_put_in(spark, log_bits):
     df = spark.range(300).select(F.xxhash64("id").alias("h"))
     held = np.array([r.h for r in df.collect()], np.int64).view(np.uint64)
     assert hash_filter(df, "h", log_bits).holds(held).all()
+
+
+BODY = "".join(f"<p>{'plain words of a long article ' * 6}{i}</p>" for i in range(4))
+LINES = "\n".join(re.sub("<[^>]*>", "", x) for x in re.findall("<p>.*?</p>", BODY))
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<nav>menu</nav><article class="post type-post comments-open">{BODY}</article><footer>f</footer>',
+        f"<article class='has-sidebar post'>{BODY}</article>", f"<main class='no-sidebar'>{BODY}</main>", f"<div class='content-with-sidebar'>{BODY}</div>", f"<div class='content-with-sidebar'><article>{BODY}</article></div>",
+        f"<article><section class='privacy'>{BODY}</section></article>", f"<article><div class='privacy-law'>{BODY}</div></article>", f"<div class='banner'>{BODY}</div>", f"<section class='comments'><article>{BODY}</article></section>",
+        f"<article>{BODY}</article><article><h2><a href=/>Another story</a></h2><p>A teaser of it.</p></article>", f"<main><article>{BODY}</article></main>",
+        f"<article>{BODY}</article><div id='comments' class='comments-area'><article class='comment'><p>I have read it and found it good enough.</p></article></div>",
+        f"<div>{BODY}</div><section class='reader-opinions'><p>{'I am a reader and do not agree with this. ' * 9}</p></section>",
+        f"<article>{BODY}<div class='share-buttons'>Share this story</div><div class='newsletter-box'><p>Sign up for more of these</p></div></article>",
+    ],
+)
+def test_classes_of_real_pages(page):
+    assert html_text.main_text(page) == LINES
+
+
+@pytest.mark.parametrize("broken", ["<a", "<a b='", '<a b="', "<!--", "<script", "<svg>", "</a", "<", "<div class=ad>x", "<b><p></p>", "<article>x", "&amp", "<textarea>", "<p '>\"", "<main><article class=comment>y"])
+def test_a_broken_page_takes_time_by_its_length(broken):
+    import time
+
+    page = broken * (1_000_000 // len(broken))
+    began = time.process_time()
+    html_text.main_text(page)
+    html_text.main_text(f"{page}>{BODY}")
+    assert time.process_time() - began < 25
