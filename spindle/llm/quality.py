@@ -18,12 +18,10 @@ from spindle.llm.common import checkpointed
 
 SPACES = r"[\x20\x09-\x0D]+"
 WINDOW = 8
-#: Metrics, as whole numbers: characters per 100 words, and per 1000 words or lines.
+#: Metrics, as whole numbers: characters per 10,000 words, and events per 100,000 words or lines.
 METRICS = ("word_length", "symbol_rate", "dup_line_rate", "repeat_rate", "stutter_rate")
 #: What one event adds to a metric times its denominator: 20 more characters, a symbol, a line, a window found twice, a word.
-EVENTS = {"word_length": (2000, "n_words"), "symbol_rate": (1000, "n_words"), "dup_line_rate": (1000, "n_lines"), "repeat_rate": (16000, "n_words"), "stutter_rate": (1000, "n_words")}
-#: Values that are sketched: the metrics and the sizes they are divided by.
-SKETCHED = (*METRICS, "n_words", "n_lines")
+EVENTS = {"word_length": (200_000, "n_words"), "symbol_rate": (100_000, "n_words"), "dup_line_rate": (100_000, "n_lines"), "repeat_rate": (1_600_000, "n_words"), "stutter_rate": (100_000, "n_words")}
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -89,18 +87,18 @@ def with_metrics(measured: DataFrame) -> DataFrame:
     return measured.withColumns(
         {
             "base_failed": (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")),
-            "word_length": per("word_chars", "n_words", 100),
-            "symbol_rate": per("n_symbols", "n_words", 1000),
-            "dup_line_rate": per("n_dup_lines", "n_lines", 1000),
-            "repeat_rate": per("n_repeat_words", "n_words", 1000),
-            "stutter_rate": per("n_stutters", "n_words", 1000),
+            "word_length": per("word_chars", "n_words", 10_000),
+            "symbol_rate": per("n_symbols", "n_words", 100_000),
+            "dup_line_rate": per("n_dup_lines", "n_lines", 100_000),
+            "repeat_rate": per("n_repeat_words", "n_words", 100_000),
+            "stutter_rate": per("n_stutters", "n_words", 100_000),
         }
     )
 
 
 def sketches(measured: DataFrame, keys: list[str]) -> DataFrame:
     """keys, metric, bin, n: the number of documents that passed the base rules in each bin."""
-    entries = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in SKETCHED]))
+    entries = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in METRICS]))
     spread = measured.where("not base_failed").select(*keys, entries.alias("e")).select(*keys, "e.metric", "e.value")
     shift = F.greatest(F.length(F.bin("value")) - 6, F.lit(0))
     width = F.pow(F.lit(2.0), shift).cast("long")
@@ -108,56 +106,63 @@ def sketches(measured: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, metric, docs and the bins that hold the quartiles and the median."""
+    """keys, metric, docs, lo and hi: the lower edge of the bin that holds the first quartile, and the upper edge of the third one's."""
     group = Window.partitionBy(*keys, "metric")
     ranked = sketch.withColumns({"upto": F.sum("n").over(group.orderBy("bin")), "docs": F.sum("n").over(group)})
     at = lambda q: F.min(F.when(F.col("upto") >= F.col("docs") * q, F.col("bin")))
-    return ranked.groupBy(*keys, "metric").agg(F.first("docs").alias("docs"), at(0.25).alias("lo"), at(0.5).alias("mid"), at(0.75).alias("hi"))
+    found = ranked.groupBy(*keys, "metric").agg(F.first("docs").alias("docs"), at(0.25).alias("lo"), at(0.75).alias("hi"))
+    width = F.pow(F.lit(2.0), F.greatest(F.length(F.bin("hi")) - 6, F.lit(0))).cast("long")
+    return found.withColumn("hi", F.col("hi") + width - 1)
 
 
-def thresholds(measured: DataFrame, *, min_docs: int = 100, reach: int = 4) -> DataFrame:
-    """lang, source and the bounds of each metric for that group.
+def thresholds(measured: DataFrame, *, min_docs: int = 100) -> DataFrame:
+    """lang, source and, for each metric, a struct of lo and hi, between which half of the group's documents lie.
 
-    A bound lies reach times the spread between the quartiles beyond the quartile. A metric that is
-    zero in most documents has no such spread: a spread is at least what one event makes of the metric
-    in a document of the group's median size, so that groups of short documents are allowed higher
-    rates. Quartiles hold as long as less than a quarter of a group is junk. Groups of fewer than
-    min_docs documents take their language's sketch, and languages of fewer the sketch of all.
+    Groups of fewer than min_docs documents take their language's sketch, and languages of fewer the
+    sketch of all. Quartiles hold as long as less than a quarter of a group is junk.
     """
     fine = sketches(measured, ["lang", "source"])
     by_lang = fine.groupBy("lang", "metric", "bin").agg(F.sum("n").alias("n"))
     overall = by_lang.groupBy("metric", "bin").agg(F.sum("n").alias("n"))
-    held = F.struct("docs", "lo", "mid", "hi")
+    held = F.struct("docs", "lo", "hi")
     one = quantiles(fine, ["lang", "source"])
     two = quantiles(by_lang, ["lang"]).select(F.col("lang").alias("lang2"), F.col("metric").alias("metric2"), held.alias("two"))
     all_ = quantiles(overall, []).select(F.col("metric").alias("metric3"), held.alias("three"))
     same = F.col("lang").eqNullSafe(F.col("lang2")) & (F.col("metric") == F.col("metric2"))
     both = one.join(two, same).join(all_, F.col("metric") == F.col("metric3"))
     used = F.when(F.col("docs") >= min_docs, held).when(F.col("two.docs") >= min_docs, F.col("two")).otherwise(F.col("three"))
-    groups = both.groupBy("lang", "source").agg(*[F.max(F.when(F.col("metric") == m, used)).alias(m) for m in SKETCHED])
+    return both.groupBy("lang", "source").agg(*[F.max(F.when(F.col("metric") == m, used)).alias(m) for m in METRICS])
 
-    def bounds(metric: str) -> list[Column]:
-        event, size = EVENTS[metric]
-        q = F.col(metric)
-        gap = reach * F.greatest(q["hi"] - q["lo"], F.floor(F.lit(event) / F.col(size)["mid"]))
-        return [(q["lo"] - gap).alias(f"{metric}_lower"), (q["hi"] + gap).alias(f"{metric}_upper")]
 
-    return groups.select("lang", "source", *[c for m in METRICS for c in bounds(m)])
+def within(reach: int = 4) -> Column:
+    """Whether a document's metrics are within its group's bounds, bound_ and the metric's name.
 
+    A bound lies reach spreads beyond hi, that of the word length also below lo. A spread is what lies
+    between lo and hi, and at least what one event makes of the metric in a document of this size: a
+    metric that is zero in most documents has no spread of its own, and a few events are no junk, in
+    short documents or in long ones.
+    """
+    inside = F.lit(True)
+    for m in METRICS:
+        event, size = EVENTS[m]
+        lo, hi = F.col(f"bound_{m}.lo"), F.col(f"bound_{m}.hi")
+        gap = reach * F.greatest((hi - lo).cast("double"), F.lit(float(event)) / F.greatest(F.col(size), F.lit(1)))
+        inside &= F.col(m) <= hi + gap
+        if m == "word_length":
+            inside &= F.col(m) >= lo - gap
+    return F.coalesce(inside, F.lit(True))
 
-def quality_rules(docs: DataFrame, **options) -> DataFrame:
+
+def quality_rules(docs: DataFrame, *, min_docs: int = 100, reach: int = 4) -> DataFrame:
     """One row per row of docs: doc_id, counts, base_failed and kept.
 
-    kept: the base rules hold and every metric is at most its group's upper bound; the word length
-    also at least the lower one. Null and empty texts have no words and fail the base rules; null
-    languages and sources are groups like others; repeated rows are judged alike.
+    kept: the base rules hold and every metric is within its group's bounds. Null and empty texts have
+    no words and fail the base rules; null languages and sources are groups like others; repeated rows
+    are judged alike.
     """
     measured = checkpointed(with_metrics(measures(docs)))  # counts of words are used twice
-    bounds = thresholds(measured, **options).select(F.col("lang").alias("b_lang"), F.col("source").alias("b_source"), *[f"{m}_{c}" for m in METRICS for c in ("lower", "upper")])
+    bounds = thresholds(measured, min_docs=min_docs).select(F.col("lang").alias("b_lang"), F.col("source").alias("b_source"), *[F.col(m).alias(f"bound_{m}") for m in METRICS])
     # one row a group, and groups are few: a broadcast if Spark's own size check allows it
     joined = measured.join(bounds, F.col("lang").eqNullSafe(F.col("b_lang")) & F.col("source").eqNullSafe(F.col("b_source")), "left")
-    inside = F.col("word_length") >= F.col("word_length_lower")
-    for m in METRICS:
-        inside &= F.col(m) <= F.col(f"{m}_upper")
-    kept = ~F.col("base_failed") & F.coalesce(inside, F.lit(True))
+    kept = ~F.col("base_failed") & within(reach)
     return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"))

@@ -12,7 +12,8 @@ def _words(text: str, separators: str) -> str:
 _SPACES, _OTHERS = r"[\x20\x09-\x0D]+", r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _FOLDED = f"translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}')"
 
-_METRICS = {"word_length": "2000 // n_words", "symbol_rate": "1000 // n_words", "dup_line_rate": "1000 // n_lines", "repeat_rate": "16000 // n_words", "stutter_rate": "1000 // n_words"}
+_METRICS = {"word_length": "200000.0::DOUBLE / greatest(n_words, 1)", "symbol_rate": "100000.0::DOUBLE / greatest(n_words, 1)", "dup_line_rate": "100000.0::DOUBLE / greatest(n_lines, 1)", "repeat_rate": "1600000.0::DOUBLE / greatest(n_words, 1)", "stutter_rate": "100000.0::DOUBLE / greatest(n_words, 1)"}
+_QUARTILES = "docs, min(CASE WHEN upto >= docs * 0.25 THEN bin END) AS lo, min(CASE WHEN upto >= docs * 0.75 THEN bin END) AS low_edge"
 
 _QUALITY = rf"""
 WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, {_words("coalesce(text, '')", _SPACES)} AS ws FROM documents),
@@ -23,26 +24,25 @@ l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_m
 m AS (SELECT d.doc_id, lang, source, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
   (length(text) - length(translate(text, '#*$%&|<>', '')))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, len(ls) AS n_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words,
   len(list_filter(ws, lambda x, i: i > 1 AND x = ws[greatest(i - 1, 1)])) AS n_stutters FROM d JOIN l USING (doc_id) LEFT JOIN c USING (doc_id)),
-x AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, CASE WHEN n_words > 0 THEN 100 * word_chars // n_words ELSE 0 END AS word_length,
-  CASE WHEN n_words > 0 THEN 1000 * n_symbols // n_words ELSE 0 END AS symbol_rate, CASE WHEN n_lines > 0 THEN 1000 * n_dup_lines // n_lines ELSE 0 END AS dup_line_rate,
-  CASE WHEN n_words > 0 THEN 1000 * n_repeat_words // n_words ELSE 0 END AS repeat_rate, CASE WHEN n_words > 0 THEN 1000 * n_stutters // n_words ELSE 0 END AS stutter_rate FROM m),
-e AS ({" UNION ALL ".join(f"SELECT lang, source, '{m}' AS metric, {m} AS v FROM x WHERE NOT base_failed" for m in (*_METRICS, "n_words", "n_lines"))}),
+x AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, CASE WHEN n_words > 0 THEN 10000 * word_chars // n_words ELSE 0 END AS word_length,
+  CASE WHEN n_words > 0 THEN 100000 * n_symbols // n_words ELSE 0 END AS symbol_rate, CASE WHEN n_lines > 0 THEN 100000 * n_dup_lines // n_lines ELSE 0 END AS dup_line_rate,
+  CASE WHEN n_words > 0 THEN 100000 * n_repeat_words // n_words ELSE 0 END AS repeat_rate, CASE WHEN n_words > 0 THEN 100000 * n_stutters // n_words ELSE 0 END AS stutter_rate FROM m),
+e AS ({" UNION ALL ".join(f"SELECT lang, source, '{m}' AS metric, {m} AS v FROM x WHERE NOT base_failed" for m in _METRICS)}),
 b AS (SELECT lang, source, metric, v // pow(2, greatest(length(bin(v)) - 6, 0))::BIGINT * pow(2, greatest(length(bin(v)) - 6, 0))::BIGINT AS bin, count(*) AS n FROM e GROUP BY ALL),
-q AS (SELECT lang, source, metric, docs, min(CASE WHEN upto >= docs * 0.25 THEN bin END) AS lo, min(CASE WHEN upto >= docs * 0.5 THEN bin END) AS mid, min(CASE WHEN upto >= docs * 0.75 THEN bin END) AS hi FROM
+q AS (SELECT lang, source, metric, {_QUARTILES} FROM
   (SELECT *, sum(n) OVER (PARTITION BY lang, source, metric ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY lang, source, metric) AS docs FROM b) GROUP BY ALL),
 b2 AS (SELECT lang, metric, bin, sum(n) AS n FROM b GROUP BY ALL),
-q2 AS (SELECT lang, metric, docs, min(CASE WHEN upto >= docs * 0.25 THEN bin END) AS lo, min(CASE WHEN upto >= docs * 0.5 THEN bin END) AS mid, min(CASE WHEN upto >= docs * 0.75 THEN bin END) AS hi FROM
+q2 AS (SELECT lang, metric, {_QUARTILES} FROM
   (SELECT *, sum(n) OVER (PARTITION BY lang, metric ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY lang, metric) AS docs FROM b2) GROUP BY ALL),
 b3 AS (SELECT metric, bin, sum(n) AS n FROM b GROUP BY ALL),
-q3 AS (SELECT metric, min(CASE WHEN upto >= docs * 0.25 THEN bin END) AS lo, min(CASE WHEN upto >= docs * 0.5 THEN bin END) AS mid, min(CASE WHEN upto >= docs * 0.75 THEN bin END) AS hi FROM
+q3 AS (SELECT metric, {_QUARTILES} FROM
   (SELECT *, sum(n) OVER (PARTITION BY metric ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY metric) AS docs FROM b3) GROUP BY ALL),
-u AS (SELECT q.lang, source, q.metric, {", ".join(f"CASE WHEN q.docs >= 100 THEN q.{c} WHEN q2.docs >= 100 THEN q2.{c} ELSE q3.{c} END AS {c}" for c in ("lo", "mid", "hi"))}
+u AS (SELECT q.lang, source, q.metric, {", ".join(f"CASE WHEN q.docs >= 100 THEN q.{c} WHEN q2.docs >= 100 THEN q2.{c} ELSE q3.{c} END AS {c}" for c in ("lo", "low_edge"))}
   FROM q JOIN q2 ON q.metric = q2.metric AND q.lang IS NOT DISTINCT FROM q2.lang JOIN q3 ON q.metric = q3.metric),
-z AS (SELECT lang, source, max(CASE WHEN metric = 'n_words' THEN mid END) AS n_words, max(CASE WHEN metric = 'n_lines' THEN mid END) AS n_lines FROM u GROUP BY ALL),
-t AS (SELECT lang, source, metric, lo - 4 * greatest(hi - lo, least) AS lower, hi + 4 * greatest(hi - lo, least) AS upper FROM
-  (SELECT u.*, CASE metric {" ".join(f"WHEN '{m}' THEN {s}" for m, s in _METRICS.items())} END AS least FROM u JOIN z ON u.lang IS NOT DISTINCT FROM z.lang AND u.source IS NOT DISTINCT FROM z.source)),
-g AS (SELECT lang, source, max(CASE WHEN metric = 'word_length' THEN lower END) AS wl, {", ".join(f"max(CASE WHEN metric = '{m}' THEN upper END) AS u_{m}" for m in _METRICS)} FROM t GROUP BY ALL)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(word_length >= wl AND {" AND ".join(f"{m} <= u_{m}" for m in _METRICS)}, true) AS kept
+t AS (SELECT lang, source, metric, lo, low_edge + pow(2, greatest(length(bin(low_edge)) - 6, 0))::BIGINT - 1 AS hi FROM u),
+g AS (SELECT lang, source, {", ".join(f"max(CASE WHEN metric = '{m}' THEN lo END) AS lo_{m}, max(CASE WHEN metric = '{m}' THEN hi END) AS hi_{m}" for m in _METRICS)} FROM t GROUP BY ALL)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(word_length >= lo_word_length - 4 * greatest((hi_word_length - lo_word_length)::DOUBLE, {_METRICS["word_length"]})
+ AND {" AND ".join(f"{m} <= hi_{m} + 4 * greatest((hi_{m} - lo_{m})::DOUBLE, {least})" for m, least in _METRICS.items())}, true) AS kept
 FROM x LEFT JOIN g ON x.lang IS NOT DISTINCT FROM g.lang AND x.source IS NOT DISTINCT FROM g.source"""
 
 _NEAR = rf"""

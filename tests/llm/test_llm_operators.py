@@ -228,7 +228,7 @@ def test_token_counts(spark, sf, docs, tokenizer, odd, empty):
     plain = lambda t: tokenizer[1].encode(t or "", add_special_tokens=False).ids
     got = {r.doc_id: r for r in QUERIES["op2_token_counts"](spark, sf).collect()}
     assert all((got[d].n_bytes, got[d].n_tokens, got[d].over_limit) == (len(r.text.encode()), len(plain(r.text)), len(plain(r.text)) > 1024) for d, r in docs.items())
-    small = sorted((str(r.doc_id), r.n_bytes, r.n_tokens) for r in token_counts.token_counts(odd, tokenizer[0], cache=3).collect())
+    small = sorted((str(r.doc_id), r.n_bytes, r.n_tokens) for r in token_counts.token_counts(odd, tokenizer[0], cache_bytes=3).collect())
     assert small == sorted((str(d), len((t or "").encode()), len(plain(t))) for d, t, *_ in CASES)
     assert token_counts.token_counts(empty, tokenizer[0]).count() == 0
 
@@ -297,11 +297,12 @@ def test_quality_thresholds_differ_by_group(spark):
     zeros = [f"0L AS {m}" for m in quality.METRICS if m != "word_length"]
     measured = spark.createDataFrame(rows, "lang string, source string, n_words long, n_lines long, word_length long").selectExpr("*", *zeros, "false AS base_failed")
     got = {r.source: r for r in quality.thresholds(measured).collect()}
-    assert [got["long"][f"{m}_upper"] for m in quality.METRICS[1:]] == [4 * x for x in (1000 // 496, 1000 // 40, 16000 // 496, 1000 // 496)]
-    assert [got["short"][f"{m}_upper"] for m in quality.METRICS[1:]] == [4 * x for x in (20, 250, 320, 20)]
-    assert got["long"].word_length_lower > got["short"].word_length_lower and got["long"].word_length_upper < got["short"].word_length_upper
-    # too few documents: the sketch of the language, whose median size is that of the short ones
-    assert got["few"].symbol_rate_upper == got["short"].symbol_rate_upper
+    assert (got["long"].word_length.lo, got["long"].word_length.hi) == (480, 487) and (got["short"].word_length.lo, got["short"].word_length.hi) == (464, 511)
+    assert all(got[g][m].lo == got[g][m].hi == 0 for g in ("long", "short") for m in quality.METRICS[1:])
+    assert got["few"].word_length.docs == 241  # too few documents: the sketch of the language
+    judged = spark.createDataFrame([("long", 488), ("long", 2200), ("short", 2200), ("short", 17000)], "source string, word_length long").join(quality.thresholds(measured).select("source", *[F.col(m).alias(f"bound_{m}") for m in quality.METRICS]), "source")
+    judged = judged.selectExpr("*", "if(source = 'long', 500L, 50L) AS n_words", "1L AS n_lines", *zeros).withColumn("ok", quality.within())
+    assert sorted((r.source, r.word_length, r.ok) for r in judged.collect()) == [("long", 488, True), ("long", 2200, False), ("short", 2200, True), ("short", 17000, False)]
 
 
 # mixing ------------------------------------------------------------------------------------------
@@ -661,3 +662,62 @@ def test_a_broken_page_takes_time_by_its_length(broken):
     html_text.main_text(page)
     html_text.main_text(f"{page}>{BODY}")
     assert time.process_time() - began < 25
+
+
+def plain_quality(docs) -> dict:
+    """Which documents the adaptive bounds keep, one by one."""
+    per = {"word_length": 10_000, "symbol_rate": 100_000, "dup_line_rate": 100_000, "repeat_rate": 100_000, "stutter_rate": 100_000}
+    event = {"word_length": 200_000, "symbol_rate": 100_000, "dup_line_rate": 100_000, "repeat_rate": 1_600_000, "stutter_rate": 100_000}
+
+    def width(v):
+        return 2 ** max(len(format(v, "b")) - 6, 0)
+
+    told = {}
+    for d, r in docs.items():
+        n, chars, symbols, dups, repeats, failed = brute_quality(r.text)
+        w = WORD.findall(r.text or "")
+        lines = sum(bool(WORD.search(x)) for x in (r.text or "").split("\n"))
+        stutters = sum(a == b for a, b in zip(w, w[1:], strict=False))
+        raw = {"word_length": (chars, n), "symbol_rate": (symbols, n), "dup_line_rate": (dups, lines), "repeat_rate": (repeats, n), "stutter_rate": (stutters, n)}
+        told[d] = r.lang, r.source, failed, {m: per[m] * a // b if b else 0 for m, (a, b) in raw.items()}, {m: max(b, 1) for m, (_, b) in raw.items()}
+    kept = {}
+    for d, (lang, source, failed, own, size) in told.items():
+        fine = [x[3] for x in told.values() if not x[2] and x[:2] == (lang, source)]
+        by_lang, every = [x[3] for x in told.values() if not x[2] and x[0] == lang], [x[3] for x in told.values() if not x[2]]
+        group = fine if len(fine) >= 100 else by_lang if len(by_lang) >= 100 else every
+        ok = not failed
+        for m in per:
+            bins = sorted(x[m] // width(x[m]) * width(x[m]) for x in group) if fine else []
+            if not bins:
+                continue
+            lo, hi = (bins[next(i for i in range(len(bins)) if i + 1 >= len(bins) * q)] for q in (0.25, 0.75))
+            hi += width(hi) - 1
+            gap = 4 * max(hi - lo, event[m] / size[m])
+            ok = ok and own[m] <= hi + gap and (m != "word_length" or own[m] >= lo - gap)
+        kept[d] = ok
+    return kept
+
+
+def test_quality_thresholds_equal_plain_ones(spark, sf, docs):
+    got = {r.doc_id: r.kept for r in QUERIES["op1_quality"](spark, sf).collect()}
+    assert got == plain_quality(docs)
+
+
+@pytest.mark.parametrize("size", [40, 200, 2000, 20000])
+def test_quality_keeps_even_groups_and_finds_junk(spark, size):
+    rng = random.Random(size)
+    text = lambda marks: " ".join([*(f"w{rng.randrange(10**6):x}" for _ in range(int(size * rng.uniform(1, 1.1)))), *["&"] * marks])
+    rows = [(i, text(rng.randint(0, 3)), "en", "s") for i in range(150)] + [(1000 + i, text(size // 2), "en", "s") for i in range(5)]
+    kept = {r.doc_id for r in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(4)).where("kept").collect()}
+    assert kept == set(range(150))
+
+
+def test_the_cache_of_lengths_fills_and_is_bounded(tokenizer):
+    texts = pa.array([" ".join(f"word{i} again" for i in range(400)), "word1 again word399"], pa.large_string())
+    for full, kept in ((1 << 20, 402), (400, 3), (0, 0)):
+        counter = token_counts.PieceCounter(tokenizer[0], {" again": 1}, full)
+        want = [len(tokenizer[1].encode(t, add_special_tokens=False).ids) for t in texts.to_pylist()]
+        assert counter.counts(texts).tolist() == want == counter.counts(texts).tolist()
+        assert abs(len(counter.known) - kept) <= 2 and " again" not in counter.known
+        if kept > 400:
+            assert counter.encoded < counter.asked / 2
