@@ -118,13 +118,14 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     Pieces keep the white space that follows each word. A column n_chars is counted anew for pieces.
     Each row takes its own parts, whether others have its doc_id or it has none.
     """
-    keyed = checkpointed(docs.withColumn("_row", F.monotonically_increasing_id()))
-    plan = mixed(keyed, key="_row", **options).where("taken > 0").select("_row", "passes", "spans")
-    joined = keyed.join(plan, "_row")
-    whole = joined.where("passes > 0").withColumn("_pass", F.explode(F.sequence(F.lit(1), F.col("passes").cast("int"))))
-    units = F.regexp_extract_all("text", F.lit(_WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
+    keyed = checkpointed(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("at")))  # own columns stay in the struct, whatever their names
+    plan = mixed(keyed.select("row.doc_id", "row.text", "row.source", "at"), key="at", **options).where("taken > 0").select("at", "passes", "spans")
+    joined = keyed.join(plan, "at")
+    whole = joined.where("passes > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("passes").cast("int"))).alias("pass")).select("row")
+    units = F.regexp_extract_all("row.text", F.lit(_WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
     cut = F.transform(F.array(units), lambda u: F.array_join(F.transform("spans", lambda s: F.array_join(F.slice(u, s["from"].cast("int") + 1, (s["to"] - s["from"]).cast("int")), "")), ""))[0]
-    part = joined.where(F.size("spans") > 0).withColumn("text", cut)
+    part = joined.where(F.size("spans") > 0).select("row", cut.alias("piece"))
+    row = F.col("row").withField("text", F.col("piece").cast(docs.schema["text"].dataType))
     if "n_chars" in docs.columns:
-        part = part.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return whole.select(docs.columns).unionByName(part.select(docs.columns))
+        row = row.withField("n_chars", F.length("piece").cast(docs.schema["n_chars"].dataType))
+    return whole.unionByName(part.select(row.alias("row"))).select("row.*")

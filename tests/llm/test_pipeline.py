@@ -64,3 +64,13 @@ def test_rows_without_ids_and_of_one_id(spark, sf, tmp_path):
     assert abs(size(mixed) - size(docs)) < 0.01 * size(docs)
     out = P.token_ids(spark, mixed, sf)
     assert out.count() == mixed.count() and out.where("doc_id is null").count() == mixed.where("doc_id is null").count() > 0
+
+
+def test_columns_of_any_name_stay(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for name in ("row", "at", "passes", "spans", "_row", "_pass", "piece", "key", "taken", "a.b"):
+        docs = docs.withColumn(name, F.concat(F.lit(f"{name}:"), F.col("doc_id").cast("string")))
+    for name, stage in P.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns, name
+        assert out.where("`a.b` <> concat('a.b:', doc_id) or passes <> concat('passes:', doc_id) or at <> concat('at:', doc_id) or _row <> concat('_row:', doc_id)").count() == 0 < out.count()
