@@ -17,34 +17,34 @@ from spindle.llm.toxicity import score, train
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with a number of its own for each row in _row, written once, so that retries agree."""
-    return checkpointed(docs.withColumn("_row", F.monotonically_increasing_id()))
+    """row, a struct of the columns of docs, and at, a number of its own for each row, written once, so that retries agree."""
+    return checkpointed(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("at")))
 
 
 def _by_row(keyed: DataFrame) -> DataFrame:
     """What operators judge, with the row's number for doc_id: rows with no doc_id or with one doc_id are judged each."""
-    return keyed.select(F.col("_row").alias("doc_id"), "text")
+    return keyed.select(F.col("at").alias("doc_id"), "row.text")
 
 
 def _without(keyed: DataFrame, gone: DataFrame) -> DataFrame:
-    """keyed without the rows whose numbers are the doc_ids of gone, and without the numbers."""
-    return anti_join(keyed, gone.select(F.col("doc_id").alias("_row")), "_row").drop("_row")
+    """The columns of the rows of keyed whose numbers aren't the doc_ids of gone."""
+    return anti_join(keyed, gone.select(F.col("doc_id").alias("at")), "at").select("row.*")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier takes as toxic go."""
     keyed = _keyed(docs)
-    return _without(keyed, score(_by_row(keyed), train(keyed, table(spark, sf_dir, "labels"))).where("predicted = 1"))
+    return _without(keyed, score(_by_row(keyed), train(keyed.select("row.doc_id", "row.text"), table(spark, sf_dir, "labels"))).where("predicted = 1"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies, by five words and a similarity of 0.8, one row of the smallest doc_id stays."""
     keyed = _keyed(docs)
-    judged = near_duplicates(_by_row(keyed)).select(F.col("doc_id").alias("_row"), "component_id")
+    judged = near_duplicates(_by_row(keyed)).select(F.col("doc_id").alias("at"), "component_id")
     copies = checkpointed(judged.join(judged.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1"), "component_id"))
-    place = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
-    first = copies.join(keyed.select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.min(place).alias("first"))
-    return _without(keyed, anti_join(copies, first.select("first._row"), "_row").select(F.col("_row").alias("doc_id")))
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", "at")
+    first = copies.join(keyed.select("at", "row.doc_id"), "at").groupBy("component_id").agg(F.min(place).alias("first"))
+    return _without(keyed, anti_join(copies, first.select("first.at"), "at").select(F.col("at").alias("doc_id")))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,7 +65,7 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", toxicity), ("near_dedup", near_dedup), ("decontamination", decontamination), ("mixing", mixing), ("token_output", token_ids)]
 
-#: Classifier, components and token ids are beyond SQL; each stage is tested against a plain version.
+#: Classifier, components and token ids are beyond SQL; each stage is tested against what its operator says, and operators against plain versions.
 ORACLE_SQL = None
 
 
