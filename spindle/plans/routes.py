@@ -12,6 +12,7 @@ from spindle.functions.rules import Sql, SqlText, cases_sql, intent_rules
 from spindle.operators import classify, routing
 from spindle.plans.chats import analysis_sql
 from spindle.plans.registry import picked, picked_sql, query, values
+from spindle.session import stored
 
 PROMPTS = [
     "", "Hi", "hello there, can you help", "thanks a lot", "How are you today?", "tell me a joke about cats", "joke please", "guide to information",
@@ -43,7 +44,7 @@ def _prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _told(spark: SparkSession, sf_dir: str) -> DataFrame:
     """intent, complexity, confidence and long_context of every message, as it is asked."""
-    return classify.intents(_prompts(spark, sf_dir)).withColumn("long_context", F.length("prompt") > 300)
+    return stored(classify.intents(_prompts(spark, sf_dir)).withColumn("long_context", F.length("prompt") > 300).drop("prompt"))
 
 
 @query(f"SELECT conv_id, turn, intent, complexity, confidence FROM {_GRID}")
