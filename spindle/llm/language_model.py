@@ -1,8 +1,10 @@
 """Scoring texts with a language model whose n-gram counts lie in a log-frequency Bloom filter.
 
 A count is quantised to a level, and the n-gram is put in once for each level up to it; a query
-probes level after level until one is missing. The filter has ten bits or more for each level that is
-put in, and is cut into segments by the n-gram's hash. As long as a worker can hold it, it is built
+probes level after level until one is missing. No more than half of the filter's bits are set, and the
+first level takes as many probes as the vocabulary calls for: all words that never followed a word, but
+are found after it, add FALSE_COUNTS to the counts of its followers on average. The filter
+is cut into segments by the n-gram's hash. As long as a worker can hold it, it is built
 segment by segment and broadcast; beyond that the probes travel to the segments and the answers back,
 with the same bits and so the same scores. Unigrams are smoothed by adding one; bigrams, all of them,
 are smoothed towards them with a prior of PRIOR counts: p(w | h) = (c(h w) + PRIOR p(w)) / (c(h) +
@@ -11,6 +13,7 @@ PRIOR), which sums to one as the counts of a word's followers sum to its own.
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -25,10 +28,11 @@ from spindle.llm.common import checkpointed, shared_folder, text_slices
 END = np.uint64(0x0E0D0E0D0E0D0E0D)
 #: Counts below FIRST have levels of their own; from there on a level is BASE times as wide as the one before.
 FIRST, BASE = 6, 1.2
-PROBES = 5
+#: Probes of each level but the first: one n-gram in 128 that is in gets a level too many there.
+PROBES = 7
 PRIOR = 20.0
-#: Bits for each level put in: one probe in a hundred finds a level that isn't there.
-ENTRY_BITS = 10
+#: What levels that aren't there add, on average, to the counts of one word's followers: 1/200 of the prior.
+FALSE_COUNTS = PRIOR / 200
 _PAIR = np.uint64(0xA0761D6478BD642F)
 _LEVELS = 160
 #: Bits of a segment at most, where probes travel to segments.
@@ -63,39 +67,60 @@ def _level_counts() -> np.ndarray:
 LEVEL_COUNTS = _level_counts()
 
 
+def first_probes(kinds: int) -> int:
+    """Probes of the first level where there are so many kinds of words; each halves what is found wrongly."""
+    return max(PROBES, math.ceil(math.log2(max(kinds, 1) / FALSE_COUNTS)))
+
+
+def bits_needed(entries: int, levels: int, first: int) -> int:
+    """Bits of which half are set by so many entries with so many levels in all."""
+    return math.ceil((first * entries + PROBES * (levels - entries)) / math.log(2))
+
+
 class LogFrequencyFilter:
-    def __init__(self, size: int, log_segments: int, single: bool = False):
-        """size: bits of a segment, a multiple of 8; single: one segment alone, for codes of that segment."""
-        self.log_segments, self.size, self.single = log_segments, np.uint64(size), single
+    def __init__(self, size: int, log_segments: int, first: int = PROBES, single: bool = False):
+        """size: bits of a segment, a multiple of 8; first: probes of the first level; single: one segment alone, for codes of that segment."""
+        self.log_segments, self.size, self.first, self.single = log_segments, np.uint64(size), first, single
         self.bits = np.zeros((1 if single else 1 << log_segments, size >> 3), np.uint8)
 
-    def _rows(self, codes: np.ndarray) -> np.ndarray:
-        return np.zeros(len(codes), np.int64) if self.single else self.segment(codes)
-
     def segment(self, codes: np.ndarray) -> np.ndarray:
         return (codes >> np.uint64(64 - self.log_segments)).astype(np.int64)
 
-    def _places(self, codes: np.ndarray, level: int) -> Iterator[np.ndarray]:
+    def _bases(self, codes: np.ndarray) -> np.ndarray:
+        """The first byte of each code's segment."""
+        return np.zeros(len(codes), np.int64) if self.single else self.segment(codes) * self.bits.shape[1]
+
+    def _probes(self, level: int) -> int:
+        return self.first if level == 1 else PROBES
+
+    @staticmethod
+    def _start(codes: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where probing of a level begins, and the first step; each step is longer than the one before by its number."""
         a = textkit.mix(codes + np.uint64(level * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
-        a, step = a >> np.uint64(32), a | np.uint64(1)
-        for k in range(PROBES):
-            yield ((a + np.uint64(k) * (step & np.uint64(0xFFFFFFFF))) % self.size).astype(np.int64)
+        return a >> np.uint64(32), (a | np.uint64(1)) & np.uint64(0xFFFFFFFF)
 
     def put(self, codes: np.ndarray, levels: np.ndarray) -> None:
-        rows = self._rows(codes)
+        flat = self.bits.reshape(-1)
         for level in range(1, int(levels.max(initial=0)) + 1):
             on = levels >= level
-            for at in self._places(codes[on], level):
-                np.bitwise_or.at(self.bits, (rows[on], at >> 3), (1 << (at & 7)).astype(np.uint8))
+            codes, levels = codes[on], levels[on]
+            bases, (place, step) = self._bases(codes), self._start(codes, level)
+            for k in range(self._probes(level)):
+                at = (place % self.size).astype(np.int64)
+                np.bitwise_or.at(flat, bases + (at >> 3), (1 << (at & 7)).astype(np.uint8))
+                place, step = place + step, step + np.uint64(k)
 
     def levels(self, codes: np.ndarray) -> np.ndarray:
         """The highest level up to which each n-gram is in, by one membership test a level."""
-        out, on, rows = np.zeros(len(codes), np.int64), np.arange(len(codes)), self._rows(codes)
+        flat, out, on = self.bits.reshape(-1), np.zeros(len(codes), np.int64), np.arange(len(codes))
         for level in range(1, _LEVELS):
-            here = np.ones(len(on), dtype=bool)
-            for at in self._places(codes[on], level):
-                here &= (self.bits[rows[on], at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
-            on = on[here]
+            bases, (place, step) = self._bases(codes[on]), self._start(codes[on], level)
+            for k in range(self._probes(level)):
+                at = (place % self.size).astype(np.int64)
+                here = (flat[bases + (at >> 3)] >> (at & 7).astype(np.uint8)) & 1 > 0
+                if not here.all():
+                    on, bases, place, step = on[here], bases[here], place[here], step[here]
+                place, step = place + step, step + np.uint64(k)
             if not len(on):
                 break
             out[on] = level
@@ -184,7 +209,7 @@ def _frequent(words: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
     return codes[order], top["c"].to_numpy(np.int64)[order]
 
 
-def language_model_scores(docs: DataFrame, *, frequent: int = 1 << 18, least_bits: int = 1 << 27, held_bits: int = 1 << 30, log_segments: int = 6) -> DataFrame:
+def language_model_scores(docs: DataFrame, *, frequent: int = 1 << 18, least_bits: int = 1 << 27, held_bits: int = 1 << 30, log_segments: int = 4) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Both scores are log10 probabilities of all words of the text and its end. base_score takes exact
@@ -202,14 +227,15 @@ def language_model_scores(docs: DataFrame, *, frequent: int = 1 << 18, least_bit
     totals = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     known_codes, known_counts = _frequent(words, frequent)
 
-    log_segments = max(log_segments, (int(totals.n) >> 21).bit_length())  # some millions of pairs a partition
+    log_segments = max(log_segments, (int(totals.n) >> 20).bit_length())  # up to a million pairs a partition
     segment = lambda bits: F.shiftrightunsigned(F.col("code"), 64 - bits)
     folder = f"{shared_folder(spark)}/pairs-{uuid.uuid4().hex}"
     dealt = train.mapInArrow(_count_pairs, "code long, c long").withColumn("segment", segment(log_segments)).repartition(1 << log_segments, "segment")
     dealt.groupBy("segment", "code").agg(F.sum("c").alias("c")).select("code", _level(F.col("c"))).write.parquet(folder)
     pairs, single = spark.read.schema("code long, level int").parquet(folder), words.select("code", _level(F.col("c")))
-    put = single.union(pairs).agg(F.coalesce(F.sum("level"), F.lit(0)).alias("n")).first().n
-    bits = max(least_bits, ENTRY_BITS * int(put))
+    put = single.union(pairs).agg(F.count("*").alias("n"), F.coalesce(F.sum("level"), F.lit(0)).alias("levels")).first()
+    probes = first_probes(int(totals.v))
+    bits = max(least_bits, bits_needed(put.n, int(put.levels), probes))
     if bits > held_bits:
         log_segments = max(log_segments, (bits >> _SEGMENT_BITS).bit_length())
     size = 8 * (1 + (bits >> log_segments) // 8)
@@ -252,7 +278,7 @@ def language_model_scores(docs: DataFrame, *, frequent: int = 1 << 18, least_bit
 
     def by_broadcast() -> DataFrame:
         def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own, used = LogFrequencyFilter(size, log_segments), set()
+            own, used = LogFrequencyFilter(size, log_segments, probes), set()
             for batch in batches:
                 codes = np.asarray(batch["code"]).astype(np.int64).view(np.uint64)
                 own.put(codes, np.asarray(batch["level"]))
@@ -262,7 +288,7 @@ def language_model_scores(docs: DataFrame, *, frequent: int = 1 << 18, least_bit
 
         # the files of pairs are dealt by segment already
         built = single.repartition(1 << log_segments, segment(log_segments)).mapInArrow(build, "segment int, bits binary").union(pairs.mapInArrow(build, "segment int, bits binary"))
-        full = LogFrequencyFilter(size, log_segments)
+        full = LogFrequencyFilter(size, log_segments, probes)
         for row in built.toLocalIterator(prefetchPartitions=True):
             full.bits[row.segment] |= np.frombuffer(row.bits, np.uint8)
         shared = spark.sparkContext.broadcast((full, known_codes, known_counts))
@@ -306,7 +332,7 @@ def language_model_scores(docs: DataFrame, *, frequent: int = 1 << 18, least_bit
                 ends = [0, *(np.flatnonzero(np.diff(segments)) + 1).tolist(), len(batch)] if len(batch) else []
                 for a, b in zip(ends[:-1], ends[1:], strict=True):
                     if at != segments[a]:
-                        own, at = LogFrequencyFilter(size, log_segments, single=True), segments[a]
+                        own, at = LogFrequencyFilter(size, log_segments, probes, single=True), segments[a]
                     entry = level[a:b] > 0
                     own.put(code[a:b][entry], level[a:b][entry])
                     probe = code[a:b][~entry]
@@ -323,8 +349,8 @@ def language_model_scores(docs: DataFrame, *, frequent: int = 1 << 18, least_bit
             return pa.Table.from_batches(out)
 
         cut = checkpointed(docs.mapInArrow(sliced, f"slice long, key long, doc_id {kind}, held_out boolean, text string"))
-        probes = cut.mapInArrow(ask, "slice long, code long").select("slice", "code", F.lit(0).alias("level"))
-        both = single.union(pairs).select(F.lit(0).cast("long").alias("slice"), "code", "level").union(probes).withColumn("segment", segment(log_segments))
+        questions = cut.mapInArrow(ask, "slice long, code long").select("slice", "code", F.lit(0).alias("level"))
+        both = single.union(pairs).select(F.lit(0).cast("long").alias("slice"), "code", "level").union(questions).withColumn("segment", segment(log_segments))
         both = both.repartition(1 << log_segments, "segment").sortWithinPartitions("segment", F.col("level") == 0)
         replies = both.mapInArrow(answer, "slice long, code long, level int")
         return cut.groupBy("slice").cogroup(replies.groupBy("slice")).applyInArrow(score, schema)

@@ -466,6 +466,49 @@ def test_probabilities_sum_to_one(spark):
         assert end + sum(each) == pytest.approx(1, abs=0.02)
 
 
+def test_sums_at_full_load(spark, sf, docs):
+    """p(. | head) over the whole vocabulary of a table, with a filter of no more bits than its counts call for."""
+    tokens = {d: [*words(r.text), None] for d, r in docs.items() if zlib.crc32(str(d).encode()) % 7 != 2}
+    counts = Counter(w for t in tokens.values() for w in t)
+    n, v = sum(counts.values()), len(counts)
+    known = sorted(filter(None, counts))
+    heads = [w for c in (1, 2, 3, 10) for w in [w for w in known if counts[w] == c][:4]] + [max(known, key=counts.get)]
+    ask = [w for w in counts if w] + [f"{h} {w}" for h in heads for w in counts if w] + heads
+    free = (i for i in range(1_000_000, 100_000_000) if zlib.crc32(str(i).encode()) % 7 == 2)
+    ids = dict(zip(dict.fromkeys(ask), free))
+    table = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    scored = lambda bits, df: {r.doc_id: r for r in language_model.language_model_scores(df, least_bits=bits).collect()}
+    got = scored(8, table.union(spark.createDataFrame([(i, t) for t, i in ids.items()], table.schema)))
+    unigram = lambda w: math.log10((counts[w] + 1) / (n + v + 1))
+    sums = []
+    for h in heads:
+        each = [10 ** (got[ids[f"{h} {w}"]].score - got[ids[w]].score - unigram(h) + unigram(w)) for w in known]
+        sums.append(sum(each) + 10 ** (got[ids[h]].score - unigram(h)))
+        # three words at most that never followed it, besides what the levels are wide
+        assert -0.02 < sums[-1] - 1 < 3 / (counts[h] + language_model.PRIOR) + 0.02
+    assert sum(sums) / len(sums) == pytest.approx(1, abs=0.02)
+    free_of_load = scored(1 << 27, table)
+    change = [abs(r.score - got[d].score) / r.n_tokens for d, r in free_of_load.items()]
+    assert sum(change) / len(change) < 0.005
+
+
+def test_filter_at_full_load():
+    """Half of the bits set: what is found wrongly stays below FALSE_COUNTS for a vocabulary of 80,000."""
+    rng, kinds = np.random.default_rng(3), 80_000
+    draw = lambda n: rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2)
+    codes, levels = draw(200_000), language_model.level_of(np.minimum(rng.zipf(2.0, 200_000), 100_000))
+    first = language_model.first_probes(kinds)
+    bits = language_model.bits_needed(len(codes), int(levels.sum()), first)
+    own = language_model.LogFrequencyFilter(8 * (1 + (bits >> 3) // 8), 3, first)
+    own.put(codes, levels)
+    assert 0.48 < np.unpackbits(own.bits).mean() < 0.51
+    wrong, asked = 0, 0
+    for _ in range(8):
+        wrong, asked = wrong + int((own.levels(draw(1_000_000)) > 0).sum()), asked + 1_000_000
+    assert wrong / asked * kinds < 1.5 * language_model.FALSE_COUNTS
+    assert (own.levels(codes) >= levels).all() and (own.levels(codes) > levels).mean() < 1.5 / 128
+
+
 def test_language_model_by_segments(spark, sf):
     """Where the filter is too large to broadcast, probes travel and the scores stay."""
     table = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
