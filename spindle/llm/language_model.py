@@ -1,14 +1,16 @@
 """Scoring texts with a language model whose n-gram counts lie in a log-frequency Bloom filter.
 
 A count is quantised to a level, and the n-gram is put in once for each level up to it; a query
-probes level after level until one is missing. No more than half of the filter's bits are set, and the
-first level takes as many probes as the vocabulary calls for: all words that never followed a word, but
-are found after it, add FALSE_COUNTS to the counts of its followers on average. The filter
+probes level after level until one is missing. No more than half of the filter's bits are set. The filter
 is cut into segments by the n-gram's hash. As long as a worker can hold it, it is built
 segment by segment and broadcast; beyond that the probes travel to the segments and the answers back,
-with the same bits and so the same scores. Unigrams are smoothed by adding one; bigrams, all of them,
-are smoothed towards them with a prior of PRIOR counts: p(w | h) = (c(h w) + PRIOR p(w)) / (c(h) +
-PRIOR), which sums to one as the counts of a word's followers sum to its own.
+with the same bits and so the same scores.
+
+Unigrams are smoothed by adding one; bigrams, all of them, are smoothed towards them with a prior of
+PRIOR counts: p(w | h) = (r c(h w) + PRIOR p(w)) / (c(h) + PRIOR). Of V words, F = V * (share of bits set)
+^ FIRST_PROBES are found after h though they never followed it, each as a count of one. So a filter tells
+c(h) + F counts after h where there are c(h), and r = c(h) / (c(h) + F) makes probabilities sum to one
+on average, however full the filter is.
 """
 
 from __future__ import annotations
@@ -28,11 +30,9 @@ from spindle.llm.common import checkpointed, shared_folder, text_slices
 END = np.uint64(0x0E0D0E0D0E0D0E0D)
 #: Counts below FIRST have levels of their own; from there on a level is BASE times as wide as the one before.
 FIRST, BASE = 6, 1.2
-#: Probes of each level but the first: one n-gram in 128 that is in gets a level too many there.
-PROBES = 7
+#: Probes of the first level, which must tell pairs from all that never occurred, and of each higher one.
+FIRST_PROBES, PROBES = 14, 7
 PRIOR = 20.0
-#: What levels that aren't there add, on average, to the counts of one word's followers: 1/200 of the prior.
-FALSE_COUNTS = PRIOR / 200
 _PAIR = np.uint64(0xA0761D6478BD642F)
 _LEVELS = 160
 #: Bits of a segment at most, where probes travel to segments.
@@ -67,20 +67,20 @@ def _level_counts() -> np.ndarray:
 LEVEL_COUNTS = _level_counts()
 
 
-def first_probes(kinds: int) -> int:
-    """Probes of the first level where there are so many kinds of words; each halves what is found wrongly."""
-    return max(PROBES, math.ceil(math.log2(max(kinds, 1) / FALSE_COUNTS)))
+def set_bits(entries: int, levels: int) -> int:
+    """Bits set, those set again counted anew, by so many entries with so many levels in all."""
+    return FIRST_PROBES * entries + PROBES * (levels - entries)
 
 
-def bits_needed(entries: int, levels: int, first: int) -> int:
-    """Bits of which half are set by so many entries with so many levels in all."""
-    return math.ceil((first * entries + PROBES * (levels - entries)) / math.log(2))
+def found_wrongly(entries: int, levels: int, bits: int) -> float:
+    """The share of absent n-grams that are found at the first level."""
+    return (1 - math.exp(-set_bits(entries, levels) / bits)) ** FIRST_PROBES
 
 
 class LogFrequencyFilter:
-    def __init__(self, size: int, log_segments: int, first: int = PROBES, single: bool = False):
-        """size: bits of a segment, a multiple of 8; first: probes of the first level; single: one segment alone, for codes of that segment."""
-        self.log_segments, self.size, self.first, self.single = log_segments, np.uint64(size), first, single
+    def __init__(self, size: int, log_segments: int, single: bool = False):
+        """size: bits of a segment, a multiple of 8; single: one segment alone, for codes of that segment."""
+        self.log_segments, self.size, self.single = log_segments, np.uint64(size), single
         self.bits = np.zeros((1 if single else 1 << log_segments, size >> 3), np.uint8)
 
     def segment(self, codes: np.ndarray) -> np.ndarray:
@@ -90,9 +90,6 @@ class LogFrequencyFilter:
         """The first byte of each code's segment."""
         return np.zeros(len(codes), np.int64) if self.single else self.segment(codes) * self.bits.shape[1]
 
-    def _probes(self, level: int) -> int:
-        return self.first if level == 1 else PROBES
-
     @staticmethod
     def _start(codes: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
         """Where probing of a level begins, and the first step; each step is longer than the one before by its number."""
@@ -105,7 +102,7 @@ class LogFrequencyFilter:
             on = levels >= level
             codes, levels = codes[on], levels[on]
             bases, (place, step) = self._bases(codes), self._start(codes, level)
-            for k in range(self._probes(level)):
+            for k in range(PROBES if level > 1 else FIRST_PROBES):
                 at = (place % self.size).astype(np.int64)
                 np.bitwise_or.at(flat, bases + (at >> 3), (1 << (at & 7)).astype(np.uint8))
                 place, step = place + step, step + np.uint64(k)
@@ -115,7 +112,7 @@ class LogFrequencyFilter:
         flat, out, on = self.bits.reshape(-1), np.zeros(len(codes), np.int64), np.arange(len(codes))
         for level in range(1, _LEVELS):
             bases, (place, step) = self._bases(codes[on]), self._start(codes[on], level)
-            for k in range(self._probes(level)):
+            for k in range(PROBES if level > 1 else FIRST_PROBES):
                 at = (place % self.size).astype(np.int64)
                 here = (flat[bases + (at >> 3)] >> (at & 7).astype(np.uint8)) & 1 > 0
                 if not here.all():
@@ -234,12 +231,12 @@ def language_model_scores(docs: DataFrame, *, frequent: int = 1 << 18, least_bit
     dealt.groupBy("segment", "code").agg(F.sum("c").alias("c")).select("code", _level(F.col("c"))).write.parquet(folder)
     pairs, single = spark.read.schema("code long, level int").parquet(folder), words.select("code", _level(F.col("c")))
     put = single.union(pairs).agg(F.count("*").alias("n"), F.coalesce(F.sum("level"), F.lit(0)).alias("levels")).first()
-    probes = first_probes(int(totals.v))
-    bits = max(least_bits, bits_needed(put.n, int(put.levels), probes))
+    bits = max(least_bits, math.ceil(set_bits(put.n, put.levels) / math.log(2)))
     if bits > held_bits:
         log_segments = max(log_segments, (bits >> _SEGMENT_BITS).bit_length())
     size = 8 * (1 + (bits >> log_segments) // 8)
     n_train, n_kinds = int(totals.n), int(totals.v)
+    wrong = n_kinds * found_wrongly(put.n, put.levels, size << log_segments)
     floor = np.log10(n_train + n_kinds + 1)
     kind = docs.schema["doc_id"].dataType.simpleString()
     columns = ["key", "doc_id", "held_out", "n_tokens", "known", "base", "score", "rare", "times"]
@@ -264,7 +261,8 @@ def language_model_scores(docs: DataFrame, *, frequent: int = 1 << 18, least_bit
             pair, pair_back = np.unique(_pair_codes(tokens[here - 1], tokens[here]), return_inverse=True)
             met = LEVEL_COUNTS[levels(pair)][pair_back]
             head = seen[back[here - 1]]
-            p[here] = (np.minimum(met, head) + PRIOR * p[here]) / (head + PRIOR)
+            real = head / np.maximum(head + wrong, 1e-300)
+            p[here] = (real * np.minimum(met, head) + PRIOR * p[here]) / (head + PRIOR)
         model = np.add.reduceat(np.log10(p), first[:-1])
         owner = np.repeat(np.arange(rows), sizes)
         at = at[back]
@@ -278,7 +276,7 @@ def language_model_scores(docs: DataFrame, *, frequent: int = 1 << 18, least_bit
 
     def by_broadcast() -> DataFrame:
         def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own, used = LogFrequencyFilter(size, log_segments, probes), set()
+            own, used = LogFrequencyFilter(size, log_segments), set()
             for batch in batches:
                 codes = np.asarray(batch["code"]).astype(np.int64).view(np.uint64)
                 own.put(codes, np.asarray(batch["level"]))
@@ -288,7 +286,7 @@ def language_model_scores(docs: DataFrame, *, frequent: int = 1 << 18, least_bit
 
         # the files of pairs are dealt by segment already
         built = single.repartition(1 << log_segments, segment(log_segments)).mapInArrow(build, "segment int, bits binary").union(pairs.mapInArrow(build, "segment int, bits binary"))
-        full = LogFrequencyFilter(size, log_segments, probes)
+        full = LogFrequencyFilter(size, log_segments)
         for row in built.toLocalIterator(prefetchPartitions=True):
             full.bits[row.segment] |= np.frombuffer(row.bits, np.uint8)
         shared = spark.sparkContext.broadcast((full, known_codes, known_counts))
@@ -332,7 +330,7 @@ def language_model_scores(docs: DataFrame, *, frequent: int = 1 << 18, least_bit
                 ends = [0, *(np.flatnonzero(np.diff(segments)) + 1).tolist(), len(batch)] if len(batch) else []
                 for a, b in zip(ends[:-1], ends[1:], strict=True):
                     if at != segments[a]:
-                        own, at = LogFrequencyFilter(size, log_segments, probes, single=True), segments[a]
+                        own, at = LogFrequencyFilter(size, log_segments, single=True), segments[a]
                     entry = level[a:b] > 0
                     own.put(code[a:b][entry], level[a:b][entry])
                     probe = code[a:b][~entry]
