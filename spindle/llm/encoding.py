@@ -7,9 +7,12 @@ concatenation. A special token that a piece contains is found as in the whole te
 
 from __future__ import annotations
 
+import json
 import os
 import re
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +23,24 @@ _SPACE = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000,
 _PIECES = re.compile(rf"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 
 
+#: Texts joined for one encoding; much longer ones take more time a text.
+_RUN = 64
+
+
+def _token_bytes(tokenizer) -> np.ndarray | None:
+    """Bytes of text behind each id, if ids give back any text without special tokens byte for byte; else None."""
+    rules = json.loads(tokenizer.to_str())
+    cut, model = rules["pre_tokenizer"] or {}, rules["model"]
+    plain = cut.get("type") == "ByteLevel" and not cut["add_prefix_space"] and cut.get("use_regex", True)
+    affixes = [model.get(x) for x in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix")]
+    if rules["normalizer"] or not plain or model["type"] != "BPE" or any(affixes):
+        return None
+    width = np.zeros(max(tokenizer.get_vocab(with_added_tokens=True).values(), default=0) + 1, np.int64)
+    for token, i in tokenizer.get_vocab(with_added_tokens=False).items():
+        width[i] = len(token)  # a byte is one character of a byte-level token
+    return width
+
+
 def pieces(text: str) -> list[str]:
     """text cut where white space follows a visible character."""
     return _PIECES.findall(text)
@@ -41,23 +62,66 @@ class PieceEncoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.mark = self.special[0] if self.special else None
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.width = _token_bytes(self.tokenizer)
         self.full, self.known, self.held = full, {}, 0
 
     def encode(self, texts: list[str]) -> dict[str, bytes]:
-        """Ids of short texts. One call serves many: a special token between them isolates each."""
-        out: dict[str, bytes] = {}
-        size = self.dtype.itemsize
+        """Ids of short texts. One call serves many that are joined.
+
+        Where tokens have fixed bytes, texts that begin with white space and end visibly are joined as they
+        are, and ids belong to the text that holds their bytes. Between other texts a special token stands.
+        """
+        joined, marked = [], texts
+        if self.width is not None:
+            joined, marked = [], []
+            for x in texts:
+                (joined if x and x[0] in _SPACE and x[-1] not in _SPACE else marked).append(x)
+        return self._encode_joined(joined) | self._encode_marked(marked)
+
+    def _runs(self, texts: list[str], between: str) -> Iterator[tuple[list[str], np.ndarray | None]]:
+        """Texts in parts with the ids of each part, joined in runs; no ids for a part that holds a special token."""
         for i in range(0, len(texts), 4096):
             part = texts[i : i + 4096]
             whole = "".join(part)
-            if self.mark is None or any(s in whole for s in self.special):
-                for x, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                    out[x] = np.array(e.ids, dtype=self.dtype).tobytes()
+            if any(s in whole for s in self.special):
+                yield part, None
+                continue
+            runs = [between.join([*part[j : j + _RUN], ""]) for j in range(0, len(part), _RUN)]
+            each = [e.ids for e in self.tokenizer.encode_batch_fast(runs, add_special_tokens=False)]
+            yield part, np.fromiter(chain.from_iterable(each), self.dtype)
+
+    def _one_by_one(self, texts: list[str]) -> dict[str, bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return {x: np.array(e.ids, dtype=self.dtype).tobytes() for x, e in zip(texts, found, strict=True)}
+
+    def _encode_joined(self, texts: list[str]) -> dict[str, bytes]:
+        out: dict[str, bytes] = {}
+        for part, ids in self._runs(texts, ""):
+            if ids is None:
+                out |= self._one_by_one(part)
+                continue
+            stops = np.cumsum(np.asarray(pc.binary_length(pa.array(part))))
+            reached = np.cumsum(self.width[ids])
+            ends = np.searchsorted(reached, stops, "right")
+            if not np.array_equal(reached[ends - 1], stops):
+                raise ValueError("tokens' bytes don't add up to the text's")
+            body, start = ids.tobytes(), 0
+            for x, end in zip(part, (ends * self.dtype.itemsize).tolist(), strict=True):
+                out[x] = body[start:end]
+                start = end
+        return out
+
+    def _encode_marked(self, texts: list[str]) -> dict[str, bytes]:
+        if self.mark is None:
+            return self._one_by_one(texts)
+        out: dict[str, bytes] = {}
+        mark, size = self.tokenizer.token_to_id(self.mark), self.dtype.itemsize
+        for part, ids in self._runs(texts, self.mark):
+            if ids is None:
+                out |= self._one_by_one(part)
                 continue
-            ids = np.array(self.tokenizer.encode_batch_fast([self.mark.join(part)], add_special_tokens=False)[0].ids, dtype=self.dtype)
-            ends = (np.append(np.flatnonzero(ids == self.tokenizer.token_to_id(self.mark)), len(ids)) * size).tolist()
             body, start = ids.tobytes(), 0
-            for x, end in zip(part, ends, strict=True):
+            for x, end in zip(part, (np.flatnonzero(ids == mark) * size).tolist(), strict=True):
                 out[x] = body[start:end]
                 start = end + size
         return out
@@ -66,7 +130,7 @@ class PieceEncoder:
         """Ids of distinct short texts, from the cache or new; new ones are kept until it is full."""
         known = self.known
         found = self.encode([x for x in texts if x not in known])
-        size = sum(150 + 2 * len(x) + len(y) for x, y in found.items())
+        size = 150 * len(found) + 2 * sum(map(len, found)) + sum(map(len, found.values()))
         if self.held + size <= self.full:
             known |= found
             self.held += size

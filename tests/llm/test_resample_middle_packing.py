@@ -14,8 +14,10 @@ import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from spindle.llm import fill_in_middle, importance, packing
+from spindle.llm.encoding import PieceEncoder
 from spindle.llm.queries import QUERIES
 
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -229,3 +231,21 @@ def test_open_bins_have_a_bound():
             used[s] += n
     assert sum(used.values()) == total and max(used.values()) <= 4096
     assert len(used) * 4096 - total < 0.004 * total + 4096
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_joined_pieces_encode_as_whole_texts(name):
+    """Runs of joined pieces give the library's ids, beside odd white space, special strings and letters of many bytes."""
+    path = public_tokenizers.path(name)
+    library, draw = Tokenizer.from_file(path), random.Random(5)
+    words = ["a", "It's", "don't", "ß", "日本語", "🙂", "é", "x1y22", "''", "...", "<|endoftext|>", "<|endoftext", "|>", "<", "\x1c", "Ǆ", "", "i̇"]
+    gaps = [" "] * 8 + ["  ", "\n", "\n\n ", "\t", "\xa0", " ", " 　", "\r\n", "\x85"]
+    texts = ["".join(x for _ in range(draw.randrange(400)) for x in (draw.choice(words) + draw.choice("abcdefgh") * draw.randrange(4), draw.choice(gaps))) for _ in range(300)]
+    texts += ["", " ", "\n", "a", " a", "a ", "  a  "]
+    for full in (0, 1 << 20):
+        encoder = PieceEncoder(path, full)
+        for _ in range(2):
+            ids, first = encoder.ids(pa.array(texts))
+            got = [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:], strict=True)]
+            assert got == [library.encode(x, add_special_tokens=False).ids for x in texts]
+            assert encoder.counts(pa.array(texts)).tolist() == list(map(len, got))
