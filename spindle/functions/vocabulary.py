@@ -124,3 +124,14 @@ PREFERRED_MODELS = {
     "ollama": ("qwen3:4b", "llama3.2:3b", "qwen2.5-coder:7b"),
 }
 CONFIG_HINTS = ("config", "package.json", ".env", "tsconfig", "requirements", "pyproject", "dockerfile")
+
+# Languages with a parser, parts of model names that a provider's list is cleared of, confidences as words.
+PARSED_LANGUAGES = ("python", "javascript", "jsx", "typescript", "tsx", "java", "go", "rust", "csharp")
+UNSUITED_MODELS = {
+    "gemini": ("embedding", "vision", "aqa", "experimental", "audio"),
+    "groq": ("whisper", "embedding"),
+    "cloudflare": ("translation", "vision", "embedding"),
+    "ollama": ("embed",),
+}
+CONFIDENCE_WORDS = {"low": 0.4, "medium": 0.7, "high": 0.9}
+DEFAULT_CONFIDENCE = 0.7

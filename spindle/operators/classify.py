@@ -67,3 +67,15 @@ def analyzed(prompts: DataFrame, column: str = "prompt") -> DataFrame:
     own = own.withColumns({"is_reference": (F.col("n_words") <= 3) & bare, "is_new_topic": text.opens(*V.NEW_TOPIC_OPENERS) & ~F.col("_marked")})
     own = own.withColumns({"is_followup": F.col("_marked") | F.col("is_reference"), "domain": cases(domain_rules(text), "general"), "continues": F.regexp_extract("_t", r"(?U)^(\S*)", 1).isin(*V.CONTINUATION_VERBS)})
     return own.withColumns({"words": T.keywords(F.col(column)), "topic": T.keywords(F.col(column), topic=True)}).drop("_t", "_bare", "_marked")
+
+
+def confidence(value: Column) -> Column:
+    """A model's confidence from 0 to 1, of a JSON value as text: numbers and numbers as text are clamped, three words have values.
+
+    Booleans, other words, null, lists, objects and missing values give the default.
+    """
+    text = F.when(value.startswith('"'), F.lower(F.trim(F.get_json_object(F.concat(F.lit('{"v":'), value, F.lit("}")), "$.v")))).otherwise(F.lower(F.trim(value)))
+    number = F.when(text.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?$"), text.try_cast("double"))
+    words = F.create_map(*[F.lit(x) for kv in V.CONFIDENCE_WORDS.items() for x in kv])
+    worded = F.when(value.startswith('"'), F.element_at(words, text))
+    return F.coalesce(worded, F.when(number.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), number))), F.lit(V.DEFAULT_CONFIDENCE))

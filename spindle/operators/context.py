@@ -11,6 +11,19 @@ from spindle.functions import vocabulary as V
 
 SECTIONS = ("primary", "supporting", "configuration", "utilities", "additional")
 WINDOWS = {"8k": 8192, "16k": 16384, "32k": 32768, "64k": 65536, "128k": 131072}
+#: Tasks that a prompt may have: role, instructions and limits of the answer, in our own words.
+GENERAL = "general_question"
+TASKS = {
+    "general_question": ("You know this repository well and answer questions on it.", "Answer the question from the context.", "Keep it short and name the files you used."),
+    "code_explanation": ("You explain code to a colleague.", "Say what the code does, step by step, and how its parts call each other.", "Start with one sentence on the purpose; name files and lines."),
+    "bug_analysis": ("You look for faults in code.", "Find what may go wrong, how to set it off, and how to mend it.", "List faults by weight, each with file and lines; say so if there are none."),
+    "architecture_review": ("You review the design of software.", "Judge the parts, their borders and what depends on what.", "Give strengths, then risks, then proposals."),
+    "repository_search": ("You find places in a repository.", "Name where the context shows what is asked for.", "A list of files, symbols and lines, best first."),
+    "code_generation": ("You write code for this repository.", "Write what is asked for in the style of the context.", "Whole functions only, with the file that each belongs to."),
+    "code_refactoring": ("You tidy code without changing what it does.", "Propose a clearer form of the code in question.", "Show the new code and say why it does the same."),
+    "repository_editing": ("You edit files of this repository.", "Make the change that is asked for and nothing else.", "One JSON object with a summary and a list of edits: action, path, target_path and new_content, with whole contents."),
+}
+RULES = "Rules:\n- Use nothing but the context below.\n- Name the file and lines of all that you refer to.\n- If the context isn't enough, say which files are missing."
 TITLES = {"primary": "Main matches", "supporting": "What they depend on", "configuration": "Settings", "utilities": "Helpers", "additional": "Further references"}
 
 
@@ -137,3 +150,22 @@ def prompts(context: DataFrame, questions: DataFrame) -> DataFrame:
     out = questions.join(whole, "query_id", "left")
     text = F.concat(F.coalesce(F.concat("text", F.lit("\n\n")), F.lit("")), F.lit("# Question\n"), F.col("question"))
     return out.select("query_id", text.alias("prompt"), T.token_estimate(text).alias("tokens"))
+
+
+def system_prompts(questions: DataFrame) -> DataFrame:
+    """questions (query_id, task, ...) with system: role, task, rules and what an answer must look like; unknown tasks and null are general ones."""
+    columns = "task string, role string, instructions string, limits string"
+    table = F.broadcast(questions.sparkSession.createDataFrame([(k, *v) for k, v in TASKS.items()], columns))
+    general = F.when(F.col("task").isin(*TASKS), F.col("task")).otherwise(GENERAL)
+    own = questions.withColumn("task", general).join(table, "task")
+    return own.withColumn("system", F.concat_ws("\n\n", "role", F.concat(F.lit("Task: "), F.col("instructions")), F.lit(RULES), "limits")).drop("role", "instructions", "limits")
+
+
+def task_prompts(prompts: DataFrame, questions: DataFrame) -> DataFrame:
+    """query_id, task, system, user and tokens of both: prompts (query_id, prompt) under the repository's name and summary.
+
+    questions: (query_id, task, repository, summary); without summary its line is left out.
+    """
+    about = F.concat_ws("\n\n", F.concat(F.lit("# Repository: "), F.col("repository")), F.concat(F.lit("Summary: "), F.col("summary")), "prompt")
+    own = system_prompts(questions).join(prompts.select("query_id", "prompt"), "query_id").withColumn("user", about)
+    return own.select("query_id", "task", "system", "user", T.token_estimate(F.concat_ws("\n\n", "system", "user")).alias("tokens"))

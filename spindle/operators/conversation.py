@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -163,3 +163,9 @@ def facts(messages: DataFrame) -> DataFrame:
         F.max(F.when(assistant, F.col("turn"))).alias("last_answer"),
     )
 
+
+
+def client_ids(history: DataFrame, key: str, created: Column, order: str) -> DataFrame:
+    """history with client_id: when a row was made and its place, from 0, among the rows of key in the order of a unique column."""
+    place = F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1
+    return history.withColumn("client_id", F.concat_ws("-", created, place.cast("string")))

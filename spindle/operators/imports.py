@@ -16,16 +16,16 @@ def top_segment(module: Column) -> Column:
     )
 
 
-def top_names(files: DataFrame) -> DataFrame:
+def top_names(files: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """name: the top folders of paths, and the stems of files at the top."""
     nested = F.col("path").contains("/")
-    return files.select(F.when(nested, F.split("path", "/")[0]).otherwise(F.regexp_replace("path", r"(.)\.[^.]*$", "$1")).alias("name")).distinct()
+    return files.select(*by, F.when(nested, F.split("path", "/")[0]).otherwise(F.regexp_replace("path", r"(.)\.[^.]*$", "$1")).alias("name")).distinct()
 
 
-def located(imports: DataFrame, files: DataFrame) -> DataFrame:
-    """imports (module, is_relative, ...) with segment and is_external."""
-    names = top_names(files).select(F.col("name").alias("segment"), F.lit(True).alias("_here"))
-    own = imports.withColumn("segment", top_segment(F.col("module"))).join(names, "segment", "left")
+def located(imports: DataFrame, files: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """imports (module, is_relative, ...) with segment and is_external; by: columns of both that name a repository."""
+    names = top_names(files, by).select(*by, F.col("name").alias("segment"), F.lit(True).alias("_here"))
+    own = imports.withColumn("segment", top_segment(F.col("module"))).join(names, [*by, "segment"], "left")
     return own.withColumn("is_external", ~(F.col("is_relative") | F.coalesce("_here", F.lit(False)))).drop("_here")
 
 

@@ -63,3 +63,24 @@ def selected_models(models: DataFrame, validations: DataFrame, now: Column, minu
     wanted = F.create_map(*[F.lit(x) for p, m, i in ranks for x in (f"{p}/{m}", i)])
     rank = F.coalesce(F.element_at(wanted, F.concat_ws("/", "provider", "model")), F.lit(len(ranks)))
     return candidates.groupBy("provider").agg(F.min_by("model", F.struct(rank, F.col("ordinal"))).alias("model"))
+
+
+def suited_models(models: DataFrame) -> DataFrame:
+    """models (provider, model, ...) without those whose names tell that they don't chat; providers without such parts keep all."""
+    name = F.lower("model")
+    unsuited = [(F.col("provider") == p) & F.greatest(*[name.contains(x) for x in parts], F.lit(False)) for p, parts in V.UNSUITED_MODELS.items()]
+    return models.where(~F.coalesce(F.greatest(*unsuited), F.lit(False)))
+
+
+def provider_status(records: DataFrame, models: DataFrame, validations: DataFrame, now: Column, minutes: int = 30) -> DataFrame:
+    """provider, name, connected and model: every known provider with each model that it offers, null if it offers none.
+
+    records: at most one (provider, connected) each; records of unknown providers count for nothing. A connected
+    provider offers freshly valid models only, any other all of its list.
+    """
+    labels = models.sparkSession.createDataFrame(list(V.PROVIDER_LABELS.items()), "provider string, name string")  # four rows
+    known = labels.join(records.select("provider", "connected"), "provider", "left").select("provider", "name", F.coalesce("connected", F.lit(False)).alias("connected"))
+    fresh = validations.where(F.col("validated") & (F.col("last_tested") >= now - F.expr(f"INTERVAL {minutes} MINUTES"))).select("provider", "model", F.lit(True).alias("valid")).distinct()
+    offered = models.select("provider", "model", "ordinal").join(fresh, ["provider", "model"], "left").join(F.broadcast(known.select("provider", "connected")), "provider")
+    offered = offered.where(~F.col("connected") | F.col("valid")).select("provider", "model", "ordinal")
+    return known.join(offered, "provider", "left")

@@ -112,14 +112,18 @@ u AS (SELECT *, NOT bad OR bool_and(bad) OVER (PARTITION BY provider) AS usable
 SELECT provider, arg_min(w.model, (coalesce(pref, 999), ordinal)) AS model FROM w LEFT JOIN {_PREFERENCE} p USING (provider, model) WHERE usable AND (good OR NOT has_any) GROUP BY provider"""
 )
 def q25_model_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return routing.selected_models(*_parts_as_models(spark, sf_dir), F.timestamp_seconds(F.lit(int(_NOON.replace(tzinfo=dt.UTC).timestamp()))))
+
+
+def _parts_as_models(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Models and their latest tests."""
     wanted = picked(spark, sf_dir, "part", "p_partkey - 1", _WANTED, "wanted string, name string")
     fixed = F.element_at(F.array(*[F.lit(p) for p, _ in _OTHERS]), (F.col("p_partkey") % len(_OTHERS) + 1).cast("int"))
     first = F.col("p_partkey") <= len(_WANTED)
     model = F.when(first, F.col("name")).otherwise(F.concat(F.lit("model-"), F.col("p_partkey").cast("string")))
     models = wanted.select(F.when(first, F.col("wanted")).otherwise(fixed).alias("provider"), model.alias("model"), F.col("p_partkey").alias("ordinal"), "p_size")
     tested = models.where("ordinal % 5 <> 0").select("provider", "model", (F.col("p_size") % 3 != 0).alias("validated"), F.timestamp_seconds(F.lit(int(_NOON.replace(tzinfo=dt.UTC).timestamp())) - F.col("p_size") * 60).alias("last_tested"))
-    models, validations = models.drop("p_size"), tested
-    return routing.selected_models(models, validations, F.timestamp_seconds(F.lit(int(_NOON.replace(tzinfo=dt.UTC).timestamp()))))
+    return models.drop("p_size"), tested
 
 
 @query(analysis_sql("conv_id, turn", "prompt", _PROMPTS))

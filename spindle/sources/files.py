@@ -150,10 +150,68 @@ def repository_statistics(files: DataFrame) -> DataFrame:
     )
 
 
-def languages_ranked(files: DataFrame, code: tuple[str, ...]) -> DataFrame:
-    """language, files and place: languages of code before others, then by number of files, ties by the first seen."""
+def languages_ranked(files: DataFrame, code: tuple[str, ...], by: tuple[str, ...] = ()) -> DataFrame:
+    """language, files and place: languages of code before others, then by number of files, ties by the first seen.
+
+    by: columns that name a repository, where the table holds several; each has places of its own.
+    """
     from pyspark.sql.window import Window
 
-    counts = files.groupBy("language").agg(F.count("*").alias("files"), F.min("ordinal").alias("first"))
-    order = Window.orderBy(F.when(F.col("language").isin(*code), 0).otherwise(1), F.desc("files"), "first")  # a row a language
-    return counts.withColumn("place", F.row_number().over(order)).select("language", "files", "place")
+    counts = files.groupBy(*by, "language").agg(F.count("*").alias("files"), F.min("ordinal").alias("first"))
+    order = Window.partitionBy(*by).orderBy(F.when(F.col("language").isin(*code), 0).otherwise(1), F.desc("files"), "first")  # a row a language
+    return counts.withColumn("place", F.row_number().over(order)).select(*by, "language", "files", "place")
+
+
+def scan_tally(files: DataFrame) -> DataFrame:
+    """repository with how many of its files (repository, skip_reason) were accepted, ignored by name or content, oversized or unreadable."""
+    why = F.col("skip_reason")
+    return files.groupBy("repository").agg(
+        F.count_if(why.isNull()).alias("accepted"), F.count_if(why.isin("ignored", "hidden", "binary")).alias("ignored"),
+        F.count_if(why == "oversized").alias("oversized"), F.count_if(why == "unreadable").alias("permission_errors"),
+    )
+
+
+def directory_rows(files: DataFrame) -> DataFrame:
+    """repository, directory, files, subdirectories and languages of every folder of files (repository, path, language, skip_reason).
+
+    A folder is there if a file lies below it, skipped or not; the root is ".". Files count where they lie
+    themselves, if accepted. Files without path are left out.
+    """
+    parts = F.split("path", "/")
+    folders = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.when(i == 1, ".").otherwise(F.array_join(F.slice(parts, 1, i - 1), "/")))
+    above = files.where("path is not null").select("repository", "language", "skip_reason", folders.alias("folders"))
+    at = above.select("repository", "language", "skip_reason", "folders", F.posexplode("folders").alias("depth", "directory"))
+    own = (F.col("depth") == F.size("folders") - 1) & F.col("skip_reason").isNull()
+    parent = F.when(F.col("depth") > 0, F.col("folders")[F.col("depth") - 1])
+    counts = at.groupBy("repository", "directory", "language").agg(F.count_if(own).alias("n"), F.max(parent).alias("parent"))
+    shown = F.when(F.col("n") > 0, F.concat_ws("=", "language", F.col("n").cast("string")))
+    rows = counts.groupBy("repository", "directory").agg(F.sum("n").alias("files"), F.concat_ws(",", F.array_sort(F.collect_list(shown))).alias("languages"), F.max("parent").alias("parent"))
+    below = rows.where("parent is not null").groupBy("repository", F.col("parent").alias("directory")).agg(F.count("*").alias("n"))
+    return rows.drop("parent").join(below, ["repository", "directory"], "left").select("repository", "directory", "files", F.coalesce("n", F.lit(0)).cast("long").alias("subdirectories"), "languages")
+
+
+def repository_rows(files: DataFrame) -> DataFrame:
+    """One row a repository of files (repository, path, language, size_bytes, n_lines, parse_error, skip_reason).
+
+    Accepted files, those of a known language, parsed and failed ones, skipped ones (unreadable ones are none of
+    these; a null parse_error is none), folders, bytes, lines, the mean size to two places, the largest file (of equal ones the first path)
+    and the files of each language. A repository without accepted files has zeros and no largest file.
+    """
+    ok = F.col("skip_reason").isNull()
+    when = lambda c: F.when(ok, F.col(c))
+    largest = F.min(F.when(ok, F.struct((-F.col("size_bytes")).alias("s"), F.col("path").alias("path"))))
+    by_language = files.groupBy("repository", "language").agg(
+        F.count_if(ok).alias("n"), F.count_if(ok & F.col("parse_error")).alias("failed"), F.count_if(~ok & (F.col("skip_reason") != "unreadable")).alias("ignored"),
+        F.sum(when("size_bytes")).alias("bytes"), F.sum(when("n_lines")).alias("lines"), largest.alias("largest"),
+    )
+    known, n = F.col("language") != "unknown", F.col("n")
+    parsed = F.when(F.col("language").isin(*V.PARSED_LANGUAGES), n - F.col("failed"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    shown = F.when(n > 0, F.concat_ws("=", "language", n.cast("string")))
+    rows = by_language.groupBy("repository").agg(
+        total(n).alias("files"), total(F.when(known, n)).alias("supported"), total(parsed).alias("parsed"), total("failed").alias("failed"), total("ignored").alias("ignored"),
+        total("bytes").alias("bytes"), total("lines").alias("lines"), F.min("largest").getField("path").alias("largest"), F.concat_ws(",", F.array_sort(F.collect_list(shown))).alias("languages"),
+    )
+    folders = directory_rows(files).groupBy("repository").agg(F.count("*").alias("directories"))
+    mean = F.when(F.col("files") > 0, F.round(F.col("bytes") / F.col("files"), 2)).otherwise(F.lit(0.0))
+    return rows.join(folders, "repository", "left").withColumns({"mean_bytes": mean, "directories": F.coalesce("directories", F.lit(0)).cast("long")})

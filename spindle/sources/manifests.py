@@ -35,18 +35,19 @@ def quoted_names(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(names, lambda x: x.rlike(r"^[\p{L}\p{N}_.-]+$"))))
 
 
-def manifest_names(manifests: DataFrame) -> DataFrame:
-    """ecosystem and name of every dependency of manifests (name, text)."""
+def manifest_names(manifests: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """ecosystem and name of every dependency of manifests (name, text); by: columns that name a repository."""
     file = F.lower("name")
     rows = manifests.select(
+        *by,
         F.when(file == "package.json", "npm").otherwise("python").alias("ecosystem"),
         F.when(file == "package.json", npm_names(F.col("text"))).when(file == "pyproject.toml", quoted_names(F.col("text"))).when(file.isin("requirements.txt", "pipfile"), requirement_names(F.col("text"))).alias("names"),
     )
-    return rows.select("ecosystem", F.explode("names").alias("name")).distinct()
+    return rows.select(*by, "ecosystem", F.explode("names").alias("name")).distinct()
 
 
-def frameworks(manifests: DataFrame) -> DataFrame:
-    """framework, category, confidence, evidence and place, by the strongest evidence of each rule."""
+def frameworks(manifests: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """framework, category, confidence, evidence and place, by the strongest evidence of each rule; by: columns that name a repository."""
     spark = manifests.sparkSession
     rules = []
     for i, (name, kind, npm, python, markers, needles) in enumerate(V.FRAMEWORKS):
@@ -55,12 +56,12 @@ def frameworks(manifests: DataFrame) -> DataFrame:
         rules += [(i, name, kind, "file", x, None, V.MARKER_CONFIDENCE) for x in markers]
         rules += [(i, name, kind, "text", x, needle, V.MANIFEST_CONFIDENCE) for x, needle in needles]
     table = F.broadcast(spark.createDataFrame(rules, "rule int, framework string, category string, source string, key string, needle string, weight double"))  # a fixed table
-    deps = manifest_names(manifests).select(F.col("ecosystem").alias("source"), F.col("name").alias("key"), F.lit(None).cast("string").alias("body"))
-    present = manifests.select(F.explode(F.array(F.lit("file"), F.lit("text"))).alias("source"), F.lower("name").alias("key"), F.lower("text").alias("body"))
+    deps = manifest_names(manifests, by).select(*by, F.col("ecosystem").alias("source"), F.col("name").alias("key"), F.lit(None).cast("string").alias("body"))
+    present = manifests.select(*by, F.explode(F.array(F.lit("file"), F.lit("text"))).alias("source"), F.lower("name").alias("key"), F.lower("text").alias("body"))
     met = deps.unionByName(present).join(table, ["source", "key"]).where("needle is null or contains(body, needle)")
     shown = F.concat_ws(":", "source", "key")
-    grouped = met.groupBy("rule", "framework", "category").agg(F.round(F.least(F.lit(1.0), F.max("weight")), 3).alias("confidence"), F.concat_ws(",", F.array_sort(F.collect_set(shown))).alias("evidence"))
+    grouped = met.groupBy(*by, "rule", "framework", "category").agg(F.round(F.least(F.lit(1.0), F.max("weight")), 3).alias("confidence"), F.concat_ws(",", F.array_sort(F.collect_set(shown))).alias("evidence"))
     from pyspark.sql.window import Window
 
-    order = Window.orderBy(F.desc("confidence"), "rule")  # at most a row a rule
-    return grouped.withColumn("place", F.row_number().over(order)).select("framework", "category", "confidence", "evidence", "place")
+    order = Window.partitionBy(*by).orderBy(F.desc("confidence"), "rule")  # at most a row a rule
+    return grouped.withColumn("place", F.row_number().over(order)).select(*by, "framework", "category", "confidence", "evidence", "place")
