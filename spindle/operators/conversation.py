@@ -94,7 +94,8 @@ def relevance(messages: DataFrame, prompts: DataFrame, *, top: int = 5, threshol
     own, asked = T.keywords(F.col("text")), T.keywords(F.col("prompt"))
     users = users.withColumns({"_own": own, "_asked": asked, "_old": F.min("turn").over(thread), "_new": F.max("turn").over(thread), "_first": F.row_number().over(thread.orderBy("turn")) == 1})
     recency = (F.col("turn") - F.col("_old")) / F.greatest(F.lit(1), F.col("_new") - F.col("_old"))
-    score = F.round(55 * T.blend(F.col("_asked"), F.col("_own")) + 20 * T.overlap(F.col("_asked"), F.col("_own")) + 15 * recency + F.when(F.col("_first"), 10).otherwise(0), 1)
+    score = 55 * T.blend(F.col("_asked"), F.col("_own")) + 20 * T.overlap(F.col("_asked"), F.col("_own")) + 15 * recency + F.when(F.col("_first"), 10).otherwise(0)
+    score = F.round(score * 10) / 10  # tenths as doubles have them: round(score, 1) goes by decimal digits, which a double as 13.649999999999999 just misses
     users = users.withColumns({"score": score, "_bare": F.size("_asked") == 0}).withColumn("_enough", (F.col("score") >= threshold) & ~F.col("_bare"))
     users = users.withColumn("_any", F.max(F.col("_enough").cast("int")).over(thread))
     order = thread.orderBy(F.when(F.col("_bare"), 0).otherwise(F.col("score")).desc(), F.desc("turn"))

@@ -4,6 +4,7 @@ import math
 import re
 from types import SimpleNamespace
 
+import duckdb
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -40,6 +41,15 @@ def test_top_k_in_blocks(spark):
     assert len(whole) == 15 * 5 and whole == parts and none == []
 
 
+def test_relevance_rounds_tenths_as_sql_does(spark):
+    said = [(1, "t1", t, "user", w) for t, w in ((0, "alpha"), (77, "beta"), (149, "gamma"), (281, "delta"), (300, "kappa"))]
+    chat = spark.createDataFrame(said, "conv_id long, thread_id string, turn long, role string, text string")
+    asked = spark.createDataFrame([(1, "omega")], "conv_id long, prompt string")
+    got = {r.turn: r.score for r in conversation.relevance(chat, asked, threshold=0.0).collect()}
+    sql = "SELECT t, round(15 * (t::DOUBLE / 300) + CASE WHEN t = 0 THEN 10 ELSE 0 END, 1) FROM unnest([0, 77, 149, 281, 300]) x(t)"
+    assert got == dict(duckdb.sql(sql).fetchall()) == {0: 10.0, 77: 3.9, 149: 7.5, 281: 14.1, 300: 15.0}
+
+
 def test_budget_skips_and_goes_on(spark):
     rows = [(1, i, "p", "s", "x" * n) for i, n in enumerate((100, 4000, 40), 1)]
     df = spark.createDataFrame(rows, "query_id int, place int, path string, symbol string, content string")
