@@ -89,10 +89,12 @@ def normalized_query(text: Column) -> Column:
     return F.trim(F.regexp_replace(plain, r"(?U)\s+", " "))
 
 
-def readable_size(size: Column) -> Column:
+def readable_size(size: Column, units: tuple[str, ...] = ("KB", "MB", "GB", "TB")) -> Column:
+    """size in the largest of units that it reaches, with one decimal; of two as near the even one, as printf has it."""
     out = F.concat(size.cast("string"), F.lit(" B"))
-    for power, unit in enumerate(("KB", "MB", "GB", "TB"), 1):
-        shown = F.concat(F.format_string("%.1f", size / float(1024**power)), F.lit(f" {unit}"))
+    for power, unit in enumerate(units, 1):
+        tenths = F.rint(size / float(1024**power) * 10)  # format_string alone rounds halves up
+        shown = F.concat(F.format_string("%.1f", tenths / 10), F.lit(f" {unit}"))
         out = F.when(size >= 1024**power, shown).otherwise(out)
     return out
 

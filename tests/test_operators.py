@@ -41,6 +41,13 @@ def test_top_k_in_blocks(spark):
     assert len(whole) == 15 * 5 and whole == parts and none == []
 
 
+def test_readable_sizes_round_halves_to_even(spark):
+    sizes = [1023, 1024, 5376, 26880, 8960, 1792, 5 * 1024**2 // 4, 3 << 30, None]
+    shown = lambda *units: [r.s for r in spark.createDataFrame(list(enumerate(sizes)), "i int, n long").orderBy("i").select(T.readable_size(F.col("n"), *units).alias("s")).collect()]
+    want = ["1023 B", "1.0 KB", "5.2 KB", "26.2 KB", "8.8 KB", "1.8 KB", "1.2 MB"]
+    assert shown() == [*want, "3.0 GB", None] and shown(("KB", "MB")) == [*want, "3072.0 MB", None]
+
+
 def test_relevance_rounds_tenths_as_sql_does(spark):
     said = [(1, "t1", t, "user", w) for t, w in ((0, "alpha"), (77, "beta"), (149, "gamma"), (281, "delta"), (300, "kappa"))]
     chat = spark.createDataFrame(said, "conv_id long, thread_id string, turn long, role string, text string")
