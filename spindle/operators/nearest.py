@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spindle.operators.vectors import QUERY_BLOCK
-
+#: Query rows that are gathered and broadcast at once, about; more of them are searched in blocks.
+QUERY_BLOCK = 1000
 #: Vectors that centroids are fitted on, at most; all vectors are indexed.
 SAMPLE = 20_000
 ROUNDS = 12

@@ -5,6 +5,7 @@ import re
 from types import SimpleNamespace
 
 import duckdb
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -41,6 +42,24 @@ def test_top_k_in_blocks(spark):
     assert len(whole) == 15 * 5 and whole == parts and none == []
 
 
+def test_top_k_of_odd_vectors_and_equal_scores(spark):
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(70, 5))
+    some = [base[i % 70].tolist() for i in range(400)] + (-base[:20]).tolist() + [rng.normal(size=3).tolist() for _ in range(9)]
+    some += [None, [], [0.0] * 5, [1.0, None, 2.0, 3.0, 4.0], [float("nan")] * 5, [float("inf"), 1.0, 0.0, 2.0, 1.0], [1e-120] * 5, [1e120, 2e120, 0.0, 1e120, 0.0], [1e200] * 5]
+    order = rng.permutation(len(some)).tolist()
+    rows = spark.createDataFrame([(i, some[j]) for i, j in enumerate(order)], "vec_id long, embedding array<double>")
+    asked = rows.where("vec_id % 9 = 0 or vec_id in (" + ",".join(str(i) for i, j in enumerate(order) if j >= 420) + ")").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    score = {(r.query_id, r.vec_id): r.s for r in asked.crossJoin(rows).select("query_id", "vec_id", vectors.cosine(F.col("embedding"), F.col("query")).alias("s")).collect()}
+    for k, block, part in ((3, 8192, 16384), (7, 10, 100), (40, 1000, 90)):
+        got = {}
+        for r in vectors.top_k(asked, rows, k, block=block, part=part).collect():
+            got.setdefault(r.query_id, []).append((r.rank, r.vec_id, round(r.score, 9)))
+        for q in {q for q, _ in score}:
+            best = sorted((-round(s, 12), v) for (a, v), s in score.items() if a == q)[:k]
+            assert sorted(got[q]) == [(i, v, round(-s, 9)) for i, (s, v) in enumerate(best, 1)]
+
+
 def test_readable_sizes_round_halves_to_even(spark):
     sizes = [1023, 1024, 5376, 26880, 8960, 1792, 5 * 1024**2 // 4, 3 << 30, None]
     shown = lambda *units: [r.s for r in spark.createDataFrame(list(enumerate(sizes)), "i int, n long").orderBy("i").select(T.readable_size(F.col("n"), *units).alias("s")).collect()]
