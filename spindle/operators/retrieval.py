@@ -57,13 +57,16 @@ def expand_symbols(hits: DataFrame, chunks: DataFrame, edges: DataFrame, *, dept
     targets = names.unionByName(chunks.select("chunk_id", F.lit(1 << 40).alias("pos"), F.col("parent").alias("name"))).where("name <> ''")
     level = stored(hits.join(chunks.select("chunk_id", "symbol"), "chunk_id").select("query_id", "chunk_id", "symbol", "score", F.lit(0).alias("depth"), F.col("rank").cast("long").alias("ordinal")))
     kept, seen = level, level.select("query_id", F.col("symbol").alias("name"))
+    # of a name's chunks only the first fetched ones can be among a query's first fetched ones, however many share it
+    of_name = F.row_number().over(Window.partitionBy("name").orderBy("chunk_id"))
+    named = stored(chunks.select("chunk_id", F.col("symbol").alias("name")).where("name is not null").withColumn("_r", of_name).where(F.col("_r") <= fetched).drop("_r"))
     query = Window.partitionBy("query_id")
     for d in range(1, depth + 1):
         found = level.join(targets, "chunk_id").select("query_id", "name", (F.col("score") * V.DEPTH_DECAY).alias("s"), F.struct("ordinal", "pos").alias("at"))
         ahead = found.groupBy("query_id", "name").agg(F.max("s").alias("s"), F.min("at").alias("at")).join(seen, ["query_id", "name"], "left_anti")
         first = stored(ahead.withColumn("place", F.row_number().over(query.orderBy("at", "name"))).where(F.col("place") <= frontier).select("query_id", "name", "s"))
         seen = seen.unionByName(first.select("query_id", "name"))
-        matches = first.join(chunks.select("chunk_id", F.col("symbol").alias("name")), "name").withColumn("row", F.row_number().over(query.orderBy("chunk_id"))).where(F.col("row") <= fetched)
+        matches = first.join(named, "name").withColumn("row", F.row_number().over(query.orderBy("chunk_id"))).where(F.col("row") <= fetched)
         new = matches.join(kept.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti").withColumn("row", F.row_number().over(query.orderBy("chunk_id")))
         held = kept.groupBy("query_id").agg(F.count("*").alias("held"), F.max("ordinal").alias("last"))
         fits = (F.col("held") + F.col("row") <= most) | (F.lit(d == 1) & (F.col("row") == 1))

@@ -144,6 +144,17 @@ def test_expansion_by_symbols_equals_the_loop(spark):
         assert found == {q: [(c, s, round(x, 6), d) for c, s, x, d in plain_expansion(own, chunks, edges, *limits)] for q, own in hits.items()}, case
 
 
+def test_a_symbol_of_many_chunks_is_looked_up_by_its_first_ones(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(retrieval, "stored", lambda df: written.append(df.checkpoint()) or written[-1])
+    chunks = spark.range(3000).select(F.col("id").alias("chunk_id"), F.concat(F.lit("s"), F.col("id") % 2).alias("symbol"), F.lit("s1").alias("parent"))
+    hits = spark.range(50).select(F.col("id").alias("query_id"), (F.col("id") * 2 + 400).alias("chunk_id"), F.lit(0.9).alias("score"), F.lit(1).alias("rank"))
+    none = spark.createDataFrame([], "chunk_id long, pos int, name string, external boolean")
+    out = retrieval.expand_symbols(hits, chunks, none, depth=1, fetched=4, most=50).where("depth = 1")
+    assert {(r.query_id, r.chunk_id) for r in out.collect()} == {(q, c) for q in range(50) for c in (1, 3, 5, 7)}
+    assert [sorted(r.chunk_id for r in df.collect()) for df in written if sorted(df.columns) == ["chunk_id", "name"]] == [list(range(8))]
+
+
 def test_expansion_plans_do_not_grow_with_depth(spark, sf):
     reads = []
     for depth in (1, 3):
