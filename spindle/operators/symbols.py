@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,6 +18,8 @@ FAMILIES = {"python": "python", "javascript": "js", "jsx": "js", "typescript": "
 SYMBOL = "repository string, path string, kind string, symbol string, parent string, first int, last int, is_async boolean, exported boolean, decorators array<string>, bases array<string>, prefix string"
 _FIELDS = [part.split(" ")[0] for part in SYMBOL.split(", ")]
 
+#: Files whose lines a worker holds as Python strings are one; those whose results it holds are so many.
+FILES_AT_ONCE = 64
 _STRINGS = r"""\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|#.*$"""
 _TRIPLE = "\"\"\"|'''"
 
@@ -61,15 +63,21 @@ def declared(files: DataFrame) -> DataFrame:
 def braced(files: DataFrame) -> DataFrame:
     """The declarations of marked files with last, where their block in braces ends, and types: the file's classes as (line, last, name, code)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            texts = [t.split("\n") for t in rows["text"]]
-            rows["lasts"] = [[block_end(t, int(m["line"])) for m in marks] for t, marks in zip(texts, rows["marks"], strict=True)]
-            yield rows.drop(columns="text")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for low in range(0, whole.num_rows, FILES_AT_ONCE):
+                batch = whole.slice(low, FILES_AT_ONCE)
+                lasts = []
+                for text, starts in zip(batch["text"], batch["starts"], strict=True):
+                    lines = text.as_py().split("\n")
+                    lasts.append([block_end(lines, start) for start in starts.as_py()])
+                kept = batch.select(["repository", "path", "language", "marks"])
+                yield kept.append_column("lasts", pa.array(lasts, pa.list_(pa.int32())))
 
     own = marked(files).withColumn("marks", F.filter("marks", lambda m: ~m["what"].isin("import", "export"))).where(F.size("marks") > 0)
     kind = own.schema["marks"].dataType.simpleString()
-    ended = own.mapInPandas(run, f"repository string, path string, language string, marks {kind}, lasts array<int>")
+    own = own.withColumn("starts", F.transform("marks", lambda m: m["line"].cast("int")))
+    ended = own.mapInArrow(run, f"repository string, path string, language string, marks {kind}, lasts array<int>")
     zipped = F.zip_with("marks", "lasts", lambda m, e: F.struct(m["line"].alias("line"), e.alias("last"), m["name"].alias("name"), m["code"].alias("code"), m["what"].alias("what")))
     ended = ended.select(*FILE, "language", zipped.alias("marks"))
     types = F.transform(F.filter("marks", lambda m: m["what"] == "class"), lambda m: m.dropFields("what"))

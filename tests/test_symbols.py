@@ -144,3 +144,10 @@ def test_nothing_gives_nothing(spark):
 
 def test_only_a_closing_brace_ends_a_block():
     assert code.block_end(["} x {", "a", "}"], 1) == 3
+
+
+def test_ends_of_blocks_of_many_files_without_pandas(spark):
+    files = spark.range(150).select(F.lit("r").alias("repository"), F.concat(F.lit("f"), F.col("id"), F.lit(".go")).alias("path"), F.lit("go").alias("language"), F.concat(F.lit("func Get() {\n"), F.repeat(F.lit("x\n"), F.col("id").cast("int")), F.lit("}")).alias("text"))
+    out = symbols.braced(files)
+    assert {r.path: (r.line, r["last"]) for r in out.collect()} == {f"f{i}.go": (1, i + 2) for i in range(150)}
+    assert "MapInArrow" in (plan := out._jdf.queryExecution().toString()) and "MapInPandas" not in plan
