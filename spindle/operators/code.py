@@ -191,12 +191,16 @@ def dependencies(chunks: DataFrame, imports: DataFrame) -> DataFrame:
     """chunk_id, name, module of the imported names that a chunk's text uses.
 
     chunks: (chunk_id, path, content); imports: (path, module, names). An import without names binds
-    the last part of its module.
+    the last part of its module. The imports of a file are gathered and compared with a chunk's words in its row, so
+    that no word is shuffled.
     """
-    used = chunks.select("chunk_id", "path", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"[A-Za-z_$][A-Za-z0-9_$]*"), F.lit(0)))).alias("name"))
     tail = F.element_at(F.split("module", r"[./]"), -1)
-    bound = imports.select("path", "module", F.explode(F.when(F.size("names") > 0, F.col("names")).otherwise(F.array(tail))).alias("name")).distinct()
-    return used.join(bound, ["path", "name"]).select("chunk_id", "name", "module")
+    bound = imports.select("path", "module", F.explode(F.when(F.size("names") > 0, F.col("names")).otherwise(F.array(tail))).alias("name")).where("name is not null")
+    of_file = bound.groupBy("path").agg(F.collect_set(F.struct("name", "module")).alias("bound"))
+    told = chunks.select("chunk_id", "path", "content").join(of_file, "path")
+    used = lambda words: F.filter("bound", lambda b: F.array_contains(words, b["name"]))
+    words = F.array_distinct(F.regexp_extract_all("content", F.lit(r"[A-Za-z_$][A-Za-z0-9_$]*"), F.lit(0)))
+    return told.select("chunk_id", F.explode(T.let(words, used)).alias("b")).select("chunk_id", "b.name", "b.module")
 
 
 def owners(methods: DataFrame, classes: DataFrame) -> DataFrame:

@@ -151,3 +151,12 @@ def test_ends_of_blocks_of_many_files_without_pandas(spark):
     out = symbols.braced(files)
     assert {r.path: (r.line, r["last"]) for r in out.collect()} == {f"f{i}.go": (1, i + 2) for i in range(150)}
     assert "MapInArrow" in (plan := out._jdf.queryExecution().toString()) and "MapInPandas" not in plan
+
+
+def test_dependencies_shuffle_no_words(spark):
+    chunks = spark.createDataFrame([("c1", "p", "use(os); os.x(); List"), ("c2", "p", "nothing"), ("c3", "q", "os"), ("c4", None, "os"), ("c5", "p", None)], "chunk_id string, path string, content string")
+    imports = spark.createDataFrame([("p", "os", []), ("p", "os", []), ("p", "java.util.List", None), ("p", "lib.x", ["use", "gone", None]), ("p", None, ["x"]), (None, "os", [])], "path string, module string, names array<string>")
+    out = code.dependencies(chunks, imports)
+    assert sorted(map(tuple, out.collect()), key=str) == [("c1", "List", "java.util.List"), ("c1", "os", "os"), ("c1", "use", "lib.x"), ("c1", "x", None)]
+    plan = out._jdf.queryExecution().toString()
+    assert "hashpartitioning(path" in plan and not [x for x in plan.split("hashpartitioning(")[1:] if "name#" in x.split(")")[0]]
