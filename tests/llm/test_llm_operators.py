@@ -12,12 +12,13 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from spindle.llm import decontaminate, html_text, language_model, linking, mixing, near_dedup, paragraph_dedup, quality, textkit, token_counts, token_output, toxicity
+from spindle.llm import decontaminate, encoding, html_text, language_model, linking, mixing, near_dedup, paragraph_dedup, quality, textkit, token_counts, token_output, toxicity
 from spindle.llm.queries import QUERIES
 from spindle.llm.wavelet import WaveletMatrix, build
 
@@ -764,3 +765,17 @@ def test_the_cache_of_lengths_fills_and_is_bounded(tokenizer):
         assert abs(len(counter.known) - kept) <= 2 and " again" not in counter.known
         if kept > 400:
             assert counter.encoded < counter.asked / 2
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_words_are_encoded_without_the_symbols_at_their_end(name):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(name)
+    texts = ["Word, word. Word!!! word *** x5, 'tis, don't; \u0130. \u00e9, E\u0301, \u00df? a<|endoftext|> b|> \u00d7, \u5b57. a\u00a0b, caf\u00c9;", "word&&& Word; w.o.r.d. word", "", ",", " ,"]
+    encoder, whole = encoding.PieceEncoder(path), Tokenizer.from_file(path)
+    ids, first = encoder.ids(pa.array(texts, pa.large_string()))
+    for text, a, b in zip(texts, first[:-1].tolist(), first[1:].tolist(), strict=True):
+        assert ids[a:b].tolist() == whole.encode(text, add_special_tokens=False).ids
+    assert " word" in encoder.known and not any(x in encoder.known for x in (" word,", " word.", " word!!!", " word&&&"))
+    assert (" Word" in encoder.known) == (name == "byte_bpe_50k.json")  # this one lowers no case
