@@ -21,10 +21,8 @@ _ONES = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint8)
 
 
 def _pack(raw: bytes) -> bytes:
-    packed = zlib.compress(raw[: 1 << 14], 1)
-    if len(packed) < 0.9 * min(len(raw), 1 << 14):  # a trial on the start decides
-        return b"\x01" + zlib.compress(raw, 1)
-    return b"\x00" + raw
+    packed = zlib.compress(raw, 1)
+    return b"\x01" + packed if len(packed) < 0.9 * len(raw) else b"\x00" + raw
 
 
 def _unpack(stored: bytes) -> bytes:
@@ -36,10 +34,11 @@ def build(doc_ids: np.ndarray, offsets: np.ndarray, ids: np.ndarray, planes: int
     header = zlib.compress(doc_ids.astype("<i8").tobytes() + offsets.astype("<u8").tobytes(), 1)
     out = [_HEAD.pack(b"WVM1", 1, len(doc_ids), len(ids), planes, len(header)), header]
     for level in range(planes - 1, -1, -1):
-        ones = (ids >> ids.dtype.type(level)) & ids.dtype.type(1) != 0
+        ones = (ids & ids.dtype.type(1 << level)).astype(bool)
         body = _pack(np.packbits(ones, bitorder="little").tobytes())
-        out += [_PLANE.pack(len(ids) - int(np.count_nonzero(ones)), len(body)), body]
-        ids = np.concatenate([ids[~ones], ids[ones]])
+        zeros = ids.compress(~ones)
+        out += [_PLANE.pack(len(zeros), len(body)), body]
+        ids = np.concatenate([zeros, ids.compress(ones)])
     return b"".join(out)
 
 
