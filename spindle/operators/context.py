@@ -10,6 +10,8 @@ from spindle.functions import text as T
 from spindle.functions import vocabulary as V
 
 SECTIONS = ("primary", "supporting", "configuration", "utilities", "additional")
+#: Up to so many ids (8 bytes each) are broadcast to choose rows of a large table before it is shuffled.
+BROADCAST_IDS = 1_000_000
 WINDOWS = {"8k": 8192, "16k": 16384, "32k": 32768, "64k": 65536, "128k": 131072}
 #: Tasks that a prompt may have: role, instructions and limits of the answer, in our own words.
 GENERAL = "general_question"
@@ -50,6 +52,17 @@ def best_of_key(rows: DataFrame, keys: list[str], score: str, ordinal: str) -> D
     return ranked.where("_r = 1").drop("_r")
 
 
+def with_rows(hits: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """hits, which are written already, with the columns of rows of their key.
+
+    Of rows only those that hits name are shuffled, as long as hits name few keys; beyond that all are.
+    """
+    ids = hits.select(key).where(F.col(key).isNotNull()).distinct()
+    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        rows = rows.join(F.broadcast(ids), key, "left_semi")
+    return hits.join(rows, key)
+
+
 def section(kind: Column, source: Column, depth: Column) -> Column:
     return (
         F.when(kind == "config_file", "configuration")

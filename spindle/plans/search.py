@@ -12,7 +12,7 @@ from spindle.functions import text as T
 from spindle.functions import vocabulary as V
 from spindle.operators import context, nearest, retrieval, vectors
 from spindle.plans.registry import query, table
-from spindle.session import shared_folder
+from spindle.session import shared_folder, stored
 
 KINDS = tuple(V.TYPE_WEIGHTS)
 #: Every vector whose id is divisible by 50 is a query against all vectors.
@@ -130,7 +130,7 @@ def q30_best_of_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _context_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranked hits with the text of the document of their id, in the order of the budget."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("node"), "text", "source")
-    hits = _ranked(spark, sf_dir).join(docs, "node")
+    hits = context.with_rows(stored(_ranked(spark, sf_dir)), docs, "node")
     source = F.when(F.col("depth") > 0, "dependency_expansion").otherwise("semantic")
     own = hits.withColumn("section", context.section(F.col("kind"), source, F.col("depth"))).withColumn("final", F.when(F.col("rank_score") == 0, F.col("score")).otherwise(F.col("rank_score")))
     order = Window.partitionBy("query_id").orderBy(context.section_rank(F.col("section")), F.desc("final"), "ordinal")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from spindle.functions import text as T
 from spindle.operators import chunking, code, context, conversation, edits, retrieval, storage, vectors
 from spindle.plans import catalog
+from spindle.session import stored
 from spindle.sources import files
 
 
@@ -83,6 +84,19 @@ def test_budget_skips_and_goes_on(spark):
     assert got == {1: "taken", 2: "trimmed", 3: "taken"}
 
 
+def test_only_rows_that_hits_name_are_shuffled(spark, monkeypatch):
+    hits = stored(spark.createDataFrame([(1, 5), (2, 5), (2, 7), (3, None), (3, 99)], "query_id long, node long"))
+    rows = spark.range(0, 50).selectExpr("id AS node", "concat('t', id) AS text")
+    want = [(1, 5, "t5"), (2, 5, "t5"), (2, 7, "t7")]
+    found = context.with_rows(hits, rows, "node")
+    assert sorted((r.query_id, r.node, r.text) for r in found.collect()) == want
+    assert "LeftSemi" in found._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(context, "BROADCAST_IDS", 2)
+    found = context.with_rows(hits, rows, "node")
+    assert sorted((r.query_id, r.node, r.text) for r in found.collect()) == want
+    assert "LeftSemi" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_compressed_lines(spark):
     body = "\n".join(map(str, range(40)))
     df = spark.createDataFrame([(body,), ("a\nb",)], "t string").select(context.compressed(F.col("t")).alias("c"))
