@@ -4,9 +4,10 @@ A count is quantised to a level, and the n-gram is put in once for each level up
 probes level after level until one is missing. No more than half of the filter's bits are set, and the
 first level takes as many probes as the vocabulary calls for: all words that never followed a word, but
 are found after it, add FALSE_COUNTS to the counts of its followers on average. The filter
-is cut into segments by the n-gram's hash. As long as a worker can hold it, it is built
-segment by segment and broadcast; beyond that the probes travel to the segments and the answers back,
-with the same bits and so the same scores. Unigrams are smoothed by adding one; bigrams, all of them,
+is cut into segments by the n-gram's hash, each with bits for what it holds. Texts are dealt to slices. A slice sends
+its distinct n-grams, with how often it trains on them, to their segments once; a segment adds them up, puts them
+in and answers each slice by levels alone, in the order of its n-grams. So n-grams travel once for counting and for
+probing, and nothing of them or of the texts is stored. Unigrams are smoothed by adding one; bigrams, all of them,
 are smoothed towards them with a prior of PRIOR counts: p(w | h) = (c(h w) + PRIOR p(w)) / (c(h) +
 PRIOR), which sums to one as the counts of a word's followers sum to its own.
 """
@@ -14,8 +15,7 @@ PRIOR), which sums to one as the counts of a word's followers sum to its own.
 from __future__ import annotations
 
 import math
-import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spindle.llm import textkit
-from spindle.llm.common import checkpointed, shared_folder, text_slices
+from spindle.llm.common import checkpointed, text_slices
 
 END = np.uint64(0x0E0D0E0D0E0D0E0D)
 #: Counts below FIRST have levels of their own; from there on a level is BASE times as wide as the one before.
@@ -35,8 +35,10 @@ PRIOR = 20.0
 FALSE_COUNTS = PRIOR / 200
 _PAIR = np.uint64(0xA0761D6478BD642F)
 _LEVELS = 160
-#: Bits of a segment at most, where probes travel to segments.
-_SEGMENT_BITS = 27
+#: Bytes of text of a slice, and those whose n-grams fill a segment, as powers of two.
+_SLICE, _SEGMENT = 23, 24
+#: Slices at least, so that small tables are dealt to several tasks too.
+_LEAST = 8
 
 
 def held_out(doc_id: Column) -> Column:
@@ -49,11 +51,6 @@ def level_of(counts: np.ndarray) -> np.ndarray:
     return np.where(counts < FIRST, counts, np.minimum(FIRST + np.floor(np.log(counts / FIRST) / np.log(BASE) + 1e-9), _LEVELS - 1)).astype(np.int64)
 
 
-def _level(c: Column) -> Column:
-    above = F.least(FIRST + F.floor(F.log(c / FIRST) / np.log(BASE) + 1e-9), F.lit(_LEVELS - 1))
-    return F.when(c < FIRST, c).otherwise(above).cast("int").alias("level")
-
-
 def _level_counts() -> np.ndarray:
     """The count that each level stands for: the mean of the whole numbers in it, each weighed by the inverse of its square."""
     out = [float(i) for i in range(FIRST)]
@@ -167,13 +164,35 @@ def _followers(first: np.ndarray) -> np.ndarray:
     return np.flatnonzero(follows)
 
 
-def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def codes(batch: pa.RecordBatch) -> np.ndarray:
-        tokens, first = _tokens(batch["text"])
-        here = _followers(first)
-        return _pair_codes(tokens[here - 1], tokens[here])
+def _distinct(codes: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The codes, sorted and without repeats, each one's place there, and the sums of times."""
+    order = np.argsort(codes)
+    held = codes[order]
+    new = np.ones(len(codes), dtype=bool)
+    new[1:] = held[1:] != held[:-1]
+    start = np.flatnonzero(new)
+    back = np.empty(len(codes), np.int32)
+    back[order] = np.cumsum(new, dtype=np.int32) - 1
+    return held[start], back, np.add.reduceat(times[order], start) if len(start) else np.zeros(0, np.int64)
+
 
-    return _counted(np.unique(codes(b), return_counts=True) for b in text_slices(batches))
+def _slice_tokens(own: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """_tokens of all texts of a table."""
+    parts = [_tokens(b["text"]) for b in text_slices(iter(own.to_batches()))]
+    sizes = np.concatenate([np.diff(first) for _, first in parts])
+    return np.concatenate([tokens for tokens, _ in parts]), np.concatenate([[0], np.cumsum(sizes)])
+
+
+def _packed(parts: list[np.ndarray], codes: bool = False) -> pa.Array:
+    """Each array's first bytes, then its second ones and so on, as most bytes of counts and of sorted codes' differences compress away."""
+    parts = [np.diff(x, prepend=x.dtype.type(0)) if codes else np.ascontiguousarray(x) for x in parts]
+    return pa.array([x.view(np.uint8).reshape(len(x), -1).T.tobytes() if len(x) else b"" for x in parts], pa.binary())
+
+
+def _unpacked(column: pa.ChunkedArray, kind: type, codes: bool = False) -> list[np.ndarray]:
+    size = np.dtype(kind).itemsize
+    rows = [np.ascontiguousarray(np.frombuffer(x.as_buffer(), np.uint8).reshape(size, -1).T).reshape(-1).view(kind) for x in column]
+    return [np.cumsum(x, dtype=kind) for x in rows] if codes else rows
 
 
 def _index(sorted_codes: np.ndarray, codes: np.ndarray) -> np.ndarray:
@@ -214,158 +233,89 @@ def language_model_scores(docs: DataFrame, *, frequent: int = 1 << 18, least_bit
 
     Both scores are log10 probabilities of all words of the text and its end. base_score takes exact
     counts of words in the training rows; counts of frequent words, so many at most, are broadcast,
-    those of all others are joined by the word's hash. score takes the counts of pairs from the
+    those of all others come with their segment's answers. score takes the counts of pairs from the
     filter, and those of words that aren't broadcast too. The filter has least_bits, or more if the
-    counts need it; above held_bits it is not broadcast. Null texts are empty and hold one end each.
-    Without training rows every word is unseen.
+    counts need it; held_bits is of no effect, as the filter is never broadcast. Null texts are empty and hold one
+    end each. Without training rows every word is unseen. Slices are told by a hash of doc_id and text: equal rows
+    with equal doc_ids share one.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     docs = docs.select("doc_id", text.alias("text"), held_out(F.col("doc_id")).alias("held_out"))
-    train = docs.where("not held_out").select("text")
-    words = checkpointed(train.mapInArrow(_count_words, "code long, c long").groupBy("code").agg(F.sum("c").alias("c")))
+    words = checkpointed(docs.where("not held_out").select("text").mapInArrow(_count_words, "code long, c long").groupBy("code").agg(F.sum("c").alias("c")))
     totals = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    known_codes, known_counts = _frequent(words, frequent)
-
-    log_segments = max(log_segments, (int(totals.n) >> 20).bit_length())  # up to a million pairs a partition
-    segment = lambda bits: F.shiftrightunsigned(F.col("code"), 64 - bits)
-    folder = f"{shared_folder(spark)}/pairs-{uuid.uuid4().hex}"
-    dealt = train.mapInArrow(_count_pairs, "code long, c long").withColumn("segment", segment(log_segments)).repartition(1 << log_segments, "segment")
-    dealt.groupBy("segment", "code").agg(F.sum("c").alias("c")).select("code", _level(F.col("c"))).write.parquet(folder)
-    pairs, single = spark.read.schema("code long, level int").parquet(folder), words.select("code", _level(F.col("c")))
-    put = single.union(pairs).agg(F.count("*").alias("n"), F.coalesce(F.sum("level"), F.lit(0)).alias("levels")).first()
-    probes = first_probes(int(totals.v))
-    bits = max(least_bits, bits_needed(put.n, int(put.levels), probes))
-    if bits > held_bits:
-        log_segments = max(log_segments, (bits >> _SEGMENT_BITS).bit_length())
-    size = 8 * (1 + (bits >> log_segments) // 8)
     n_train, n_kinds = int(totals.n), int(totals.v)
-    floor = np.log10(n_train + n_kinds + 1)
+    size = int(docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
+    log_segments, slices = max(log_segments, (size >> _SEGMENT).bit_length()), _LEAST + (size >> _SLICE)
+    shared = spark.sparkContext.broadcast(_frequent(words, frequent))
+    probes, floor = first_probes(n_kinds), np.log10(n_train + n_kinds + 1)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    columns = ["key", "doc_id", "held_out", "n_tokens", "known", "base", "score", "rare", "times"]
-    schema = f"key long, doc_id {kind}, held_out boolean, n_tokens long, known long, base double, score double, rare array<long>, times array<int>"
+    top = np.uint64(64 - log_segments)
 
-    def asked(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """All codes that row_scores looks up."""
+    def ask(own: pa.Table) -> pa.Table:
+        """A row for each segment: the rare words and the pairs of a slice that belong there, and how often the slice trains on each pair."""
+        tokens, first = _slice_tokens(own)
+        word = np.unique(tokens)
+        word = word[_index(shared.value[0], word) < 0]
         here = _followers(first)
-        return np.unique(np.concatenate([np.unique(tokens), _pair_codes(tokens[here - 1], tokens[here])]))
-
-    def row_scores(batch: pa.RecordBatch, key: np.ndarray, levels: Callable[[np.ndarray], np.ndarray], codes: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-        tokens, first = _tokens(batch["text"])
-        rows, sizes = len(batch), np.diff(first)
-        code, back = np.unique(tokens, return_inverse=True)
+        trained = np.repeat(~np.asarray(own["held_out"]), np.diff(first))[here]
+        pair, _, times = _distinct(_pair_codes(tokens[here - 1], tokens[here]), trained.astype(np.uint32))
+        segments = np.arange(1 << log_segments)
+        inner = segments[1:].astype(np.uint64) << top
+        cut = lambda x, by: np.split(x, np.searchsorted(by, inner))
+        rows = [np.full(len(segments), own["slice"][0].as_py()), segments]
+        return pa.Table.from_arrays([*map(pa.array, rows), _packed(cut(word, word), codes=True), _packed(cut(pair, pair), codes=True), _packed(cut(times.astype(np.uint32), pair))], ["slice", "segment", "words", "pairs", "times"])
+
+    def answer(own: pa.Table, asked: pa.Table) -> pa.Table:
+        """Exact counts of the words and levels of words and pairs, to each slice in the order of its codes."""
+        word, count = own["code"].to_numpy().astype(np.int64).view(np.uint64), own["c"].to_numpy()
+        order = np.argsort(word)
+        word, count = word[order], count[order]
+        held = [_unpacked(asked[name], np.uint64, codes=True) for name in ("words", "pairs")]
+        cuts = [np.cumsum([len(x) for x in rows])[:-1] for rows in held]
+        rare, rare_back, _ = _distinct(np.concatenate([np.zeros(0, np.uint64), *held[0]]), np.zeros(sum(map(len, held[0])), np.int64))
+        times = np.concatenate([np.zeros(0, np.int64), *_unpacked(asked["times"], np.uint32)])
+        pair, pair_back, times = _distinct(np.concatenate([np.zeros(0, np.uint64), *held[1]]), times)
+        entries, levels = np.concatenate([word, pair[times > 0]]), level_of(np.concatenate([count, times[times > 0]]))
+        bits = max(least_bits >> log_segments, bits_needed(len(entries), int(levels.sum()), probes))
+        table = LogFrequencyFilter(8 * (1 + bits // 8), log_segments, probes, single=True)
+        table.put(entries, levels)
+        at = _index(word, rare)
+        exact = np.zeros(len(rare), np.int64)
+        exact[at >= 0] = count[at[at >= 0]]
+        found = [exact[rare_back], table.levels(rare).astype(np.uint8)[rare_back], table.levels(pair).astype(np.uint8)[pair_back]]
+        rows = [_packed(np.split(x, cuts[i])) if asked.num_rows else pa.array([], pa.binary()) for x, i in zip(found, (0, 0, 1), strict=True)]
+        return pa.Table.from_arrays([asked["slice"], asked["segment"], *rows], ["slice", "segment", "counts", "words", "pairs"])
+
+    def score(own: pa.Table, replies: pa.Table) -> pa.Table:
+        codes, counts = shared.value
+        tokens, first = _slice_tokens(own)
+        # codes are sorted, and segments are their first bits: answers by segment are in the order of codes
+        order = pa.array(np.argsort(replies["segment"].to_numpy()))
+        rare_counts, rare_levels, met = (np.concatenate(_unpacked(replies[name].take(order), t)) for name, t in (("counts", np.int64), ("words", np.uint8), ("pairs", np.uint8)))
+        code, back, _ = _distinct(tokens, np.zeros(len(tokens), np.int64))
         at = _index(codes, code)
-        seen = np.zeros(len(code))
-        seen[at >= 0] = counts[at[at >= 0]]
-        seen[at < 0] = LEVEL_COUNTS[levels(code[at < 0])]
+        exact, seen = np.zeros(len(code)), np.zeros(len(code))
+        exact[at >= 0] = seen[at >= 0] = counts[at[at >= 0]]
+        exact[at < 0], seen[at < 0] = rare_counts, LEVEL_COUNTS[rare_levels]
         p = ((seen + 1) / (n_train + n_kinds + 1))[back]
         here = _followers(first)
-        if len(here):
-            pair, pair_back = np.unique(_pair_codes(tokens[here - 1], tokens[here]), return_inverse=True)
-            met = LEVEL_COUNTS[levels(pair)][pair_back]
-            head = seen[back[here - 1]]
-            p[here] = (np.minimum(met, head) + PRIOR * p[here]) / (head + PRIOR)
-        model = np.add.reduceat(np.log10(p), first[:-1])
-        owner = np.repeat(np.arange(rows), sizes)
-        at = at[back]
-        hit = at >= 0
-        base = np.bincount(owner[hit], np.log10(counts[at[hit]] + 1.0), minlength=rows)
-        known = np.bincount(owner[hit], minlength=rows)
-        rare = np.unique(np.stack([owner[~hit].astype(np.uint64), tokens[~hit]], axis=1), axis=0, return_counts=True) if not hit.all() else (np.zeros((0, 2), np.uint64), np.zeros(0, np.int64))
-        cuts = np.searchsorted(rare[0][:, 0].astype(np.int64), np.arange(rows + 1))
-        times = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(rare[1].astype(np.int32)))
-        return pa.RecordBatch.from_arrays([pa.array(key), batch["doc_id"], batch["held_out"], pa.array(sizes), pa.array(known), pa.array(base), pa.array(model), textkit.lists(rare[0][:, 1], cuts), times], columns)
-
-    def by_broadcast() -> DataFrame:
-        def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own, used = LogFrequencyFilter(size, log_segments, probes), set()
-            for batch in batches:
-                codes = np.asarray(batch["code"]).astype(np.int64).view(np.uint64)
-                own.put(codes, np.asarray(batch["level"]))
-                used |= set(np.unique(own.segment(codes)).tolist())
-            for s in sorted(used):
-                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([own.bits[s].tobytes()], pa.binary())], ["segment", "bits"])
-
-        # the files of pairs are dealt by segment already
-        built = single.repartition(1 << log_segments, segment(log_segments)).mapInArrow(build, "segment int, bits binary").union(pairs.mapInArrow(build, "segment int, bits binary"))
-        full = LogFrequencyFilter(size, log_segments, probes)
-        for row in built.toLocalIterator(prefetchPartitions=True):
-            full.bits[row.segment] |= np.frombuffer(row.bits, np.uint8)
-        shared = spark.sparkContext.broadcast((full, known_codes, known_counts))
-
-        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            from pyspark import TaskContext
-
-            key = TaskContext.get().partitionId() << 33
-            filter_, codes, counts = shared.value
-            for batch in text_slices(batches):
-                yield row_scores(batch, key + np.arange(len(batch)), filter_.levels, codes, counts)
-                key += len(batch)
-
-        return docs.mapInArrow(score, schema)
-
-    def by_segment() -> DataFrame:
-        shared = spark.sparkContext.broadcast((known_codes, known_counts))
-
-        def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            from pyspark import TaskContext
-
-            key = TaskContext.get().partitionId() << 33
-            for batch in text_slices(batches):
-                rows = len(batch)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(rows, key)), pa.array(key + np.arange(rows)), batch["doc_id"], batch["held_out"], batch["text"].cast(pa.string())], ["slice", "key", "doc_id", "held_out", "text"])
-                key += rows
-
-        def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in text_slices(batches):
-                ends = [0, *(np.flatnonzero(np.diff(np.asarray(batch["slice"]))) + 1).tolist(), len(batch)]
-                for a, b in zip(ends[:-1], ends[1:], strict=True):
-                    code = asked(*_tokens(batch["text"].slice(a, b - a)))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), batch["slice"][a].as_py())), textkit.int64(code)], ["slice", "code"])
-
-        def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            """Each segment's entries come before the probes that it answers."""
-            own, at = None, None
-            for batch in batches:
-                segments, code = np.asarray(batch["segment"]), np.asarray(batch["code"]).astype(np.int64).view(np.uint64)
-                level, slices = np.asarray(batch["level"]), np.asarray(batch["slice"])
-                ends = [0, *(np.flatnonzero(np.diff(segments)) + 1).tolist(), len(batch)] if len(batch) else []
-                for a, b in zip(ends[:-1], ends[1:], strict=True):
-                    if at != segments[a]:
-                        own, at = LogFrequencyFilter(size, log_segments, probes, single=True), segments[a]
-                    entry = level[a:b] > 0
-                    own.put(code[a:b][entry], level[a:b][entry])
-                    probe = code[a:b][~entry]
-                    if len(probe):
-                        yield pa.RecordBatch.from_arrays([pa.array(slices[a:b][~entry]), textkit.int64(probe), pa.array(own.levels(probe).astype(np.int32))], ["slice", "code", "level"])
-
-        def score(own: pa.Table, replies: pa.Table) -> pa.Table:
-            codes, counts = shared.value
-            asked_codes = replies["code"].to_numpy().astype(np.int64).view(np.uint64)
-            order = np.argsort(asked_codes)
-            asked_codes, found = asked_codes[order], replies["level"].to_numpy()[order]
-            look = lambda code: found[np.searchsorted(asked_codes, code)]
-            out = [row_scores(b, np.asarray(b["key"]), look, codes, counts) for b in text_slices(iter(own.combine_chunks().to_batches()))]
-            return pa.Table.from_batches(out)
-
-        cut = checkpointed(docs.mapInArrow(sliced, f"slice long, key long, doc_id {kind}, held_out boolean, text string"))
-        questions = cut.mapInArrow(ask, "slice long, code long").select("slice", "code", F.lit(0).alias("level"))
-        both = single.union(pairs).select(F.lit(0).cast("long").alias("slice"), "code", "level").union(questions).withColumn("segment", segment(log_segments))
-        both = both.repartition(1 << log_segments, "segment").sortWithinPartitions("segment", F.col("level") == 0)
-        replies = both.mapInArrow(answer, "slice long, code long, level int")
-        return cut.groupBy("slice").cogroup(replies.groupBy("slice")).applyInArrow(score, schema)
-
-    scored = checkpointed(by_segment() if bits > held_bits else by_broadcast())
-    # words outside the broadcast table: none of them is frequent, so no key of this join is hot
-    spread = scored.select("key", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("key", F.col("r.rare").alias("code"), F.col("r.times").alias("k"))
-    met = spread.join(words, "code").groupBy("key").agg(F.sum(F.col("k") * F.log10(F.col("c") + 1.0)).alias("more"), F.sum("k").alias("more_known"))
-    out = scored.drop("rare", "times").join(met, "key", "left")
-    return out.select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("known") + F.coalesce("more_known", F.lit(0))).cast("long").alias("n_known"),
-        F.lit(n_train).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * F.lit(float(floor))).alias("base_score"),
-        "score",
-    )
+        pair, pair_back, _ = _distinct(_pair_codes(tokens[here - 1], tokens[here]), np.zeros(len(here), np.int64))
+        if len(pair) != len(met):
+            raise ValueError("texts changed while they were scored")
+        head = seen[back[here - 1]]
+        p[here] = (np.minimum(LEVEL_COUNTS[met][pair_back], head) + PRIOR * p[here]) / (head + PRIOR)
+        sizes, total = np.diff(first), lambda values: np.add.reduceat(values, first[:-1])
+        base = total(np.log10(exact + 1)[back]) - sizes * floor
+        known = total((exact > 0).astype(np.int64)[back])
+        columns = {"n_tokens": sizes, "n_known": known, "train_tokens": np.full(len(sizes), n_train), "base_score": base, "score": total(np.log10(p))}
+        return pa.Table.from_arrays([own["doc_id"], own["held_out"], *map(pa.array, columns.values())], ["doc_id", "held_out", *columns])
+
+    # both passes over the texts read this one shuffle
+    dealt = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(slices)).alias("slice"), "doc_id", "held_out", "text").repartition(slices, "slice")
+    asked = dealt.groupBy("slice").applyInArrow(ask, "slice long, segment long, words binary, pairs binary, times binary")
+    kept = words.withColumn("segment", F.shiftrightunsigned("code", 64 - log_segments))
+    kept, asked = (x.repartition(1 << log_segments, "segment").groupBy("segment") for x in (kept, asked))
+    replies = kept.cogroup(asked).applyInArrow(answer, "slice long, segment long, counts binary, words binary, pairs binary")
+    schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return dealt.groupBy("slice").cogroup(replies.repartition(slices, "slice").groupBy("slice")).applyInArrow(score, schema)

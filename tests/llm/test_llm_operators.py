@@ -9,6 +9,7 @@ import re
 import struct
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -519,6 +520,29 @@ def test_language_model_by_segments(spark, sf):
     assert sorted(map(key, one.collect())) == sorted(map(key, two.collect()))
 
 
+def test_language_model_disk(spark):
+    """Neither texts nor pairs are stored, only the words' counts, and texts are shuffled once."""
+    file = "/root/testdata/sf0.01/documents.parquet"
+    stored = lambda: sum(x.stat().st_size for x in Path(spark.conf.get("spark.checkpoint.dir")).rglob("*") if x.is_file())
+    executors = spark.sparkContext._jsc.sc().statusStore().executorList
+    shuffled = lambda: sum(executors(False).apply(i).totalShuffleWrite() for i in range(executors(False).size()))
+    held, sent = stored(), shuffled()
+    language_model.language_model_scores(spark.read.parquet(file), held_bits=1 << 10).collect()
+    size = sum(x.stat().st_size for x in [Path(file), *Path(file).rglob("*.parquet")] if x.is_file())
+    assert stored() - held < size
+    assert shuffled() - sent < 5 * size
+
+
+def test_language_model_without_training(spark):
+    """Rows held out alone, repeated rows, and a table of ends: nothing is known but what was learned."""
+    out = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
+    rows = [(out, "a b a"), (out, "a b a"), (out, None)]
+    got = language_model.language_model_scores(spark.createDataFrame(rows, "doc_id long, text string"), least_bits=1 << 16).collect()
+    assert sorted((r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in got) == [(1, 0, 0, 0, 0), (4, 0, 0, 0, 0), (4, 0, 0, 0, 0)]
+    one = language_model.language_model_scores(spark.createDataFrame([(None, ""), *rows], "doc_id long, text string"), least_bits=1 << 16).collect()
+    assert sorted((r.n_tokens, r.n_known, r.train_tokens, r.held_out) for r in one) == [(1, 1, 1, False), (1, 1, 1, True), (4, 1, 1, True), (4, 1, 1, True)]
+
+
 def test_filter_levels():
     rng = np.random.default_rng(2)
     draw = lambda: rng.integers(0, 1 << 63, 3000).astype(np.uint64) * np.uint64(2)
