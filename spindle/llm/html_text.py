@@ -3,9 +3,11 @@
 Markup is stripped to blocks, one a line. Lengths of text, summed over a sliding window of lines,
 surge where the article starts and dive where it ends; all text between the first surge and the last
 dive is kept. Lengths are weighted by what the markup says: menus, headers, footers, forms, notices,
-adverts and comments are no lines of a window, links weigh against their line, and on a page with
-article elements the lines inside them alone count, each enough for a surge, so that a short line of
-the article holds. A class judges an element by its words, but not one that holds the article or most
+adverts and comments are no lines of a window, and links weigh against their line. On a page with
+article elements windows run inside each of them, and those where one surges are kept whole, so that a short line
+of the article holds; where none surges but a window outside does, the article elements mean something else and the
+whole page is cut at its first surge and its last dive.
+A class judges an element by its words, but not one that holds the article or most
 of the text; pages are read in one pass, whatever is left open in them.
 """
 
@@ -231,8 +233,21 @@ def blocks(page: str) -> tuple[list[Block], dict[int, tuple[str, int]], dict[int
     return out, why, held_by
 
 
+def _weight(b: Block) -> int:
+    """Characters of text, those of links taken off twice."""
+    return max(0, len(b.text) - 2 * b.linked)
+
+
+def _surges(lines: list[Block]) -> list[tuple[int, int]]:
+    """The first and last line of each window that surges; lines without weight are in none."""
+    weight = [_weight(b) for b in lines]
+    on = [i for i, w in enumerate(weight) if w > 0]
+    windows = [on[k : k + WINDOW] for k in range(max(1, len(on) - WINDOW + 1))]
+    return [(w[0], w[-1]) for w in windows if sum(weight[i] for i in w) >= SURGE]
+
+
 def _kept(page: str) -> tuple[list[Block], bool]:
-    """The blocks that may be article text, and whether article elements tell."""
+    """The blocks that may be article text, and whether article elements tell that all of them are."""
     found, why, held_by = blocks(page)
     found = [b for b in found if not b.hard]
     sizes: Counter = Counter()
@@ -263,24 +278,26 @@ def _kept(page: str) -> tuple[list[Block], bool]:
         size[b.article] += len(b.text)
     longest = max((n for a, n in size.items() if a), default=0)
     own = {a for a, n in size.items() if a and (4 * n >= longest or a == -1)}  # shorter ones are teasers or comments
-    return ([b for b in lines if b.article in own], True) if own else (lines, False)
+    surging = {a for a in own if _surges([b for b in lines if b.article == a])}
+    if not surging and (not own or _surges([b for b in lines if not b.article])):
+        return lines, False
+    told = surging | (own & {-1}) or own
+    return [b for b in lines if b.article in told], True
 
 
 def main_text(page: str) -> str:
-    """The blocks between the first surge and the last dive, joined by line ends.
+    """The blocks of articles with a surge, or those between the page's first surge and last dive, joined by line ends.
 
-    Of several articles those are kept that have a quarter of the longest one's text. Where no window surges, all blocks are kept. A line of which half or more is links has no weight
-    and is no line of a window; it is kept where it stands alone between two lines of weight.
+    Of several articles those are kept that have a quarter of the longest one's text, and a surge if one of them has. Where no window
+    surges, all blocks are kept. On pages cut by windows a line of which half or more is links has no weight and is no line of a window;
+    it is kept where it stands alone between two lines of weight.
     """
-    lines, article = _kept(page)
-    weight = [max(SURGE, len(b.text)) if article else max(0, len(b.text) - 2 * b.linked) for b in lines]
-    on = [i for i, w in enumerate(weight) if w > 0]
-    sums = [sum(weight[i] for i in on[k : k + WINDOW]) for k in range(max(1, len(on) - WINDOW + 1))]
-    surges = [k for k, total in enumerate(sums) if total >= SURGE]
-    if on and surges:
-        low, high = on[surges[0]], on[min(surges[-1] + WINDOW, len(on)) - 1]
-    else:
-        low, high = 0, len(lines) - 1
+    lines, whole = _kept(page)
+    if whole:
+        return "\n".join(b.text for b in lines)
+    surges = _surges(lines)
+    low, high = (surges[0][0], surges[-1][1]) if surges else (0, len(lines) - 1)
+    weight = [_weight(b) for b in lines]
     alone = lambda i: low < i < high and weight[i - 1] > 0 and weight[i + 1] > 0
     return "\n".join(lines[i].text for i in range(low, high + 1) if weight[i] > 0 or alone(i))
 

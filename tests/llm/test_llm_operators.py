@@ -668,6 +668,19 @@ def test_line_blocks_without_article():
         assert html_text.main_text(page) == "\n".join(plain_line_blocks([(t, len(t) * link) for t, link in lines]))
 
 
+def test_windows_decide_between_articles():
+    """Article elements without a surge are teasers beside one with a surge, and don't hide a text outside that surges."""
+    body = "<p>Short lead.</p><p>A paragraph of the article that is long enough.</p><p>End.</p>"
+    want = "Short lead.\nA paragraph of the article that is long enough.\nEnd."
+    teaser = "<article><a href=/>Another article of this site</a></article>"
+    assert html_text.main_text(f"<article>{body}</article>{teaser}") == want
+    assert html_text.main_text(f"{teaser}<article>{body}<p><a href=/>A last line that is a link</a></p></article>") == f"{want}\nA last line that is a link"
+    assert html_text.main_text(f"<article>{body}</article><article>{body}</article>") == f"{want}\n{want}"
+    assert html_text.main_text(f"{teaser}<div>{body}</div>") == want
+    assert html_text.main_text(f"{teaser}{teaser}") == "Another article of this site\nAnother article of this site"
+    assert html_text.main_text(f"<main><h1>Title</h1><article>{body}</article></main>") == f"Title\n{want}"
+
+
 def test_broken_pages(spark):
     assert html_text.main_text("") == "" and html_text.main_text("<p") == "" and html_text.main_text("just text") == "just text"
     assert html_text.main_text("<nav><ul><li>menu<article><p>Kept &amp") == "Kept &"
