@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import ast
 import re
-from collections.abc import Iterator
-from itertools import accumulate
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, field
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -152,23 +154,113 @@ def constant_groups(files: DataFrame, symbols: DataFrame, gap: int = 2) -> DataF
 _TOKENS = re.compile(r"""//[^\n]*|/\*(?:[^*]|\*(?!/))*(?:\*/)?|(["'`])(?:\\[^\n]|(?!\1)[^\\\n])*\1?|[(){};]""")
 
 
-def block_end(lines: list[str], start: int, ahead: int = 4000) -> int:
-    """The line, from 1, where the block in braces that begins at or after start ends.
+def _signs(line: str, within: bool) -> tuple[list[str], bool]:
+    """What opens, closes or ends something in a line, and whether a comment is open after it; within: one is before it."""
+    if within and "*/" not in line:
+        return [], True
+    found = [m[0] for m in _TOKENS.finditer(line, line.index("*/") + 2 if within else 0)]
+    last = found[-1] if found else ""
+    return [x for x in found if x in "(){};"], last.startswith("/*") and (len(last) < 4 or not last.endswith("*/"))
+
+
+@dataclass
+class _Group:
+    """Declarations with as many open parentheses, before (waiting) and after their first brace (opened): starts by open braces less lead."""
+
+    floor: int
+    lead: int = 0
+    waiting: dict[int, list[int]] = field(default_factory=dict)
+    opened: dict[int, list[int]] = field(default_factory=dict)
+
+    def take(self, other: _Group) -> None:
+        if len(self.waiting) + len(self.opened) < len(other.waiting) + len(other.opened):
+            self.lead, self.waiting, self.opened, other.lead, other.waiting, other.opened = other.lead, other.waiting, other.opened, self.lead, self.waiting, self.opened
+        for own, more in ((self.waiting, other.waiting), (self.opened, other.opened)):
+            for braces, starts in more.items():
+                own.setdefault(braces + other.lead - self.lead, []).extend(starts)
+
+
+class _Declarations:
+    """Declarations whose ends aren't found yet, all taken on by one sign at a time.
+
+    parens counts those of the lines so far; a group has parens less its floor open. Groups are in order of
+    floors, so that the last one alone, if it has none open, sees braces and semicolons.
+    """
+
+    def __init__(self) -> None:
+        self.parens, self.groups = 0, []
+
+    def add(self, group: _Group) -> None:
+        at = bisect_left(self.groups, group.floor, key=lambda g: g.floor)
+        if at < len(self.groups) and self.groups[at].floor == group.floor:
+            self.groups[at].take(group)
+        else:
+            self.groups.insert(at, group)
+
+    def begin(self, start: int) -> None:
+        self.add(_Group(self.parens, waiting={0: [start]}))
+
+    def joined(self, other: _Declarations) -> _Declarations:
+        few, many = sorted((self, other), key=lambda x: len(x.groups))
+        for group in few.groups:
+            group.floor += many.parens - few.parens
+            many.add(group)
+        return many
+
+    def ended(self, sign: str) -> list[int]:
+        """The starts of the declarations that sign ends."""
+        if sign in "()":
+            self.parens += 1 if sign == "(" else -1
+            if self.groups and self.groups[-1].floor > self.parens:
+                group = self.groups.pop()
+                group.floor = self.parens
+                self.add(group)
+            return []
+        if not self.groups or self.groups[-1].floor < self.parens:
+            return []
+        group, out = self.groups[-1], []
+        if sign == "}":
+            group.lead -= 1
+            out = group.opened.pop(-group.lead, [])
+        else:
+            waiting, group.waiting = group.waiting, {}
+            if sign == ";":
+                out = [s for starts in waiting.values() for s in starts]
+            else:
+                group.take(_Group(group.floor, group.lead, opened=waiting))
+                group.lead += 1
+        if not group.waiting and not group.opened:
+            self.groups.pop()
+        return out
+
+
+def ends_of_blocks(lines: list[str], starts: Iterable[int]) -> dict[int, int]:
+    """By start, the line, from 1, where the block in braces that begins at or after it ends, however far; lines are read once for all starts.
 
     Braces in strings, comments and parentheses don't count. A statement that a semicolon ends before
-    any brace ends there; without a brace the start is the end, without its partner the last line.
+    any brace ends there; without a brace the start is the end, without its partner the last line. Nothing before a
+    start counts for it, so that declarations within a comment have ends of their own.
     """
-    body = "\n".join(lines[start - 1 : start + ahead])
-    marks = [m for m in _TOKENS.finditer(body) if m[0] in "(){};"]
-    steps = ((m[0] == "(") - (m[0] == ")") for m in marks)
-    inside = accumulate(steps, lambda open_, step: max(0, open_ + step), initial=0)
-    outer = [m for m, open_ in zip(marks, inside) if not open_ and m[0] in "{};"]
-    level = accumulate((m[0] == "{") - (m[0] == "}") for m in outer)
-    first = next((i for i, m in enumerate(outer) if m[0] == "{"), len(outer))
-    ends = (m for i, (m, depth) in enumerate(zip(outer, level, strict=True)) if (i >= first and m[0] == "}" and depth == 0) or (i < first and m[0] == ";"))
-    if end := next(ends, None):
-        return start + body.count("\n", 0, end.start())
-    return min(len(lines), start + ahead) if first < len(outer) else start
+    ends = {s: s for s in starts}
+    tracks: dict[bool, _Declarations] = {}  # by whether a comment is open before the line
+    for number, line in enumerate(lines, 1):
+        if number in ends:
+            tracks.setdefault(False, _Declarations()).begin(number)
+        after: dict[bool, _Declarations] = {}
+        for within, track in tracks.items():
+            signs, within_next = _signs(line, within)
+            for sign in signs:
+                ends.update(dict.fromkeys(track.ended(sign), number))
+            if track.groups:
+                after[within_next] = after[within_next].joined(track) if within_next in after else track
+        tracks = after
+    open_ = [starts for track in tracks.values() for group in track.groups for starts in group.opened.values()]
+    return ends | {s: len(lines) for s in chain.from_iterable(open_)}
+
+
+def block_end(lines: list[str], start: int) -> int:
+    """The line where the block of one start ends."""
+    return ends_of_blocks(lines, [start])[start]
 
 
 def block_ends(symbols: DataFrame, files: DataFrame) -> DataFrame:
@@ -180,7 +272,7 @@ def block_ends(symbols: DataFrame, files: DataFrame) -> DataFrame:
             out = []
             for path, text, starts in zip(rows["path"], rows["text"], rows["starts"], strict=True):
                 lines = (text or "").split("\n")
-                out += [(path, int(s), block_end(lines, int(s))) for s in starts]
+                out += [(path, start, end) for start, end in ends_of_blocks(lines, map(int, starts)).items()]
             yield pd.DataFrame(out, columns=["path", "line", "end_line"])
 
     ends = files.select("path", "text").join(wanted, "path").mapInPandas(run, "path string, line int, end_line int")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spindle.functions import text as T
-from spindle.operators.code import ENUM_BASES, LINE_PATTERNS, block_end
+from spindle.operators.code import ENUM_BASES, LINE_PATTERNS, ends_of_blocks
 
 FILE = ("repository", "path")
 #: Which patterns and which rule for spans a language takes; others have no symbols.
@@ -69,8 +69,9 @@ def braced(files: DataFrame) -> DataFrame:
                 batch = whole.slice(low, FILES_AT_ONCE)
                 lasts = []
                 for text, starts in zip(batch["text"], batch["starts"], strict=True):
-                    lines = text.as_py().split("\n")
-                    lasts.append([block_end(lines, start) for start in starts.as_py()])
+                    starts = starts.as_py()
+                    ends = ends_of_blocks(text.as_py().split("\n"), starts)
+                    lasts.append([ends[start] for start in starts])
                 kept = batch.select(["repository", "path", "language", "marks"])
                 yield kept.append_column("lasts", pa.array(lasts, pa.list_(pa.int32())))
 
@@ -165,7 +166,7 @@ def python_symbols(files: DataFrame) -> DataFrame:
     """
     rows, code, line = python_lines(files), F.col("code"), F.col("line")
     over = lambda *keys: Window.partitionBy(*FILE, *keys)
-    marks = F.collect_list(F.when(F.col("decorates"), F.struct("line", F.trim(F.substring(F.trim(code), 2, 1 << 20)).alias("name")))).over(over("decorated"))
+    marks = F.collect_list(F.when(F.col("decorates"), F.struct("line", F.trim(F.substr(F.trim(code), F.lit(2))).alias("name")))).over(over("decorated"))
     last = lambda *keys: F.max(F.when(F.col("content"), line)).over(over(*keys))
     head = F.col("begins") & code.rlike(r"^\s*((async\s+)?def|class)\s+\w")
     rows = rows.withColumns({

@@ -7,9 +7,11 @@ import random
 import re
 
 import pytest
+from harness import both, database
 from pyspark.sql import functions as F
 
 from spindle.operators import code, symbol_chunks, symbols
+from spindle.plans import catalog
 from spindle.session import stored
 
 SCHEMA = "repository string, path string, language string, text string"
@@ -160,3 +162,57 @@ def test_dependencies_shuffle_no_words(spark):
     assert sorted(map(tuple, out.collect()), key=str) == [("c1", "List", "java.util.List"), ("c1", "os", "os"), ("c1", "use", "lib.x"), ("c1", "x", None)]
     plan = out._jdf.queryExecution().toString()
     assert "hashpartitioning(path" in plan and not [x for x in plan.split("hashpartitioning(")[1:] if "name#" in x.split(")")[0]]
+
+
+@pytest.fixture(scope="module")
+def tall(spark, tmp_path_factory):
+    """Documents of 4100 lines, one for each template, and short ones."""
+    folder = tmp_path_factory.mktemp("tall")
+    text = F.when(F.col("id") < 6, F.concat(F.repeat(F.lit("of a text\n"), 4099), F.lit("its end"))).otherwise(F.lit("one\ntwo"))
+    rows = spark.range(12).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("en").alias("lang"), F.lit("src").alias("source"), F.length(text).cast("long").alias("n_chars"))
+    rows.toPandas().to_parquet(folder / "documents.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["q40_block_ends", "q61_symbol_chunks", "q62_relations"])
+def test_blocks_of_thousands_of_lines_end_as_the_sql_says(spark, tall, name):
+    ours, theirs = both(catalog.QUERIES[name](spark, tall), database(tall), catalog.SQL[name])
+    assert ours and ours == theirs
+
+
+def plain_block_end(lines: list[str], start: int) -> int:
+    """The end of one block, told from the whole rest of the file."""
+    body, depth, parens, opened = "\n".join(lines[start - 1 :]), 0, 0, False
+    for m in code._TOKENS.finditer(body):
+        line = start + body.count("\n", 0, m.start())
+        if m[0] in ("(", ")"):
+            parens = max(0, parens + (1 if m[0] == "(" else -1))
+        elif not parens and m[0] == ";" and not opened:
+            return line
+        elif not parens and m[0] in ("{", "}"):
+            opened, depth = opened or m[0] == "{", depth + (1 if m[0] == "{" else -1)
+            if opened and m[0] == "}" and depth == 0:
+                return line
+    return len(lines) if opened else start
+
+
+def test_ends_of_blocks_equal_those_of_each_start_alone():
+    rng, bits = random.Random(4), ["(", ")", "{", "}", ";", "/*", "*/", "//", '"', "`", "\\", "a", "*", "/**/", "{}", "/*/", "function f() {"]
+    for _ in range(3000):
+        weights = [rng.choice([0, 1, 5]) for _ in bits[1:]] + [1]
+        lines = ["".join(rng.choices(bits, weights, k=rng.choice([0, 1, 2, 4, 8]))) for _ in range(rng.randint(1, 30))]
+        starts = rng.choices(range(1, len(lines) + 1), k=rng.randint(1, 12))
+        assert code.ends_of_blocks(lines, starts) == {s: plain_block_end(lines, s) for s in starts}, lines
+
+
+def test_lines_are_read_once_for_all_blocks(monkeypatch):
+    read, signs = [], code._signs
+    monkeypatch.setattr(code, "_signs", lambda line, within: read.append(line) or signs(line, within))
+    lines = ["function f(a) { ("] * 5000 + ["} // the end"]
+    assert set(code.ends_of_blocks(lines, range(1, 5001)).values()) == {5001} and len(read) == 5001
+
+
+def test_long_decorators_stay_whole(spark):
+    sign = "other(" + "1, " * 400_000 + "dataclass)"
+    rows = symbols.symbols(spark.createDataFrame([("r", "a.py", "python", f"@{sign}\nclass A:\n    x = 1\n")], SCHEMA)).collect()
+    assert [(r.kind, r.decorators) for r in rows] == [("dataclass", [sign])]
