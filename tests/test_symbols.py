@@ -174,7 +174,7 @@ def tall(spark, tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["q40_block_ends", "q61_symbol_chunks", "q62_relations"])
+@pytest.mark.parametrize("name", ["q40_block_ends", "q61_symbol_chunks", "q62_relations", "q66_stored_rows"])
 def test_blocks_of_thousands_of_lines_end_as_the_sql_says(spark, tall, name):
     ours, theirs = both(catalog.QUERIES[name](spark, tall), database(tall), catalog.SQL[name])
     assert ours and ours == theirs
